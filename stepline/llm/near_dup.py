@@ -6,9 +6,11 @@ bits, each of which, padded with zeros, is a word of the 23-bit Golay code.  For
 errors (p, q, r) with p + q + r <= 4, in whatever order,
 
 * either one segment has none: an exact key of each segment finds the pair;
-* or all three have some, and then two of them have one each: a key of both segments'
-  nearby codewords finds it.  One side gives its nearest codewords, the other all that
-  are near (``stepline.llm.golay`` says why one side's single key is enough).
+* or all three have some, and then two of them have exactly one each: a key of both
+  segments' nearby codewords finds it.  One side gives its nearest codewords, the other all
+  that are near (``stepline.llm.golay`` says why one side's single key is enough).  As one
+  error changes the parity of a segment's bits, one side adds its parities to the key and the
+  other the opposite ones.
 
 So no link is lost.  Fingerprints that share a key are compared and kept if at most 4 bits
 differ.
@@ -86,13 +88,15 @@ def key_rows(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     row = np.arange(len(fp))
     out = [((np.int64(k) << 56) | p, row, np.full(len(fp), BOTH, np.int8)) for k, p in enumerate(parts)]
     near = [golay.nearest(p) for p in parts]
+    odd = [np.bitwise_count(p).astype(np.int64) & 1 for p in parts]
     keys = [golay.keys(p) for p in parts]
     for k, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
-        kind = np.int64(3 + k) << 56
-        out.append((kind | near[i] << 12 | near[j], row, np.full(len(fp), INDEX, np.int8)))
+        kind, parity = np.int64(3 + k) << 56, odd[i] << 25 | odd[j] << 24
+        out.append((kind | parity | near[i] << 12 | near[j], row, np.full(len(fp), INDEX, np.int8)))
         (a, use_a), (b, use_b) = keys[i], keys[j]
         at, x, y = np.nonzero(use_a[:, :, None] & use_b[:, None, :])
-        out.append((kind | a[at, x] << 12 | b[at, y], at, np.full(len(at), PROBE, np.int8)))
+        opposite = (parity ^ (3 << 24))[at]
+        out.append((kind | opposite | a[at, x] << 12 | b[at, y], at, np.full(len(at), PROBE, np.int8)))
     return tuple(map(np.concatenate, zip(*out)))
 
 
