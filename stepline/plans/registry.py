@@ -1,4 +1,4 @@
-"""All registered queries and their SQL."""
+"""All registered queries and their SQL; the modules that hold them fill it as they are imported."""
 
 from __future__ import annotations
 
