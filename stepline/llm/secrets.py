@@ -89,10 +89,8 @@ def parts(value: str) -> list[tuple[int, int, str, float]]:
             size = m.end() - i
             # a year of 100, a month, a day, and four kinds of separator
             found.append((i, m.end(), "date", 2.0 + (math.log10(12) if size >= 6 else 0) + (math.log10(31) if size >= 8 else 0) + (math.log10(4) if re.search(r"[-/._]", m[0]) else 0)))
-    i = 0
-    while i < n - 2:  # keyboard walks, maximal ones
-        j, turns = i + 1, 0
-        step = None
+    for i in range(n - 3):  # keyboard walks, as far as they go from each start
+        j, turns, step = i + 1, 0, None
         while j < n and low[j] in NEAR.get(low[j - 1], ()):
             way = ord(low[j]) - ord(low[j - 1])
             turns += step is not None and way != step
@@ -100,7 +98,6 @@ def parts(value: str) -> list[tuple[int, int, str, float]]:
             j += 1
         if j - i >= 4:
             found.append((i, j, "walk", math.log10(47 * (j - i)) + turns * math.log10(6)))
-        i = max(i + 1, j - 1)
     for i in range(n):  # repeats of a unit of up to eight characters; a unit costs brute force
         for size in range(1, min(8, (n - i) // 2) + 1):
             unit, k = value[i : i + size], 1
