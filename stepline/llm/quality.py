@@ -72,22 +72,26 @@ def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return texts.mapInArrow(_statistics, SCHEMA)
 
 
-def _vote(bad: Column, good: Column) -> Column:
-    return F.when(bad, 0).when(good, 1)
+def _vote(bad: Column, good: Column | None = None) -> Column:
+    return F.when(bad, 0) if good is None else F.when(bad, 0).when(good, 1)
 
 
 def rules() -> dict[str, Column]:
-    """Each rule's vote: 0 bad, 1 good, null abstains."""
+    """Each rule's vote: 0 bad, 1 good, null abstains.
+
+    A rule votes good only on what speaks for prose; that a text is long enough, or does not
+    repeat itself, holds for much that is bad, so there the rules abstain.
+    """
     c = F.col
     words = F.greatest(c("n_words"), F.lit(1))
     return {
-        "length": _vote(c("n_words") < 50, c("n_words") >= 80),
-        "word_length": _vote((c("word_chars") < 2 * words) | (c("word_chars") > 15 * words), c("word_chars").between(3 * words, 10 * words)),
-        "symbols": _vote(10 * c("n_symbols") > words, 100 * c("n_symbols") <= words),
-        "lines": _vote(10 * c("n_dup_lines") > 3 * F.greatest(c("n_lines"), F.lit(1)), (c("n_dup_lines") == 0) & (c("n_lines") > 0)),
-        "repeats": _vote(100 * c("n_repeat_words") > 30 * words, 100 * c("n_repeat_words") <= 10 * words),
-        "stop_words": _vote(100 * c("n_stop") < 2 * words, 100 * c("n_stop") >= 8 * words),
-        "variety": _vote(10 * c("n_distinct") < 2 * words, 100 * c("n_distinct") >= 35 * words),
+        "length": _vote(c("n_words") < 50),
+        "word_length": _vote((c("word_chars") < 2 * words) | (c("word_chars") > 15 * words)),
+        "symbols": _vote(10 * c("n_symbols") > 3 * words, 100 * c("n_symbols") <= 2 * words),
+        "lines": _vote(10 * c("n_dup_lines") > 3 * F.greatest(c("n_lines"), F.lit(1))),
+        "repeats": _vote(100 * c("n_repeat_words") > 30 * words),
+        "stop_words": _vote(100 * c("n_stop") < 3 * words, 100 * c("n_stop") >= 5 * words),
+        "variety": _vote(10 * c("n_distinct") < 2 * words),
     }
 
 
@@ -95,13 +99,14 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def em(votes: np.ndarray, counts: np.ndarray, rounds: int = 100, prior: float = 0.8, accuracy: float = 0.8, strength: float = 10.0) -> tuple[np.ndarray, float, np.ndarray]:
+def em(votes: np.ndarray, counts: np.ndarray, rounds: int = 100, prior: float = 0.8, accuracy: float = 0.8, strength: float = 10.0, least: float = 0.02) -> tuple[np.ndarray, float, np.ndarray]:
     """Posterior of each pattern, share of good documents, and by (class, rule, vote) how often a class gets it.
 
     ``votes``: (patterns, rules) of 0, 1, and 2 for abstaining.  The start says that each
     rule is right with probability ``accuracy`` when it votes; ``strength`` is the number
     of documents that this start counts for, so a rule that hardly votes stays near it.
-    A rule is held to be right more often than wrong, so classes can't swap.
+    A rule is held to be right more often than wrong, so classes can't swap, and no vote to
+    be rarer in a class than ``least``, so one odd vote alone does not settle a document.
     """
     n_rules = votes.shape[1]
     hot = np.stack([votes == k for k in range(3)], 2).astype(float)
@@ -119,7 +124,7 @@ def em(votes: np.ndarray, counts: np.ndarray, rounds: int = 100, prior: float =
         for y, p in ((0, 1 - posterior), (1, posterior)):
             seen = np.einsum("p,prk->rk", p * counts, hot) + strength * start[y]
             table[y] = seen / seen.sum(1, keepdims=True)
-        table = np.clip(table, 1e-4, 1)
+        table = np.clip(table, least, 1)
         # a good vote must not be likelier from bad documents than from good ones, nor the other way round
         for k in (0, 1):
             mean = table[:, :, k].mean(0)
