@@ -23,7 +23,7 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix.mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies", "first_position")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
-    return chat.digests(chat.format_chats(rows.unionByName(extra)))
+    return chat.digests(chat.format_chats(rows.unionByName(extra))).drop("n_tokens", "n_loss_tokens")
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +69,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SIZED = r"""sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS at
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS ord
   FROM documents)"""
 
 MIX_SQL = rf"""WITH {_SIZED},
@@ -88,11 +88,27 @@ aims AS (
   FROM levels),
 placed AS (
   SELECT s.*, a.source_size, a.target,
-    sum(size) OVER (PARTITION BY s.source ORDER BY at % 1024, at, doc_id, size ROWS UNBOUNDED PRECEDING) - size + size / 2.0::DOUBLE AS middle
+    sum(size) OVER (PARTITION BY s.source ORDER BY ord % 1024, ord, doc_id, size ROWS UNBOUNDED PRECEDING) - size + size / 2.0::DOUBLE AS middle
   FROM sized s JOIN aims a ON s.source IS NOT DISTINCT FROM a.source)
-SELECT doc_id, size, source_size, round(target, 4) AS target,
+SELECT doc_id, size, source_size, target,
   CASE WHEN size > 0 AND target > middle THEN ceil((target - middle) / source_size)::BIGINT ELSE 0 END * size AS taken
 FROM placed"""
 
+_ESCAPED = r"""length({0}) + (length({0}) - length(replace({0}, '\', ''))) + coalesce(list_sum([length(x) for x in regexp_extract_all({0}, '#{{3,}}')]), 0) + len(regexp_extract_all({0}, '</?turn>'))"""
+CHAT_SQL = rf"""WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(17 + {_ESCAPED.format("role")} + {_ESCAPED.format("text")})::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id"""
+
+WARC_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+k AS (SELECT *, strlen(html) AS n, max(page_id) OVER (PARTITION BY html) AS last FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN n >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id <> last THEN last END AS refers_to FROM k"""
+
 QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_decontaminate, op3_mix, op4_shard, op5_secrets, op6_near_dup, op7_chat, op8_warc, op9_quality, op10_toxicity)}
-ORACLES = {"op3_mix": MIX_SQL}
+ORACLES = {"op3_mix": MIX_SQL, "op7_chat": CHAT_SQL, "op8_warc": WARC_SQL}
