@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stepline.functions import naming, redaction
-from stepline.operators import actions, correlate, evaluate, ordering, quality, records, reduce, rounds, score, selectors
+from stepline.operators import actions, correlate, evaluate, ordering, quality, records, reduce, rounds, score, selectors, specs
 from stepline.plans import bindings
 from stepline.plans.bindings import duck, read
 from stepline.plans.registry import ORACLES, QUERIES
@@ -676,3 +676,92 @@ def honesty(spark, d):
 def field_claim_counts(spark, d):
     rows = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("capture_id"), F.col("l_returnflag").alias("object_name"), F.col("l_linestatus").alias("field_name"), F.col("l_partkey").alias("detail"))
     return score.field_claim_counts(rows)
+
+
+# -- specifications -------------------------------------------------------------------------------
+
+CHANGES = MATCH.replace("\nm AS", f"\n{duck('capture')},\nm AS", 1) + """, ch AS (SELECT capture_id, sequence, place, 'Obj' || CAST(event_no % 3 AS VARCHAR) AS object_name, layer AS field, confidence FROM o),
+acts AS (SELECT capture_id, pos AS sequence, CASE WHEN type IN ('input', 'change') THEN 'input' ELSE type END AS action_type, 'input:' || CASE WHEN k % 2 = 0 THEN 'Flow' ELSE 'other_' || CAST(k % 3 AS VARCHAR) END AS target FROM capture)
+"""
+
+
+def changes(spark, d):
+    placed = correlate.correlation_order(resolved(spark, d))
+    return placed.select("capture_id", "sequence", "place", F.concat(F.lit("Obj"), (F.col("event_no") % 3).cast("string")).alias("object_name"), F.col("layer").alias("field"), "confidence")
+
+
+def acts(spark, d):
+    target = F.concat(F.lit("input:"), F.when(F.col("k") % 2 == 0, "Flow").otherwise(F.concat(F.lit("other_"), (F.col("k") % 3).cast("string"))))
+    return capture(spark, d).select("capture_id", F.col("pos").alias("sequence"), F.when(F.col("type").isin("input", "change"), "input").otherwise(F.col("type")).alias("action_type"), target.alias("target"))
+
+
+@query(CHANGES + """, fl AS (SELECT capture_id, object_name, field, min((sequence, place)) AS o, arg_min(confidence, (sequence, place)) AS c, bool_or(confidence = 'AMBIGUOUS') AS ambiguous FROM ch GROUP BY ALL),
+en AS (SELECT capture_id, field AS name, object_name, field, o, CASE WHEN c IN ('HIGH', 'TEMPORAL') THEN 'data-delta' ELSE 'inference' END AS source, ambiguous, 0 AS kind FROM fl
+  UNION ALL SELECT capture_id, 'recordId', arg_min(object_name, (sequence, place)), 'Id', min((sequence, place)), 'inference', false, 1 FROM ch GROUP BY capture_id),
+rk AS (SELECT *, row_number() OVER (PARTITION BY capture_id, name ORDER BY kind DESC, o DESC, object_name DESC) AS n FROM en),
+ui AS (SELECT capture_id, CASE target WHEN 'input:Flow' THEN 'flow' ELSE 'other' || right(target, 1) END AS name, count(*) AS u FROM acts WHERE action_type = 'input' GROUP BY ALL)
+SELECT coalesce(r.capture_id, u.capture_id) AS capture_id, coalesce(r.name, u.name) AS name, r.object_name AS object_api_name, r.field AS field_api_name, r.source AS first_source, CASE WHEN r.name IS NULL THEN 0 ELSE 1 END + coalesce(u.u, 0) AS n_evidence, coalesce(r.ambiguous, false) AS ambiguous
+FROM rk r FULL JOIN ui u ON r.capture_id = u.capture_id AND r.name = u.name AND r.n = 1""")
+def derive_entities(spark, d):
+    found = specs.entities(changes(spark, d), acts(spark, d))
+    first = F.get("evidence", F.lit(0))["source"]
+    return found.select("capture_id", "name", "object_api_name", "field_api_name", F.when(first != "ui-action", first).alias("first_source"), F.size("evidence").alias("n_evidence"), "ambiguous")
+
+
+@query(CHANGES + """, st AS (SELECT capture_id, sequence, string_agg(DISTINCT layer, ', ' ORDER BY layer) AS layers, bool_or(layer = 'flow') AS flow FROM o GROUP BY ALL),
+fo AS (SELECT capture_id, arg_min(object_name, (sequence, place)) AS ob FROM ch GROUP BY 1),
+ln AS (SELECT a.capture_id, string_agg('act on ' || a.step_id || CASE WHEN st.layers IS NOT NULL THEN ' -> writes ' || st.layers || ' (backend: ' || st.layers || ')' ELSE '' END, chr(10) ORDER BY a.sequence) AS body, coalesce(bool_or(st.flow), false) AS flow FROM action a LEFT JOIN st ON st.capture_id = a.capture_id AND st.sequence = a.sequence GROUP BY 1)
+SELECT ln.capture_id, CASE WHEN ob IS NOT NULL THEN 'Resolve and load the target ' || ob || ' record; confirm the caller may act on it.' || chr(10) ELSE '' END || body || CASE WHEN flow THEN chr(10) || 'Invoke the equivalent Flow rather than reproducing its logic in the agent.' ELSE '' END || chr(10) || 'Return a confirmation that names the record and the fields changed.' AS steps
+FROM ln LEFT JOIN fo USING (capture_id)""")
+def orchestration_steps(spark, d):
+    found = changes(spark, d)
+    rolled = found.groupBy("capture_id", "sequence").agg(F.array_sort(F.collect_set("field")).alias("layers")).withColumn("fields", F.col("layers"))
+    done = action(spark, d).select("capture_id", "sequence", F.lit("act").alias("action_type"), F.col("step_id").alias("target"))
+    made = specs.orchestration_steps(done, rolled, specs.first_objects(found))
+    return made.select("capture_id", F.array_join("orchestration_steps", "\n").alias("steps"))
+
+
+@query(MATCH + """, bad AS (SELECT capture_id, layer, arg_min(CASE WHEN event_no % 3 <> 0 THEN 'event ' || CAST(event_no AS VARCHAR) END, CASE WHEN event_no % 3 <> 0 THEN event_no END) AS reason FROM o WHERE status = 'error' GROUP BY ALL),
+rl AS (SELECT capture_id, string_agg('Observed ' || layer || ' failure during recording: ' || coalesce(reason, 'no detail captured'), chr(10) ORDER BY layer) || CASE WHEN bool_or(layer = 'validation') THEN chr(10) || 'On validation error, return the offending field and message; do not auto-correct.' ELSE '' END AS lines FROM bad GROUP BY 1)
+SELECT c.capture_id, coalesce(rl.lines, 'No failures were observed in this run, so error paths are UNTESTED. Record a failing variant before relying on this spec.') AS failure_handling FROM (SELECT DISTINCT capture_id FROM action) c LEFT JOIN rl USING (capture_id)""")
+def failure_handling(spark, d):
+    bad = resolved(spark, d).filter("status = 'error'").select("capture_id", F.col("event_no").alias("sequence"), "layer", F.when(F.col("event_no") % 3 != 0, F.concat(F.lit("event "), F.col("event_no").cast("string"))).alias("reason"))
+    made = specs.failure_handling(bad, action(spark, d).select("capture_id").distinct())
+    return made.select("capture_id", F.array_join("failure_handling", "\n").alias("failure_handling"))
+
+
+def spec_frame(spark, d):
+    found, done = changes(spark, d), acts(spark, d)
+    captures = done.select("capture_id").distinct()
+    entities = specs.entities(found, done).groupBy("capture_id").agg(F.array_sort(F.collect_list(F.struct("name", "object_api_name", "field_api_name", "evidence"))).alias("entities"), F.count_if("ambiguous").alias("n_ambiguous"))
+    rolled = found.groupBy("capture_id", "sequence").agg(F.array_sort(F.collect_set("field")).alias("layers")).withColumn("fields", F.col("layers"))
+    first = specs.first_objects(found)
+    steps = specs.orchestration_steps(action(spark, d).select("capture_id", "sequence", F.lit("act").alias("action_type"), F.col("step_id").alias("target")), rolled, first)
+    layers = found.groupBy("capture_id").agg(F.array_sort(F.collect_set("field")).alias("_layers"))
+    bad = resolved(spark, d).filter("status = 'error'").select("capture_id", F.col("event_no").alias("sequence"), "layer", F.lit("seen").alias("reason"))
+    failures = specs.failure_handling(bad, captures)
+    none = F.array().cast("array<string>")
+    joined = captures.join(entities, "capture_id", "left").join(steps, "capture_id", "left").join(first, "capture_id", "left").join(layers, "capture_id", "left").join(failures, "capture_id", "left")
+    return joined.select(
+        "capture_id",
+        F.concat(F.lit("Update "), F.coalesce("first_object", F.lit("UNRESOLVED")), F.lit(" record fields")).alias("intent"),
+        F.when(F.col("first_object").isNotNull(), 0.7).otherwise(0.05).alias("confidence"),
+        F.when(F.col("first_object").isNotNull(), F.array("first_object")).otherwise(none).alias("objects_touched"),
+        F.coalesce("entities", F.array().cast("array<struct<name:string,object_api_name:string,field_api_name:string,evidence:array<struct<source:string,detail:string>>>>")).alias("entities"),
+        F.coalesce("orchestration_steps", none).alias("orchestration_steps"),
+        specs.guardrails(F.col("first_object"), F.coalesce("_layers", none), F.coalesce("_layers", none)).alias("guardrails"),
+        "failure_handling",
+        specs.unknowns(F.lit(0), none, F.col("first_object").isNotNull(), F.size(F.coalesce("entities", F.array().cast("array<struct<name:string,object_api_name:string,field_api_name:string,evidence:array<struct<source:string,detail:string>>>>"))), F.size(F.coalesce("_layers", none))).alias("unknowns"),
+        F.lit("capture").alias("extraction_source"),
+        F.when(F.col("first_object").isNotNull(), "live").otherwise("unavailable").alias("telemetry_source"),
+    )
+
+
+@query()
+def score_spec(spark, d):
+    return specs.score_spec(spec_frame(spark, d)).select("capture_id", *specs.POINTS, "total", F.array_join("blockers", ",").alias("blockers"), "passed", "band", "display")
+
+
+@query()
+def derive_test_cases(spark, d):
+    return specs.test_cases(spec_frame(spark, d))

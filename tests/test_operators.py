@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stepline.functions import naming, redaction
-from stepline.operators import actions, correlate, ordering, quality, reduce, rounds, score, selectors
+from stepline.operators import actions, correlate, ordering, quality, reduce, rounds, score, selectors, specs
 from stepline.sources import captures, sinks
 from stepline.streaming import traces
 
@@ -318,3 +318,66 @@ def test_wall_clock_and_recording_id(spark):
     assert [r.absolute_ms for r in actions.wall_clock(acts, actions.to_evidence(df)).orderBy("sequence").collect()] == [1001, 1002, 1003]
     a, b = (actions.recording_id(x).first().recording_id for x in (df, df.repartition(3)))
     assert a == b and a.startswith("rec-") and len(a) == 20
+
+
+# -- specifications -----------------------------------------------------------------------------
+
+GOOD = {
+    "intent": "Update Case status and priority",
+    "confidence": 0.7,
+    "objects_touched": ["Case"],
+    "entities": [
+        {"name": "status", "object_api_name": "Case", "field_api_name": "Status", "evidence": [{"source": "data-delta", "detail": "Case.Status changed New -> Closed"}]},
+        {"name": "priority", "object_api_name": "Case", "field_api_name": "Priority", "evidence": [{"source": "ui-action", "detail": "input on input:Priority at step 2"}]},
+        {"name": "recordId", "object_api_name": "Case", "field_api_name": "Id", "evidence": [{"source": "inference", "detail": "a Case record must be identified"}]},
+    ],
+    "orchestration_steps": ["Resolve and load the target Case record", "input on input:Status -> writes Status (backend: data)", "Return a confirmation that names the record"],
+    "guardrails": ["Enforce field-level security on Case for the user", "Require explicit user confirmation before writing: Status"],
+    "failure_handling": ["Observed validation failure during recording: bad value"],
+    "unknowns": ["none declared"],
+    "extraction_source": "capture",
+    "telemetry_source": "live",
+}
+SPEC = "intent string, confidence double, objects_touched array<string>, entities array<struct<name:string,object_api_name:string,field_api_name:string,evidence:array<struct<source:string,detail:string>>>>, orchestration_steps array<string>, guardrails array<string>, failure_handling array<string>, unknowns array<string>, extraction_source string, telemetry_source string"
+
+
+def scored(spark, *changes):
+    rows = [GOOD | c for c in changes]
+    return specs.score_spec(spark.createDataFrame(rows, SPEC)).collect()
+
+
+def test_score_of_a_good_spec_and_of_attacks(spark):
+    claims = [{"name": f"n{i}", "object_api_name": "Case", "field_api_name": "Status", "evidence": GOOD["entities"][0]["evidence"]} for i in range(5)]
+    good, padded, stubs, mock, surf, filler, empty, sure = scored(
+        spark,
+        {},
+        {"entities": claims},
+        {"entities": [{"name": "a", "object_api_name": "Case", "field_api_name": "A", "evidence": [{"source": "data-delta", "detail": "x"}]}]},
+        {"telemetry_source": "mock"},
+        {"orchestration_steps": [f"Do the same step number {i}" for i in range(12)]},
+        {"orchestration_steps": ["step 1", "step 2"], "guardrails": ["check"]},
+        {"entities": [], "objects_touched": [], "orchestration_steps": [], "guardrails": [], "failure_handling": [], "intent": ""},
+        {"confidence": 1.0},
+    )
+    assert good.passed and good.total == 100 and not good.blockers
+    assert padded.grounding == 6 and padded.total < good.total
+    assert stubs.grounding == 0 and "hollow grounding" in stubs.blockers
+    assert not mock.passed and mock.provenance == 0 and mock.display <= 59
+    assert "padding" in surf.blockers and not surf.passed
+    assert "filler" in filler.blockers and filler.specificity == 0
+    assert not empty.passed and empty.total < 40
+    assert sure.honesty < good.honesty
+
+
+def test_adding_evidence_or_unknowns_never_lowers_the_score(spark):
+    more = GOOD["entities"] + [{"name": "origin", "object_api_name": "Case", "field_api_name": "Origin", "evidence": [{"source": "data-delta", "detail": "Case.Origin changed Web -> Mail"}]}]
+    base, entity, unknown = scored(spark, {}, {"entities": more}, {"unknowns": GOOD["unknowns"] + ["one more"]})
+    assert entity.total >= base.total and unknown.total >= base.total
+
+
+def test_improving_removes_repeats_and_vague_words(spark):
+    df = spark.createDataFrame([GOOD | {"intent": "Do something vague with Case", "guardrails": ["Ask first", "ask  first", "Stop"]}], SPEC)
+    r = specs.offline_improve(df).first()
+    assert r.intent == "Do with Case" and r.guardrails == ["Ask first", "Stop"]
+    kinds = [x.kind for x in specs.test_cases(df.withColumn("capture_id", F.lit(1))).orderBy("case_no").collect()]
+    assert kinds == ["happy", "missing", "missing", "confirmation", "scope", "failure"]
