@@ -5,11 +5,11 @@ Parquet and read again as the next stage's ``docs``.  All but the last return th
 of ``docs``.  Stages that decide on single documents leave them where they are; near
 duplicates and the mix join their decisions back to the documents by id.
 
-Cases, besides those of the operators: rows that share an id are one document to the
-joins and stay or go together, except that the near-duplicate stage keeps one row of them;
-columns that ``docs`` has besides ``doc_id``, ``text`` and ``source`` come through, whatever
-their names (internal names begin with ``_``); documents without an id pass the
-near-duplicate stage only as their component's single row.
+Cases, besides those of the operators: rows that share an id are one document to the mix
+and are taken equally often; the near-duplicate stage tells rows apart by their place, so it
+keeps one row of each component whether ids are null, repeated or unique; columns that
+``docs`` has besides ``doc_id``, ``text`` and ``source`` come through, whatever their names
+(internal names begin with ``_``).
 """
 
 from __future__ import annotations
@@ -29,13 +29,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies, a row of the document with the smallest id stays."""
+    # docs are files, whose rows have the same numbers each time they are read
     numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    found = near_dup.near_duplicates(numbered.select("doc_id", "text"))
-    # of rows that share the smallest id, the first stays
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key")).distinct()
-    keyed = numbered.withColumn("_key", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    first = cut(keyed.select("_key", "_row").join(kept, "_key").groupBy("_key").agg(F.min("_row").alias("_row")).select("_row"))
-    return numbered.join(first, "_row", "left_semi").select(*docs.columns)
+    found = near_dup.near_duplicates(numbered.select("_row", "text"), id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    choice = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    first = found.join(numbered.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(choice)["_row"].alias("_row"))
+    return numbered.join(cut(first.select("_row")), "_row", "left_semi").select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
