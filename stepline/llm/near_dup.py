@@ -9,8 +9,9 @@ errors (p, q, r) with p + q + r <= 4, in whatever order,
 * or all three have some, and then two of them have exactly one each: a key of both
   segments' nearby codewords finds it.  One side gives its nearest codewords, the other all
   that are near (``stepline.llm.golay`` says why one side's single key is enough).  As one
-  error changes the parity of a segment's bits, one side adds its parities to the key and the
-  other the opposite ones.
+  error changes the parity of a segment's bits, the side whose first segment is even gives the
+  single key and the other, which is odd, the many; and one side adds the parity of the second
+  segment to the key, the other the opposite one.
 
 So no link is lost.  Fingerprints that share a key are compared and kept if at most 4 bits
 differ.
@@ -91,12 +92,13 @@ def key_rows(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     odd = [np.bitwise_count(p).astype(np.int64) & 1 for p in parts]
     keys = [golay.keys(p) for p in parts]
     for k, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
-        kind, parity = np.int64(3 + k) << 56, odd[i] << 25 | odd[j] << 24
-        out.append((kind | parity | near[i] << 12 | near[j], row, np.full(len(fp), INDEX, np.int8)))
+        kind = np.int64(3 + k) << 56
+        even, other = np.flatnonzero(odd[i] == 0), np.flatnonzero(odd[i])
+        out.append((kind | odd[j][even] << 24 | near[i][even] << 12 | near[j][even], even, np.full(len(even), INDEX, np.int8)))
         (a, use_a), (b, use_b) = keys[i], keys[j]
-        at, x, y = np.nonzero(use_a[:, :, None] & use_b[:, None, :])
-        opposite = (parity ^ (3 << 24))[at]
-        out.append((kind | opposite | a[at, x] << 12 | b[at, y], at, np.full(len(at), PROBE, np.int8)))
+        at, x, y = np.nonzero(use_a[other][:, :, None] & use_b[other][:, None, :])
+        at = other[at]
+        out.append((kind | (1 - odd[j][at]) << 24 | a[at, x] << 12 | b[at, y], at, np.full(len(at), PROBE, np.int8)))
     return tuple(map(np.concatenate, zip(*out)))
 
 
