@@ -5,8 +5,8 @@ Parquet and read again as the next stage's ``docs``.  All but the last return th
 of ``docs``.  Stages that decide on single documents leave them where they are; near
 duplicates and the mix join their decisions back to the documents by id.
 
-Cases, besides those of the operators: rows that share an id are one document to the mix
-and are taken equally often; the near-duplicate stage tells rows apart by their place, so it
+Cases, besides those of the operators: rows that share an id queue up one after the other in
+the mix; the near-duplicate stage tells rows apart by their place, so it
 keeps one row of each component whether ids are null, repeated or unique; columns that
 ``docs`` has besides ``doc_id``, ``text`` and ``source`` come through, whatever their names
 (internal names begin with ``_``).

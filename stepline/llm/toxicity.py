@@ -36,7 +36,7 @@ from stepline.llm.common import as_text
 LETTERS = re.compile(r"[^\W\d_]+")
 FOLDS = 5
 #: Labelled documents that a chain is fitted on, at most.
-MOST_LABELLED = 12_000
+MOST_LABELLED = 8_000
 #: Features of a category's model, at most: those with the strongest association.
 MOST_FEATURES = 400
 PREFIXES = (4, 5)
@@ -44,7 +44,7 @@ PREFIXES = (4, 5)
 
 def features_of_word(word: str) -> list[int]:
     names = [word, *(f"{word[:k]}*" for k in PREFIXES if len(word) > k)]
-    return [xxhash.xxh32_intdigest(x) for x in names]
+    return [xxhash.xxh32_intdigest(x) - (1 << 31) for x in names]
 
 
 class Features:
@@ -81,33 +81,55 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(found: list[set[int]], before: np.ndarray, y: np.ndarray, most_features: int = MOST_FEATURES, penalty: float = 0.02, rounds: int = 25) -> Model:
-    """Newton's method on the features that tell the classes apart most."""
-    share = (y.sum() + 0.5) / (len(y) + 1)
+@dataclass
+class Sample:
+    """Features of some documents as two flat arrays: a feature's number and its document's."""
+
+    feature: np.ndarray
+    doc: np.ndarray
+    names: np.ndarray
+    n_docs: int
+
+    @classmethod
+    def of(cls, found: list, least: int = 4) -> "Sample":
+        """``found``: each document's distinct features.  Those of fewer than ``least`` documents are left out."""
+        flat = np.concatenate([np.zeros(0, np.int32), *found]).astype(np.int32)
+        doc = np.repeat(np.arange(len(found), dtype=np.int32), [len(x) for x in found])
+        names, counts = np.unique(flat, return_counts=True)
+        names = names[counts >= least]
+        at = np.searchsorted(names, flat).astype(np.int32)
+        at[at == len(names)] = 0
+        known = names[at] == flat if len(names) else np.zeros(len(flat), bool)
+        return cls(at[known], doc[known], names, len(found))
+
+
+def fit(sample: Sample, rows: np.ndarray, before: np.ndarray, y: np.ndarray, most_features: int = MOST_FEATURES, penalty: float = 0.02, rounds: int = 25) -> Model:
+    """Newton's method on the features that tell the classes apart most.  ``rows``: the documents to fit on, with ``before`` and ``y`` for each."""
+    extra = before.shape[1]
     if not len(y):
-        return Model(-30.0, {}, [0.0] * before.shape[1])
+        return Model(-30.0, {}, [0.0] * extra)
+    share = (y.sum() + 0.5) / (len(y) + 1)
     if y.min() == y.max():
-        return Model(float(np.log(share / (1 - share))), {}, [0.0] * before.shape[1])
-    in_all, in_ones = Counter(), Counter()
-    for x, is_one in zip(found, y):
-        in_all.update(x)
-        if is_one:
-            in_ones.update(x)
-    n, ones = len(y), float(y.sum())
-    names = [k for k, v in in_all.items() if v >= 4]
-    seen, hit = np.array([in_all[k] for k in names], float), np.array([in_ones[k] for k in names], float)
+        return Model(float(np.log(share / (1 - share))), {}, [0.0] * extra)
+    place = np.full(sample.n_docs, -1, np.int32)
+    place[rows] = np.arange(len(rows))
+    row = place[sample.doc]
+    feature, row = sample.feature[row >= 0], row[row >= 0]
+    n, ones, m = len(y), float(y.sum()), len(sample.names)
+    seen = np.bincount(feature, minlength=m).astype(float)
+    hit = np.bincount(feature[y[row] > 0], minlength=m)
     expected = seen * ones / n
-    strength = np.abs(hit - expected) / np.sqrt(expected * (1 - ones / n) * (1 - seen / n) + 0.5) if names else np.zeros(0)
-    best = [names[i] for i in np.lexsort((names, -strength))[:most_features] if strength[i] > 3]
-    column = {k: j for j, k in enumerate(best)}
-    m = 1 + before.shape[1] + len(best)
-    x = np.zeros((n, m), np.float32)
+    strength = np.abs(hit - expected) / np.sqrt(expected * (1 - ones / n) * (1 - seen / n) + 0.5)
+    best = np.lexsort((sample.names, -strength))[:most_features]
+    best = best[strength[best] > 3]
+    column = np.full(m, -1)
+    column[best] = np.arange(len(best))
+    x = np.zeros((n, 1 + extra + len(best)), np.float32)
     x[:, 0] = 1
-    x[:, 1 : 1 + before.shape[1]] = before
-    for i, f in enumerate(found):
-        for k in column.keys() & f:
-            x[i, 1 + before.shape[1] + column[k]] = 1
-    w, ridge = np.zeros(m), np.full(m, penalty * n / 100 + 0.5)
+    x[:, 1 : 1 + extra] = before
+    used = column[feature] >= 0
+    x[row[used], 1 + extra + column[feature[used]]] = 1
+    w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], penalty * n / 100 + 0.5)
     ridge[0] = 1e-3
     for _ in range(rounds):
         p = _sigmoid(x @ w)
@@ -117,25 +139,25 @@ def fit(found: list[set[int]], before: np.ndarray, y: np.ndarray, most_features:
         w = w + step
         if np.abs(step).max() < 1e-4:
             break
-    return Model(float(w[0]), {k: float(w[1 + before.shape[1] + j]) for k, j in column.items()}, [float(v) for v in w[1 : 1 + before.shape[1]]])
+    return Model(float(w[0]), {int(k): float(v) for k, v in zip(sample.names[best], w[1 + extra :])}, [float(v) for v in w[1 : 1 + extra]])
 
 
-def fit_chain(found: list[set[int]], fold: np.ndarray, labels: np.ndarray, most_features: int = MOST_FEATURES) -> list[Model]:
-    """``labels``: (documents, categories), NaN for none.  One model a category, in order."""
-    chain, before = [], np.zeros((len(found), 0))
+def fit_chain(found: list, fold: np.ndarray, labels: np.ndarray, most_features: int = MOST_FEATURES) -> list[Model]:
+    """``found``: each document's distinct features.  ``labels``: (documents, categories), NaN for none.  One model a category, in order."""
+    sample, chain, before = Sample.of(found), [], np.zeros((len(found), 0))
     for k in range(labels.shape[1]):
         has = ~np.isnan(labels[:, k])
 
         def on(rows):
             at = np.flatnonzero(rows)
-            return fit([found[i] for i in at], before[at], labels[at, k], most_features)
+            return fit(sample, at, before[at], labels[at, k], most_features)
 
         out_of_fold = np.zeros(len(found))
         for f in range(FOLDS):
             if (fold == f).any():
                 model = on(has & (fold != f))
                 for i in np.flatnonzero(fold == f):
-                    out_of_fold[i] = np.clip(model.log_odds(found[i], before[i]), -10, 10)
+                    out_of_fold[i] = np.clip(model.log_odds(set(found[i].tolist()), before[i]), -10, 10)
         chain.append(on(has))
         before = np.column_stack([before, out_of_fold])
     return chain
@@ -151,8 +173,8 @@ def probabilities(chain: list[Model], found: set[int]) -> list[float]:
 def _training_rows(batches):
     features = Features()
     for batch in batches:
-        found = [np.fromiter(features(x), np.int64) for x in as_text(batch.column(1))]
-        yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int64())), *batch.columns[2:]], names=["doc_id", "found", *batch.schema.names[2:]])
+        found = [np.fromiter(features(x), np.int32) for x in as_text(batch.column(1))]
+        yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int32())), *batch.columns[2:]], names=["doc_id", "found", *batch.schema.names[2:]])
 
 
 def train_chain(docs: DataFrame, labels: DataFrame, categories: list, id_col: str = "doc_id", text_col: str = "text", most_labelled: int = MOST_LABELLED) -> list[Model]:
@@ -162,9 +184,9 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: list, id_col: st
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     # the sample is bounded by most_labelled rows
     joined = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", *[f"y{i}" for i in range(len(categories))])
-    schema = "doc_id long, found array<long>" + "".join(f", y{i} double" for i in range(len(categories)))
+    schema = "doc_id long, found array<int>" + "".join(f", y{i} double" for i in range(len(categories)))
     rows = joined.select(F.col("doc_id").cast("long").alias("doc_id"), *joined.columns[1:]).mapInArrow(_training_rows, schema).toArrow().sort_by([("doc_id", "ascending"), *[(f"y{i}", "ascending") for i in range(len(categories))]])
-    found = [set(x) for x in rows.column("found").to_pylist()]
+    found = [x.values.to_numpy() for x in rows.column("found")]
     fold = np.array([xxhash.xxh32_intdigest(str(i)) % FOLDS for i in rows.column("doc_id").to_pylist()], np.int64)
     y = np.column_stack([rows.column(f"y{i}").to_numpy().astype(float) for i in range(len(categories))]) if len(found) else np.zeros((0, len(categories)))
     return fit_chain(found, fold, y)

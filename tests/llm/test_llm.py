@@ -534,14 +534,14 @@ def test_toxicity_on_documents_it_has_not_seen(spark):
 
 def test_a_later_category_uses_an_earlier_one():
     rng = np.random.default_rng(6)
-    found = [set(rng.choice(300, 12, replace=False).tolist()) for _ in range(3000)]
-    first = np.array([float(bool(x & {1, 2, 3, 4})) for x in found])
+    found = [rng.choice(300, 12, replace=False).astype(np.int32) for _ in range(3000)]
+    first = np.array([float(bool({*x.tolist()} & {1, 2, 3, 4})) for x in found])
     second = np.where(rng.random(3000) < 0.9, first, 1 - first)
     labels = np.column_stack([first, second])
     labels[::10, 1] = np.nan
     chain = toxicity.fit_chain(found, np.arange(3000) % toxicity.FOLDS, labels)
     assert len(chain[1].earlier) == 1 and chain[1].earlier[0] > 0.05
-    right = np.mean([(toxicity.probabilities(chain, x)[0] >= 0.5) == bool(y) for x, y in zip(found, first)])
+    right = np.mean([(toxicity.probabilities(chain, {*x.tolist()})[0] >= 0.5) == bool(y) for x, y in zip(found, first)])
     assert right > 0.98
 
 
