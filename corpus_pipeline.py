@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepline.llm import decontaminate, mix, near_dup, shard, toxicity
+from stepline.llm import decontaminate, mix, shard, similar, toxicity
 from stepline.llm.common import cut, fresh_path, table
 from stepline.llm.queries import CATEGORIES, SHARDS, toxicity_chain
 
@@ -28,12 +28,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies, a row of the document with the smallest id stays."""
+    """Of each component of texts of shingle similarity 0.8 or more, a row of the document with the smallest id stays."""
     # docs are files, whose rows have the same numbers each time they are read
     numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    found = near_dup.near_duplicates(numbered.select("_row", "text"), id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    found = similar.near_copies(numbered.select("_row", "text"), id_col="_row").select(F.col("id").alias("_row"), "component")
     choice = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
-    first = found.join(numbered.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(choice)["_row"].alias("_row"))
+    first = found.join(numbered.select("_row", "doc_id"), "_row").groupBy("component").agg(F.min(choice)["_row"].alias("_row"))
     return numbered.join(cut(first.select("_row")), "_row", "left_semi").select(*docs.columns)
 
 
@@ -66,7 +66,7 @@ STAGES = [
     ("shard", sharded),
 ]
 
-#: Fingerprints, edit distances and a fitted chain are beyond SQL; tests hold run() against brute force.
+#: Shingle similarities, edit distances and a fitted chain are beyond SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 

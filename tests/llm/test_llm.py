@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stepline.llm import chat, decontaminate, golay, lm_scoring, mix, near_dup, quality, queries, secrets, shard, toxicity, warc
+from stepline.llm import chat, decontaminate, golay, lm_scoring, mix, near_dup, quality, queries, secrets, shard, similar, toxicity, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -601,3 +601,54 @@ def test_pipeline_odd_rows_and_clashing_columns(spark, odd, empty, sf):
 def test_run_keeps_the_training_order(spark, sf):
     found = corpus_pipeline.run(spark, sf).collect()
     assert found and {r.shard for r in found} <= set(range(24))
+
+
+def similar_groups(pairs):
+    """Groups of ids joined by a similarity of five-word shingles of 0.8 or more, by brute force."""
+    label = {i: i for i, _ in pairs}
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    sets = {}
+    for i, t in pairs:
+        words = WORD.findall((t or "").translate(LOWER))
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else {None}
+    for a, b in combinations(sets, 2):
+        if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])):
+            label[root(a)] = root(b)
+    groups = defaultdict(set)
+    for i in sets:
+        groups[root(i)].add(i)
+    return set(map(frozenset, groups.values()))
+
+
+@pytest.mark.parametrize("block", [1024, 4])
+def test_similar_texts_are_one_component(spark, block):
+    rng, words, texts = np.random.default_rng(5), [f"w{i}" for i in range(500)], [None, "", " \t", "one", "ONE", "two words"]
+    for _ in range(25):
+        own = list(rng.choice(words, rng.integers(20, 300)))
+        for _ in range(int(rng.integers(1, 9))):
+            copy = list(own)
+            for at in rng.integers(0, len(copy), rng.integers(0, 2 + len(copy) // 40)):
+                copy[at] = "changed" + str(rng.integers(0, 99))
+            texts.append(" ".join(copy))
+            own = copy if rng.random() < 0.2 else own
+    pairs = list(enumerate(texts))
+    found = defaultdict(set)
+    for r in similar.near_copies(spark.createDataFrame(pairs, "doc_id long, text string"), block=block).collect():
+        found[r.component].add(r.id)
+    assert set(map(frozenset, found.values())) == similar_groups(pairs)
+
+
+def test_pipeline_drops_a_copy_with_a_few_changed_words(spark, sf):
+    own = [f"w{i}" for i in range(200)]
+    copy, other = list(own), list(own)
+    for at in (20, 70, 120):
+        copy[at] = "changed"
+    for at in range(10, 200, 20):
+        other[at] = "changed"
+    df = spark.createDataFrame([(i, " ".join(x), "en", "a", 1) for i, x in enumerate((own, copy, other))], DOCS)
+    assert {r.doc_id for r in corpus_pipeline.one_of_near_copies(spark, df, sf).collect()} == {0, 2}
