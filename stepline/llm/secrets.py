@@ -7,12 +7,13 @@ together from dictionary words, dates, repeats, keyboard walks and spans to be t
 brute force; the product of the parts' guesses, times an ordering factor, is its cost.
 A value that costs more guesses than ``least_log10`` says is reported.
 
-Documents stay where they are; a document's spans come from its whole text.
+The dictionary is the fixed words below and the documents' own words: those of at least
+``LEAST_DOCS`` documents, ranked by how many hold them, at most ``MOST_WORDS``, broadcast.
+Besides those counts nothing is shuffled; a document's spans come from its whole text.
 
 Cases: a null text is empty; an empty or blank text has no spans; a repeated value is
-reported at each place; a value longer than ``LONGEST`` code points is costed in stretches
-of that length, whose costs multiply, so time grows with the length only; overlapping spans
-of different kinds are all kept; repeated rows give repeated rows; other columns are not
+reported at each place; a value is costed whole, in time that grows with its length, over at
+most ``MOST_PARTS`` parts (more cost at least 10^13 guesses); overlapping spans of different kinds are all kept; repeated rows give repeated rows; other columns are not
 read.
 """
 
@@ -37,7 +38,10 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 #: A credential context and its value: in quotes up to the same quote on the line, or else up to white space.
 CONTEXT = re.compile(r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|private[_-]?key|credential)s?["']?[\x20\t]*[:=][\x20\t]*(?:"([^"\n]{4,})"|'([^'\n]{4,})'|([^\s"',;<>]{4,}))""", re.I | re.A)
 LEAST_LOG10 = 10.0
-LONGEST = 100
+MOST_PARTS = 12
+LEAST_DOCS, MOST_WORDS = 5, 1 << 17
+#: A word of the documents: letters only, with no letter, digit or underscore beside them.
+PROSE = r"(?<![\p{L}\p{N}_])\p{L}{3,24}(?![\p{L}\p{N}_])"
 
 #: Common words of passwords and of prose, the more frequent first.  A word's guesses are its rank.
 WORDS = """password love admin welcome monkey dragon master login secret hello summer winter spring autumn
@@ -46,7 +50,7 @@ token key pass word the and of to in is that it for on was with as be by this an
 house river stone green blue red black white horse battery staple correct apple orange banana cat dog
 bird fish tree star moon sun day night time year money work home car blood fire water earth wind""".split()
 RANK = {w: i + 1 for i, w in reversed(list(enumerate(WORDS)))}
-LONGEST_WORD = max(map(len, RANK))
+LONGEST_WORD = 24
 #: Keys that lie side by side, as rows of a keyboard.
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 #: Characters that stand in for letters.
@@ -72,7 +76,15 @@ def _brute(c: str) -> float:
     return math.log10(33) if c.isascii() else 2.5
 
 
-def parts(value: str) -> list[tuple[int, int, str, float]]:
+def word_ranks(texts: DataFrame) -> dict[str, int]:
+    """Ranks of the fixed words and of the words of ``texts`` (column text)."""
+    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(PROSE), F.lit(0)))).alias("word"))
+    counted = words.groupBy("word").count().filter(F.col("count") >= LEAST_DOCS).orderBy(F.desc("count"), "word").limit(MOST_WORDS)
+    found = {r["word"]: i + 1 for i, r in enumerate(counted.select("word").collect())}
+    return found | {w: min(r, found.get(w, r)) for w, r in RANK.items()}
+
+
+def parts(value: str, ranks: dict[str, int] = RANK) -> list[tuple[int, int, str, float]]:
     """Candidate parts (start, end, kind, log10 of guesses) of a value; brute force is left out."""
     low, found, n = value.lower(), [], len(value)
     for text, more in ((low, 0.0), (low.translate(LEET), math.log10(4))):
@@ -80,7 +92,7 @@ def parts(value: str) -> list[tuple[int, int, str, float]]:
             continue
         for i in range(n):
             for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
-                if (rank := RANK.get(text[i:j])) is not None:
+                if (rank := ranks.get(text[i:j])) is not None:
                     upper = sum(x.isupper() for x in value[i:j])
                     case = 0.0 if not upper else math.log10(2) if upper in (1, j - i) else math.log10(sum(math.comb(j - i, k) for k in range(1, upper + 1)))
                     found.append((i, j, "word", math.log10(rank + 1) + case + more))
@@ -89,26 +101,26 @@ def parts(value: str) -> list[tuple[int, int, str, float]]:
             size = m.end() - i
             # a year of 100, a month, a day, and four kinds of separator
             found.append((i, m.end(), "date", 2.0 + (math.log10(12) if size >= 6 else 0) + (math.log10(31) if size >= 8 else 0) + (math.log10(4) if re.search(r"[-/._]", m[0]) else 0)))
-    for i in range(n - 3):  # keyboard walks, as far as they go from each start
-        j, turns, step = i + 1, 0, None
-        while j < n and low[j] in NEAR.get(low[j - 1], ()):
-            way = ord(low[j]) - ord(low[j - 1])
-            turns += step is not None and way != step
-            step = way
-            j += 1
-        if j - i >= 4:
-            found.append((i, j, "walk", math.log10(47 * (j - i)) + turns * math.log10(6)))
-    for i in range(n):  # repeats of a unit of up to eight characters; a unit costs brute force
-        for size in range(1, min(8, (n - i) // 2) + 1):
-            unit, k = value[i : i + size], 1
-            while value.startswith(unit, i + k * size):
-                k += 1
-            if k >= 2 and k * size >= 3:
-                found.append((i, i + k * size, "repeat", sum(map(_brute, unit)) + math.log10(k)))
+    # keyboard walks, as far as they go from each start
+    end, turns = list(range(1, n + 1)), [0] * n
+    for i in range(n - 2, -1, -1):
+        if low[i + 1] in NEAR.get(low[i], ()):
+            end[i] = end[i + 1]
+            turns[i] = turns[i + 1] + (end[i] > i + 2 and ord(low[i + 1]) - ord(low[i]) != ord(low[i + 2]) - ord(low[i + 1]))
+    for i in range(n - 3):
+        if (size := end[i] - i) >= 4:
+            found.append((i, end[i], "walk", math.log10(47 * size) + turns[i] * math.log10(6)))
+    # repeats of a unit of up to eight characters; a unit costs brute force
+    for size in range(1, min(8, n // 2) + 1):
+        same = 0  # characters from i on that are those ``size`` further
+        for i in range(n - size - 1, -1, -1):
+            same = same + 1 if value[i] == value[i + size] else 0
+            if (k := 1 + same // size) >= 2 and k * size >= 3:
+                found.append((i, i + k * size, "repeat", sum(map(_brute, value[i : i + size])) + math.log10(k)))
     return found
 
 
-def segment(value: str) -> tuple[float, list[tuple[int, int, str]]]:
+def segment(value: str, ranks: dict[str, int] = RANK) -> tuple[float, list[tuple[int, int, str]]]:
     """log10 of the least guesses, and the parts that take them.
 
     Among segmentations into m parts the guesses are the parts' product times m!, the
@@ -116,28 +128,24 @@ def segment(value: str) -> tuple[float, list[tuple[int, int, str]]]:
     """
     n = len(value)
     ending: list[list] = [[] for _ in range(n + 1)]
-    for i, j, kind, cost in parts(value):
+    for i, j, kind, cost in parts(value, ranks):
         ending[j].append((i, kind, cost))
-    brute = [0.0]
-    for c in value:
-        brute.append(brute[-1] + _brute(c))
-    # best[j][m]: (cost, start of the last part, its kind) of the first j characters in m parts
+    # best[j][m]: (cost, start of the last part, its kind) of the first j characters in m parts;
+    # tail[m]: (cost, start) of those whose last part is brute force, which the next character may lengthen
     best: list[dict[int, tuple[float, int, str]]] = [{0: (0.0, 0, "")}]
-    most = 12
+    tail: dict[int, tuple[float, int]] = {}
     for j in range(1, n + 1):
-        now: dict[int, tuple[float, int, str]] = {}
-
-        def offer(i, kind, cost):
-            for m, (c, _, last) in best[i].items():
-                if kind == "brute" and last == "brute":
-                    continue
-                if m < most and ((x := c + cost) < now.get(m + 1, (math.inf,))[0]):
-                    now[m + 1] = (x, i, kind)
-
+        one = _brute(value[j - 1])
+        longer = {m: (c + one, i) for m, (c, i) in tail.items()}
+        for m, (c, _, last) in best[j - 1].items():
+            if m < MOST_PARTS and last != "brute" and c + one < longer.get(m + 1, (math.inf,))[0]:
+                longer[m + 1] = (c + one, j - 1)
+        tail = longer
+        now: dict[int, tuple[float, int, str]] = {m: (c, i, "brute") for m, (c, i) in tail.items()}
         for i, kind, cost in ending[j]:
-            offer(i, kind, cost)
-        for i in range(j):
-            offer(i, "brute", brute[j] - brute[i])
+            for m, (c, _, _) in best[i].items():
+                if m < MOST_PARTS and (x := c + cost) <= now.get(m + 1, (math.inf,))[0]:
+                    now[m + 1] = (x, i, kind)
         best.append(now)
     total, m = min((c + math.log10(math.factorial(m)), m) for m, (c, _, _) in best[n].items()) if n else (0.0, 0)
     out, j = [], n
@@ -148,10 +156,13 @@ def segment(value: str) -> tuple[float, list[tuple[int, int, str]]]:
     return total, out[::-1]
 
 
-@lru_cache(100_000)
-def log10_guesses(value: str) -> float:
-    """Cost of a value; stretches of a very long one multiply."""
-    return sum(segment(value[i : i + LONGEST])[0] for i in range(0, len(value), LONGEST))
+def log10_guesses(value: str, ranks: dict[str, int] = RANK) -> float:
+    """Cost of a value."""
+    return segment(value, ranks)[0]
+
+
+def _cost(ranks):
+    return lru_cache(100_000)(lambda value: log10_guesses(value, ranks))
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -161,12 +172,12 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out + [(*m.span(), "hex") for m in HEX.finditer(text)]
 
 
-def guess_spans(text: str, least_log10: float = LEAST_LOG10) -> list[tuple[int, int, str, float]]:
+def guess_spans(text: str, least_log10: float = LEAST_LOG10, cost_of=log10_guesses) -> list[tuple[int, int, str, float]]:
     """Spans of values in a credential context that cost at least 10 ** least_log10 guesses."""
     out = []
     for m in CONTEXT.finditer(text):
         k = m.lastindex
-        if (cost := log10_guesses(m[k])) >= least_log10:
+        if (cost := cost_of(m[k])) >= least_log10:
             out.append((*m.span(k), "guess", cost))
     return out
 
@@ -178,12 +189,13 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long, max_log10_guesses double"
 
 
-def _scan(batches, least_log10):
+def _scan(batches, least_log10, ranks):
+    cost_of = _cost(ranks.value)
     for batch in batches:
         rows = []
         for i, text in zip(batch.column(0).to_pylist(), as_text(batch.column(1))):
             base = base_spans(text)
-            own = guess_spans(text, least_log10)
+            own = guess_spans(text, least_log10, cost_of)
             n = [sum(k == kind for _, _, k in base) for kind in KINDS[:3]]
             rows.append((i, *n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + [x[:3] for x in own]), len(own), max((x[3] for x in own), default=None)))
         columns = list(zip(*rows)) or [()] * 8
@@ -194,15 +206,17 @@ def _scan(batches, least_log10):
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_log10: float = LEAST_LOG10) -> DataFrame:
     """One row a document: counts by kind, a digest of the patterns' spans, all spans, and the costliest value's guesses."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return texts.mapInArrow(lambda it: _scan(it, least_log10), SCHEMA)
+    ranks = docs.sparkSession.sparkContext.broadcast(word_ranks(texts))
+    return texts.mapInArrow(lambda it: _scan(it, least_log10, ranks), SCHEMA)
 
 
-def _redact(batches, column, mark, least_log10):
+def _redact(batches, column, mark, least_log10, ranks):
+    cost_of = _cost(ranks.value)
     for batch in batches:
         out = []
         for text in batch.column(column).to_pylist():
             if text:
-                spans = sorted((a, z) for a, z, *_ in base_spans(text) + guess_spans(text, least_log10))
+                spans = sorted((a, z) for a, z, *_ in base_spans(text) + guess_spans(text, least_log10, cost_of))
                 kept, at = [], 0
                 for a, z in spans:
                     if a >= at:
@@ -218,4 +232,5 @@ def _redact(batches, column, mark, least_log10):
 def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", least_log10: float = LEAST_LOG10) -> DataFrame:
     """The rows with each span, or run of overlapping spans, of their text replaced by ``mark``."""
     at = docs.columns.index(text_col)
-    return docs.mapInArrow(lambda it: _redact(it, at, mark, least_log10), docs.schema)
+    ranks = docs.sparkSession.sparkContext.broadcast(word_ranks(docs.select(F.col(text_col).alias("text"))))
+    return docs.mapInArrow(lambda it: _redact(it, at, mark, least_log10, ranks), docs.schema)
