@@ -182,7 +182,11 @@ def _links(batches, most_bits, at_once=1 << 21):
 
 def links(fps: DataFrame, most_bits: int = MOST_BITS, block: int = BLOCK) -> DataFrame:
     """(a, b) of distinct fingerprints ``fps`` (column fp): enough links to join all that are within ``most_bits``."""
-    keyed = fps.mapInArrow(_key_rows, "key long, fp long, role byte")
+    return links_of_keys(fps.mapInArrow(_key_rows, "key long, fp long, role byte"), most_bits, block)
+
+
+def links_of_keys(keyed: DataFrame, most_bits: int, block: int = BLOCK) -> DataFrame:
+    """(a, b): enough links to join all fingerprints of ``keyed`` (key, fp, role) that share a key and are within ``most_bits``."""
     stats = (
         keyed.groupBy("key")
         .agg(F.count_if(F.col("role") != PROBE).alias("n_index"), F.count_if(F.col("role") != INDEX).alias("n_probe"), F.min("fp").alias("low"), F.max("fp").alias("high"))

@@ -1,19 +1,24 @@
-"""Near copies by the similarity of their word shingles.
+"""Near copies by the similarity of their word shingles: the SimHash operator, with verification.
 
 Two texts link where the Jaccard similarity of their sets of five-word shingles is 0.8 or
 more; what links reach is one component.
 
 * Texts with equal sets are one node.
-* A node has ``BANDS`` keys, each of ``ROWS`` minima of its shingles' hashes.  Two nodes of
-  similarity s share a key but for (1 - s^4)^32: of pairs at 0.8 one in twenty million shares none.
-* Pairs that share a key are candidates.  Whether they link is counted on the shingles
-  themselves, so no pair below 0.8 links, however many keys it shares.
-* First each node is held against the least node of each of its keys.  Then, where a key's
-  nodes are still of several components, all its pairs across components are.  A pair
-  within a component has nothing to add.
-
-How it runs.  Keys and ids are shuffled; texts only of nodes that share a key, once.  Where
-many nodes share a key, they are cut into blocks and each pair of blocks is joined by itself.
+* Candidates are (a) nodes whose fingerprints differ in at most 4 bits, by the Golay keys of
+  ``near_dup``, and (b) nodes that share one of ``BANDS`` keys, each of ``ROWS`` minima of their
+  shingles' hashes, and whose fingerprints differ in at most ``FAR`` bits.  (b) is there as
+  texts of similarity 0.8 differ in 10 bits of 64 on average, at which three segments have
+  no key in common.  Of pairs at 0.8 one in twenty million shares no band, and three in a
+  million differ in more than ``FAR`` bits.
+* What candidates reach is a group.  Links are counted on the shingles themselves, for all
+  pairs of a group that matter, so no pair below 0.8 links and none within a group is lost.
+
+How it runs.  Keys, ids and fingerprints are shuffled; sets only of nodes that are in a group.
+A group is cut into blocks.  First each block's nodes are held against each other and
+against the group's least node, which joins most groups into one component.  Then, for groups
+with several components left, blocks of those are held against each other, but for two
+blocks of the same component.  A task holds two blocks at most; of the links it finds,
+only a forest that joins the same nodes is handed on.
 
 Cases: ids must be unique and not null; null, empty and blank texts are copies of one another;
 fewer words than a shingle make one shingle; repeats of a shingle count once; case is ignored.
@@ -28,13 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepline.llm.common import as_bytes, cut
-from stepline.llm.near_dup import components
+from stepline.llm.near_dup import BOTH, MOST_BITS, components, forest, links, links_of_keys
 
 SEED = 42
 SHINGLE = 5
+SIMILARITY = 0.8
 BANDS, ROWS = 32, 4
-#: Nodes of one key in a block.
-BLOCK = 1024
+#: Differing bits up to which nodes of one band are candidates.
+FAR = 24
+#: Nodes of a group in a block.
+BLOCK = 256
 _RANDOM = np.random.default_rng(SEED)
 FLIP, ODD = (_RANDOM.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64) for _ in range(2))
 ODD |= np.uint64(1)
@@ -60,16 +68,24 @@ def keys(hashes: np.ndarray) -> list[int]:
     return found.view(np.int64).tolist()
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """SimHash of a set."""
+    ones = np.zeros(64, np.int64)
+    for a in range(0, len(hashes), 1 << 14):
+        ones += np.unpackbits(hashes[a : a + (1 << 14)].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big", signed=True)
+
+
 def _signatures(batches, shingle):
     for batch in batches:
-        node, n, found = [], [], []
+        node, fp, found = [], [], []
         for text in as_bytes(batch.column(1)):
             hashes = shingles(text, shingle)
             node.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
-            n.append(len(hashes))
+            fp.append(fingerprint(hashes))
             found.append(keys(hashes))
-        columns = [batch.column(0), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(found, pa.list_(pa.int64()))]
-        yield pa.record_batch(columns, names=["id", "node", "n", "keys"])
+        columns = [batch.column(0), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(fp, pa.int64()), pa.array(found, pa.list_(pa.int64()))]
+        yield pa.record_batch(columns, names=["id", "node", "fp", "keys"])
 
 
 def _sets(batches, shingle):
@@ -80,43 +96,118 @@ def _sets(batches, shingle):
             yield pa.record_batch([batch.column(0).slice(a, 256), pa.array(found, pa.list_(pa.int64()))], names=["node", "hashes"])
 
 
-def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose similarity is 0.8 or more."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
-    return both.filter(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
-
-
-def _pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
-    """Distinct (a, b), a < b, without those whose sizes alone keep them below 0.8."""
-    near = 5 * F.least(f"{x}.n", f"{y}.n") >= 4 * F.greatest(f"{x}.n", f"{y}.n")
-    return rows.filter(near).select(F.least(f"{x}.node", f"{y}.node").alias("a"), F.greatest(f"{x}.node", f"{y}.node").alias("b")).distinct()
-
-
-def across(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Pairs of ``rows`` (key, node, n, root) that share a key and differ in their root."""
-    live = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("of")).filter("low < high")
-    placed = rows.join(live.select("key", F.ceil(F.col("of") / block).cast("int").alias("blocks")), "key")
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    upto = F.sequence(F.lit(0), F.col("blocks") - 1)
-    it = F.struct("node", "n", "root")
-    x = placed.select("key", mine.alias("i"), F.explode(upto).alias("j"), it.alias("x"))
-    y = placed.select("key", F.explode(upto).alias("i"), mine.alias("j"), it.alias("y"))
-    return _pairs(x.join(y, ["key", "i", "j"]).filter("x.root < y.root"), "x", "y")
-
-
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
+def shared(sets: list[np.ndarray], at_once: int = 4096) -> np.ndarray:
+    """By pairs of sets, how many hashes they share."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner, code = owner[count[code] > 1], code[count[code] > 1]
+    _, code = np.unique(code, return_inverse=True)
+    by_code = np.argsort(code, kind="stable")
+    owner, code = owner[by_code], code[by_code]
+    total = np.zeros((len(sets), len(sets)), np.float32)
+    for a in range(0, int(code.max(initial=-1)) + 1, at_once):
+        i, j = np.searchsorted(code, [a, a + at_once])
+        has = np.zeros((len(sets), at_once), np.float32)
+        has[owner[i:j], code[i:j] - a] = 1
+        total += has @ has.T
+    return total
+
+
+def linked(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j), i < j, of the pairs of sets that are similar enough."""
+    size = np.array([len(x) for x in sets])
+    if len(sets) == 2:
+        both = len(np.intersect1d(*sets, assume_unique=True))
+        return tuple(np.array([[0], [1]] if both * (1 + similarity) >= similarity * size.sum() - 1e-6 else [[], []], np.int64))
+    enough = shared(sets) * (1 + similarity) >= similarity * (size[:, None] + size) - 1e-6
+    return np.nonzero(np.triu(enough, 1))
+
+
+def _verified(batches, similarity):
+    """Rows (cell, node, hashes) sorted by cell: the links among each cell's rows."""
+
+    def links_of(cell, node, sets):
+        edge = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)]
+        a, b = [], []
+        for i, j in zip(edge, edge[1:]):
+            if j - i > 1:
+                x, y = linked(sets[i:j], similarity)
+                a.append(node[i:j][x])
+                b.append(node[i:j][y])
+        a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b))
+        a, b = a[a != b], b[a != b]
+        if len(a):
+            yield pa.record_batch([pa.array(x) for x in forest(a, b)], names=["a", "b"])
+
+    cell, node, sets = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+    for batch in batches:
+        cell = np.concatenate([cell, np.asarray(batch.column(0))])
+        node = np.concatenate([node, np.asarray(batch.column(1))])
+        column = batch.column(2)
+        ends, values = column.offsets.to_numpy(), column.values.to_numpy()
+        sets += [values[i:j] for i, j in zip(ends, ends[1:])]
+        # the last cell may go on in the next batch
+        other = np.flatnonzero(cell != cell[-1]) if len(cell) else []
+        upto = int(other[-1]) + 1 if len(other) else 0
+        yield from links_of(cell[:upto], node[:upto], sets[:upto])
+        cell, node, sets = cell[upto:], node[upto:], sets[upto:]
+    yield from links_of(cell, node, sets)
+
+
+def verified(cells: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): a forest of the links within each cell of ``cells`` (cell, node)."""
+    rows = cells.join(sets, "node").select("cell", "node", "hashes")
+    return cut(rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda it: _verified(it, similarity), "a long, b long").distinct())
+
+
+def first_cells(members: DataFrame, block: int) -> DataFrame:
+    """Blocks of each group (node, grp, of, least), each with the group's least node."""
+    blocks = F.ceil(F.col("of") / block).cast("int")
+    own = F.array(F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    all_blocks = F.when(F.col("node") == F.col("least"), F.sequence(F.lit(0), blocks - 1)).otherwise(own)
+    return members.select("node", F.explode(all_blocks).alias("block"), "grp").select(F.xxhash64("grp", "block").alias("cell"), "node")
+
+
+def cross_cells(members: DataFrame, block: int) -> DataFrame:
+    """Pairs of blocks of the groups (node, grp, root): large components have blocks of their own, which are not paired with each other; small ones share blocks."""
+    size = members.groupBy("grp", "root").agg(F.count("*").alias("n"))
+    few = F.sum(F.when(F.col("n") < block, F.col("n"))).alias("few")
+    sized = size.join(size.groupBy("grp").agg(few), "grp")
+    large = F.col("n") >= block
+    dealt = members.join(sized, ["grp", "root"])
+    own, common = (F.ceil(F.col(c) / block).cast("int") for c in ("n", "few"))
+    dealt = dealt.select(
+        "grp",
+        "node",
+        F.when(large, F.col("root")).alias("only"),
+        F.when(large, F.xxhash64("root", F.pmod(F.xxhash64("node"), own))).otherwise(F.pmod(F.xxhash64("root"), common).cast("long")).alias("block"),
+    )
+    blocks = dealt.select("grp", "block", "only").distinct()
+    x, y = blocks.select("grp", F.col("block").alias("i"), F.col("only").alias("p")), blocks.select("grp", F.col("block").alias("j"), F.col("only").alias("q"))
+    pairs = x.join(y, "grp").filter("i <= j and not coalesce(p = q, false)").select("grp", "i", "j", F.xxhash64("grp", "i", "j").alias("cell"))
+    ends = pairs.select("grp", "cell", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    return dealt.join(ends, ["grp", "block"]).select("cell", "node")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """One row a document: id, component."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = cut(texts.mapInArrow(lambda it: _signatures(it, shingle), "id long, node long, n long, keys array<long>"))
-    nodes = found.groupBy("node").agg(F.min("id").alias("id")).join(found.select("id", "n", "keys"), "id")
-    keyed = cut(nodes.select("node", "id", "n", F.explode("keys").alias("key")))
-    least = keyed.groupBy("key").agg(F.count("*").alias("of"), F.min(F.struct("node", "n")).alias("least")).filter("of > 1").select("key", "least")
-    shared = cut(keyed.join(least, "key"))
-    some = shared.select("node", "id").distinct()
-    sets = cut(texts.join(some, "id").select("node", "text").mapInArrow(lambda it: _sets(it, shingle), "node long, hashes array<long>"))
-    first = cut(similar(_pairs(shared.select(F.struct("node", "n").alias("x"), F.col("least").alias("y")).filter("x.node != y.node"), "x", "y"), sets))
-    roots = components(first).withColumnRenamed("node", "_node")
-    labelled = cut(shared.join(roots, shared["node"] == roots["_node"], "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")))
-    rest = cut(similar(across(labelled, block), sets))
-    roots = components(first.unionByName(rest)).withColumnRenamed("node", "_node")
-    return found.join(roots, found["node"] == roots["_node"], "left").select("id", F.coalesce("root", "node").alias("component"))
+    found = cut(texts.mapInArrow(lambda it: _signatures(it, shingle), "id long, node long, fp long, keys array<long>"))
+    nodes = cut(found.groupBy("node").agg(F.min("id").alias("id")).join(found.select("id", "fp", "keys"), "id"))
+    banded = nodes.select(F.explode("keys").alias("key"), "fp", F.lit(BOTH).cast("byte").alias("role"))
+    near = links(nodes.select("fp").distinct(), MOST_BITS).unionByName(links_of_keys(banded, FAR))
+    groups = components(near).select(F.col("node").alias("fp"), F.col("root").alias("_root"))
+    grouped = nodes.join(groups, "fp", "left").select("node", "id", F.coalesce("_root", "fp").alias("grp"))
+    sizes = grouped.groupBy("grp").agg(F.count("*").alias("of"), F.min("node").alias("least")).filter("of > 1")
+    members = cut(grouped.join(sizes, "grp"))
+    sets = cut(texts.join(members.select("id", "node"), "id").select("node", "text").mapInArrow(lambda it: _sets(it, shingle), "node long, hashes array<long>"))
+    found_links = verified(first_cells(members, block), sets, similarity)
+    roots = components(found_links).withColumnRenamed("node", "_node")
+    # groups of one block have been gone through already
+    labelled = members.filter(F.col("of") > block).join(roots, F.col("node") == F.col("_node"), "left").select("grp", "node", F.coalesce("root", "node").alias("root"))
+    apart = labelled.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("grp")
+    rest = cut(labelled.join(apart, "grp"))
+    if rest.limit(1).count():
+        found_links = found_links.unionByName(verified(cross_cells(rest, block), sets, similarity))
+        roots = components(found_links).withColumnRenamed("node", "_node")
+    return found.select("id", "node").join(roots, F.col("node") == F.col("_node"), "left").select("id", F.coalesce("root", "node").alias("component"))
