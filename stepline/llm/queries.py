@@ -22,14 +22,15 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix.mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    placed = mix.by_position(mix.mix(table(spark, sf_dir, "documents")))
+    return placed.select("doc_id", "size", "source_size", "target", "taken", "first_position", F.get("positions", F.lit(1)).alias("second_position"))
 
 
 def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    sized = docs.select("doc_id", shard.text_bytes(F.col("text")).alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
-    placed = shard.assign_shards(sized, "size", ["doc_id"], SHARDS)
+    # only ids, sizes and checksums are sorted
+    sized = docs.select("doc_id", shard.text_bytes(F.col("text")).alias("n"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
+    placed = shard.assign_shards(sized, F.col("n"), ["doc_id"], SHARDS)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
@@ -67,12 +68,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("toxic", F.col("p_toxic") >= 0.5)
 
 
-_SIZED = r"""sized AS (
+_WEIGHED_TIME = """CASE weight
+    WHEN 5 THEN CASE WHEN {0} < 0.625 THEN least({0} * 2 / (sqrt(1.5 * 1.5 + {0} * 2 * -1.0) + 1.5), 0.5) ELSE least(0.5 + greatest({0} - 0.625, 0) * 2 / (sqrt(1.0 + greatest({0} - 0.625, 0) * 2 * -1.0) + 1.0), 1.0) END
+    WHEN 2 THEN {0}
+    ELSE CASE WHEN {0} < 0.375 THEN least({0} * 2 / (sqrt(0.5 * 0.5 + {0} * 2 * 1.0) + 0.5), 0.5) ELSE least(0.5 + greatest({0} - 0.375, 0) * 2 / (sqrt(1.0 + greatest({0} - 0.375, 0) * 2 * 1.0) + 1.0), 1.0) END
+  END"""
+#: Schedules are integrated by hand here: a line from 1.5 by 1 to 0.5 (and back) has area 0.625 (0.375) up to its middle.
+MIX_SQL = rf"""WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS ord
-  FROM documents)"""
-
-MIX_SQL = rf"""WITH {_SIZED},
+    ('0x' || substr(md5(concat_ws(':', doc_id::VARCHAR, md5(coalesce(text, '')))), 1, 8))::BIGINT AS ord
+  FROM documents),
 sources AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (
@@ -87,12 +92,17 @@ aims AS (
     least(source_size * 2.0::DOUBLE, coalesce((SELECT arg_min(level, ratio) FROM levels WHERE level * weight <= source_size * 2.0::DOUBLE) * weight, source_size * 2.0::DOUBLE)) AS target
   FROM levels),
 placed AS (
-  SELECT s.*, a.source_size, a.target,
+  SELECT s.*, a.source_size, a.target, a.weight,
     sum(size) OVER (PARTITION BY s.source ORDER BY ord % 1024, ord, doc_id, size ROWS UNBOUNDED PRECEDING) - size + size / 2.0::DOUBLE AS middle
-  FROM sized s JOIN aims a ON s.source IS NOT DISTINCT FROM a.source)
-SELECT doc_id, size, source_size, target,
-  CASE WHEN size > 0 AND target > middle THEN ceil((target - middle) / source_size)::BIGINT ELSE 0 END * size AS taken
-FROM placed"""
+  FROM sized s JOIN aims a ON s.source IS NOT DISTINCT FROM a.source),
+demands AS (
+  SELECT *, middle / target AS x, (middle + source_size) / target AS y FROM placed),
+due AS (
+  SELECT *, CASE WHEN size > 0 AND target > 0 AND x <= 1 THEN {_WEIGHED_TIME.format("x::DOUBLE")} END AS first_position,
+    CASE WHEN size > 0 AND target > 0 AND y <= 1 THEN {_WEIGHED_TIME.format("y::DOUBLE")} END AS second_position
+  FROM demands)
+SELECT doc_id, size, source_size, target, ((first_position IS NOT NULL)::BIGINT + (second_position IS NOT NULL)::BIGINT) * size AS taken, first_position, second_position
+FROM due"""
 
 _ESCAPED = r"""length({0}) + (length({0}) - length(replace({0}, '\', ''))) + coalesce(list_sum([length(x) for x in regexp_extract_all({0}, '#{{3,}}')]), 0) + len(regexp_extract_all({0}, '</?turn>'))"""
 CHAT_SQL = rf"""WITH t AS (
