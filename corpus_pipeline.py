@@ -8,8 +8,9 @@ duplicates and the mix join their decisions back to the documents by id.
 Cases, besides those of the operators: rows that share an id queue up one after the other in
 the mix; the near-duplicate stage tells rows apart by their place, so it
 keeps one row of each component whether ids are null, repeated or unique; columns that
-``docs`` has besides ``doc_id``, ``text`` and ``source`` come through, whatever their names
-(internal names begin with ``_``).
+``docs`` has besides ``doc_id``, ``text`` and ``source`` come through, whatever their names (but
+``_row``); the last stage adds size, shard and slot, and columns of the documents
+that have one of these names come out of it as in_size, in_shard and in_slot.
 """
 
 from __future__ import annotations
@@ -51,11 +52,8 @@ def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contiguous shards of near equal bytes, in the order of the rows in their files (of ids, if they come from no files)."""
     order = ["doc_id"]
     if docs.inputFiles():
-        docs = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
-        order = ["_file", "_at"]
-    sized = docs.withColumn("size", shard.text_bytes(F.col("text")))
-    placed = shard.assign_shards(sized, "size", order, SHARDS)
-    return placed.drop("_file", "_at")
+        order = [F.col("_metadata.file_path"), F.col("_metadata.row_index")]
+    return shard.assign_shards(docs, shard.text_bytes(F.col("text")), order, SHARDS)
 
 
 STAGES = [
