@@ -12,8 +12,7 @@ The dictionary is the fixed words below and the documents' own words: those of a
 Besides those counts nothing is shuffled; a document's spans come from its whole text.
 
 Cases: a null text is empty; an empty or blank text has no spans; a repeated value is
-reported at each place; a value is costed whole, in time that grows with its length, over at
-most ``MOST_PARTS`` parts (more cost at least 10^13 guesses); overlapping spans of different kinds are all kept; repeated rows give repeated rows; other columns are not
+reported at each place; a value is costed whole, however long and of however many parts; overlapping spans of different kinds are all kept; repeated rows give repeated rows; other columns are not
 read.
 """
 
@@ -24,6 +23,7 @@ import math
 import re
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +38,8 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 #: A credential context and its value: in quotes up to the same quote on the line, or else up to white space.
 CONTEXT = re.compile(r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|private[_-]?key|credential)s?["']?[\x20\t]*[:=][\x20\t]*(?:"([^"\n]{4,})"|'([^'\n]{4,})'|([^\s"',;<>]{4,}))""", re.I | re.A)
 LEAST_LOG10 = 10.0
-MOST_PARTS = 12
+#: Characters of a value whose cost a task remembers, and how many such values.
+REMEMBERED, MOST_REMEMBERED = 100, 100_000
 LEAST_DOCS, MOST_WORDS = 5, 1 << 17
 #: A word of the documents: letters only, with no letter, digit or underscore beside them.
 PROSE = r"(?<![\p{L}\p{N}_])\p{L}{3,24}(?![\p{L}\p{N}_])"
@@ -110,44 +111,110 @@ def parts(value: str, ranks: dict[str, int] = RANK) -> list[tuple[int, int, str,
     for i in range(n - 3):
         if (size := end[i] - i) >= 4:
             found.append((i, end[i], "walk", math.log10(47 * size) + turns[i] * math.log10(6)))
-    # repeats of a unit of up to eight characters; a unit costs brute force
-    for size in range(1, min(8, n // 2) + 1):
-        same = 0  # characters from i on that are those ``size`` further
-        for i in range(n - size - 1, -1, -1):
-            same = same + 1 if value[i] == value[i + size] else 0
-            if (k := 1 + same // size) >= 2 and k * size >= 3:
-                found.append((i, i + k * size, "repeat", sum(map(_brute, value[i : i + size])) + math.log10(k)))
-    return found
+    return found + [(i, j, "repeat", cost) for i, j, cost in repeats(value)]
+
+
+def repeats(value: str) -> list[tuple[int, int, float]]:
+    """(start, end, log10 of guesses) of what repeats a unit at least twice, from each start on as far as it goes.
+
+    The unit, which is itself no repeat, costs brute force.  A unit of s characters shows as s or
+    more characters in a row that equal those s further.  For long units not all places are
+    looked at: such a stretch covers two neighbours of places s // 2 apart, with the eight
+    characters after them.
+    """
+    n, out = len(value), []
+    codes = np.array([ord(c) for c in value], np.int64)
+    brute = np.concatenate([[0.0], np.cumsum([_brute(c) for c in value])])
+    if n >= 64:
+        eight = np.lib.stride_tricks.sliding_window_view(codes, 8) @ (np.int64(1_000_003) ** np.arange(8, dtype=np.int64))
+    #: by unit size, the stretches (start, end) that repeat such a unit
+    known: dict[int, list[tuple[int, int]]] = {}
+    for size in range(1, n // 2 + 1):
+        if size >= 16 and n >= 64:
+            at = np.arange(0, len(eight) - size, size // 2)
+            if not (eight[at] == eight[at + size]).any():
+                continue
+        same = codes[:-size] == codes[size:]
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], same.view(np.int8), [0]])))
+        for a, z in zip(edge[::2].tolist(), edge[1::2].tolist()):
+            if z - a < size or n < 3:
+                continue
+            # positions a to z + size repeat the unit; a shorter unit that divides it does as well, for less
+            if any(size % s == 0 and any(i <= a and z + size <= j for i, j in spans) for s, spans in known.items()):
+                continue
+            known.setdefault(size, []).append((a, z + size))
+            for i in range(a, z - size + 1):
+                k = (z + size - i) // size
+                if k * size >= 3:
+                    out.append((i, i + k * size, float(brute[i + size] - brute[i]) + math.log10(k)))
+    return out
+
+
+def _bound(n: int, ending: list[list], brute: list[float], more: float) -> float:
+    """The cost of a segmentation that is the cheapest if each part costs ``more`` instead of the orders of all."""
+    best, tail = [(0.0, 0)], (math.inf, 0)
+    for j in range(1, n + 1):
+        c, m = min(tail, (best[j - 1][0] + more, best[j - 1][1] + 1))
+        tail = (c + brute[j - 1], m)
+        best.append(min([tail, *((best[i][0] + cost + more, best[i][1] + 1) for i, _, cost in ending[j])]))
+    c, m = best[n]
+    return c - more * m + math.lgamma(m + 1) / math.log(10)
 
 
 def segment(value: str, ranks: dict[str, int] = RANK) -> tuple[float, list[tuple[int, int, str]]]:
     """log10 of the least guesses, and the parts that take them.
 
     Among segmentations into m parts the guesses are the parts' product times m!, the
-    orders in which parts may be put together.
+    orders in which parts may be put together.  So of the ways to make a beginning of the value, one is of no use if
+    another costs no more in no more parts, nor is one that with the cheapest rest
+    would cost more than a segmentation that is known.
     """
     n = len(value)
+    if not n:
+        return 0.0, []
     ending: list[list] = [[] for _ in range(n + 1)]
+    starting: list[list] = [[] for _ in range(n + 1)]
     for i, j, kind, cost in parts(value, ranks):
         ending[j].append((i, kind, cost))
-    # best[j][m]: (cost, start of the last part, its kind) of the first j characters in m parts;
-    # tail[m]: (cost, start) of those whose last part is brute force, which the next character may lengthen
+        starting[i].append((j, cost))
+    brute = [_brute(c) for c in value]
+    # the cheapest way on from each place, orders left aside
+    rest = [0.0] * (n + 1)
+    for i in range(n - 1, -1, -1):
+        rest[i] = min([rest[i + 1] + brute[i], *(rest[j] + cost for j, cost in starting[i])])
+    known = sum(brute)
+    for more in (0.5, 1.0, 2.0):
+        known = min(known, _bound(n, ending, brute, more))
+    orders = [0.0]
+    # best[j]: {m: (cost, start of the last part, its kind)} of the first j characters in m parts;
+    # tail: {m: (cost, start)} of those whose last part is brute force, which the next character may lengthen
     best: list[dict[int, tuple[float, int, str]]] = [{0: (0.0, 0, "")}]
     tail: dict[int, tuple[float, int]] = {}
     for j in range(1, n + 1):
-        one = _brute(value[j - 1])
+        one = brute[j - 1]
         longer = {m: (c + one, i) for m, (c, i) in tail.items()}
         for m, (c, _, last) in best[j - 1].items():
-            if m < MOST_PARTS and last != "brute" and c + one < longer.get(m + 1, (math.inf,))[0]:
+            if last != "brute" and c + one < longer.get(m + 1, (math.inf,))[0]:
                 longer[m + 1] = (c + one, j - 1)
-        tail = longer
-        now: dict[int, tuple[float, int, str]] = {m: (c, i, "brute") for m, (c, i) in tail.items()}
+        now: dict[int, tuple[float, int, str]] = {m: (c, i, "brute") for m, (c, i) in longer.items()}
         for i, kind, cost in ending[j]:
             for m, (c, _, _) in best[i].items():
-                if m < MOST_PARTS and (x := c + cost) <= now.get(m + 1, (math.inf,))[0]:
+                if (x := c + cost) <= now.get(m + 1, (math.inf,))[0]:
                     now[m + 1] = (x, i, kind)
-        best.append(now)
-    total, m = min((c + math.log10(math.factorial(m)), m) for m, (c, _, _) in best[n].items()) if n else (0.0, 0)
+        while len(orders) <= max(now, default=0):
+            orders.append(orders[-1] + math.log10(len(orders)))
+        kept, cheapest = {}, math.inf
+        for m in sorted(now):
+            c = now[m][0]
+            if c < cheapest and c + rest[j] + orders[m] <= known + 1e-9:
+                kept[m], cheapest = now[m], c
+        best.append(kept)
+        tail, cheapest = {}, math.inf
+        for m in sorted(longer):
+            c = longer[m][0]
+            if c < cheapest and c + rest[j] + orders[m] <= known + 1e-9:
+                tail[m], cheapest = longer[m], c
+    total, m = min((c + orders[m], m) for m, (c, _, _) in best[n].items())
     out, j = [], n
     while j:
         _, i, kind = best[j][m]
@@ -162,7 +229,8 @@ def log10_guesses(value: str, ranks: dict[str, int] = RANK) -> float:
 
 
 def _cost(ranks):
-    return lru_cache(100_000)(lambda value: log10_guesses(value, ranks))
+    remembered = lru_cache(MOST_REMEMBERED)(lambda value: log10_guesses(value, ranks))
+    return lambda value: remembered(value) if len(value) <= REMEMBERED else log10_guesses(value, ranks)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:

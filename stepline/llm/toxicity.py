@@ -9,10 +9,11 @@ earlier ones more than they deserve.  The final models are fitted on all folds.
 How it runs.  Labelled documents for training are a bounded sample (``most_labelled``, those
 whose ids hash lowest), so the driver can fit them; features are counted in tasks.  Scoring
 goes through all whole documents in place, without a shuffle; the model is as large as
-``most_features`` entries for each category.
+``most_features`` entries for each category: features of at least four documents, those with the
+strongest association first.  That is a limit of the model, not of the texts: each text is read whole.
 
 Cases: a null or empty text has no features and gets the models' intercepts; a label that is
-null is no label for that category; documents with several labels count once each; with no
+null is no label for that category; a document with several labels counts once for each; of rows that share an id, the least text is the one that is learnt from; with no
 labelled documents, or only one class, a category's probability is its share among the
 labelled ones (0 if there are none); repeated rows get equal scores; no rows give no rows;
 other columns come through ``drop_toxic`` as they are.
@@ -182,8 +183,9 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: list, id_col: st
     chosen = labels.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), *[c.cast("double").alias(f"y{i}") for i, c in enumerate(categories)])
     chosen = chosen.orderBy(F.xxhash64("doc_id"), *chosen.columns).limit(most_labelled)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    # the sample is bounded by most_labelled rows
-    joined = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", *[f"y{i}" for i in range(len(categories))])
+    # the sample is bounded by most_labelled rows; of an id that many rows share, one text is taken
+    own = texts.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    joined = own.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", *[f"y{i}" for i in range(len(categories))])
     schema = "doc_id long, found array<int>" + "".join(f", y{i} double" for i in range(len(categories)))
     rows = joined.select(F.col("doc_id").cast("long").alias("doc_id"), *joined.columns[1:]).mapInArrow(_training_rows, schema).toArrow().sort_by([("doc_id", "ascending"), *[(f"y{i}", "ascending") for i in range(len(categories))]])
     found = [x.values.to_numpy() for x in rows.column("found")]

@@ -358,9 +358,62 @@ def brute_guesses(value):
     return best
 
 
+def plain_guesses(value):
+    """Over all numbers of parts, without leaving any beginning out."""
+    found = defaultdict(lambda: math.inf)
+    for i, j, _, cost in secrets.parts(value):
+        found[i, j] = min(found[i, j], cost)
+    ending, n = defaultdict(list), len(value)
+    for (i, j), cost in found.items():
+        ending[j].append((i, cost))
+    brute = np.concatenate([[0], np.cumsum([secrets._brute(c) for c in value])])
+    # best[j, m, b]: cost of the first j characters in m parts, the last of which is brute force if b
+    best = np.full((n + 1, n + 2, 2), math.inf)
+    best[0, 0, 0] = 0
+    for j in range(1, n + 1):
+        for i, cost in ending[j]:
+            best[j, 1:, 0] = np.minimum(best[j, 1:, 0], best[i, :-1].min(1) + cost)
+        for i in range(j):
+            best[j, 1:, 1] = np.minimum(best[j, 1:, 1], best[i, :-1, 0] + brute[j] - brute[i])
+    return min(c + math.lgamma(m + 1) / math.log(10) for m, c in enumerate(best[n].min(1)))
+
+
+def brute_repeats(value):
+    """Every start and unit, the longest each, without those whose unit repeats a shorter one over all of the stretch."""
+    n, out = len(value), {}
+    for size in range(1, n // 2 + 1):
+        for i in range(n - 2 * size + 1):
+            k = 1
+            while value[i + k * size : i + (k + 1) * size] == value[i : i + size]:
+                k += 1
+            if k > 1 and k * size >= 3:
+                out.setdefault((i, i + k * size), size)
+    return out
+
+
+def test_repeats_of_any_unit_are_found():
+    rng = np.random.default_rng(9)
+    for _ in range(60):
+        value = "".join(rng.choice(list("abcd"), rng.integers(0, 40)))
+        for _ in range(int(rng.integers(0, 3))):
+            value += "".join(rng.choice(list("abcdefgh"), rng.integers(1, 60))) * int(rng.integers(1, 5))
+        found = {(i, j) for i, j, _ in secrets.repeats(value)}
+        want = brute_repeats(value)
+        # any that is left out repeats the unit of one that covers it
+        assert found <= set(want)
+        for i, j in set(want) - found:
+            assert any(a <= i and z >= j or (a <= i and want[i, j] % want[a, z] == 0) for a, z in found)
+
+
 def test_guess_cost_is_the_least_over_all_segmentations():
     for value in ("password", "dragon99", "qwerty12", "aaaaaa", "19991231", "P4ssw0rd!", "xk$9Qz", "abcabc1", "é&1aB"):
         assert abs(secrets.segment(value)[0] - brute_guesses(value)) < 1e-9
+    rng = np.random.default_rng(8)
+    long_ones = ["redblueblackwhitehorsecatdogbirdfishtreestarmoonsunday", "ab" * 60, "q7xk9vzt2" * 4, "dragon" * 3 + "xk9" * 5 + "qwerty" + "19991231" * 2]
+    long_ones += ["".join(rng.choice(list("abcdefghi12"), 70)) for _ in range(3)] + ["".join(rng.choice(["cat", "dog", "the", "xq", "7", "sun"], 40)) for _ in range(5)]
+    for value in long_ones:
+        assert abs(secrets.segment(value)[0] - plain_guesses(value)) < 1e-9
+    assert secrets.log10_guesses(long_ones[0]) < 39.4 and secrets.log10_guesses("ab" * 60) < 4.7
     cheap, dear = secrets.log10_guesses("password1"), secrets.log10_guesses("xK9$vQ2#mZ7!")
     assert cheap < 6 < 15 < dear
     assert [k for *_, k in secrets.segment("dragon2001qwerty")[1]] == ["word", "date", "walk"]
@@ -584,6 +637,8 @@ def test_quality_agrees_with_labels(spark):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     r = quality.judge(big).join(labels, "doc_id").filter("not base_failed and quality = 1").agg(F.avg(F.col("kept").cast("int"))).first()[0]
     assert r > 0.97
+    bad = quality.judge(big).join(labels, "doc_id").filter("not base_failed and quality = 0").agg(F.avg(F.col("kept").cast("int")), F.count("*")).first()
+    assert bad[1] > 5 and bad[0] < 0.2
 
 
 # -- 10 -----------------------------------------------------------------------------------
@@ -613,6 +668,57 @@ def test_a_later_category_uses_an_earlier_one():
     assert right > 0.98
 
 
+def plain_features(text):
+    out = set()
+    for w in re.findall(r"[^\W\d_]+", text.lower()):
+        for name in (w, w[:4] + "*" if len(w) > 4 else w, w[:5] + "*" if len(w) > 5 else w):
+            out.add(xxhash.xxh32(name).intdigest() - (1 << 31))
+    return out
+
+
+def test_a_chain_by_brute_force(spark):
+    """Scores of all documents, and that each model is where its penalised likelihood has no slope, in plain loops."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    chain = queries.toxicity_chain(spark, sf)
+    want = {}
+    for i, text in texts(docs):
+        found, before = plain_features(text), []
+        for model in chain:
+            z = model.intercept + sum(w for k, w in model.weights.items() if k in found) + sum(w * x for w, x in zip(model.earlier, before))
+            before.append(max(-10, min(10, z)))
+        want[i] = [1 / (1 + math.exp(-z)) for z in before]
+    for r in queries.op10_toxicity(spark, sf).collect():
+        assert np.allclose([r.p_low_quality, r.p_toxic], want[r.doc_id]) and r.toxic == (want[r.doc_id][1] >= 0.5)
+    # the chain once more: a fold's log-odds come from models that have not seen it
+    text_of, label_of = dict(texts(docs)), {r.doc_id: (float(r.quality == 0), float(r.toxic)) for r in labels.collect()}
+    ids = sorted(i for i in label_of if i in text_of)
+    found = [np.array(sorted(plain_features(text_of[i])), np.int32) for i in ids]
+    fold = np.array([xxhash.xxh32(str(i)).intdigest() % toxicity.FOLDS for i in ids])
+    y = np.array([label_of[i] for i in ids])
+    out_of_fold = np.zeros(len(ids))
+    for f in range(toxicity.FOLDS):
+        rest = np.flatnonzero(fold != f)
+        model = toxicity.fit_chain([found[k] for k in rest], fold[rest], y[rest, :1])[0]
+        for k in np.flatnonzero(fold == f):
+            out_of_fold[k] = max(-10, min(10, model.intercept + sum(w for x, w in model.weights.items() if x in found[k])))
+    for n, (model, before) in enumerate(zip(chain, ([[]] * len(ids), [[x] for x in out_of_fold]))):
+        names = list(model.weights)
+        slope = np.zeros(1 + len(model.earlier) + len(names))
+        for k in range(len(ids)):
+            x = np.array([1.0, *before[k], *(float(name in found[k]) for name in names)])
+            w = np.array([model.intercept, *model.earlier, *model.weights.values()])
+            slope += x * (y[k, n] - 1 / (1 + math.exp(-np.clip(x @ w, -30, 30))))
+        ridge = 0.02 * len(ids) / 100 + 0.5
+        assert np.allclose(slope, [1e-3 * model.intercept, *(ridge * v for v in (*model.earlier, *model.weights.values()))], atol=0.02)
+
+
+def test_a_repeated_id_is_one_training_row(spark):
+    docs = spark.createDataFrame([(1, "bad words here"), (2, "all fine today")] * 500, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, a int")
+    assert len(toxicity.train_chain(docs, labels, [F.col("a")])) == 1
+
+
 def test_toxicity_odd_rows_and_no_rows(spark, odd, empty):
     labels = spark.createDataFrame([(0, 1, 0), (1, None, 1), (None, 1, 1), (0, 0, 0)], "doc_id long, a int, b int")
     chain = toxicity.train_chain(odd, labels, [F.col("a"), F.col("b")])
