@@ -12,7 +12,8 @@ of their own (added to the tokenizer as it is loaded; nothing is trained), so no
 across the edge of a turn's text.
 
 A conversation is one row of the result, so its turns are gathered; that is the operator's
-unit.  Turns are grouped by a shuffle on the conversation, no text goes anywhere else.
+unit, as a mask needs the whole text before it.  Turns are grouped by a shuffle on the conversation, no text goes anywhere else, and
+each goes to Python once.
 
 Cases: a null text or role is empty; turns with the same number are in the order of role,
 then text; repeated rows are repeated turns; an empty assistant text has no tokens; a null
@@ -106,51 +107,52 @@ def masked_text(formatted: str, starts: np.ndarray, ends: np.ndarray, mask: np.n
     return out if z is None else [*out, formatted[a:z]]
 
 
-SCHEMA = ("conv_id long, n_turns long, formatted string, token_ids array<int>, loss_mask array<boolean>, starts array<int>, ends array<int>")
+SCHEMA = "conv_id long, n_turns long, formatted string, token_ids array<int>, loss_mask array<boolean>, starts array<int>, ends array<int>"
 ARROW = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("formatted", pa.string()), ("token_ids", pa.list_(pa.int32())), ("loss_mask", pa.list_(pa.bool_())), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
+DIGESTS = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_tokens", pa.int64()), ("n_loss_tokens", pa.int64())])
+DIGEST_SCHEMA = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, n_loss_tokens long"
 
 
-def _format(batches, vocabulary, at_once=64):
+def as_row(conv_id, n_turns, formatted, ids, mask, starts, ends):
+    return conv_id, n_turns, formatted, ids, mask, starts, ends
+
+
+def digest(conv_id, n_turns, formatted, ids, mask, starts, ends):
+    """What can be read back from a formatted text, its tokens' offsets and its mask."""
+    turns = read_back(formatted)
+    loss = "".join(map(unescape, masked_text(formatted, starts, ends, mask)))
+    whole = "".join(f"{role}\n{text}\n" for role, text in turns)
+    return conv_id, len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(formatted), len(mask), int(mask.sum())
+
+
+def _format(batches, vocabulary, row_of, schema, at_once=64):
+    """Turns of a conversation are joined as they come: (conv_id, roles, texts)."""
     made = tokenizer(vocabulary)
     for batch in batches:
-        ids, turns = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        ids, roles, texts = (c.to_pylist() for c in batch.columns)
         for k in range(0, len(ids), at_once):
-            rendered = [render([(t["role"], t["text"]) for t in x]) for x in turns[k : k + at_once]]
+            turns = [list(zip(r, t)) for r, t in zip(roles[k : k + at_once], texts[k : k + at_once])]
+            rendered = [render(x) for x in turns]
             encoded = made.encode_batch([text for text, _ in rendered], add_special_tokens=False)
             rows = []
-            for i, x, (text, spans), e in zip(ids[k : k + at_once], turns[k : k + at_once], rendered, encoded):
+            for i, x, (text, spans), e in zip(ids[k : k + at_once], turns, rendered, encoded):
                 offsets = np.array(e.offsets, np.int32).reshape(-1, 2)
                 starts, ends = offsets[:, 0], offsets[:, 1]
-                rows.append((i, len(x), text, e.ids, loss_mask(starts, ends, spans), starts, ends))
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), ARROW)], schema=ARROW)
+                rows.append(row_of(i, len(x), text, e.ids, loss_mask(starts, ends, spans), starts, ends))
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
-def format_chats(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """One row a conversation: its formatted text, token ids, loss mask and the tokens' offsets."""
+def _conversations(rows, conv_id, turn, role, text):
     named = rows.select(F.col(conv_id).cast("long").alias("conv_id"), F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")).alias("t"))
     turns = named.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    turns = turns.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
-    return turns.mapInArrow(lambda it: _format(it, vocabulary), SCHEMA)
+    return turns.select("conv_id", "turns.role", "turns.text")
 
 
-def _digest(batches):
-    for batch in batches:
-        rows = []
-        for i, formatted, mask, starts, ends in zip(*(batch.column(k).to_pylist() for k in range(5))):
-            turns = read_back(formatted)
-            found = masked_text(formatted, np.array(starts, np.int64), np.array(ends, np.int64), np.array(mask, bool))
-            loss = "".join(map(unescape, found))
-            whole = "".join(f"{role}\n{text}\n" for role, text in turns)
-            rows.append((i, len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(formatted), len(mask), sum(mask)))
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-        columns = list(zip(*rows)) or [()] * 8
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names=DIGESTS)
-
-
-DIGESTS = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens", "n_loss_tokens"]
+def format_chats(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+    """One row a conversation: its formatted text, token ids, loss mask and the tokens' offsets."""
+    return _conversations(rows, conv_id, turn, role, text).mapInArrow(lambda it: _format(it, vocabulary, as_row, ARROW), SCHEMA)
 
 
-def digests(formatted: DataFrame) -> DataFrame:
-    """What can be read back from the formatted texts, tokens' offsets and masks."""
-    kinds = ("long", "long", "string", "long", "string", "long", "long", "long")
-    return formatted.select("conv_id", "formatted", "loss_mask", "starts", "ends").mapInArrow(_digest, ", ".join(f"{c} {k}" for c, k in zip(DIGESTS, kinds)))
+def format_digests(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+    """One row a conversation: what :func:`digest` reads back from what :func:`format_chats` gives, in the same pass."""
+    return _conversations(rows, conv_id, turn, role, text).mapInArrow(lambda it: _format(it, vocabulary, digest, DIGESTS), DIGEST_SCHEMA)

@@ -46,7 +46,7 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
-    return chat.digests(chat.format_chats(rows.unionByName(extra))).drop("n_tokens", "n_loss_tokens")
+    return chat.format_digests(rows.unionByName(extra)).drop("n_tokens", "n_loss_tokens")
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

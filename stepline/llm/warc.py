@@ -6,14 +6,18 @@ line declares, and a line break.  The version block names the format of header l
 address, date, type, result code, checksum, location, offset, file name, length).  Fields are
 cut from the right, as old crawlers left blanks in URLs.
 
-From each ARC record a WARC record is made up: a record id derived from its content, the
-14-digit date in ISO form, the type from the content (``response`` for HTTP, ``resource``
+From each ARC record a WARC record is made up: a record id derived from its place (file and byte)
+and content, the 14-digit date in ISO form, the type from the content (``response`` for HTTP, ``resource``
 for others, ``warcinfo`` for the version block), and SHA-1 digests of block and payload.
 Of records with equal payloads of at least ``least_bytes`` one is kept whole, the others
 become ``revisit`` records that carry the HTTP header only and refer to it.
 
+Blocks stay bytes from end to end, whatever their encoding.  What is no record (a stray line, an
+end within a record, a length that is no number) is a reject with its file, place and reason; what
+comes after it is still read.
+
 How it runs.  Spark writes both kinds of archive as gzipped text files, whose line separator
-is the record separator, so they go wherever Spark can write; ``maxRecordsPerFile`` bounds
+is the record separator and whose lines are any bytes, so they go wherever Spark can write; ``maxRecordsPerFile`` bounds
 them, as a file is read back whole.  Payloads never leave their task: digests are counted
 first, and those that occur twice are joined to the records, as a broadcast where they are
 few enough (``MOST_SHARED``), else by a shuffle.
@@ -21,7 +25,7 @@ few enough (``MOST_SHARED``), else by a shuffle.
 Cases: a null payload is empty; a null URL becomes ``urn:page:`` and the id; empty and short
 payloads are never revisits; equal payloads with tied ids: any of them is the one kept, the
 others revisit it; a null id never is the one kept unless all are null; repeated rows give a
-record each; no rows give archives without records and no rows; other columns are not read.
+record each, with an id of its own, and those of enough bytes but for one revisit that one; no rows give archives without records and no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -95,28 +99,36 @@ def write_arc(pages: DataFrame, path: str, page_id: str = "page_id", url: str =
 
 
 def parse_arc(data: bytes) -> Iterator[dict]:
-    """The records of an ARC file."""
+    """The records of an ARC file, each with its place ``at``; a reject has a reason ``error`` and no content."""
     data, at, version = unzipped(data), 0, 1
     while at < len(data):
-        if data[at : at + 1] == b"\n":
+        if data[at : at + 1] in b"\r\n":
             at += 1
             continue
-        end = data.index(b"\n", at)
-        line = data[at:end].decode("utf-8", "replace").rstrip("\r")
-        if line.startswith("filedesc://"):
-            fields = line.split(" ")
-            body = data[end + 1 : end + 1 + int(fields[-1])]
-            version = int(body.split(b" ", 1)[0])
+        end = data.find(b"\n", at)
+        end = len(data) if end < 0 else end
+        line = data[at:end].decode("utf-8", "surrogateescape").rstrip("\r")
+        fields = line.rsplit(" ", len(ARC_FIELDS[version].split()) - 1)
+        is_block = line.startswith("filedesc://")
+        size = (line.split(" ") if is_block else fields)[-1]
+        if not re.fullmatch(r"[0-9]{1,18}", size) or not is_block and len(fields) != len(ARC_FIELDS[version].split()):
+            # the next header line is looked for on the next line
+            yield {"at": at, "error": f"not a header line of version {version}"}
+            at = end + 1
+            continue
+        body = data[end + 1 : end + 1 + int(size)]
+        if len(body) < int(size):
+            yield {"at": at, "error": "the file ends within the record"}
+            return
+        if is_block:
+            declared = body.split(b" ", 1)[0]
+            if declared in (b"1", b"2"):
+                version = int(declared)
+            else:
+                yield {"at": at, "error": "a version block of no known version"}
         else:
-            n = len(ARC_FIELDS[version].split())
-            fields = line.rsplit(" ", n - 1)
-            if len(fields) != n or not fields[-1].isdigit():
-                raise ValueError(f"not a header line of version {version}: {line[:200]!r}")
-            body = data[end + 1 : end + 1 + int(fields[-1])]
-            if len(body) < int(fields[-1]):
-                raise ValueError(f"the file ends within the record of {fields[0][:200]!r}")
-            yield dict(zip(ARC_FIELDS[version].split(), fields)) | {"content": body}
-        at = end + 1 + int(fields[-1])
+            yield dict(zip(ARC_FIELDS[version].split(), fields)) | {"at": at, "error": None, "content": body}
+        at = end + 1 + int(size)
 
 
 def unzipped(data: bytes) -> bytes:
@@ -139,22 +151,25 @@ def _uuid(digest: bytes) -> str:
     return f"urn:uuid:{h[:8]}-{h[8:12]}-5{h[13:16]}-{'89ab'[int(h[16], 16) & 3]}{h[17:20]}-{h[20:32]}"
 
 
-def warc_fields(record: dict) -> dict:
+def warc_fields(record: dict, file: str = "") -> dict:
     """What a WARC record needs, from an ARC record."""
     block = record["content"]
     is_http = block.startswith(b"HTTP/")
     head, payload = split_http(block) if is_http else ({}, block)
     page = head.get("x-page-id", "")
-    d = record["Archive-date"].ljust(14, "0")
+    d = re.sub(r"[^0-9]", "0", record["Archive-date"])[:14].ljust(14, "0")
+    place = f"{file}:{record['at']}:{record['Archive-date']}:"
+    url = record["URL"].encode("utf-8", "surrogateescape")
     return {
-        "page_id": int(page) if re.fullmatch(r"-?\d+", page) else None,
-        "url": record["URL"],
+        "page_id": int(page) if re.fullmatch(r"-?[0-9]{1,18}", page) else None,
+        # bytes of a URL that are no UTF-8 are written as percent codes
+        "url": re.sub(rb"[\x80-\xff]", lambda m: b"%%%02X" % m[0][0], url).decode() if "\udc80" <= max(record["URL"], default="") <= "\udcff" else record["URL"],
         "date": f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z",
-        "record_id": _uuid(hashlib.sha1("\n".join([record["URL"], record["Archive-date"], page]).encode() + b"\n" + block).digest()),
+        "record_id": _uuid(hashlib.sha1(place.encode("utf-8", "replace") + url + b"\n" + block).digest()),
         "type": "response" if is_http else "resource",
-        "ip": record["IP-address"],
-        "head": block[: len(block) - len(payload)].decode("utf-8", "replace"),
-        "payload": payload.decode("utf-8", "replace"),
+        "ip": record["IP-address"].encode("ascii", "replace").decode(),
+        "head": block[: len(block) - len(payload)],
+        "payload": payload,
         "payload_bytes": len(payload),
         "payload_digest": _sha1(payload),
         "block_digest": _sha1(block),
@@ -162,7 +177,8 @@ def warc_fields(record: dict) -> dict:
     }
 
 
-FIELDS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("date", pa.string()), ("record_id", pa.string()), ("type", pa.string()), ("ip", pa.string()), ("head", pa.string()), ("payload", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("block_digest", pa.string()), ("head_digest", pa.string())])
+FIELDS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("date", pa.string()), ("record_id", pa.string()), ("type", pa.string()), ("ip", pa.string()), ("head", pa.binary()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("block_digest", pa.string()), ("head_digest", pa.string())])
+REJECTS = pa.schema([("file", pa.string()), ("at", pa.int64()), ("reason", pa.string())])
 
 
 def _batches(rows: Iterator[dict], schema: pa.Schema, at_once: int = 200):
@@ -179,15 +195,33 @@ def _batches(rows: Iterator[dict], schema: pa.Schema, at_once: int = 200):
 def _read_arc(batches):
     def rows():
         for batch in batches:
-            for data in batch.column(0).to_pylist():
-                yield from map(warc_fields, parse_arc(data))
+            for file, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                yield from (warc_fields(x, file) for x in parse_arc(data) if not x["error"])
 
     yield from _batches(rows(), FIELDS)
 
 
+def _read_rejects(batches):
+    def rows():
+        for batch in batches:
+            for file, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                yield from ({"file": file, "at": x["at"], "reason": x["error"]} for x in parse_arc(data) if x["error"])
+
+    yield from _batches(rows(), REJECTS)
+
+
+def _archives(spark, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+
+
 def read_arc(spark, path: str) -> DataFrame:
-    """The records of the ARC files that :func:`write_arc` wrote, with the fields of WARC records."""
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_read_arc, "page_id long, url string, date string, record_id string, type string, ip string, head string, payload string, payload_bytes long, payload_digest string, block_digest string, head_digest string")
+    """The records of the ARC files below ``path``, with the fields of WARC records."""
+    return _archives(spark, path).mapInArrow(_read_arc, "page_id long, url string, date string, record_id string, type string, ip string, head binary, payload binary, payload_bytes long, payload_digest string, block_digest string, head_digest string")
+
+
+def arc_rejects(spark, path: str) -> DataFrame:
+    """(file, at, reason) of what is no record in the ARC files below ``path``."""
+    return _archives(spark, path).mapInArrow(_read_rejects, "file string, at long, reason string")
 
 
 def mark_revisits(records: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
@@ -220,12 +254,13 @@ def warc_records(marked: DataFrame) -> DataFrame:
         field("WARC-IP-Address", F.col("ip")),
         field("WARC-Payload-Digest", F.col("payload_digest")),
         field("WARC-Block-Digest", F.when(revisit, F.col("head_digest")).otherwise(F.col("block_digest"))),
-        F.when(revisit, F.concat(field("WARC-Profile", F.lit(PROFILE)), field("WARC-Refers-To", bare(F.col("original_id"))), field("WARC-Refers-To-Target-URI", F.col("original_url")), field("WARC-Refers-To-Date", F.col("original_date")), field("X-Refers-To-Page", F.coalesce(F.col("original_page").cast("string"), F.lit(""))))).otherwise(F.lit("")),
+        F.when(revisit, F.concat(field("WARC-Profile", F.lit(PROFILE)), field("WARC-Refers-To", bare(F.col("original_id"))), field("WARC-Refers-To-Target-URI", F.col("original_url")), field("WARC-Refers-To-Date", F.col("original_date")), field("X-Payload-Length", F.col("payload_bytes").cast("string")), field("X-Refers-To-Page", F.coalesce(F.col("original_page").cast("string"), F.lit(""))))).otherwise(F.lit("")),
         field("Content-Type", F.when(http, F.lit("application/http;msgtype=response")).otherwise(F.lit("application/octet-stream"))),
         field("Content-Length", F.octet_length(block).cast("string")),
         F.lit(CRLF),
     )
-    return marked.select(F.concat(head, block).alias("record"))
+    # a string of any bytes: the text sink writes them as they are
+    return marked.select(F.concat(head.cast("binary"), block).cast("string").alias("record"))
 
 
 def write_warc(records: DataFrame, path: str, records_per_file: int = RECORDS) -> None:
@@ -250,7 +285,7 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict, bytes]]:
         at = end + 8 + size
 
 
-READ = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("record_id", pa.string()), ("payload", pa.string())])
+READ = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("record_id", pa.string()), ("payload", pa.binary())])
 
 
 def _read_warc(batches, payloads):
@@ -264,14 +299,14 @@ def _read_warc(batches, payloads):
                     head, payload = split_http(block) if block.startswith(b"HTTP/") else ({}, block)
                     page, to = head.get("x-page-id", ""), fields.get("x-refers-to-page", "")
                     yield {
-                        "page_id": int(page) if page else None,
-                        "payload_bytes": int(head.get("content-length", len(payload))),
+                        "page_id": int(page) if re.fullmatch(r"-?[0-9]{1,18}", page) else None,
+                        "payload_bytes": int(fields["x-payload-length"]) if kind == "revisit" else len(payload),
                         "payload_digest": base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex(),
                         "record_type": kind,
                         "refers_to": int(to) if to else None,
                         "url": fields["warc-target-uri"],
                         "record_id": fields["warc-record-id"].strip("<>"),
-                        "payload": payload.decode("utf-8") if payloads and kind != "revisit" else None,
+                        "payload": payload if payloads and kind != "revisit" else None,
                     }
 
     yield from _batches(rows(), READ)
@@ -279,15 +314,15 @@ def _read_warc(batches, payloads):
 
 def read_warc(spark, path: str, payloads: bool = False) -> DataFrame:
     """One row a record of the WARC files below ``path``; blocks are held against their digests."""
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(lambda it: _read_warc(it, payloads), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, record_id string, payload string")
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(lambda it: _read_warc(it, payloads), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, record_id string, payload binary")
 
 
 def convert(pages: DataFrame, least_bytes: int = LEAST_BYTES, records_per_file: int = RECORDS, payloads: bool = False) -> DataFrame:
-    """Pages to ARC files, those to WARC files, and those read back."""
+    """Pages to ARC files, those to WARC files, and those read back (``payloads``: with the payloads, as bytes)."""
     spark = pages.sparkSession
     arc, warc = fresh_path(spark, "arc"), fresh_path(spark, "warc")
     write_arc(pages, arc, records_per_file=records_per_file)
     if not pages.take(1):
-        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, record_id string, payload string")
+        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, record_id string, payload binary")
     write_warc(warc_records(mark_revisits(read_arc(spark, arc), least_bytes)), warc, records_per_file)
     return read_warc(spark, warc, payloads)
