@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import keyword
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LIMIT = 74
-#: Names that may not stand alone.
-RESERVED = ("topic", "action", "agent", "system", "config", "start", "end", "true", "false", "null", "and", "or", "not", "if", "else")
+#: Names that are taken, beside the keywords of Python, and what is put after a name that is one of them.
+RESERVED = ("escalation", "off_topic", "ambiguous_question", "system", "config", "variables", "language", "start_agent", "subagent", "utils", *[k.lower() for k in keyword.kwlist])
 
 
 def tokenize(label: Column) -> Column:
@@ -22,22 +24,30 @@ def tokenize(label: Column) -> Column:
 
 def truncate_tokens(tokens: Column, limit: int = LIMIT, separator: int = 1) -> Column:
     """The first tokens that fit ``limit`` with a separator's length between them; a first one that is too long is cut."""
-    whole = F.transform(tokens, lambda w, i: F.aggregate(F.slice(tokens, 1, i + 1), F.lit(0), lambda n, x: n + F.length(x)) + i * separator)
-    kept = F.filter(tokens, lambda w, i: F.get(whole, i) <= limit)
+    start = F.struct(F.lit(-separator).alias("n"), F.array().cast("array<string>").alias("kept"))
+    # once a token does not fit, the length stays beyond the limit, so none after it does
+    longer = lambda acc, w: acc["n"] + separator + F.length(w)
+    step = lambda acc, w: F.struct(longer(acc, w).alias("n"), F.when(longer(acc, w) <= limit, F.concat(acc["kept"], F.array(w))).otherwise(acc["kept"]).alias("kept"))
+    kept = F.aggregate(tokens, start, step, lambda acc: acc["kept"])
     return F.when(F.size(tokens) == 0, tokens).when(F.size(kept) == 0, F.array(F.substring(F.get(tokens, F.lit(0)), 1, limit))).otherwise(kept)
 
 
-def snake_case(label: Column, limit: int = LIMIT) -> Column:
-    return escape_reserved(F.lower(F.array_join(truncate_tokens(tokenize(label), limit), "_")))
+def is_reserved(label: Column) -> Column:
+    return F.lower(F.array_join(tokenize(label), "_")).isin(*RESERVED)
+
 
+def escape_reserved(tokens: Column) -> Column:
+    """A token more for a name that is taken; before truncation, which then keeps it."""
+    return F.when(F.lower(F.array_join(tokens, "_")).isin(*RESERVED), F.concat(tokens, F.array(F.lit("topic")))).otherwise(tokens)
 
-def escape_reserved(name: Column) -> Column:
-    return F.when(F.lower(name).isin(*RESERVED), F.concat(name, F.lit("_topic"))).otherwise(name)
+
+def snake_case(label: Column, limit: int = LIMIT) -> Column:
+    return F.lower(F.array_join(truncate_tokens(escape_reserved(tokenize(label)), limit), "_"))
 
 
 def topic_api_name(label: Column, limit: int = LIMIT) -> Column:
-    words = F.transform(truncate_tokens(tokenize(label), limit), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, LIMIT)))
-    return escape_reserved(F.array_join(words, "_"))
+    words = F.transform(truncate_tokens(escape_reserved(tokenize(label)), limit), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, LIMIT)))
+    return F.array_join(words, "_")
 
 
 def camel_name(label: Column) -> Column:

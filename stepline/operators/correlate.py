@@ -15,10 +15,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stepline.operators.records import ui_error_code
+
 KEYS = ["capture_id"]
 WINDOW_MS = 5_000
-#: Statuses that make an event an error.
-ERRORS = ("error", "failed", "failure", "exception")
+#: Layers whose errors explain a failure, and codes that are the interface's own.
+EXPLAINING = ("validation", "flow", "apex", "network", "integration")
+INTERFACE_CODES = ("ELEMENT_NOT_FOUND", "TIMEOUT")
 
 
 def correlate(actions: DataFrame, effects: DataFrame, window_ms: int = WINDOW_MS, keys=KEYS, back_tolerance_ms: int = 0, effect_id: str = "event_no") -> DataFrame:
@@ -91,20 +94,21 @@ def retry_chain(attempts: DataFrame, keys=KEYS, base_ms: int = 500) -> DataFrame
 
 
 def is_error(status: Column) -> Column:
-    return F.lower(F.coalesce(status, F.lit(""))).isin(*ERRORS)
+    return F.lower(F.coalesce(status, F.lit(""))) == "error"
 
 
 def failure_layer(status: Column, error_code: Column, matches: Column) -> Column:
-    """Why a step failed, if its last attempt did: the interface's own code first, else the first
-    error among the correlated events (``matches``: structs with layer and status, in order)."""
-    errors = F.filter(matches, lambda m: is_error(m["status"]))
+    """Why a step failed, if its last attempt did: the interface's own codes first, else the first error
+    of a layer that explains one, among the correlated events (``matches``: structs with layer and status, in order)."""
+    errors = F.filter(matches, lambda m: is_error(m["status"]) & m["layer"].isin(*EXPLAINING))
     layer = F.get(F.transform(errors, lambda m: m["layer"]), F.lit(0))
-    failed = status.isin("failed", "retried")
-    return F.when(failed, F.when(error_code.isNotNull(), F.lit("ui")).when(layer.isin("validation", "flow", "apex", "integration"), layer).otherwise("unknown"))
+    of_interface = F.coalesce(error_code.startswith("UI_") | error_code.isin(*INTERFACE_CODES), F.lit(False))
+    cause = F.when(of_interface, F.lit("ui")).when(layer == "network", "integration").otherwise(F.coalesce(layer, F.lit("unknown")))
+    return F.when(status.isin("failed", "retried"), cause)
 
 
 def artifact_paths(message: Column) -> dict[str, Column]:
-    take = lambda name: F.nullif(F.regexp_extract(F.coalesce(message, F.lit("")), rf"{name}=([^;]*);", 1), F.lit(""))
+    take = lambda name: F.nullif(F.trim(F.regexp_extract(F.coalesce(message, F.lit("")), rf"{name}=([^;]+)", 1)), F.lit(""))
     return {"screenshot": take("screenshot"), "network_trace": take("network_trace")}
 
 
@@ -128,7 +132,7 @@ def step_analysis(actions: DataFrame, matches: DataFrame, attempts: DataFrame, k
         "status",
         F.coalesce("layers", F.lit("")).alias("layers"),
         *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_matches", "n_high", "n_ambiguous")],
-        failure_layer(F.col("status"), F.col("error"), F.coalesce("_m", F.array().cast("array<struct<place:int,layer:string,status:string,confidence:string>>"))).alias("failure"),
+        failure_layer(F.col("status"), ui_error_code(F.col("error")), F.coalesce("_m", F.array().cast("array<struct<place:int,layer:string,status:string,confidence:string>>"))).alias("failure"),
         paths["screenshot"].alias("screenshot"),
         paths["network_trace"].alias("network_trace"),
     )

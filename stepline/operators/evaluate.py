@@ -6,25 +6,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYS = ["capture_id"]
-#: Sources of feedback that count as real, and the highest confidence that feedback leaves.
-REAL_SOURCES = ("org", "live", "sandbox")
+#: The source of feedback that counts as real, and the highest confidence that feedback leaves.
+REAL_SOURCES = ("run-eval",)
 CEILING = 0.70
 
 
 def parse_results(raw: DataFrame, text: str = "body", keys=KEYS) -> tuple[DataFrame, DataFrame]:
     """Cases and outcomes of evaluation JSON, with or without the ``result`` envelope.
 
-    A verdict is a pass only if it is JSON ``true``; the first output of a kind counts.
+    A verdict is a pass only if it is JSON ``true``, and one that is neither true nor false is none; the
+    first output of a kind counts.  A case's topic and utterance are the first ones told; without a topic, it is what the
+    topic's assertion has found.
     """
-    evaluation = "struct<type:string,id:string,score:double,is_pass:string,actual_value:string,expected_value:string,error_message:string>"
-    tests = f"array<struct<id:string,status:string,evaluations:array<{evaluation}>,outputs:array<struct<type:string,session_id:string,response:string>>>>"
+    # a variant keeps the type: the text "true" is no verdict
+    evaluation = "struct<type:string,id:string,score:double,is_pass:variant,actual_value:string,expected_value:string,error_message:string>"
+    tests = f"array<struct<id:string,status:string,evaluations:array<{evaluation}>,outputs:array<struct<type:string,session_id:string,response:string,topic:string,utterance:string>>>>"
     parsed = raw.select(*keys, F.from_json(text, f"result struct<tests:{tests}>, tests {tests}").alias("_j"))
     cases = parsed.select(*keys, F.posexplode_outer(F.coalesce("_j.result.tests", "_j.tests")).alias("case_no", "_t")).filter("_t is not null")
     first = lambda kind, field: F.get(F.transform(F.filter("_t.outputs", lambda o: (o["type"] == kind) & o[field].isNotNull()), lambda o: o[field]), F.lit(0))
-    flat = cases.select(*keys, "case_no", F.col("_t.id").alias("case_id"), F.col("_t.status").alias("status"), first("session", "session_id").alias("session_id"), first("response", "response").alias("response"), "_t")
+    told = lambda field: F.get(F.transform(F.filter("_t.outputs", lambda o: F.coalesce(o[field], F.lit("")) != ""), lambda o: o[field]), F.lit(0))
+    asserted = F.get(F.transform(F.filter("_t.evaluations", lambda e: F.coalesce(e["type"], F.lit("")).contains("topic") & e["actual_value"].isNotNull()), lambda e: e["actual_value"]), F.lit(0))
+    flat = cases.select(*keys, "case_no", F.col("_t.id").alias("case_id"), F.col("_t.status").alias("status"), first("session", "session_id").alias("session_id"), first("response", "response").alias("response"), F.coalesce(told("topic"), asserted).alias("topic"), told("utterance").alias("utterance"), "_t")
     outcomes = flat.select(*keys, "case_no", F.posexplode("_t.evaluations").alias("outcome_no", "_e"))
-    # from_json would take the text "false" for a boolean; as text, true and "true" look alike, so the raw token decides
-    outcomes = outcomes.select(*keys, "case_no", "outcome_no", F.col("_e.id").alias("evaluator"), (F.col("_e.is_pass") == "true").alias("is_pass"), F.col("_e.score").alias("score"), F.col("_e.actual_value").alias("actual"), F.col("_e.expected_value").alias("expected"))
+    outcomes = outcomes.select(*keys, "case_no", "outcome_no", F.col("_e.id").alias("evaluator"), F.when(F.schema_of_variant("_e.is_pass") == "BOOLEAN", F.try_variant_get("_e.is_pass", "$", "boolean")).alias("is_pass"), F.col("_e.score").alias("score"), F.col("_e.actual_value").alias("actual"), F.col("_e.expected_value").alias("expected"))
     return flat.drop("_t"), outcomes
 
 

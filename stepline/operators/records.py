@@ -8,8 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYS = ["capture_id"]
+#: History rows that say that a record was touched, not what was changed.
+HISTORY_NOISE = ("created", "feedEvent", "locked", "unlocked")
+#: The step of an observation that no step claims, and kinds of actions that write.
+UNATTRIBUTED = "unattributed-org-observation"
+WRITES = ("submit", "input", "select")
 #: Fields that the system itself writes.
-SYSTEM_FIELDS = ("Id", "CreatedDate", "CreatedById", "LastModifiedDate", "LastModifiedById", "SystemModstamp", "OwnerId", "LastViewedDate", "LastReferencedDate")
+SYSTEM_FIELDS = ("Id", "CreatedDate", "CreatedById", "LastModifiedDate", "LastModifiedById", "SystemModstamp", "IsDeleted", "LastViewedDate", "LastReferencedDate")
 
 
 def telemetry_layer(event_type: Column) -> Column:
@@ -47,13 +52,13 @@ def event_log(rows: DataFrame, time_columns: list[str], id_columns: list[str], s
     return made.filter("event_time is not null"), made.filter("event_time is null")
 
 
-def history_events(history: DataFrame, noise=SYSTEM_FIELDS, step: str = "unattributed") -> DataFrame:
-    """Field changes as data telemetry that belongs to no step yet; system fields and rows without a time go."""
+def history_events(history: DataFrame, noise=HISTORY_NOISE, step: str = UNATTRIBUTED) -> DataFrame:
+    """Field changes as data telemetry that belongs to no step yet; rows that are no change and rows without a time go."""
     kept = history.filter(~F.col("field").isin(*noise) & F.col("t").isNotNull())
     return kept.select("capture_id", F.lit(step).alias("step_id"), "t", F.lit("data").alias("layer"), F.concat("field", F.lit(" changed")).alias("event_name"), "record_id", "field", "old_value", "new_value")
 
 
-def history_snapshots(history: DataFrame, noise=SYSTEM_FIELDS, keys=KEYS) -> DataFrame:
+def history_snapshots(history: DataFrame, noise=HISTORY_NOISE, keys=KEYS) -> DataFrame:
     """One snapshot for each record and time: fields before and after; of several changes of a field the last."""
     kept = history.filter(~F.col("field").isin(*noise) & F.col("t").isNotNull())
     last = kept.groupBy(*keys, "record_id", "t", "field").agg(F.max_by(F.struct("old_value", "new_value"), "row_no").alias("_v"))
@@ -93,24 +98,43 @@ def failed_log_signal(logs: DataFrame, keys: list[str], order: list[str], last:
 
 
 def ui_error_code(text: Column) -> Column:
-    """Code of an interface error, from its exception's class or text."""
-    low = F.lower(F.coalesce(text, F.lit("")))
+    """Code of an interface error, from its exception's class and text; null if there was none."""
+    low = F.lower(text)
+    has = lambda *parts: reduce(Column.__or__, [low.contains(p) for p in parts])
     return (
-        F.when(low == "", None)
-        .when(low.contains("timeout"), "UI_TIMEOUT")
-        .when(low.contains("not found") | low.contains("no such element"), "UI_NOT_FOUND")
-        .when(low.contains("detached") | low.contains("stale"), "UI_STALE")
-        .when(low.contains("navigation"), "UI_NAVIGATION")
-        .otherwise("UI_ERROR")
+        F.when(text.isNull(), None)
+        .when(has("timeout"), "TIMEOUT")
+        .when(has("detached", "stale"), "STALE_REFERENCE")
+        .when(has("no locator matched", "strict mode violation"), "ELEMENT_NOT_FOUND")
+        .when(has("target closed", "page closed"), "TARGET_CLOSED")
+        .when(has("navigation"), "TRANSIENT_NAVIGATION")
+        .otherwise("UI_RUNTIME_ERROR")
     )
 
 
-def derive_intent(snapshots: DataFrame, changed: DataFrame, keys=KEYS) -> DataFrame:
-    """What a capture did: Create if a record had no state before, else Update; the object; the first three fields, repeated ones once."""
-    created = F.exists(F.map_values("before"), lambda v: v.isNotNull())
-    rows = snapshots.groupBy(*keys).agg(F.max(~created).alias("creates"), F.min_by("record_id", F.struct("t", "record_id")).alias("first_record"))
-    joined = rows.join(changed, keys, "left")
-    fields = F.array_distinct(F.slice(F.split("fields", ","), 1, 3))
-    verb = F.when(F.col("creates"), "Create").otherwise("Update")
-    text = F.when(F.col("fields").isNotNull(), F.concat(verb, F.lit(" "), F.col("first_record"), F.lit(": "), F.array_join(fields, ", "))).otherwise(F.concat(verb, F.lit(" "), F.col("first_record")))
-    return joined.select(*keys, text.alias("intent"), F.when(F.col("fields").isNotNull(), 0.7).otherwise(0.5).alias("confidence"))
+def derive_intent(captures: DataFrame, snapshots: DataFrame, order: list[str], keys=KEYS) -> DataFrame:
+    """What a capture did: verb, first object and the first three changed fields, repeated ones once.
+
+    ``captures``: keys and has_writes, one row each.  ``snapshots``: object_name, before,
+    changed_fields and the ``order`` columns.  Confidence goes down with the evidence: fields of one
+    object, of several, an object alone, writes alone, nothing.
+    """
+    place = F.struct(*order)
+    objects = snapshots.groupBy(*keys).agg(F.min_by("object_name", place).alias("_object"), F.count_distinct("object_name").alias("_n"), F.max(F.coalesce(F.size("before"), F.lit(0)) <= 0).alias("_created"))
+    business = F.filter("changed_fields", lambda f: ~f.isin(*SYSTEM_FIELDS))
+    changes = snapshots.select(*keys, *order, F.posexplode(business).alias("_i", "_field"))
+    first = changes.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order, "_i"))).filter("_k <= 3")
+    fields = first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_k", "_field"))).alias("_f"))
+    joined = captures.join(objects, keys, "left").join(fields, keys, "left")
+    named = F.array_join(F.array_distinct(F.transform("_f", lambda x: x["_field"])), ", ")
+    observed = F.col("_object").isNotNull()
+    changed = observed & F.col("_f").isNotNull()
+    writes = F.coalesce("has_writes", F.lit(False))
+    text = (
+        F.when(changed, F.concat(F.when(F.col("_created"), "Create ").otherwise("Update "), "_object", F.lit(" ("), named, F.lit(")")))
+        .when(observed, F.concat(F.lit("Interact with "), "_object", F.lit(" via guided process")))
+        .when(writes, F.lit("Complete a data-entry process (target object unresolved)"))
+        .otherwise(F.lit("UNRESOLVED: recording did not demonstrate a completed business action"))
+    )
+    confidence = F.when(changed & (F.col("_n") == 1), 0.7).when(changed, 0.5).when(observed, 0.4).when(writes, 0.2).otherwise(0.05)
+    return joined.select(*keys, text.alias("intent"), confidence.alias("confidence"))

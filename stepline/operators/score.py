@@ -8,9 +8,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEYS = ["capture_id"]
-#: Words that carry no content, and marks of unfinished text.
-STOPWORDS = ("a", "an", "the", "and", "or", "of", "to", "in", "on", "for", "with", "is", "are", "be", "by", "as", "at", "it", "this", "that")
-MARKERS = ("TODO", "TBD", "FIXME", "PLACEHOLDER", "UNRESOLVED", "lorem ipsum", "[NEEDS EVIDENCE]")
+#: Words that carry no content.
+STOPWORDS = (
+    "a", "an", "the", "this", "that", "these", "those", "is", "are", "was", "were", "be", "been", "being",
+    "and", "or", "but", "for", "to", "of", "on", "in", "at", "by", "with", "from", "as", "so", "if", "then", "than",
+    "now", "here", "there", "again", "also", "just", "very", "really", "please", "kindly", "safely",
+    "it", "its", "we", "you", "they", "do", "does", "did", "done", "will", "would", "should", "could", "may", "might", "can",
+)
+#: Marks of made-up or unfinished content.
+MARKERS = (
+    "Sample_Flow",
+    "500xx0000012345AAA",
+    "Update case status from UI workflow",
+    "UNRESOLVED:",
+    "TODO",
+    "FIXME",
+    "Lorem ipsum",
+    "[NEEDS EVIDENCE",
+    "Heuristic extraction in use",
+    "Baseline extraction. Replace with CV pipeline",
+    "Commit the current form",
+)
+#: Sources that are real, and the confidence that deriving a specification reaches at most.
+REAL_EXTRACTION, REAL_TELEMETRY = ("dom-capture", "cv"), ("live-org",)
+MOST_CONFIDENCE = 0.7
 PASSING, MODERATE, DISPLAY_CAP = 75, 60, 59
 
 
@@ -21,15 +42,19 @@ def content_signature(text: Column, stopwords=STOPWORDS) -> Column:
 
 
 def near_duplicates(lines: DataFrame, text: str, keys=KEYS) -> DataFrame:
-    """Different texts of a capture with the same content words: groups by signature, so no pairs are compared."""
-    signed = lines.withColumn("signature", content_signature(F.col(text))).filter("signature is not null")
-    return signed.groupBy(*keys, "signature").agg(F.count_distinct(text).alias("n_texts"), F.count("*").alias("n_rows")).filter("n_texts > 1")
+    """Different texts of a capture with the same content words: groups by signature, so no pairs are compared.
+
+    What is shuffled are signatures' hashes and texts' hashes, once for each text of a task.
+    """
+    bare = F.trim(F.col(text))
+    signed = lines.select(*keys, content_signature(F.col(text)).alias("signature"), F.xxhash64(bare).alias("_text")).filter("signature is not null")
+    texts = signed.groupBy(*keys, "signature", "_text").agg(F.count("*").alias("_n"))
+    return texts.groupBy(*keys, "signature").agg(F.count("*").alias("n_texts"), F.sum("_n").alias("n_rows")).filter("n_texts > 1")
 
 
 def placeholder_scan(text: Column, markers=MARKERS) -> Column:
-    """Markers that stand in a text, whatever their case."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.filter(F.array(*map(F.lit, markers)), lambda m: F.contains(low, F.lower(m)))
+    """Markers that stand in a text, as they are written."""
+    return F.filter(F.array(*map(F.lit, markers)), lambda m: F.contains(F.coalesce(text, F.lit("")), m))
 
 
 def weighted_gate(flags: dict[str, tuple[Column, int]]) -> Column:
@@ -46,24 +71,27 @@ def gate(score: Column, n_blockers: Column) -> dict[str, Column]:
     return {"passed": (score >= PASSING) & (n_blockers == 0), "band": band(score), "display": F.when(n_blockers > 0, F.least(score, F.lit(DISPLAY_CAP))).otherwise(score)}
 
 
-def honesty(confidence: Column, n_unknowns: Column, n_gaps: Column) -> Column:
-    """0 to 20: confidence must not claim more than the gaps allow, and gaps must be declared."""
+def honesty(confidence: Column, n_unknowns: Column, has_gaps: Column) -> Column:
+    """0 to 20.  High confidence over gaps is worth nothing; low confidence that says what is unknown is worth all.
+
+    ``has_gaps``: no object or no entity.  Without gaps, confidence beyond what deriving can reach costs up to half.
+    """
     c = F.when(confidence.isNull() | F.isnan(confidence) | (F.abs(confidence) == float("inf")), 0.0).otherwise(F.greatest(F.least(confidence, F.lit(1.0)), F.lit(0.0)))
-    over = F.least(F.bround((c - 0.7) * (10 / 0.3)), F.lit(10.0))
+    over = F.least(F.bround((c - MOST_CONFIDENCE) / (1.0 - MOST_CONFIDENCE) * 10), F.lit(10.0))
     return (
-        F.when((c >= 0.7) & (n_gaps > 0), 0)
-        .when((n_gaps > 0) & (n_unknowns == 0), 10)
-        .when(n_gaps > 0, 20)
-        .otherwise(20 - F.when(c > 0.7, over).otherwise(0.0))
+        F.when((c >= MOST_CONFIDENCE) & has_gaps, 0)
+        .when((c < MOST_CONFIDENCE) & (n_unknowns > 0), 20)
+        .when(has_gaps, 10)
+        .otherwise(20 - F.when(c > MOST_CONFIDENCE, over).otherwise(0.0))
         .cast("int")
     )
 
 
 def provenance(extraction: Column, telemetry: Column) -> dict[str, Column]:
-    """5 if both sources are real; 0 without a blocker if neither is told; else 0 with one."""
-    real = extraction.isin("capture", "live") & telemetry.isin("live", "org")
+    """5 if both sources are known to be real; 0 without a blocker if neither is told; else 0 with one."""
+    real = F.coalesce(extraction.isin(*REAL_EXTRACTION), F.lit(False)) & F.coalesce(telemetry.isin(*REAL_TELEMETRY), F.lit(False))
     told = extraction.isNotNull() | telemetry.isNotNull()
-    return {"score": F.when(F.coalesce(real, F.lit(False)), 5).otherwise(0), "blocked": told & ~F.coalesce(real, F.lit(False))}
+    return {"score": F.when(real, 5).otherwise(0), "blocked": told & ~real}
 
 
 def field_claim_counts(entities: DataFrame, keys=KEYS, most: int = 3) -> DataFrame:

@@ -75,11 +75,15 @@ def candidates(c: dict[str, Column]) -> Column:
 
 def rank_selectors(c: dict[str, Column]) -> Column:
     """Best first; of equal strings the best; never empty: ``body`` as tier 8 if there is nothing else."""
-    found = F.array_sort(candidates(c))
-    distinct = F.filter(found, lambda x, i: F.array_position(F.transform(found, lambda y: y["selector"]), x["selector"]) == i + 1)
-    ranked = F.transform(distinct, lambda x: F.struct(x["tier"].alias("tier"), (-x["less"]).alias("confidence"), x["kind"].alias("kind"), x["selector"].alias("selector")))
+    def once(found):
+        names = F.transform(found, lambda y: y["selector"])
+        # one field of a lambda's variable, so that names are made once and not for each candidate
+        kept = F.get(F.transform(F.array(F.struct(found.alias("found"), names.alias("names"))), lambda z: F.filter(z["found"], lambda x, i: F.array_position(z["names"], x["selector"]) == i + 1)), F.lit(0))
+        return F.transform(kept, lambda x: F.struct(x["tier"].alias("tier"), (-x["less"]).alias("confidence"), x["kind"].alias("kind"), x["selector"].alias("selector")))
+
+    ranked = F.get(F.transform(F.array(F.array_sort(candidates(c))), once), F.lit(0))
     fallback = F.array(F.struct(F.lit(8).alias("tier"), F.lit(CONFIDENCE[7]).alias("confidence"), F.lit("fallback").alias("kind"), F.lit("body").alias("selector")))
-    return F.when(F.size(ranked) > 0, ranked).otherwise(fallback)
+    return F.get(F.transform(F.array(ranked), lambda r: F.when(F.size(r) > 0, r).otherwise(fallback)), F.lit(0))
 
 
 def best_selector(ranked: Column) -> Column:

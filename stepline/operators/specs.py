@@ -188,17 +188,15 @@ def score_spec(specs: DataFrame) -> DataFrame:
     failure_handling, unknowns, extraction_source, telemetry_source.
     """
     c = F.col
-    text = F.lower(F.concat_ws(" ", "intent", "orchestration_steps", "guardrails", "failure_handling"))
-    marked = F.exists(F.array(*[F.lit(m.lower()) for m in MARKERS]), lambda m: F.contains(text, m))
+    text = F.concat_ws("\n", "intent", "orchestration_steps", "guardrails", "failure_handling")
+    marked = F.exists(F.array(*[F.lit(m) for m in MARKERS]), lambda m: F.contains(text, m))
     empty = (F.size("orchestration_steps") == 0) & (F.size("guardrails") == 0)
-    untested = F.exists("failure_handling", lambda f: f.contains("UNTESTED"))
-    inferred = F.size(F.filter("entities", lambda e: (e["name"] != "recordId") & F.forall(e["evidence"], lambda v: v["source"] == "inference")))
     source = provenance(c("extraction_source"), c("telemetry_source"))
     scored = specs.withColumns(
         {
             "grounding": grounding(c("entities")),
             "completeness": completeness(c("objects_touched"), c("entities"), c("orchestration_steps"), c("guardrails"), c("failure_handling")),
-            "honesty": honesty(c("confidence"), F.size("unknowns"), inferred + untested.cast("int")),
+            "honesty": honesty(c("confidence"), F.size("unknowns"), (F.size("objects_touched") == 0) | (F.size("entities") == 0)),
             "specificity": specificity(c("intent"), c("orchestration_steps"), c("guardrails")),
             "testability": testability(c("entities"), c("failure_handling")),
             "placeholders": F.when(marked | empty, 0).otherwise(POINTS["placeholders"]),

@@ -51,7 +51,8 @@ FROM {events} WHERE event_type IN ('view', 'error')
 #: Orders as a field history of customers.
 HISTORY = """
 SELECT o_custkey % 50 AS capture_id, CAST(o_custkey AS VARCHAR(20)) AS record_id, {odate_ms} AS t, o_orderkey AS row_no,
-  CASE WHEN o_orderkey % 3 = 0 THEN 'Status' WHEN o_orderkey % 3 = 1 THEN 'Priority' ELSE 'LastModifiedDate' END AS field,
+  concat('Obj', CAST(o_custkey % 2 AS VARCHAR(9))) AS object_name,
+  CASE o_orderkey % 7 WHEN 0 THEN 'Status' WHEN 1 THEN 'Priority' WHEN 2 THEN 'LastModifiedDate' WHEN 3 THEN 'OwnerId' WHEN 4 THEN 'IsDeleted' WHEN 5 THEN 'created' ELSE 'feedEvent' END AS field,
   CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderpriority END AS old_value, o_orderstatus AS new_value
 FROM {orders}
 """
@@ -83,7 +84,7 @@ ATTEMPT = """
 SELECT o_custkey % 50 AS capture_id, CAST(o_custkey AS VARCHAR(20)) AS step_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INT) AS attempt_no,
   CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'success' ELSE 'retried' END AS status,
   concat('screenshot=/s/', CAST(o_orderkey AS VARCHAR(20)), '.png; network_trace=', CASE WHEN o_orderkey % 2 = 0 THEN '/n/t.har' ELSE '' END, ';') AS message,
-  CASE WHEN o_orderkey % 4 = 0 THEN 'TimeoutError' WHEN o_orderkey % 4 = 1 THEN 'element not found' ELSE NULL END AS error
+  CASE o_orderkey % 8 WHEN 0 THEN 'TimeoutError' WHEN 1 THEN 'no locator matched: #save' WHEN 2 THEN 'Target closed' WHEN 3 THEN 'element is detached' WHEN 4 THEN 'navigation interrupted' WHEN 5 THEN 'boom' ELSE NULL END AS error
 FROM {orders}
 """
 

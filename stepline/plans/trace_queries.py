@@ -92,7 +92,7 @@ def latest_attempt(spark, d):
     return correlate.latest_attempt(attempt(spark, d)).select("capture_id", "step_id", "attempt_no", "status")
 
 
-@query(LATEST + r""" SELECT capture_id, step_id, nullif(regexp_extract(message, 'screenshot=([^;]*);', 1), '') AS screenshot, nullif(regexp_extract(message, 'network_trace=([^;]*);', 1), '') AS network_trace FROM z WHERE n = 1""")
+@query(LATEST + r""" SELECT capture_id, step_id, nullif(regexp_extract(message, 'screenshot=([^;]+)', 1), '') AS screenshot, nullif(regexp_extract(message, 'network_trace=([^;]+)', 1), '') AS network_trace FROM z WHERE n = 1""")
 def artifact_paths(spark, d):
     last = correlate.latest_attempt(attempt(spark, d))
     return last.select("capture_id", "step_id", *[c.alias(k) for k, c in correlate.artifact_paths(F.col("message")).items()])
@@ -117,10 +117,10 @@ def replay_join(spark, d):
 @query(MATCH.replace("\nm AS", f"\n{duck('attempt')},\nm AS", 1) + r""",
 k AS (SELECT capture_id, step_id, attempt_no, status, message, error, row_number() OVER (PARTITION BY capture_id, step_id ORDER BY attempt_no DESC) AS n FROM attempt),
 x AS (SELECT capture_id, sequence, string_agg(DISTINCT layer, ',' ORDER BY layer) AS layers, count(*) AS n_matches, count(*) FILTER (confidence = 'HIGH') AS n_high, count(*) FILTER (confidence = 'AMBIGUOUS') AS n_ambiguous,
-  arg_min(layer, place) FILTER (status = 'error') AS bad FROM o GROUP BY ALL)
+  arg_min(layer, place) FILTER (status = 'error' AND layer IN ('validation', 'flow', 'apex', 'network', 'integration')) AS bad FROM o GROUP BY ALL)
 SELECT a.capture_id, a.sequence, a.step_id, k.status, coalesce(x.layers, '') AS layers, coalesce(x.n_matches, 0) AS n_matches, coalesce(x.n_high, 0) AS n_high, coalesce(x.n_ambiguous, 0) AS n_ambiguous,
-  CASE WHEN k.status IN ('failed', 'retried') THEN CASE WHEN k.error IS NOT NULL THEN 'ui' WHEN x.bad IN ('validation', 'flow', 'apex', 'integration') THEN x.bad ELSE 'unknown' END END AS failure,
-  nullif(regexp_extract(k.message, 'screenshot=([^;]*);', 1), '') AS screenshot, nullif(regexp_extract(k.message, 'network_trace=([^;]*);', 1), '') AS network_trace
+  CASE WHEN k.status IN ('failed', 'retried') THEN CASE WHEN k.error IN ('TimeoutError', 'no locator matched: #save', 'boom') THEN 'ui' WHEN x.bad = 'network' THEN 'integration' ELSE coalesce(x.bad, 'unknown') END END AS failure,
+  nullif(regexp_extract(k.message, 'screenshot=([^;]+)', 1), '') AS screenshot, nullif(regexp_extract(k.message, 'network_trace=([^;]+)', 1), '') AS network_trace
 FROM action a LEFT JOIN x ON a.capture_id = x.capture_id AND a.sequence = x.sequence LEFT JOIN k ON k.n = 1 AND k.capture_id = a.capture_id % 50 AND k.step_id = CAST(a.sequence % 200 AS VARCHAR)""")
 def step_analysis(spark, d):
     # attempts are keyed by other ids than the events' steps: give them to the steps that they stand for
@@ -482,7 +482,7 @@ def failed_log_signal(spark, d):
     return records.failed_log_signal(log(spark, d).withColumn("status", records.status_normalise(F.col("raw_status"))), ["capture_id"], ["t", "request_id", "line_no"])
 
 
-SNAP = f"""WITH {duck("history")}, kept AS (SELECT * FROM history WHERE field <> 'LastModifiedDate' AND t IS NOT NULL),
+SNAP = f"""WITH {duck("history")}, kept AS (SELECT * FROM history WHERE field NOT IN ('created', 'feedEvent', 'locked', 'unlocked') AND t IS NOT NULL),
 lst AS (SELECT capture_id, record_id, t, field, arg_max(struct_pack(o := old_value, n := new_value), row_no) AS v FROM kept GROUP BY ALL)
 """
 
@@ -494,12 +494,12 @@ def history_snapshots(spark, d):
     return snaps.select("capture_id", "record_id", "t", F.array_join("changed_fields", ",").alias("fields"), change.alias("change"))
 
 
-@query(f"WITH {duck('history')} SELECT capture_id, record_id, t, field || ' changed' AS event_name, old_value, new_value FROM history WHERE field <> 'LastModifiedDate' AND t IS NOT NULL")
+@query(f"WITH {duck('history')} SELECT capture_id, record_id, t, field || ' changed' AS event_name, old_value, new_value FROM history WHERE field NOT IN ('created', 'feedEvent', 'locked', 'unlocked') AND t IS NOT NULL")
 def history_events(spark, d):
     return records.history_events(history(spark, d)).select("capture_id", "record_id", "t", "event_name", "old_value", "new_value")
 
 
-@query(SNAP + """, rws AS (SELECT DISTINCT capture_id, t, record_id, field FROM lst), f AS (SELECT capture_id, field, min((t, record_id)) AS o FROM rws GROUP BY ALL)
+@query(SNAP + """, rws AS (SELECT DISTINCT capture_id, t, record_id, field FROM lst WHERE field NOT IN ('LastModifiedDate', 'IsDeleted')), f AS (SELECT capture_id, field, min((t, record_id)) AS o FROM rws GROUP BY ALL)
 SELECT capture_id, string_agg(field, ',' ORDER BY o, field) AS fields FROM f GROUP BY capture_id""")
 def changed_fields(spark, d):
     return records.changed_fields(records.history_snapshots(history(spark, d)))
@@ -519,17 +519,28 @@ def record_diff(spark, d):
     return records.record_diff(states, "state", ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", F.array_join("changed", ",").alias("changed"))
 
 
-@query(f"WITH {duck('attempt')} SELECT CASE WHEN error = 'TimeoutError' THEN 'UI_TIMEOUT' WHEN error = 'element not found' THEN 'UI_NOT_FOUND' END AS code, count(*) AS n FROM attempt GROUP BY ALL")
+@query(f"WITH {duck('attempt')} SELECT CASE error WHEN 'TimeoutError' THEN 'TIMEOUT' WHEN 'no locator matched: #save' THEN 'ELEMENT_NOT_FOUND' WHEN 'Target closed' THEN 'TARGET_CLOSED' WHEN 'element is detached' THEN 'STALE_REFERENCE' WHEN 'navigation interrupted' THEN 'TRANSIENT_NAVIGATION' WHEN 'boom' THEN 'UI_RUNTIME_ERROR' END AS code, count(*) AS n FROM attempt GROUP BY ALL")
 def ui_error_codes(spark, d):
     return attempt(spark, d).groupBy(records.ui_error_code(F.col("error")).alias("code")).agg(F.count("*").alias("n"))
 
 
-@query(SNAP + """, mk AS (SELECT capture_id, bool_or(none) AS creates, arg_min(record_id, (t, record_id)) AS first_record FROM (SELECT capture_id, record_id, t, count(v.o) = 0 AS none FROM lst GROUP BY ALL) GROUP BY capture_id),
-f AS (SELECT capture_id, field, min((t, record_id)) AS o FROM lst GROUP BY ALL), g AS (SELECT capture_id, list(field ORDER BY o, field) AS fs FROM f GROUP BY capture_id)
-SELECT capture_id, CASE WHEN creates THEN 'Create ' ELSE 'Update ' END || first_record || CASE WHEN fs IS NOT NULL THEN ': ' || array_to_string(fs[1:3], ', ') ELSE '' END AS intent, CASE WHEN fs IS NOT NULL THEN 0.7::DOUBLE ELSE 0.5::DOUBLE END AS confidence FROM mk LEFT JOIN g USING (capture_id)""")
+@query(f"""WITH {duck("history", "capture")}, kept AS (SELECT * FROM history WHERE field NOT IN ('created', 'feedEvent', 'locked', 'unlocked') AND t IS NOT NULL),
+lst AS (SELECT capture_id, object_name, record_id, t, field, arg_max(struct_pack(o := old_value), row_no) AS v FROM kept GROUP BY ALL),
+sn AS (SELECT capture_id, object_name, record_id, t, count(v.o) = 0 AS none FROM lst GROUP BY ALL),
+ob AS (SELECT capture_id, arg_min(object_name, (t, record_id)) AS ob, count(DISTINCT object_name) AS n, bool_or(none) AS created FROM sn GROUP BY 1),
+fl AS (SELECT capture_id, field, row_number() OVER (PARTITION BY capture_id ORDER BY t, record_id, field) AS k FROM lst WHERE field NOT IN ('LastModifiedDate', 'IsDeleted')),
+fs AS (SELECT capture_id, string_agg(field, ', ' ORDER BY k) AS fields FROM (SELECT capture_id, field, min(k) AS k FROM fl WHERE k <= 3 GROUP BY ALL) GROUP BY 1),
+cp AS (SELECT capture_id, bool_or(type IN ('submit', 'input', 'select')) AS writes FROM capture GROUP BY 1)
+SELECT cp.capture_id,
+  CASE WHEN fields IS NOT NULL THEN CASE WHEN created THEN 'Create ' ELSE 'Update ' END || ob || ' (' || fields || ')' WHEN ob IS NOT NULL THEN 'Interact with ' || ob || ' via guided process'
+    WHEN writes THEN 'Complete a data-entry process (target object unresolved)' ELSE 'UNRESOLVED: recording did not demonstrate a completed business action' END AS intent,
+  CASE WHEN fields IS NOT NULL AND n = 1 THEN 0.7::DOUBLE WHEN fields IS NOT NULL THEN 0.5 WHEN ob IS NOT NULL THEN 0.4 WHEN writes THEN 0.2 ELSE 0.05 END AS confidence
+FROM cp LEFT JOIN ob USING (capture_id) LEFT JOIN fs USING (capture_id)""")
 def derive_intent(spark, d):
-    snaps = records.history_snapshots(history(spark, d))
-    return records.derive_intent(snaps, records.changed_fields(snaps))
+    # a history knows no record without fields: a state without values stands for one that was not there
+    snaps = records.history_snapshots(history(spark, d), keys=["capture_id", "object_name"]).withColumn("before", F.map_filter("before", lambda k, v: v.isNotNull()))
+    captures = capture(spark, d).groupBy("capture_id").agg(F.max(F.col("type").isin(*records.WRITES)).alias("has_writes"))
+    return records.derive_intent(captures, snaps, ["t", "record_id"])
 
 
 # -- names --------------------------------------------------------------------------------------
@@ -638,20 +649,19 @@ def name_integrity(spark, d):
 
 # -- gate ---------------------------------------------------------------------------------------
 
-SIGNATURE = "list_sort(list_distinct(list_filter(regexp_split_to_array(lower(coalesce(line, '')), '[^a-z0-9]+'), lambda w: w <> '' AND w NOT IN ('a', 'an', 'the', 'and', 'or', 'of', 'to', 'in', 'on', 'for', 'with', 'is', 'are', 'be', 'by', 'as', 'at', 'it', 'this', 'that'))))"
+SIGNATURE = "list_sort(list_distinct(list_filter(regexp_split_to_array(lower(coalesce(line, '')), '[^a-z0-9]+'), lambda w: w <> '' AND w NOT IN ('a', 'an', 'the', 'this', 'that', 'these', 'those', 'is', 'are', 'was', 'were', 'be', 'been', 'being', 'and', 'or', 'but', 'for', 'to', 'of', 'on', 'in', 'at', 'by', 'with', 'from', 'as', 'so', 'if', 'then', 'than', 'now', 'here', 'there', 'again', 'also', 'just', 'very', 'really', 'please', 'kindly', 'safely', 'it', 'its', 'we', 'you', 'they', 'do', 'does', 'did', 'done', 'will', 'would', 'should', 'could', 'may', 'might', 'can'))))"
 
 
 @query(f"""WITH l AS (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents), s AS (SELECT source, line, {SIGNATURE} AS sg FROM l)
-SELECT source, array_to_string(sg, ' ') AS signature, count(DISTINCT line) AS n_texts, count(*) AS n_rows FROM s WHERE len(sg) >= 2 GROUP BY ALL HAVING count(DISTINCT line) > 1""")
+SELECT source, array_to_string(sg, ' ') AS signature, count(DISTINCT trim(line)) AS n_texts, count(*) AS n_rows FROM s WHERE len(sg) >= 2 GROUP BY ALL HAVING count(DISTINCT trim(line)) > 1""")
 def near_duplicate_lines(spark, d):
     lines = read(spark, d, "documents").select("source", F.explode(F.split("text", "\n")).alias("line"))
     return score.near_duplicates(lines, "line", ["source"])
 
 
-@query("SELECT doc_id, contains(lower(text), 'lorem ipsum') AS lorem, contains(lower(text), 'todo') AS todo FROM documents")
+@query(f"SELECT doc_id, array_to_string(list_filter({list(score.MARKERS)}, lambda m: contains(coalesce(text, ''), m)), ',') AS markers FROM documents")
 def placeholder_scan(spark, d):
-    found = read(spark, d, "documents").withColumn("m", score.placeholder_scan(F.col("text")))
-    return found.select("doc_id", F.array_contains("m", "lorem ipsum").alias("lorem"), F.array_contains("m", "TODO").alias("todo"))
+    return read(spark, d, "documents").select("doc_id", F.array_join(score.placeholder_scan(F.col("text")), ",").alias("markers"))
 
 
 GATED = """WITH g AS (SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN 40 ELSE 0 END + CASE WHEN o_orderstatus = 'F' THEN 25 ELSE 0 END + CASE WHEN o_orderkey % 2 = 0 THEN 35 ELSE 0 END AS score, o_orderkey % 7 = 0 AS blocked FROM orders)"""
@@ -665,11 +675,33 @@ def weighted_gate(spark, d):
     return scored.select("o_orderkey", "score", *[c.alias(k) for k, c in gates.items()])
 
 
-@query("""WITH c AS (SELECT l_orderkey, l_linenumber, l_discount * 10 AS c, CAST(l_tax * 100 AS INT) % 3 AS gaps, l_linenumber % 2 AS unk FROM lineitem)
-SELECT l_orderkey, l_linenumber, CAST(CASE WHEN cc >= 0.7 AND gaps > 0 THEN 0 WHEN gaps > 0 AND unk = 0 THEN 10 WHEN gaps > 0 THEN 20 ELSE 20 - CASE WHEN cc > 0.7 THEN least(round_even((cc - 0.7) * (10 / 0.3), 0), 10) ELSE 0 END END AS INT) AS score FROM (SELECT *, greatest(least(c, 1.0), 0.0) AS cc FROM c)""")
+@query("""WITH c AS (SELECT l_orderkey, l_linenumber, l_discount * 10 AS c, CAST(round(l_tax * 100) AS INT) % 3 = 0 AS gaps, l_linenumber % 2 AS unk FROM lineitem)
+SELECT l_orderkey, l_linenumber, CAST(CASE WHEN gaps AND cc >= 0.7 THEN 0 WHEN cc < 0.7 AND unk > 0 THEN 20 WHEN gaps THEN 10 WHEN cc > 0.7 THEN 20 - least(round_even((cc - 0.7) / (1.0::DOUBLE - 0.7) * 10, 0), 10) ELSE 20 END AS INT) AS score FROM (SELECT *, greatest(least(c, 1.0), 0.0) AS cc FROM c)""")
 def honesty(spark, d):
     rows = read(spark, d, "lineitem")
-    return rows.select("l_orderkey", "l_linenumber", score.honesty(F.col("l_discount") * 10, F.col("l_linenumber") % 2, F.round(F.col("l_tax") * 100).cast("int") % 3).alias("score"))
+    return rows.select("l_orderkey", "l_linenumber", score.honesty(F.col("l_discount") * 10, F.col("l_linenumber") % 2, F.round(F.col("l_tax") * 100).cast("int") % 3 == 0).alias("score"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus = 'F' THEN 5 ELSE 0 END AS score, NOT (o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus = 'F') AND NOT (o_orderpriority = '5-LOW' AND o_orderstatus = 'P') AS blocked FROM orders""")
+def provenance(spark, d):
+    extraction = F.when(F.col("o_orderpriority") == "1-URGENT", "dom-capture").when(F.col("o_orderpriority") == "2-HIGH", "cv").when(F.col("o_orderpriority") == "5-LOW", None).otherwise("capture")
+    source = F.when(F.col("o_orderstatus") == "F", "live-org").when(F.col("o_orderstatus") == "P", None).otherwise("mock")
+    told = score.provenance(extraction, source)
+    return read(spark, d, "orders").select("o_orderkey", told["score"].alias("score"), told["blocked"].alias("blocked"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_shipmode_source = 'run-eval' AND l_quantity > 0 AS is_real FROM (SELECT *, CASE l_returnflag WHEN 'R' THEN 'run-eval' WHEN 'A' THEN 'sandbox' END AS l_shipmode_source FROM lineitem) WHERE l_returnflag <> 'N' UNION ALL SELECT l_orderkey, l_linenumber, false FROM lineitem WHERE l_returnflag = 'N'")
+def feedback_is_real(spark, d):
+    source = F.when(F.col("l_returnflag") == "R", "run-eval").when(F.col("l_returnflag") == "A", "sandbox")
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", evaluate.feedback_is_real(source, F.col("l_quantity")).alias("is_real"))
+
+
+@query("SELECT p_partkey, lower(split_part(p_type, ' ', 1)) IN ('standard', 'small') AS reserved FROM part")
+def reserved_names(spark, d):
+    # part types stand for names, two of them for taken ones
+    kind = F.lower(F.split_part("p_type", F.lit(" "), F.lit(1)))
+    label = F.when(kind == "standard", "Off Topic").when(kind == "small", "startAgent").otherwise(F.concat(F.lit("class "), kind))
+    return read(spark, d, "part").select("p_partkey", naming.is_reserved(label).alias("reserved"))
 
 
 @query("SELECT l_suppkey AS capture_id, l_returnflag AS object_name, l_linestatus AS field_name, count(*) AS n_claims, count(DISTINCT l_partkey) AS n_details, count(*) > 3 AS padding FROM lineitem GROUP BY ALL")
@@ -744,7 +776,7 @@ def spec_frame(spark, d):
     joined = captures.join(entities, "capture_id", "left").join(steps, "capture_id", "left").join(first, "capture_id", "left").join(layers, "capture_id", "left").join(failures, "capture_id", "left")
     return joined.select(
         "capture_id",
-        F.concat(F.lit("Update "), F.coalesce("first_object", F.lit("UNRESOLVED")), F.lit(" record fields")).alias("intent"),
+        F.concat(F.lit("Update "), F.coalesce("first_object", F.lit("UNRESOLVED:")), F.lit(" record fields")).alias("intent"),
         F.when(F.col("first_object").isNotNull(), 0.7).otherwise(0.05).alias("confidence"),
         F.when(F.col("first_object").isNotNull(), F.array("first_object")).otherwise(none).alias("objects_touched"),
         F.coalesce("entities", F.array().cast("array<struct<name:string,object_api_name:string,field_api_name:string,evidence:array<struct<source:string,detail:string>>>>")).alias("entities"),
@@ -752,8 +784,8 @@ def spec_frame(spark, d):
         specs.guardrails(F.col("first_object"), F.coalesce("_layers", none), F.coalesce("_layers", none)).alias("guardrails"),
         "failure_handling",
         specs.unknowns(F.lit(0), none, F.col("first_object").isNotNull(), F.size(F.coalesce("entities", F.array().cast("array<struct<name:string,object_api_name:string,field_api_name:string,evidence:array<struct<source:string,detail:string>>>>"))), F.size(F.coalesce("_layers", none))).alias("unknowns"),
-        F.lit("capture").alias("extraction_source"),
-        F.when(F.col("first_object").isNotNull(), "live").otherwise("unavailable").alias("telemetry_source"),
+        F.lit("dom-capture").alias("extraction_source"),
+        F.when(F.col("first_object").isNotNull(), "live-org").otherwise("unavailable").alias("telemetry_source"),
     )
 
 

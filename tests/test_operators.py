@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stepline.functions import naming, redaction
-from stepline.operators import actions, correlate, ordering, quality, reduce, rounds, score, selectors, specs
+from stepline.operators import actions, correlate, evaluate, ordering, quality, reduce, rounds, score, selectors, specs
 from stepline.sources import captures, sinks
 from stepline.streaming import traces
 
@@ -247,7 +247,7 @@ def test_selectors_rank_dedupe_and_fall_back(spark):
     assert [(x.tier, x.selector) for x in got[1].r] == [(8, "body")]
 
 
-@pytest.mark.parametrize("label,snake,camel", [("HTTPServer error-Code", "http_server_error_code", "httpServerErrorCode"), ("Case_Origin__c", "case_origin_c", "caseOrigin"), ("topic", "topic_topic", "topic"), ("UNRESOLVED: My Thing2Do", "my_thing2_do", "myThing2Do"), ("", "", "")])
+@pytest.mark.parametrize("label,snake,camel", [("HTTPServer error-Code", "http_server_error_code", "httpServerErrorCode"), ("Case_Origin__c", "case_origin_c", "caseOrigin"), ("topic", "topic", "topic"), ("Off-Topic", "off_topic_topic", "offTopic"), ("UNRESOLVED: My Thing2Do", "my_thing2_do", "myThing2Do"), ("", "", "")])
 def test_names(spark, label, snake, camel):
     assert one(spark, label, naming.snake_case) == snake and one(spark, label, naming.camel_name) == camel
 
@@ -264,11 +264,37 @@ def test_unique_names_are_stable(spark):
 
 
 def test_honesty_never_rewards_hiding(spark):
-    rows = [(c / 10, u, g) for c in range(11) for u in range(3) for g in range(3)]
-    df = spark.createDataFrame(rows, "c double, u int, g int")
+    rows = [(c / 10, u, g) for c in range(11) for u in range(3) for g in (False, True)]
+    df = spark.createDataFrame(rows, "c double, u int, g boolean")
     got = {(r.c, r.u, r.g): r.s for r in df.select("*", score.honesty(F.col("c"), F.col("u"), F.col("g")).alias("s")).collect()}
     assert all(got[c, u + 1, g] >= got[c, u, g] for c, u, g in got if u < 2)
     assert all(0 <= s <= 20 for s in got.values())
+    assert [got[0.7, 0, True], got[0.3, 2, True], got[0.3, 0, True], got[0.7, 1, False], got[1.0, 0, False], got[0.2, 0, False]] == [0, 20, 10, 20, 10, 20]
+
+
+def test_failures_are_explained_by_layers_that_explain(spark):
+    cases = [
+        ("failed", "TIMEOUT", [("apex", "error")], "ui"),
+        ("failed", "UI_RUNTIME_ERROR", [], "ui"),
+        ("failed", "TARGET_CLOSED", [("network", "error")], "integration"),
+        ("retried", None, [("ui", "error"), ("data", "ERROR"), ("flow", "Error")], "flow"),
+        ("failed", None, [("apex", "failed")], "unknown"),
+        ("success", "TIMEOUT", [("apex", "error")], None),
+    ]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, s string, code string, m array<struct<layer:string,status:string>>, want string")
+    got = df.select("i", "want", correlate.failure_layer(F.col("s"), F.col("code"), F.col("m")).alias("got")).collect()
+    assert all(r.got == r.want for r in got)
+
+
+def test_only_json_true_is_a_pass(spark):
+    body = {"tests": [{"id": "t", "evaluations": [{"type": "topic_assertion", "is_pass": v, "actual_value": "Orders"} for v in (True, "true", False, "false", None, 1)], "outputs": [{"type": "session", "session_id": "s1"}, {"type": "response", "response": "hi", "utterance": "do it"}]}]}
+    df = spark.createDataFrame([(1, json.dumps(body)), (2, json.dumps({"result": body}))], "capture_id int, body string")
+    cases, outcomes = evaluate.parse_results(df)
+    got = {}
+    for r in outcomes.collect():
+        got.setdefault(r.capture_id, {})[r.outcome_no] = r.is_pass
+    assert got[1] == got[2] == {0: True, 1: None, 2: False, 3: None, 4: None, 5: None}
+    assert {(r.topic, r.utterance, r.session_id) for r in cases.collect()} == {("Orders", "do it", "s1")}
 
 
 def test_rounds(spark):
