@@ -46,8 +46,8 @@ MOST_BITS = 4
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
 #: Fingerprints of one key in a block.
 BLOCK = 1024
-#: Roles of a row of a key.
-BOTH, INDEX, PROBE = 0, 1, 2
+#: Roles of a row of a key; FAR is one of both sides, for keys that tell more than a fingerprint's segments do.
+BOTH, INDEX, PROBE, FAR, INDEX_FAR = 0, 1, 2, 3, 4
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -135,11 +135,11 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[order[first[up] + number[up] // 32]], nodes[order[up]]
 
 
-def _links(batches, most_bits, at_once=1 << 21):
+def _links(batches, most_bits, far_bits, at_once=1 << 21):
     """Rows sorted by (key, cell, role): the links among each cell's rows."""
 
-    def compare(index, probe, n_index, n_probe):
-        """index, probe: rows of all cells in turn; n_index, n_probe: how many each cell has."""
+    def compare(index, probe, most, n_index, n_probe):
+        """index, probe: rows of all cells in turn; most: differing bits of a link, by index row; n_index, n_probe: how many each cell has."""
         pairs = n_index * n_probe
         i_from, p_from = np.cumsum(n_index) - n_index, np.cumsum(n_probe) - n_probe
         found = []
@@ -149,8 +149,9 @@ def _links(batches, most_bits, at_once=1 << 21):
             n = pairs[cell:last]
             of = np.repeat(np.arange(cell, last), n)
             k = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-            x, y = index[i_from[of] + k // n_probe[of]], probe[p_from[of] + k % n_probe[of]]
-            near = (np.bitwise_count((x ^ y).view(np.uint64)) <= most_bits) & (x != y)
+            i = i_from[of] + k // n_probe[of]
+            x, y = index[i], probe[p_from[of] + k % n_probe[of]]
+            near = (np.bitwise_count((x ^ y).view(np.uint64)) <= most[i]) & (x != y)
             found.append((np.minimum(x[near], y[near]), np.maximum(x[near], y[near])))
             cell = last
         a, b = map(np.concatenate, zip(*found)) if found else (np.zeros(0, np.int64),) * 2
@@ -160,9 +161,10 @@ def _links(batches, most_bits, at_once=1 << 21):
         edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])])) if len(key) else np.zeros(0, np.int64)
         if not len(edge):
             return None
-        is_index, is_probe = role != PROBE, role != INDEX
+        is_index, is_probe = role != PROBE, (role != INDEX) & (role != INDEX_FAR)
         n_index, n_probe = (np.add.reduceat(x.astype(np.int64), edge) for x in (is_index, is_probe))
-        a, b = compare(fp[is_index], fp[is_probe], n_index, n_probe)
+        most = np.where(role[is_index] >= FAR, far_bits, most_bits)
+        a, b = compare(fp[is_index], fp[is_probe], most, n_index, n_probe)
         return pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"]) if len(a) else None
 
     held = None
@@ -182,11 +184,15 @@ def _links(batches, most_bits, at_once=1 << 21):
 
 def links(fps: DataFrame, most_bits: int = MOST_BITS, block: int = BLOCK) -> DataFrame:
     """(a, b) of distinct fingerprints ``fps`` (column fp): enough links to join all that are within ``most_bits``."""
-    return links_of_keys(fps.mapInArrow(_key_rows, "key long, fp long, role byte"), most_bits, block)
+    return links_of_keys(key_table(fps), most_bits, most_bits, block)
 
 
-def links_of_keys(keyed: DataFrame, most_bits: int, block: int = BLOCK) -> DataFrame:
-    """(a, b): enough links to join all fingerprints of ``keyed`` (key, fp, role) that share a key and are within ``most_bits``."""
+def key_table(fps: DataFrame) -> DataFrame:
+    return fps.mapInArrow(_key_rows, "key long, fp long, role byte")
+
+
+def links_of_keys(keyed: DataFrame, most_bits: int, far_bits: int, block: int = BLOCK) -> DataFrame:
+    """(a, b): enough links to join all fingerprints of ``keyed`` (key, fp, role) that share a key and are within ``most_bits``, or ``far_bits`` if the key's rows are FAR."""
     stats = (
         keyed.groupBy("key")
         .agg(F.count_if(F.col("role") != PROBE).alias("n_index"), F.count_if(F.col("role") != INDEX).alias("n_probe"), F.min("fp").alias("low"), F.max("fp").alias("high"))
@@ -204,11 +210,11 @@ def links_of_keys(keyed: DataFrame, most_bits: int, block: int = BLOCK) -> DataF
         F.when(small, F.array(F.struct(F.lit(0).alias("cell"), F.col("role"))))
         .when(F.col("role") == INDEX, across)
         .when(F.col("role") == PROBE, down)
-        .otherwise(F.concat(across, down))
+        .otherwise(F.concat(F.when(F.col("role") == FAR, F.transform(across, lambda c: F.struct(c["cell"].alias("cell"), F.lit(INDEX_FAR).cast("byte").alias("role")))).otherwise(across), down))
     )
     dealt = shared.select("key", "fp", F.explode(cells).alias("c")).select("key", "c.cell", "fp", "c.role")
     sorted_cells = dealt.repartition("key", "cell").sortWithinPartitions("key", "cell")
-    return sorted_cells.mapInArrow(lambda it: _links(it, most_bits), "a long, b long").distinct()
+    return sorted_cells.mapInArrow(lambda it: _links(it, most_bits, far_bits), "a long, b long").distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

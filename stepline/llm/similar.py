@@ -6,10 +6,10 @@ more; what links reach is one component.
 * Texts with equal sets are one node.
 * Candidates are (a) nodes whose fingerprints differ in at most 4 bits, by the Golay keys of
   ``near_dup``, and (b) nodes that share one of ``BANDS`` keys, each of ``ROWS`` minima of their
-  shingles' hashes, and whose fingerprints differ in at most ``FAR`` bits.  (b) is there as
+  shingles' hashes, and whose fingerprints differ in at most ``FAR_BITS`` bits.  (b) is there as
   texts of similarity 0.8 differ in 10 bits of 64 on average, at which three segments have
   no key in common.  Of pairs at 0.8 one in twenty million shares no band, and three in a
-  million differ in more than ``FAR`` bits.
+  million differ in more than ``FAR_BITS`` bits.
 * What candidates reach is a group.  Links are counted on the shingles themselves, for all
   pairs of a group that matter, so no pair below 0.8 links and none within a group is lost.
 
@@ -33,14 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepline.llm.common import as_bytes, cut
-from stepline.llm.near_dup import BOTH, MOST_BITS, components, forest, links, links_of_keys
+from stepline.llm.near_dup import FAR, MOST_BITS, components, key_table, links_of_keys
 
 SEED = 42
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 4
 #: Differing bits up to which nodes of one band are candidates.
-FAR = 24
+FAR_BITS = 24
 #: Nodes of a group in a block.
 BLOCK = 256
 _RANDOM = np.random.default_rng(SEED)
@@ -132,12 +132,22 @@ def _verified(batches, similarity):
         for i, j in zip(edge, edge[1:]):
             if j - i > 1:
                 x, y = linked(sets[i:j], similarity)
-                a.append(node[i:j][x])
-                b.append(node[i:j][y])
+                if len(x):
+                    # a star: each node of a component is linked to its least one
+                    names, label = node[i:j], np.arange(j - i)
+                    while (label[x] != label[y]).any():
+                        low = np.minimum(label[x], label[y])
+                        np.minimum.at(label, x, low)
+                        np.minimum.at(label, y, low)
+                        label = label[label]
+                    order = np.lexsort((names, label))
+                    first = order[np.searchsorted(label[order], label)]
+                    a.append(names[first])
+                    b.append(names)
         a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b))
-        a, b = a[a != b], b[a != b]
-        if len(a):
-            yield pa.record_batch([pa.array(x) for x in forest(a, b)], names=["a", "b"])
+        other = a != b
+        if other.any():
+            yield pa.record_batch([pa.array(a[other]), pa.array(b[other])], names=["a", "b"])
 
     cell, node, sets = np.zeros(0, np.int64), np.zeros(0, np.int64), []
     for batch in batches:
@@ -155,7 +165,7 @@ def _verified(batches, similarity):
 
 
 def verified(cells: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): a forest of the links within each cell of ``cells`` (cell, node)."""
+    """(a, b): for each cell of ``cells`` (cell, node) and component of its links, the least node and each other one."""
     rows = cells.join(sets, "node").select("cell", "node", "hashes")
     return cut(rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda it: _verified(it, similarity), "a long, b long").distinct())
 
@@ -194,20 +204,24 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     found = cut(texts.mapInArrow(lambda it: _signatures(it, shingle), "id long, node long, fp long, keys array<long>"))
     nodes = cut(found.groupBy("node").agg(F.min("id").alias("id")).join(found.select("id", "fp", "keys"), "id"))
-    banded = nodes.select(F.explode("keys").alias("key"), "fp", F.lit(BOTH).cast("byte").alias("role"))
-    near = links(nodes.select("fp").distinct(), MOST_BITS).unionByName(links_of_keys(banded, FAR))
+    banded = nodes.select(F.explode("keys").alias("key"), "fp", F.lit(FAR).cast("byte").alias("role"))
+    near = links_of_keys(key_table(nodes.select("fp").distinct()).unionByName(banded), MOST_BITS, FAR_BITS)
     groups = components(near).select(F.col("node").alias("fp"), F.col("root").alias("_root"))
     grouped = nodes.join(groups, "fp", "left").select("node", "id", F.coalesce("_root", "fp").alias("grp"))
     sizes = grouped.groupBy("grp").agg(F.count("*").alias("of"), F.min("node").alias("least")).filter("of > 1")
     members = cut(grouped.join(sizes, "grp"))
     sets = cut(texts.join(members.select("id", "node"), "id").select("node", "text").mapInArrow(lambda it: _sets(it, shingle), "node long, hashes array<long>"))
-    found_links = verified(first_cells(members, block), sets, similarity)
-    roots = components(found_links).withColumnRenamed("node", "_node")
-    # groups of one block have been gone through already
-    labelled = members.filter(F.col("of") > block).join(roots, F.col("node") == F.col("_node"), "left").select("grp", "node", F.coalesce("root", "node").alias("root"))
-    apart = labelled.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("grp")
-    rest = cut(labelled.join(apart, "grp"))
-    if rest.limit(1).count():
-        found_links = found_links.unionByName(verified(cross_cells(rest, block), sets, similarity))
-        roots = components(found_links).withColumnRenamed("node", "_node")
+    stars = verified(first_cells(members, block), sets, similarity)
+    # a group of one block is done: its stars say each node's component
+    large = members.filter(F.col("of") > block).select("grp", "node")
+    roots = stars.select(F.col("b").alias("_node"), F.col("a").alias("root"))
+    if large.limit(1).count():
+        of_large = stars.join(large.select(F.col("node").alias("b")), "b", "left_semi")
+        settled = components(of_large).withColumnRenamed("node", "_node")
+        labelled = large.join(settled, F.col("node") == F.col("_node"), "left").select("grp", "node", F.coalesce("root", "node").alias("root"))
+        apart = labelled.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("grp")
+        rest = cut(labelled.join(apart, "grp"))
+        if rest.limit(1).count():
+            settled = components(of_large.unionByName(verified(cross_cells(rest, block), sets, similarity))).withColumnRenamed("node", "_node")
+        roots = roots.join(large.select(F.col("node").alias("_node")), "_node", "left_anti").unionByName(settled)
     return found.select("id", "node").join(roots, F.col("node") == F.col("_node"), "left").select("id", F.coalesce("root", "node").alias("component"))
