@@ -361,8 +361,8 @@ GOOD = {
     "guardrails": ["Enforce field-level security on Case for the user", "Require explicit user confirmation before writing: Status"],
     "failure_handling": ["Observed validation failure during recording: bad value"],
     "unknowns": ["none declared"],
-    "extraction_source": "capture",
-    "telemetry_source": "live",
+    "extraction_source": "dom-capture",
+    "telemetry_source": "live-org",
 }
 SPEC = "intent string, confidence double, objects_touched array<string>, entities array<struct<name:string,object_api_name:string,field_api_name:string,evidence:array<struct<source:string,detail:string>>>>, orchestration_steps array<string>, guardrails array<string>, failure_handling array<string>, unknowns array<string>, extraction_source string, telemetry_source string"
 
