@@ -21,7 +21,7 @@ exact copies add nothing.  Where many fingerprints share a key, they are cut int
 each pair of blocks is a task's work of its own, so no task holds more than two blocks and
 none of the pairs is left out; and of the links found among them only a forest that joins the
 same nodes is handed on, so the number of links stays below that of rows.  Components come
-from label propagation with pointer jumping on the links, in rounds of joins.
+from label propagation with pointer jumping on the links, in rounds of joins, after tasks have joined what they hold by themselves.
 
 Cases: a null, empty or blank text has fingerprint zero, linked like any other; fewer than
 ``shingle`` words make one shingle; repeated rows give repeated rows with the same
@@ -217,9 +217,44 @@ def links_of_keys(keyed: DataFrame, most_bits: int, far_bits: int, block: int =
     return sorted_cells.mapInArrow(lambda it: _links(it, most_bits, far_bits), "a long, b long").distinct()
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each component of the links a - b, its least node and each other one."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = ends[: len(a)], ends[len(a) :]
+    label = np.arange(len(nodes))
+    while (label[a] != label[b]).any():
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        label = label[label]
+    while (label != label[label]).any():
+        label = label[label]
+    other = label != np.arange(len(nodes))
+    return nodes[label[other]], nodes[other]
+
+
+def _stars(batches, at_once=1 << 21):
+    """The links that a task holds, as stars.  What is held stays below the number of its nodes."""
+    a = b = np.zeros(0, np.int64)
+    for batch in batches:
+        a, b = np.concatenate([a, np.asarray(batch.column(0))]), np.concatenate([b, np.asarray(batch.column(1))])
+        if len(a) > at_once:
+            a, b = stars(a, b)
+            at_once = max(at_once, 2 * len(a))
+    if len(a):
+        a, b = stars(a, b)
+        yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) of the nodes of links (a, b): root is a component's smallest node."""
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    """(node, root) of the nodes of links (a, b): root is a component's smallest node.
+
+    Tasks first turn the links that they hold into stars, dealt by the one end and then by the other, so that
+    few rounds are left for labels to spread across tasks.
+    """
+    for end in ("a", "b"):
+        edges = edges.select("a", "b").repartition(end).mapInArrow(_stars, "a long, b long")
+    both = cut(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).withColumn("root", F.least("node", "root")))
     for _ in range(most_rounds):
         old = labels

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepline.llm.common import as_bytes, cut
-from stepline.llm.near_dup import FAR, MOST_BITS, components, key_table, links_of_keys
+from stepline.llm.near_dup import FAR, MOST_BITS, components, key_table, links_of_keys, stars
 
 SEED = 42
 SHINGLE = 5
@@ -133,21 +133,11 @@ def _verified(batches, similarity):
             if j - i > 1:
                 x, y = linked(sets[i:j], similarity)
                 if len(x):
-                    # a star: each node of a component is linked to its least one
-                    names, label = node[i:j], np.arange(j - i)
-                    while (label[x] != label[y]).any():
-                        low = np.minimum(label[x], label[y])
-                        np.minimum.at(label, x, low)
-                        np.minimum.at(label, y, low)
-                        label = label[label]
-                    order = np.lexsort((names, label))
-                    first = order[np.searchsorted(label[order], label)]
-                    a.append(names[first])
-                    b.append(names)
+                    for to, found in zip((a, b), stars(node[i:j][x], node[i:j][y])):
+                        to.append(found)
         a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b))
-        other = a != b
-        if other.any():
-            yield pa.record_batch([pa.array(a[other]), pa.array(b[other])], names=["a", "b"])
+        if len(a):
+            yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
 
     cell, node, sets = np.zeros(0, np.int64), np.zeros(0, np.int64), []
     for batch in batches:
@@ -211,12 +201,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sizes = grouped.groupBy("grp").agg(F.count("*").alias("of"), F.min("node").alias("least")).filter("of > 1")
     members = cut(grouped.join(sizes, "grp"))
     sets = cut(texts.join(members.select("id", "node"), "id").select("node", "text").mapInArrow(lambda it: _sets(it, shingle), "node long, hashes array<long>"))
-    stars = verified(first_cells(members, block), sets, similarity)
+    joined = verified(first_cells(members, block), sets, similarity)
     # a group of one block is done: its stars say each node's component
     large = members.filter(F.col("of") > block).select("grp", "node")
-    roots = stars.select(F.col("b").alias("_node"), F.col("a").alias("root"))
+    roots = joined.select(F.col("b").alias("_node"), F.col("a").alias("root"))
     if large.limit(1).count():
-        of_large = stars.join(large.select(F.col("node").alias("b")), "b", "left_semi")
+        of_large = joined.join(large.select(F.col("node").alias("b")), "b", "left_semi")
         settled = components(of_large).withColumnRenamed("node", "_node")
         labelled = large.join(settled, F.col("node") == F.col("_node"), "left").select("grp", "node", F.coalesce("root", "node").alias("root"))
         apart = labelled.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("grp")
