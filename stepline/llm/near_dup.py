@@ -191,8 +191,55 @@ def key_table(fps: DataFrame) -> DataFrame:
     return fps.mapInArrow(_key_rows, "key long, fp long, role byte")
 
 
+def _small_keys(batches, most_bits, far_bits, block):
+    """Rows (key, fp, role) sorted by key: the links of keys with at most ``block`` rows, as rows without a role; the rows of other keys as they are."""
+    schema = pa.schema([("key", pa.int64()), ("fp", pa.int64()), ("role", pa.int8())])
+    sort = lambda key, fp, role: [pa.record_batch([pa.array(key), pa.array(np.zeros(len(key), np.int32)), pa.array(fp), pa.array(role)], names=["key", "cell", "fp", "role"])]
+    held, hot = None, None
+    for batch in _then_none(batches):
+        rows = [np.asarray(c) for c in batch.columns] if batch is not None else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int8)]
+        if held is not None:
+            rows = [np.concatenate(x) for x in zip(held, rows)]
+        key = rows[0]
+        if not len(key):
+            continue
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff([*start, len(key)])
+        many = size > block
+        if hot is not None and key[0] == hot:
+            many[0] = True
+        # the last key may go on in the next batch: it waits, unless it is known to have many rows
+        waits = batch is not None and not many[-1]
+        hot = key[-1] if batch is not None and many[-1] else None
+        whole = np.repeat(many, size)
+        upto = start[-1] if waits else len(key)
+        held = [x[upto:] for x in rows] if waits else None
+        few = np.flatnonzero(~whole[:upto] & np.repeat(size > 1, size)[:upto])
+        for out in _links(sort(*(x[few] for x in rows)), most_bits, far_bits) if len(few) else ():
+            yield pa.record_batch([*out.columns, pa.nulls(out.num_rows, pa.int8())], schema=schema)
+        large = np.flatnonzero(whole[:upto])
+        if len(large):
+            yield pa.record_batch([pa.array(x[large]) for x in rows], schema=schema)
+
+
+def _then_none(batches):
+    yield from batches
+    yield None
+
+
 def links_of_keys(keyed: DataFrame, most_bits: int, far_bits: int, block: int = BLOCK) -> DataFrame:
-    """(a, b): enough links to join all fingerprints of ``keyed`` (key, fp, role) that share a key and are within ``most_bits``, or ``far_bits`` if the key's rows are FAR."""
+    """(a, b): enough links to join all fingerprints of ``keyed`` (key, fp, role) that share a key and are within ``most_bits``, or ``far_bits`` if the key's rows are FAR.
+
+    One exchange by key; keys of few rows are done where they are, only the rows of others are dealt to cells.
+    """
+    sorted_keys = keyed.repartition("key").sortWithinPartitions("key")
+    found = cut(sorted_keys.mapInArrow(lambda it: _small_keys(it, most_bits, far_bits, block), "key long, fp long, role byte"))
+    few = found.filter("role is null").select(F.col("key").alias("a"), F.col("fp").alias("b"))
+    hot = found.filter("role is not null")
+    return few.unionByName(_links_of_hot_keys(hot, most_bits, far_bits, block)) if hot.limit(1).count() else few
+
+
+def _links_of_hot_keys(keyed: DataFrame, most_bits: int, far_bits: int, block: int) -> DataFrame:
     stats = (
         keyed.groupBy("key")
         .agg(F.count_if(F.col("role") != PROBE).alias("n_index"), F.count_if(F.col("role") != INDEX).alias("n_probe"), F.min("fp").alias("low"), F.max("fp").alias("high"))

@@ -8,7 +8,7 @@ more; what links reach is one component.
   ``near_dup``, and (b) nodes that share one of ``BANDS`` keys, each of ``ROWS`` minima of their
   shingles' hashes, and whose fingerprints differ in at most ``FAR_BITS`` bits.  (b) is there as
   texts of similarity 0.8 differ in 10 bits of 64 on average, at which three segments have
-  no key in common.  Of pairs at 0.8 one in twenty million shares no band, and three in a
+  no key in common.  Of pairs at 0.8 three in a million share no band, and three in a
   million differ in more than ``FAR_BITS`` bits.
 * What candidates reach is a group.  Links are counted on the shingles themselves, for all
   pairs of a group that matter, so no pair below 0.8 links and none within a group is lost.
@@ -38,7 +38,7 @@ from stepline.llm.near_dup import FAR, MOST_BITS, components, key_table, links_o
 SEED = 42
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 24, 4
 #: Differing bits up to which nodes of one band are candidates.
 FAR_BITS = 24
 #: Nodes of a group in a block.
