@@ -28,7 +28,8 @@ SELECT user_id AS capture_id, event_id AS pos, CASE WHEN k % 7 = 0 THEN NULL ELS
   CASE WHEN k % 6 = 5 THEN NULL ELSE concat('name_', CAST(k % 4 AS VARCHAR(9))) END AS elem_name,
   concat('e', CAST(k % 3 AS VARCHAR(9))) AS elem_key,
   concat('https://app.example.test/page/', CAST(k % 4 AS VARCHAR(9))) AS url,
-  CASE WHEN event_type = 'error' AND k % 4 = 0 THEN 'Ctrl+S' WHEN event_type = 'view' THEN NULL ELSE concat('v', CAST(k AS VARCHAR(9))) END AS value,
+  CASE WHEN event_type = 'error' AND k % 4 = 0 AND k % 10 <> 4 AND k % 9 <> 2 AND k % 13 NOT IN (0, 1, 2, 4) THEN 'Ctrl+S' WHEN event_type = 'view' THEN NULL
+    WHEN (k % 10 = 4 OR k % 9 = 2 OR k % 13 IN (0, 1, 2, 4)) AND NOT (user_id % 4 = 0 AND k > 60) THEN NULL ELSE concat('v', CAST(k AS VARCHAR(9))) END AS value,
   k % 10 = 4 AS value_redacted
 FROM (SELECT event_id, user_id, event_type, {ms} AS t, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM {events})
 """

@@ -320,24 +320,37 @@ def sensitive_identity(spark, d):
 
 FINDINGS = f"""WITH {duck("capture")}, s AS (SELECT *, {SIGNAL} AS name FROM capture),
 mono AS (SELECT capture_id, pos, ingest_seq, lag(ingest_seq) OVER (PARTITION BY capture_id ORDER BY t, pos) AS b, row_number() OVER (PARTITION BY capture_id ORDER BY t, pos) AS line FROM capture WHERE ingest_seq IS NOT NULL),
-findings AS (SELECT capture_id, 'redaction_leak' AS "check", 'SECURITY CRITICAL' AS severity, CAST(pos AS VARCHAR) AS detail FROM capture WHERE value_redacted AND value IS NOT NULL AND k > 60
-UNION ALL SELECT capture_id, 'sensitive_identity', 'SECURITY CRITICAL', CAST(pos AS VARCHAR) || CASE WHEN elem_type = 'password' THEN ' element.type=password' ELSE '' END || CASE WHEN {HIT} IS NOT NULL THEN ' name~' || {HIT} ELSE '' END FROM s WHERE value IS NOT NULL AND k > 90 AND (elem_type = 'password' OR {HIT} IS NOT NULL)
+findings AS (SELECT capture_id, 'redaction_leak' AS "check", 'SECURITY CRITICAL' AS severity, CAST(pos AS VARCHAR) AS detail FROM capture WHERE value_redacted AND value IS NOT NULL
+UNION ALL SELECT capture_id, 'sensitive_identity', 'SECURITY CRITICAL', CAST(pos AS VARCHAR) || CASE WHEN elem_type = 'password' THEN ' element.type=password' ELSE '' END || CASE WHEN {HIT} IS NOT NULL THEN ' name~' || {HIT} ELSE '' END FROM s WHERE value IS NOT NULL AND (elem_type = 'password' OR {HIT} IS NOT NULL)
 UNION ALL SELECT capture_id, 'broken_clock', 'CRITICAL', CAST(count(*) AS VARCHAR) FROM capture GROUP BY capture_id HAVING count(*) > 1 AND min(t) = max(t)
-UNION ALL SELECT capture_id, 'monotonic', 'CRITICAL', CAST(min(line) AS VARCHAR) FROM mono WHERE ingest_seq <= b GROUP BY capture_id)
+UNION ALL SELECT capture_id, 'monotonic', 'CRITICAL', CAST(min(line) AS VARCHAR) FROM mono WHERE ingest_seq <= b GROUP BY capture_id
+UNION ALL SELECT c_custkey, 'empty', 'CRITICAL', 'no events' FROM customer WHERE c_custkey NOT IN (SELECT capture_id FROM capture)
+UNION ALL SELECT capture_id, 'manifest_count', 'CRITICAL', 'claimed ' || CAST(capture_id % 90 AS VARCHAR) || ', found ' || CAST(count(*) AS VARCHAR) FROM capture WHERE capture_id % 4 <> 0 GROUP BY capture_id HAVING count(*) <> capture_id % 90
+UNION ALL SELECT DISTINCT capture_id, 'sink_errors', 'CRITICAL', '2' FROM capture WHERE capture_id % 4 <> 0 AND capture_id % 6 = 1
+UNION ALL SELECT capture_id, 'frame_url', 'WARNING', CAST(pos AS VARCHAR) FROM capture WHERE k % 17 = 0 AND k % 34 <> 0
+UNION ALL SELECT capture_id, 'org_leak', 'CRITICAL', CAST(pos AS VARCHAR) || ' note ' || CASE k WHEN 77 THEN 'url' WHEN 78 THEN 'username' ELSE 'record_id' END FROM capture WHERE k IN (77, 78, 79))
 """
 
 
 def findings(spark, d):
     from pyspark.sql import Window
 
-    events = signed(spark, d)
+    frames = {"frame_path": "CASE WHEN k % 17 = 0 THEN array('frame') ELSE array() END", "frame_url": "CASE WHEN k % 34 = 0 THEN url END"}
+    note = "CASE k WHEN 77 THEN 'see https://other.example.test/x' WHEN 78 THEN 'mail bob@corp.example.test' WHEN 79 THEN 'id 0015g00000AbCdEFG' END"
+    events = signed(spark, d).withColumns({k: F.expr(v) for k, v in frames.items()}).withColumn("note", F.expr(note))
+    claimed = {"event_count": "capture_id % 90", "sink_errors": "CASE WHEN capture_id % 6 = 1 THEN 2 ELSE 0 END"}
+    manifests = events.select("capture_id").distinct().filter("capture_id % 4 <> 0").withColumns({k: F.expr(v) for k, v in claimed.items()})
     stamped = events.filter("ingest_seq is not null").withColumn("line", F.row_number().over(Window.partitionBy("capture_id").orderBy("t", "pos")))
     return quality.validate(
         [
-            quality.check_redaction_flag_leak(events.filter("k > 60")),
-            quality.check_sensitive_identity(events.filter("k > 90"), ["name"]),
+            quality.check_redaction_flag_leak(events),
+            quality.check_sensitive_identity(events, ["name"]),
             quality.check_broken_clock(events),
             quality.check_monotonic(stamped, order="line"),
+            quality.check_empty(read(spark, d, "customer").select(F.col("c_custkey").alias("capture_id")), events),
+            quality.check_manifest(events.groupBy("capture_id").agg(F.count("*").alias("n_events")), manifests),
+            quality.check_frame_url(events),
+            quality.check_org_leak(events.join(quality.capture_host(events, None, "example.test"), "capture_id"), ["note"], "example.test"),
         ]
     )
 
@@ -392,10 +405,10 @@ def redaction_audit(spark, d):
 
 @query("""SELECT s_suppkey % 25 AS surface, count(l.l_orderkey) AS n_rows, CASE WHEN s_suppkey % 25 % 7 = 0 THEN 'FAILED' WHEN s_suppkey % 25 % 5 = 0 THEN 'UNAVAILABLE' WHEN count(l.l_orderkey) > 0 THEN 'OBSERVED' ELSE 'EMPTY' END AS status,
   (CASE WHEN s_suppkey % 25 % 7 = 0 THEN 'FAILED' WHEN s_suppkey % 25 % 5 = 0 THEN 'UNAVAILABLE' WHEN count(l.l_orderkey) > 0 THEN 'OBSERVED' ELSE 'EMPTY' END) = 'OBSERVED' AS is_evidence
-FROM (SELECT DISTINCT s_suppkey % 25 AS s_suppkey FROM supplier) LEFT JOIN lineitem l ON l.l_suppkey = s_suppkey AND l.l_quantity > 49 GROUP BY s_suppkey""")
+FROM (SELECT DISTINCT s_suppkey % 25 AS s_suppkey FROM supplier) LEFT JOIN lineitem l ON l.l_suppkey = s_suppkey GROUP BY s_suppkey""")
 def source_coverage(spark, d):
     surfaces = read(spark, d, "supplier").select((F.col("s_suppkey") % 25).alias("surface")).distinct().withColumn("failed", F.col("surface") % 7 == 0).withColumn("available", F.col("surface") % 5 != 0)
-    return quality.source_coverage(surfaces, read(spark, d, "lineitem").filter("l_quantity > 49").select(F.col("l_suppkey").alias("surface")))
+    return quality.source_coverage(surfaces, read(spark, d, "lineitem").select(F.col("l_suppkey").alias("surface")))
 
 
 @query("SELECT s_suppkey, regexp_replace(lower(s_name), '[^a-z0-9]', '', 'g') AS bare, contains(regexp_replace(lower(s_name), '[^a-z0-9]', '', 'g'), 'supplier00000000') OR contains(regexp_replace(lower(s_name), '[^a-z0-9]', '', 'g'), '7') AS denied FROM supplier")
@@ -416,14 +429,14 @@ def log_availability(spark, d):
     return found.select("capture_id", quality.log_availability(F.col("n"), F.col("end"), F.lit(800_000_000_000)).alias("availability"))
 
 
-@query(f"""WITH {duck("capture")}, runs AS (SELECT DISTINCT capture_id, CASE WHEN capture_id % 3 = 0 THEN 'mock' ELSE 'live' END AS mode, CASE WHEN capture_id % 5 = 0 THEN 'mock' ELSE 'capture' END AS ext FROM capture),
-o AS (SELECT capture_id, count(*) AS n FROM capture WHERE k > 95 GROUP BY 1),
+@query(f"""WITH {duck("capture", "telemetry")}, runs AS (SELECT DISTINCT capture_id, CASE WHEN capture_id % 3 = 0 THEN 'mock' ELSE 'live' END AS mode, CASE WHEN capture_id % 5 = 0 THEN 'mock' ELSE 'capture' END AS ext FROM capture),
+o AS (SELECT capture_id, count(*) AS n FROM telemetry GROUP BY 1),
 p AS (SELECT r.capture_id, r.ext, CASE WHEN mode = 'live' THEN CASE WHEN coalesce(n, 0) > 0 THEN 'live' ELSE 'unavailable' END ELSE mode END AS telemetry_source FROM runs r LEFT JOIN o USING (capture_id))
 SELECT capture_id, telemetry_source, concat_ws(',', CASE WHEN ext = 'mock' THEN 'extraction' END, CASE WHEN telemetry_source = 'mock' THEN 'telemetry' END) AS simulated FROM p""")
 def resolve_provenance(spark, d):
     events = capture(spark, d)
     runs = events.select("capture_id").distinct().withColumn("telemetry_mode", F.when(F.col("capture_id") % 3 == 0, "mock").otherwise("live")).withColumn("extraction_source", F.when(F.col("capture_id") % 5 == 0, "mock").otherwise("capture"))
-    return quality.resolve_provenance(runs, events.filter("k > 95"))
+    return quality.resolve_provenance(runs, telemetry(spark, d))
 
 
 # -- redaction --------------------------------------------------------------------------------
@@ -608,9 +621,9 @@ def iteration_report(spark, d):
     return rounds.iteration_report(round_(spark, d)).select("capture_id", "version", "score", "delta", "best_so_far", "is_best")
 
 
-@query(ROUNDS + f"SELECT capture_id, version, step FROM (SELECT capture_id, version, version - lag(version) {W} AS step FROM round WHERE version % 3 <> 1) WHERE step <> 1")
+@query(ROUNDS + f"SELECT capture_id, version, step FROM (SELECT capture_id, version, version - lag(version) {W} AS step FROM round) WHERE step <> 1")
 def version_check(spark, d):
-    return rounds.version_check(round_(spark, d).filter("version % 3 <> 1"))
+    return rounds.version_check(round_(spark, d))
 
 
 @query(ROUNDS + f"SELECT capture_id, version, lag(score) {W} AS before, coalesce(score > lag(score) {W}, false) AND score < 75 AS rose_on_failure, score >= 75 OR NOT coalesce(score > lag(score) {W}, false) AS trustworthy FROM round")
