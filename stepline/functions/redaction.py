@@ -1,12 +1,13 @@
 """Secret and personal data in columns: tests, in-text replacement, maps, URLs, reports.
 
-All are built-in expressions.  What a format alone decides is one ``regexp_replace``; what
-needs a check (card numbers, record ids, tokens with a header) is extracted, filtered and
-replaced, the longest first.
+All are built-in expressions.  Matches of each kind are extracted with their places, checked
+where a format is not enough (card numbers, record ids, tokens with a header), and replaced by
+place in one go.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -154,57 +155,97 @@ def redact_value(value: Column, field: Column, elem_type: Column | None = None,
     return F.when(value.isNull(), None).when(is_sensitive_field(field, None, elem_type), by_field).when(category.isNotNull(), replacement(value, category, policy)).otherwise(value)
 
 
-def _kinds(policy: Policy) -> list[tuple[str, str, object]]:
-    """(category, pattern, check), in the order of precedence."""
+@dataclass(frozen=True)
+class Kind:
+    """``hint``: what every match holds, so that texts without it skip the pattern."""
+
+    category: str
+    pattern: str
+    hint: str
+    check: Callable[[Column], Column] | None = None
+
+
+def _kinds(policy: Policy) -> list[Kind]:
+    """In the order of precedence among matches that start at one place."""
     kinds = [
-        ("sf_session_token", SESSION_TOKEN, None),
-        ("jwt", JWT, is_jwt),
-        ("private_key", PRIVATE_KEY, None),
-        ("aws_key", AWS_KEY, None),
-        ("github_token", GITHUB_TOKEN, None),
-        ("slack_token", SLACK_TOKEN, None),
-        ("bearer_token", BEARER, None),
-        ("credit_card", CARD, is_card),
-        ("ssn", SSN, None),
+        Kind("sf_session_token", SESSION_TOKEN, "00D"),
+        Kind("jwt", JWT, "eyJ", is_jwt),
+        Kind("private_key", PRIVATE_KEY, "PRIVATE KEY"),
+        Kind("aws_key", AWS_KEY, "A"),
+        Kind("github_token", GITHUB_TOKEN, "gh"),
+        Kind("slack_token", SLACK_TOKEN, "xox"),
+        Kind("bearer_token", BEARER, "Bearer"),
+        Kind("credit_card", CARD, "", is_card),
+        Kind("ssn", SSN, "-"),
     ]
     if policy.emails:
-        kinds.append(("email", EMAIL, None))
-    if policy.record_ids:
-        kinds.append(("record_id", RECORD_ID, lambda x: record_id_valid(x) & x.rlike("[0-9]") & x.rlike("^[a0-9]")))
+        kinds.append(Kind("email", EMAIL, "@"))
     if policy.phones:
-        kinds.append(("phone", PHONE, None))
+        kinds.append(Kind("phone", PHONE, ""))
+    if policy.record_ids:
+        kinds.append(Kind("sf_record_id", RECORD_ID, "", record_id_valid))
     return kinds
 
 
-def _matches(text: Column, pattern: str, check) -> Column:
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"({pattern})"), 1))
-    return found if check is None else F.filter(found, check)
+SPAN = "struct<start:int,rank:int,size:int,value:string,category:string>"
+
+
+def _found(text: Column, kind: Kind) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"({kind.pattern})"), 1)
+
+
+def _spans(text: Column, kind: Kind, rank: int) -> Column:
+    """Matches of one kind with their places: the text between them has the lengths that places are sums of."""
+    none = F.array().cast(f"array<{SPAN}>")
+    between = F.arrays_zip(F.split(text, kind.pattern).alias("gap"), _found(text, kind).alias("value"))
+
+    def step(acc, x):
+        start = acc["at"] + F.length(x["gap"])
+        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.length(x["value"]).alias("size"), x["value"].alias("value"), F.lit(kind.category).alias("category"))
+        return F.struct((start + F.coalesce(F.length(x["value"]), F.lit(0))).alias("at"), F.when(x["value"].isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], F.array(span))).alias("spans"))
+
+    spans = F.aggregate(between, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
+    spans = spans if kind.check is None else F.filter(spans, lambda x: kind.check(x["value"]))
+    return F.when(F.contains(text, F.lit(kind.hint)) & text.rlike(kind.pattern), spans).otherwise(none)
 
 
 def text_categories(text: Column, policy: Policy = Policy()) -> Column:
-    """All categories that the text holds, in the order of precedence."""
-    found = [F.when(F.size(_matches(text, p, check)) > 0, F.lit(c)) for c, p, check in _kinds(policy)]
-    return F.when(text.isNull(), F.array().cast("array<string>")).otherwise(F.filter(F.array(*found), lambda x: x.isNotNull()))
+    """All categories that the text holds, in the order of precedence, matches inside others included."""
+
+    def holds(kind):
+        hit = text.rlike(kind.pattern) if kind.check is None else F.exists(_found(text, kind), kind.check)
+        return F.when(F.contains(text, F.lit(kind.hint)) & hit, F.lit(kind.category))
+
+    return F.when(text.isNull(), F.array().cast("array<string>")).otherwise(F.filter(F.array(*map(holds, _kinds(policy))), lambda x: x.isNotNull()))
 
 
 def redact_text(text: Column, policy: Policy = Policy()) -> Column:
-    """The text with what it holds replaced, one category after the other.
+    """The text with what it holds replaced by place: of matches that overlap, the leftmost, then the kind of precedence.
 
-    Replacements hold no digits in the mask mode and no word that a later pattern matches, so
-    what is replaced stays so.  Longer matches go first, so that one inside another is not cut.
+    Each kind is looked for in the text as it was, so nothing that was put in is matched and an
+    equal string elsewhere stays.  A card is hashed by its digits; a record id keeps its prefix.
     """
-    def replaced(category, pattern, check):
-        def step(x):
-            found = F.array_sort(_matches(x, pattern, check), lambda a, b: F.length(b) - F.length(a))
-            return F.aggregate(found, x, lambda acc, y: F.replace(acc, y, replacement(y, category, policy)))
-
-        return step
-
-    out = text
-    for kind in _kinds(policy):
-        # bound to a lambda's variable, so that the expression grows by a step and not by a factor
-        out = F.get(F.transform(F.array(out), replaced(*kind)), F.lit(0))
-    return out
+
+    def put(span):
+        value = F.when(span["category"] == "credit_card", digits(span["value"])).otherwise(span["value"])
+        kept = F.when((span["category"] == "sf_record_id") & F.lit(policy.mode != "drop"), F.substring(span["value"], 1, 3)).otherwise("")
+        return F.concat(kept, replacement(value, span["category"], policy))
+
+    def leftmost(acc, x):
+        return F.when(x["start"] >= acc["end"], F.struct((x["start"] + x["size"]).alias("end"), F.concat(acc["spans"], F.array(F.struct(acc["end"].alias("after"), x.alias("span")))).alias("spans"))).otherwise(acc)
+
+    def whole(t):
+        spans = F.array_sort(F.concat(*[_spans(t, kind, i) for i, kind in enumerate(_kinds(policy))]))
+        first = F.struct(F.lit(0).alias("end"), F.array().cast(f"array<struct<after:int,span:{SPAN}>>").alias("spans"))
+
+        def written(acc):
+            parts = F.transform(acc["spans"], lambda x: F.concat(F.substring(t, x["after"] + 1, x["span"]["start"] - x["after"]), put(x["span"])))
+            return F.concat(F.array_join(parts, ""), F.substring(t, acc["end"] + 1, F.length(t)))
+
+        return F.aggregate(spans, first, leftmost, written)
+
+    # bound to a lambda's variable, so that the text is made once
+    return F.when(text.isNotNull(), F.get(F.transform(F.array(text), whole), F.lit(0)))
 
 
 def redact_map(values: Column, policy: Policy = Policy()) -> Column:

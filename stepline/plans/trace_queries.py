@@ -441,22 +441,27 @@ def resolve_provenance(spark, d):
 
 # -- redaction --------------------------------------------------------------------------------
 
-PLAIN = redaction.Policy(phones=False, record_ids=False)
 LUHN = """list_sum([CASE WHEN (length(x) - i) % 2 = 1 THEN CASE WHEN CAST(x[i] AS INT) * 2 > 9 THEN CAST(x[i] AS INT) * 2 - 9 ELSE CAST(x[i] AS INT) * 2 END ELSE CAST(x[i] AS INT) END for i in range(1, length(x) + 1)]) % 10 = 0"""
 CARDS = rf"""list_filter(list_transform(regexp_extract_all(text, '\b[0-9\s-]{{13,23}}\b'), lambda y: regexp_replace(y, '[\s-]', '', 'g')), lambda x: length(x) BETWEEN 13 AND 19 AND {LUHN})"""
-
-
-@query(rf"""SELECT doc_id, len({CARDS}) > 0 AS has_card, len(regexp_extract_all(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{{2,}}\b')) > 0 AS has_email FROM documents""")
+IDS = r"""list_filter(regexp_extract_all(text, '[\p{L}\p{N}\p{M}_]+'), lambda x: regexp_full_match(x, '[A-Za-z0-9]{15}') OR regexp_full_match(x, '[A-Za-z0-9]{18}') AND upper(x[16:18]) = list_aggregate([('ABCDEFGHIJKLMNOPQRSTUVWXYZ012345')[1 + list_sum([CASE WHEN x[5 * p + i + 1] BETWEEN 'A' AND 'Z' THEN 1 << i ELSE 0 END for i in range(0, 5)])::INT] for p in range(0, 3)], 'string_agg', ''))"""
+SSNS = r"""list_filter(regexp_extract_all(text, '\b[0-8][0-9]{2}-[0-9]{2}-[0-9]{4}\b'), lambda x: x[1:3] NOT IN ('000', '666') AND x[5:6] <> '00' AND x[8:11] <> '0000')"""
+#: Headers of tokens are of one block of base64 each or longer; those of the tables decode to text.
+JWTS = r"""list_filter(regexp_extract_all(text, '\beyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\b'), lambda x: contains(CAST(from_base64(rpad(translate(split_part(x, '.', 1), '-_', '+/'), CAST(4 * ceil(length(split_part(x, '.', 1)) / 4) AS INT), '=')) AS VARCHAR), '"alg"'))"""
+CATEGORIES = rf"""SELECT doc_id, unnest([CASE WHEN regexp_matches(text, '\b00D[A-Za-z0-9]{{12,15}}![A-Za-z0-9._-]+\b') THEN 'sf_session_token' END, CASE WHEN len({JWTS}) > 0 THEN 'jwt' END,
+  CASE WHEN regexp_matches(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----') THEN 'private_key' END, CASE WHEN regexp_matches(text, '\b(?:AKIA|ASIA)[A-Z0-9]{{16}}\b') THEN 'aws_key' END,
+  CASE WHEN regexp_matches(text, '\bgh[pousr]_[A-Za-z0-9]{{36,}}\b') THEN 'github_token' END, CASE WHEN regexp_matches(text, '\bxox[baprs]-[A-Za-z0-9-]+\b') THEN 'slack_token' END, CASE WHEN regexp_matches(text, '\bBearer\s+[A-Za-z0-9._-]{{20,}}\b') THEN 'bearer_token' END,
+  CASE WHEN len({CARDS}) > 0 THEN 'credit_card' END, CASE WHEN len({SSNS}) > 0 THEN 'ssn' END, CASE WHEN regexp_matches(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{{2,}}\b') THEN 'email' END,
+  CASE WHEN regexp_matches(text, '\b(\+?1[-.\s]?)?\(?\d{{3}}\)?[-.\s]?\d{{3}}[-.\s]?\d{{4}}\b') THEN 'phone' END, CASE WHEN len({IDS}) > 0 THEN 'sf_record_id' END]) AS category FROM documents"""
+
+
+@query(f"SELECT doc_id, category FROM ({CATEGORIES}) WHERE category IS NOT NULL")
 def secret_categories(spark, d):
-    found = read(spark, d, "documents").withColumn("c", redaction.text_categories(F.col("text"), PLAIN))
-    return found.select("doc_id", F.array_contains("c", "credit_card").alias("has_card"), F.array_contains("c", "email").alias("has_email"))
+    return read(spark, d, "documents").select("doc_id", F.explode(redaction.text_categories(F.col("text"))).alias("category"))
 
 
-@query(r"""SELECT doc_id, md5(regexp_replace(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b', '[REDACTED:email]', 'g')) AS digest FROM documents
-WHERE NOT regexp_matches(text, '\b[0-9\s-]{13,23}\b') AND NOT regexp_matches(text, '[0-9]{3}-[0-9]{2}-[0-9]{4}') AND NOT regexp_matches(text, 'AKIA|ASIA|eyJ|xox|gh[pousr]_|PRIVATE KEY|Bearer')""")
+@query()
 def redact_text(spark, d):
-    plain = read(spark, d, "documents").filter(~F.col("text").rlike(r"\b[0-9\s-]{13,23}\b") & ~F.col("text").rlike("[0-9]{3}-[0-9]{2}-[0-9]{4}") & ~F.col("text").rlike("AKIA|ASIA|eyJ|xox|gh[pousr]_|PRIVATE KEY|Bearer"))
-    return plain.select("doc_id", F.md5(redaction.redact_text(F.col("text"), PLAIN)).alias("digest"))
+    return read(spark, d, "documents").select("doc_id", F.md5(redaction.redact_text(F.col("text"))).alias("digest"))
 
 
 @query(r"""SELECT page_id, regexp_replace(url, '(?i)([?&#])(ref|page)=([^&#\s]+)', '\1\2=[REDACTED:url_credential]', 'g') AS url, regexp_matches(url, '(?i)[?&#](?:ref|page)=[^&#\s]+') AS hit FROM pages""")
@@ -464,9 +469,9 @@ def redact_url(spark, d):
     return read(spark, d, "pages").select("page_id", redaction.redact_url(F.col("url"), ("ref", "page")).alias("url"), redaction.url_has_credential(F.col("url"), ("ref", "page")).alias("hit"))
 
 
-@query(rf"""SELECT category, count(*) AS n FROM (SELECT unnest([CASE WHEN len({CARDS}) > 0 THEN 'credit_card' END, CASE WHEN regexp_matches(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{{2,}}\b') THEN 'email' END]) AS category FROM documents) WHERE category IS NOT NULL GROUP BY category""")
+@query(f"SELECT category, count(*) AS n FROM ({CATEGORIES}) WHERE category IS NOT NULL GROUP BY category")
 def redaction_report(spark, d):
-    found = read(spark, d, "documents").withColumn("c", F.filter(redaction.text_categories(F.col("text"), PLAIN), lambda x: x.isin("credit_card", "email")))
+    found = read(spark, d, "documents").withColumn("c", redaction.text_categories(F.col("text")))
     return redaction.redaction_report(found, "c")
 
 
