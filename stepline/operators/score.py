@@ -71,6 +71,32 @@ def gate(score: Column, n_blockers: Column) -> dict[str, Column]:
     return {"passed": (score >= PASSING) & (n_blockers == 0), "band": band(score), "display": F.when(n_blockers > 0, F.least(score, F.lit(DISPLAY_CAP))).otherwise(score)}
 
 
+#: Weights of the facts of a run, and the limits of its gate.
+RUN_WEIGHTS = {"preflight_ok": 10, "execution_ok": 15, "telemetry_ok": 15, "artifacts_ok": 15, "negative_tests_ok": 10, "evidence_is_real_ok": 20, "spec_derived_ok": 15}
+RUN_PASSING, RUN_MODERATE = 85, 60
+TOLD_FACTS = ("preflight_ok", "execution_ok", "telemetry_ok", "artifacts_ok", "negative_tests_ok")
+
+
+def run_gate(runs: DataFrame, scored: DataFrame, keys=KEYS) -> DataFrame:
+    """One row a run: gate_score, gate_band, gate_passed and what blocks it.
+
+    ``runs``: the facts that a run tells of itself, critical_issue and output (its text).
+    ``scored``: passed and blockers of its specification.  A run passes only if its specification
+    does; one without a specification does not.
+    """
+    specs = scored.select(*keys, F.col("passed").alias("_passed"), F.col("blockers").alias("_blockers"))
+    found = runs.join(specs, keys, "left").withColumn("_marks", placeholder_scan(F.col("output")))
+    ok = F.coalesce(F.col("_passed"), F.lit(False)) & (F.coalesce(F.size("_blockers"), F.lit(0)) <= 0)
+    facts = {name: F.col(name) for name in TOLD_FACTS} | {"evidence_is_real_ok": F.size("_marks") == 0, "spec_derived_ok": ok}
+    points = weighted_gate({name: (flag, RUN_WEIGHTS[name]) for name, flag in facts.items()})
+    of_spec = F.when(F.col("_passed").isNull(), F.array(F.lit("no specification"))).when(ok, F.array().cast("array<string>")).when(F.size("_blockers") > 0, F.col("_blockers")).otherwise(F.array(F.lit("specification not passed")))
+    of_run = F.array(F.when(F.coalesce("critical_issue", F.lit(False)), F.lit("critical issue")), F.when(F.size("_marks") > 0, F.lit("placeholder")))
+    blocking = F.concat(F.filter(of_run, lambda x: x.isNotNull()), of_spec)
+    gated = found.select(*keys, points.alias("gate_score"), blocking.alias("blocking"))
+    name = F.when(F.col("gate_score") >= RUN_PASSING, "high").when(F.col("gate_score") >= RUN_MODERATE, "medium").otherwise("low")
+    return gated.withColumns({"gate_band": name, "gate_passed": (F.col("gate_score") >= RUN_PASSING) & (F.size("blocking") == 0)})
+
+
 def honesty(confidence: Column, n_unknowns: Column, has_gaps: Column) -> Column:
     """0 to 20.  High confidence over gaps is worth nothing; low confidence that says what is unknown is worth all.
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from stepline.functions.naming import camel_name
 from stepline.operators.records import SYSTEM_FIELDS
-from stepline.operators.score import MARKERS, band, honesty, provenance
+from stepline.operators.score import MARKERS, band, content_signature, honesty, provenance
 
 KEYS = ["capture_id"]
 EVIDENCE = "array<struct<source:string,detail:string>>"
@@ -113,6 +113,18 @@ def unknowns(n_redacted: Column, ambiguous: Column, has_object: Column, n_entiti
     return F.concat(shown, F.filter(F.array(*rules), lambda x: x.isNotNull()))
 
 
+def evidence_trail(layers: Column, n_actions: Column, objects: Column) -> Column:
+    """What the run itself showed: layers, number of actions, objects; ``layers`` and ``objects`` sorted arrays, null for none."""
+    entry = lambda source, detail: F.struct(F.lit(source).alias("source"), detail.alias("detail"))
+    listed = lambda text, names: F.concat(F.lit(text), F.array_join(names, ", "))
+    trail = F.array(
+        F.when(F.size(layers) > 0, entry("telemetry", listed("backend layers observed: ", layers))),
+        entry("extraction", F.concat(F.coalesce(n_actions, F.lit(0)).cast("string"), F.lit(" action(s) in recording"))),
+        F.when(F.size(objects) > 0, entry("data-delta", listed("objects mutated: ", objects))),
+    )
+    return F.filter(trail, lambda x: x.isNotNull())
+
+
 # -- score --------------------------------------------------------------------------------------
 
 
@@ -181,11 +193,26 @@ def testability(spec_entities: Column, failures: Column) -> Column:
     return F.when(F.coalesce(explicit, F.lit(False)), 5).otherwise(0) + F.when(F.coalesce(observed, F.lit(False)), 5).otherwise(0)
 
 
+def names_nothing(spec_entities: Column, lines: Column) -> Column:
+    """There are names of four letters or more of what was observed, and no line holds one."""
+    told = F.lower(F.array_join(lines, " "))
+    fields = F.transform(F.filter(spec_entities, lambda e: e["field_api_name"] != "Id"), lambda e: e["field_api_name"])
+    names = F.transform(F.filter(spec_entities, lambda e: e["name"] != "recordId"), lambda e: e["name"])
+    long = F.filter(F.concat(fields, names), lambda n: F.length(n) >= 4)
+    return (F.size(long) > 0) & ~F.exists(long, lambda n: F.contains(told, F.lower(n)))
+
+
+def says_twice(lines: Column) -> Column:
+    """Different lines have the same content words."""
+    signed = F.filter(F.transform(F.array_distinct(F.transform(lines, lambda s: F.trim(s))), lambda s: content_signature(s)), lambda x: x.isNotNull())
+    return F.size(F.array_distinct(signed)) < F.size(signed)
+
+
 def score_spec(specs: DataFrame) -> DataFrame:
     """Adds a column for each dimension, total, blockers, passed, band, display and recommendations.
 
     ``specs``: intent, confidence, objects_touched, entities, orchestration_steps, guardrails,
-    failure_handling, unknowns, extraction_source, telemetry_source.
+    failure_handling, unknowns, evidence (the run's trail), extraction_source, telemetry_source.
     """
     c = F.col
     text = F.concat_ws("\n", "intent", "orchestration_steps", "guardrails", "failure_handling")
@@ -204,7 +231,7 @@ def score_spec(specs: DataFrame) -> DataFrame:
         }
     )
     hollow = lambda d: c(d) <= POINTS[d] * 0.1
-    weak = sum(((c(d) <= POINTS[d] * 0.5).cast("int") for d in POINTS if d not in ("testability", "provenance")), F.lit(0))
+    weak = sum(((c(d) <= POINTS[d] * 0.5).cast("int") for d in POINTS if d != "provenance"), F.lit(0))
     lines = F.concat("orchestration_steps", "guardrails")
     filler = F.size(F.filter(lines, is_filler)) / F.greatest(F.size(lines), F.lit(1))
     rules = {
@@ -216,7 +243,11 @@ def score_spec(specs: DataFrame) -> DataFrame:
         "placeholder": marked,
         "provenance": source["blocked"],
         "filler": filler > FILLER_SHARE,
-        "threshold surfing": (weak >= 2) & (sum((c(d) for d in POINTS), F.lit(0)) >= PASSING),
+        "threshold surfing": weak >= 2,
+        "empty trail": F.coalesce(F.size("evidence"), F.lit(0)) <= 0,
+        "names nothing observed": names_nothing(c("entities"), lines),
+        "near-duplicate steps": says_twice(c("orchestration_steps")),
+        "near-duplicate guardrails": says_twice(c("guardrails")),
     } | {f"hollow {d}": hollow(d) for d in POINTS if d not in ("testability", "provenance")}
     blockers = F.filter(F.array(*[F.when(F.coalesce(x, F.lit(False)), F.lit(name)) for name, x in rules.items()]), lambda x: x.isNotNull())
     advice = {"grounding": "resolve evidence", "completeness": "fill the empty sections", "honesty": "declare what is unknown", "specificity": "name what is done", "testability": "record a failing variant", "placeholders": "replace placeholders", "provenance": "state real sources"}

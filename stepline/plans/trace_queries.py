@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stepline.functions import naming, redaction
-from stepline.operators import actions, correlate, evaluate, ordering, quality, records, reduce, rounds, score, selectors, specs
+from stepline.operators import actions, correlate, evaluate, ordering, prompts, quality, records, reduce, rounds, score, selectors, specs
 from stepline.plans import bindings
 from stepline.plans.bindings import duck, read
 from stepline.plans.registry import ORACLES, QUERIES
@@ -787,11 +787,12 @@ def spec_frame(spark, d):
     rolled = found.groupBy("capture_id", "sequence").agg(F.array_sort(F.collect_set("field")).alias("layers")).withColumn("fields", F.col("layers"))
     first = specs.first_objects(found)
     steps = specs.orchestration_steps(action(spark, d).select("capture_id", "sequence", F.lit("act").alias("action_type"), F.col("step_id").alias("target")), rolled, first)
-    layers = found.groupBy("capture_id").agg(F.array_sort(F.collect_set("field")).alias("_layers"))
+    layers = found.groupBy("capture_id").agg(F.array_sort(F.collect_set("field")).alias("_layers"), F.array_sort(F.collect_set("object_name")).alias("_objects"))
+    counted = action(spark, d).groupBy("capture_id").agg(F.count("*").alias("_n"))
     bad = resolved(spark, d).filter("status = 'error'").select("capture_id", F.col("event_no").alias("sequence"), "layer", F.lit("seen").alias("reason"))
     failures = specs.failure_handling(bad, captures)
     none = F.array().cast("array<string>")
-    joined = captures.join(entities, "capture_id", "left").join(steps, "capture_id", "left").join(first, "capture_id", "left").join(layers, "capture_id", "left").join(failures, "capture_id", "left")
+    joined = captures.join(entities, "capture_id", "left").join(steps, "capture_id", "left").join(first, "capture_id", "left").join(layers, "capture_id", "left").join(failures, "capture_id", "left").join(counted, "capture_id", "left")
     return joined.select(
         "capture_id",
         F.concat(F.lit("Update "), F.coalesce("first_object", F.lit("UNRESOLVED:")), F.lit(" record fields")).alias("intent"),
@@ -802,6 +803,7 @@ def spec_frame(spark, d):
         specs.guardrails(F.col("first_object"), F.coalesce("_layers", none), F.coalesce("_layers", none)).alias("guardrails"),
         "failure_handling",
         specs.unknowns(F.lit(0), none, F.col("first_object").isNotNull(), F.size(F.coalesce("entities", F.array().cast("array<struct<name:string,object_api_name:string,field_api_name:string,evidence:array<struct<source:string,detail:string>>>>"))), F.size(F.coalesce("_layers", none))).alias("unknowns"),
+        specs.evidence_trail(F.col("_layers"), F.col("_n"), F.col("_objects")).alias("evidence"),
         F.lit("dom-capture").alias("extraction_source"),
         F.when(F.col("first_object").isNotNull(), "live-org").otherwise("unavailable").alias("telemetry_source"),
     )
@@ -815,3 +817,88 @@ def score_spec(spark, d):
 @query()
 def derive_test_cases(spark, d):
     return specs.test_cases(spec_frame(spark, d))
+
+
+@query(CHANGES + """SELECT a.capture_id, concat_ws(chr(10), 'telemetry: backend layers observed: ' || l, 'extraction: ' || n || ' action(s) in recording', 'data-delta: objects mutated: ' || ob) AS trail
+FROM (SELECT capture_id, count(*) AS n FROM action GROUP BY 1) a LEFT JOIN (SELECT capture_id, string_agg(DISTINCT field, ', ' ORDER BY field) AS l, string_agg(DISTINCT object_name, ', ' ORDER BY object_name) AS ob FROM ch GROUP BY 1) USING (capture_id)""")
+def evidence_trail(spark, d):
+    seen = changes(spark, d).groupBy("capture_id").agg(F.array_sort(F.collect_set("field")).alias("layers"), F.array_sort(F.collect_set("object_name")).alias("objects"))
+    counted = action(spark, d).groupBy("capture_id").agg(F.count("*").alias("n"))
+    trail = specs.evidence_trail(F.col("layers"), F.col("n"), F.col("objects"))
+    return counted.join(seen, "capture_id", "left").select("capture_id", F.array_join(F.transform(trail, lambda x: F.concat(x["source"], F.lit(": "), x["detail"])), "\n").alias("trail"))
+
+
+# -- what an agent is told --------------------------------------------------------------------------
+
+BRIEF = """WITH en AS (SELECT l_orderkey AS capture_id, list(struct_pack(name := name, field := nullif(field, '')) ORDER BY ln, name, field) AS entities FROM (SELECT l_orderkey, l_linenumber AS ln,
+  CASE WHEN l_linenumber = 1 THEN 'recordId' WHEN l_quantity > 25 THEN 'F' ELSE 'f' END || CASE WHEN l_linenumber = 1 THEN '' ELSE 'ield' || CAST(l_linenumber % 3 AS VARCHAR) END AS name, CASE WHEN l_returnflag = 'N' THEN '' ELSE 'Field' || CAST(l_linenumber AS VARCHAR) END AS field FROM lineitem) GROUP BY 1),
+b AS (SELECT o_orderkey AS capture_id, CASE WHEN o_orderkey % 7 = 0 THEN 'UNRESOLVED: ' || o_orderpriority WHEN o_orderkey % 13 = 0 THEN '(' || o_orderstatus || ')' ELSE CASE WHEN o_orderkey % 3 = 0 THEN 'Close ' ELSE 'Update ' END || o_orderpriority || ' (' || o_orderstatus || ')' END AS intent,
+  (o_orderkey % 10) / 10.0 AS confidence, CASE WHEN o_orderkey % 4 <> 0 THEN ['Order'] ELSE [] END AS objects_touched, coalesce(entities, []) AS entities,
+  CASE WHEN o_orderkey % 5 = 0 THEN [] ELSE ['open ' || o_orderpriority, 'save ' || o_orderstatus] END AS steps, CASE WHEN o_orderkey % 6 = 0 THEN [] ELSE ['ask before ' || o_orderstatus] END AS rails,
+  CASE WHEN o_orderkey % 2 = 0 THEN ['No failures were observed'] ELSE ['Observed flow failure'] END AS failures, CASE WHEN o_orderkey % 8 = 0 THEN ['who may do it'] ELSE [] END AS unknowns
+  FROM orders LEFT JOIN en ON en.capture_id = o_orderkey)
+"""
+
+
+def brief(spark, d):
+    """Orders as specifications, their line items as entities."""
+    line = F.col("l_linenumber").cast("string")
+    name = F.when(F.col("l_linenumber") == 1, "recordId").otherwise(F.concat(F.when(F.col("l_quantity") > 25, "F").otherwise("f"), F.lit("ield"), (F.col("l_linenumber") % 3).cast("string")))
+    field = F.when(F.col("l_returnflag") == "N", "").otherwise(F.concat(F.lit("Field"), line))
+    found = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("ln"), name.alias("name"), field.alias("field")))).alias("e"))
+    entities = F.transform(F.coalesce("e", F.array().cast("array<struct<ln:int,name:string,field:string>>")), lambda x: F.struct(x["name"].alias("name"), F.lit("Order").alias("object_api_name"), F.nullif(x["field"], F.lit("")).alias("field_api_name")))
+    key, texts = F.col("o_orderkey"), lambda c, *lines: F.when(c, F.array(*lines)).otherwise(F.array().cast("array<string>"))
+    ended = F.concat(F.lit("("), "o_orderstatus", F.lit(")"))
+    asked = F.concat(F.when(key % 3 == 0, "Close ").otherwise("Update "), "o_orderpriority", F.lit(" "), ended)
+    return read(spark, d, "orders").join(found, "o_orderkey", "left").select(
+        key.alias("capture_id"),
+        F.when(key % 7 == 0, F.concat(F.lit("UNRESOLVED: "), "o_orderpriority")).when(key % 13 == 0, ended).otherwise(asked).alias("intent"),
+        ((key % 10) / 10.0).alias("confidence"),
+        texts(key % 4 != 0, F.lit("Order")).alias("objects_touched"),
+        entities.alias("entities"),
+        texts(key % 5 != 0, F.concat(F.lit("open "), "o_orderpriority"), F.concat(F.lit("save "), "o_orderstatus")).alias("orchestration_steps"),
+        texts(key % 6 != 0, F.concat(F.lit("ask before "), "o_orderstatus")).alias("guardrails"),
+        F.array(F.when(key % 2 == 0, "No failures were observed").otherwise("Observed flow failure")).alias("failure_handling"),
+        texts(key % 8 == 0, F.lit("who may do it")).alias("unknowns"),
+    )
+
+
+@query(BRIEF + """, t AS (SELECT *, list_sort(list_distinct(list_transform(list_filter(entities, lambda e: e.field IS NOT NULL)[1:5], lambda e: e.name))) AS collected FROM b)
+SELECT capture_id, nullif(concat_ws(', ', CASE WHEN intent LIKE 'UNRESOLVED:%' THEN 'intent unresolved' END, CASE WHEN confidence < 0.4 THEN 'confidence too low' END, CASE WHEN len(objects_touched) = 0 THEN 'no object' END), '') AS refused_reason,
+CASE WHEN intent LIKE 'UNRESOLVED:%' THEN '[NEEDS EVIDENCE: role could not be derived — intent is unresolved]' ELSE intent || CASE WHEN len(collected) > 0 THEN ' Collect: ' || array_to_string(collected, ', ') || '.' ELSE '' END || ' Confirm before writing, and report the result.' END AS role,
+CASE WHEN intent LIKE 'UNRESOLVED:%' THEN '[NEEDS EVIDENCE: topic could not be derived — intent is unresolved]' ELSE
+  concat_ws(chr(10), CASE WHEN len(steps) > 0 THEN 'Process:' || chr(10) || '- ' || array_to_string(steps, chr(10) || '- ') END, CASE WHEN len(rails) > 0 THEN chr(10) || 'Guardrails:' || chr(10) || '- ' || array_to_string(rails, chr(10) || '- ') END, CASE WHEN failures[1] NOT LIKE 'No failures%' THEN chr(10) || 'Error handling:' || chr(10) || '- ' || failures[1] END) END AS topic_description,
+concat_ws(chr(10), CASE WHEN len(steps) > 0 THEN 'Follow these steps:' || chr(10) || '1. ' || steps[1] || chr(10) || '2. ' || steps[2] ELSE '[NEEDS EVIDENCE: No orchestration steps observed in the recording.]' || chr(10) || 'Add instructions for how to process this request.' END,
+  CASE WHEN len(entities) > 0 THEN 'Required entities: ' || array_to_string(list_transform(entities, lambda e: e.name), ', ') END, CASE WHEN len(rails) > 0 THEN chr(10) || 'Constraints:' || chr(10) || '  - ' || rails[1] END, chr(10) || 'Error handling:' || chr(10) || '  - ' || failures[1],
+  CASE WHEN len(unknowns) > 0 THEN chr(10) || '[NEEDS EVIDENCE: The following was not observed in the recording:]' || chr(10) || '  - ' || unknowns[1] END) AS instructions FROM t""")
+def agent_texts(spark, d):
+    return prompts.agent_texts(brief(spark, d)).select("capture_id", "refused_reason", "role", "topic_description", "instructions")
+
+
+@query(BRIEF + """, e AS (SELECT capture_id, nullif(trim(regexp_replace(intent, '\\s*\\([^)]*\\)\\s*$', '')), '') AS base, unnest(entities).name AS name, generate_subscripts(entities, 1) AS i FROM b),
+u AS (SELECT capture_id, any_value(base) AS base, min(i) AS i, lower(name) AS key, arg_min(name, i) AS name FROM e GROUP BY capture_id, lower(name)),
+ph AS (SELECT b.capture_id, nullif(trim(regexp_replace(b.intent, '\\s*\\([^)]*\\)\\s*$', '')), '') AS base, string_agg('{' || u.name || '}', ' ' ORDER BY u.i) FILTER (u.name <> 'recordId') AS places, arg_min(u.name, u.i) FILTER (u.name <> 'recordId') AS field, coalesce(bool_or(u.name = 'recordId'), false) AS has FROM b LEFT JOIN u ON u.capture_id = b.capture_id GROUP BY ALL),
+om AS (SELECT e.capture_id, e.i, e.name, o.name AS other, o.i AS pl, row_number() OVER (PARTITION BY e.capture_id, e.i, lower(o.name) ORDER BY o.i) AS k FROM e LEFT JOIN e o ON o.capture_id = e.capture_id AND o.name <> e.name),
+ot AS (SELECT capture_id, i, name, string_agg('{' || other || '}', ' ' ORDER BY pl) FILTER (other <> 'recordId' AND k = 1) AS places FROM om GROUP BY ALL)
+SELECT capture_id, 'phrase' AS kind, NULL AS entity, CASE WHEN base IS NULL THEN '[NEEDS EVIDENCE: no intent observed]' WHEN has AND contains(lower(base), 'update') AND field IS NOT NULL THEN 'Update the ' || field || ' on order {recordId} to {' || field || '}' ELSE trim(base || ' ' || coalesce(places, '')) END AS utterance FROM ph
+UNION ALL SELECT ot.capture_id, 'omit', ot.name, CASE WHEN ph.base IS NULL THEN '[NEEDS EVIDENCE: no intent observed]' ELSE trim(ph.base || ' ' || coalesce(ot.places, '')) END FROM ot JOIN ph USING (capture_id)
+UNION ALL SELECT capture_id, 'invalid', NULL, coalesce(base, '[NEEDS EVIDENCE: no intent observed]') || CASE WHEN has AND base IS NOT NULL THEN ' {recordId} with an invalid value that will fail validation' ELSE ' with an invalid value' END FROM ph""")
+def utterances(spark, d):
+    return prompts.utterances(brief(spark, d)).drop("case_no")
+
+
+@query()
+def refined_role(spark, d):
+    return prompts.refined_role(specs.score_spec(spec_frame(spark, d))).select("capture_id", "refined_role")
+
+
+@query("""WITH r AS (SELECT *, o_orderkey % 11 <> 0 AS spec, o_totalprice > 50000 AS passed, o_orderkey % 9 = 0 AS padding, o_orderpriority = '5-LOW' AS todo FROM orders),
+g AS (SELECT *, CASE WHEN o_orderkey % 3 <> 0 THEN 10 ELSE 0 END + CASE WHEN o_orderstatus <> 'P' THEN 15 ELSE 0 END + 15 + CASE WHEN o_orderkey % 10 <> 0 THEN 15 ELSE 0 END + 10 + CASE WHEN todo THEN 0 ELSE 20 END + CASE WHEN spec AND passed AND NOT padding THEN 15 ELSE 0 END AS s,
+  concat_ws(',', CASE WHEN o_orderkey % 17 = 0 THEN 'critical issue' END, CASE WHEN todo THEN 'placeholder' END, CASE WHEN NOT spec THEN 'no specification' WHEN padding THEN 'padding' WHEN NOT passed THEN 'specification not passed' END) AS blocking FROM r)
+SELECT o_orderkey AS capture_id, s AS gate_score, CASE WHEN s >= 85 THEN 'high' WHEN s >= 60 THEN 'medium' ELSE 'low' END AS gate_band, s >= 85 AND blocking = '' AS gate_passed, blocking FROM g""")
+def run_gate(spark, d):
+    rows, key = read(spark, d, "orders").withColumn("capture_id", F.col("o_orderkey")), F.col("o_orderkey")
+    facts = {"preflight_ok": key % 3 != 0, "execution_ok": F.col("o_orderstatus") != "P", "telemetry_ok": F.lit(True), "artifacts_ok": key % 10 != 0, "negative_tests_ok": F.lit(True), "critical_issue": key % 17 == 0, "output": F.when(F.col("o_orderpriority") == "5-LOW", "TODO").otherwise(F.col("o_orderpriority"))}
+    scored = rows.filter(key % 11 != 0).select("capture_id", (F.col("o_totalprice") > 50000).alias("passed"), F.when(key % 9 == 0, F.array(F.lit("padding"))).otherwise(F.array().cast("array<string>")).alias("blockers"))
+    gated = score.run_gate(rows.select("capture_id", *[c.alias(k) for k, c in facts.items()]), scored)
+    return gated.withColumn("blocking", F.array_join("blocking", ","))

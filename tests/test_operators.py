@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stepline.functions import naming, redaction
-from stepline.operators import actions, correlate, evaluate, ordering, quality, reduce, rounds, score, selectors, specs
+from stepline.operators import actions, correlate, evaluate, ordering, prompts, quality, reduce, rounds, score, selectors, specs
 from stepline.sources import captures, sinks
 from stepline.streaming import traces
 
@@ -411,10 +411,11 @@ GOOD = {
     "guardrails": ["Enforce field-level security on Case for the user", "Require explicit user confirmation before writing: Status"],
     "failure_handling": ["Observed validation failure during recording: bad value"],
     "unknowns": ["none declared"],
+    "evidence": [{"source": "extraction", "detail": "3 action(s) in recording"}],
     "extraction_source": "dom-capture",
     "telemetry_source": "live-org",
 }
-SPEC = "intent string, confidence double, objects_touched array<string>, entities array<struct<name:string,object_api_name:string,field_api_name:string,evidence:array<struct<source:string,detail:string>>>>, orchestration_steps array<string>, guardrails array<string>, failure_handling array<string>, unknowns array<string>, extraction_source string, telemetry_source string"
+SPEC = "intent string, confidence double, objects_touched array<string>, entities array<struct<name:string,object_api_name:string,field_api_name:string,evidence:array<struct<source:string,detail:string>>>>, orchestration_steps array<string>, guardrails array<string>, failure_handling array<string>, unknowns array<string>, evidence array<struct<source:string,detail:string>>, extraction_source string, telemetry_source string"
 
 
 def scored(spark, *changes):
@@ -457,3 +458,40 @@ def test_improving_removes_repeats_and_vague_words(spark):
     assert r.intent == "Do with Case" and r.guardrails == ["Ask first", "Stop"]
     kinds = [x.kind for x in specs.test_cases(df.withColumn("capture_id", F.lit(1))).orderBy("case_no").collect()]
     assert kinds == ["happy", "missing", "missing", "confirmation", "scope", "failure"]
+
+
+def test_blockers_of_trail_narrative_and_repeats(spark):
+    good, bare, apart, twice, rules = scored(
+        spark,
+        {},
+        {"evidence": None},
+        {"orchestration_steps": ["do the whole thing here", "then do it once more"], "guardrails": ["always be careful with it"]},
+        {"orchestration_steps": ["Resolve the Case Status now", "Resolve the Case Status here"]},
+        {"guardrails": ["Please handle Status input safely", "Please handle Status input safely."]},
+    )
+    assert good.blockers == [] and bare.blockers == ["empty trail"]
+    assert "names nothing observed" in apart.blockers and not apart.passed
+    assert twice.blockers == ["near-duplicate steps"] and rules.blockers == ["near-duplicate guardrails"]
+
+
+def test_what_an_agent_is_told(spark):
+    r = prompts.agent_texts(spark.createDataFrame([GOOD], SPEC)).first()
+    assert r.refused_reason is None and r.topic == "Update_Case_Status_And_Priority"
+    assert r.role == "Update Case status and priority Collect: priority, recordId, status. Confirm before writing, and report the result."
+    assert r.instructions.startswith("Follow these steps:\n1. Resolve and load") and "\nRequired entities: status, priority, recordId\n" in r.instructions
+    r = prompts.agent_texts(spark.createDataFrame([GOOD | {"intent": "UNRESOLVED: ", "confidence": None, "objects_touched": []}], SPEC)).first()
+    assert r.refused_reason == "intent unresolved, confidence too low, no object" and r.topic == "Unresolved_Topic" and r.role.startswith("[NEEDS EVIDENCE")
+
+
+def test_utterances(spark):
+    df = spark.createDataFrame([GOOD | {"intent": "Update Case (Status)"}, GOOD | {"intent": " (x)", "entities": []}], SPEC).withColumn("capture_id", F.monotonically_increasing_id())
+    rows = [(r.kind, r.utterance) for r in prompts.utterances(df).orderBy("capture_id", "case_no").collect()]
+    assert rows[0] == ("phrase", "Update the status on case {recordId} to {status}") and rows[1] == ("omit", "Update Case {priority}")
+    assert rows[4] == ("invalid", "Update Case {recordId} with an invalid value that will fail validation")
+    assert rows[5:] == [("phrase", "[NEEDS EVIDENCE: no intent observed]"), ("invalid", "[NEEDS EVIDENCE: no intent observed] with an invalid value")]
+
+
+def test_a_role_takes_up_what_the_score_names(spark):
+    df = spark.createDataFrame([GOOD, GOOD | {"guardrails": [], "failure_handling": []}], SPEC)
+    good, bad = (r.refined_role for r in prompts.refined_role(specs.score_spec(df)).collect())
+    assert good.endswith("conversationally.") and "Enforce field-level security" in bad and "surface errors clearly" in bad
