@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from stepline.functions.naming import camel_name
 from stepline.operators.records import SYSTEM_FIELDS
+from stepline.operators.rounds import pick_best
 from stepline.operators.score import MARKERS, band, content_signature, honesty, provenance
 
 KEYS = ["capture_id"]
@@ -292,6 +293,26 @@ def offline_improve(specs: DataFrame) -> DataFrame:
     return specs.withColumns({"intent": F.when(plain != "", plain).otherwise(F.col("intent")), "orchestration_steps": once("orchestration_steps"), "guardrails": once("guardrails")})
 
 
+def refine(specs: DataFrame, keys=KEYS) -> DataFrame:
+    """The better of each specification as it is (version 1) and improved (version 2), scored, with the reason to stop.
+
+    Improving what is improved changes nothing, so a third version would be the second: all captures
+    are through after one round.  Without blockers goes before the score, then the earlier version.
+    """
+    changed = ("intent", "orchestration_steps", "guardrails")
+    # one row in, two out: no second scan of what the specifications were made from
+    old = F.struct(F.lit(1).alias("version"), *[F.col(c) for c in changed])
+    new = F.struct(F.lit(2).alias("version"), *[F.col(f"_{c}").alias(c) for c in changed])
+    wide = offline_improve(specs.withColumns({f"_old_{c}": F.col(c) for c in changed})).withColumns({f"_{c}": F.col(c) for c in changed}).withColumns({c: F.col(f"_old_{c}") for c in changed})
+    kept = [c for c in specs.columns if c not in changed]
+    versions = wide.select(*kept, F.explode(F.array(old, new)).alias("_v")).select(*kept, "_v.*")
+    scored = score_spec(versions).withColumn("blocked", F.size("blockers") > 0)
+    first = F.max(F.when(F.col("version") == 1, F.col("total"))).over(Window.partitionBy(*keys))
+    last = F.max(F.when(F.col("version") == 2, F.col("total"))).over(Window.partitionBy(*keys))
+    told = scored.withColumn("stop_reason", F.when(F.max("passed").over(Window.partitionBy(*keys)), "passed").when(last < first, "regression").otherwise("converged"))
+    return pick_best(told, keys, "version", "total", "blocked").drop("blocked")
+
+
 def run_summary(counts: list[DataFrame], keys=KEYS) -> DataFrame:
     """One row a run, from one-row-a-run frames."""
     out = counts[0]

@@ -887,6 +887,11 @@ def utterances(spark, d):
     return prompts.utterances(brief(spark, d)).drop("case_no")
 
 
+@query()
+def refine(spark, d):
+    return specs.refine(spec_frame(spark, d)).select("capture_id", "version", "total", "passed", "stop_reason")
+
+
 @query()
 def refined_role(spark, d):
     return prompts.refined_role(specs.score_spec(spec_frame(spark, d))).select("capture_id", "refined_role")

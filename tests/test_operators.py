@@ -495,3 +495,11 @@ def test_a_role_takes_up_what_the_score_names(spark):
     df = spark.createDataFrame([GOOD, GOOD | {"guardrails": [], "failure_handling": []}], SPEC)
     good, bad = (r.refined_role for r in prompts.refined_role(specs.score_spec(df)).collect())
     assert good.endswith("conversationally.") and "Enforce field-level security" in bad and "surface errors clearly" in bad
+
+
+def test_refining_keeps_the_better_version(spark):
+    rows = [GOOD | {"capture_id": 1}, GOOD | {"capture_id": 2, "guardrails": GOOD["guardrails"] + GOOD["guardrails"][:1]}, GOOD | {"capture_id": 3, "objects_touched": []}]
+    got = {r.capture_id: r for r in specs.refine(spark.createDataFrame(rows, SPEC + ", capture_id int")).collect()}
+    assert (got[1].version, got[1].stop_reason, got[1].total) == (1, "passed", 100)
+    assert (got[2].version, got[2].stop_reason, got[2].guardrails) == (2, "passed", GOOD["guardrails"])
+    assert (got[3].version, got[3].stop_reason, got[3].passed) == (1, "converged", False)
