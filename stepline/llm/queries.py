@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepline.llm import chat, decontaminate, lm_scoring, mix, near_dup, quality, secrets, shard, toxicity, warc
+from stepline.llm import chat, decontaminate, lm_scoring, merkle, minhash, mix, near_dup, quality, ranked, secrets, shard, toxicity, warc
 from stepline.llm.common import table
 
 #: The chain's order: a document of low quality first, as that helps to tell what toxicity is not.
@@ -68,6 +68,29 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("toxic", F.col("p_toxic") >= 0.5)
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: What a leaf of the manifest is made of, in this order.
+LEAF_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = merkle.leaf(*[F.translate(c, UPPER, LOWER) if c == "text" else F.col(c) for c in LEAF_FIELDS])
+    is_tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    leaves = docs.select("doc_id", "lang", merkle.leaf(*map(F.col, LEAF_FIELDS)).alias("leaf"), F.when(is_tampered, tampered).alias("claimed"))
+    proofs = merkle.manifest(leaves, "lang", "doc_id")
+    found = proofs.withColumn("proof_sha256", F.sha2(merkle.siblings(F.col("path")), 256)).withColumn("folded_root", merkle.folded(F.coalesce("claimed", "leaf"), F.col("path")))
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 _WEIGHED_TIME = """CASE weight
     WHEN 5 THEN CASE WHEN {0} < 0.625 THEN least({0} * 2 / (sqrt(1.5 * 1.5 + {0} * 2 * -1.0) + 1.5), 0.5) ELSE least(0.5 + greatest({0} - 0.625, 0) * 2 / (sqrt(1.0 + greatest({0} - 0.625, 0) * 2 * -1.0) + 1.0), 1.0) END
     WHEN 2 THEN {0}
@@ -120,5 +143,82 @@ k AS (SELECT *, strlen(html) AS n, max(page_id) OVER (PARTITION BY html) AS last
 SELECT page_id, n::BIGINT AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN n >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN n >= 1000 AND page_id <> last THEN last END AS refers_to FROM k"""
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_decontaminate, op3_mix, op4_shard, op5_secrets, op6_near_dup, op7_chat, op8_warc, op9_quality, op10_toxicity)}
-ORACLES = {"op3_mix": MIX_SQL, "op7_chat": CHAT_SQL, "op8_warc": WARC_SQL}
+MINHASH_SQL = r"""WITH RECURSIVE w AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+s AS MATERIALIZED (
+  SELECT r, doc_id, CASE WHEN len(ws) = 0 THEN [] ELSE list_sort(list_distinct([array_to_string(ws[i:i + 3], ' ') FOR i IN range(1, greatest(len(ws) - 3, 1) + 1)])) END AS set FROM w),
+nodes AS MATERIALIZED (SELECT min(r) AS node, min(doc_id) AS first, set FROM s WHERE len(set) > 0 GROUP BY set),
+items AS (SELECT node, len(set) AS n, unnest(set) AS shingle FROM nodes),
+pairs AS (
+  SELECT a.node AS a, b.node AS b, any_value(a.n) + any_value(b.n) AS sizes, count(*) AS common
+  FROM items a JOIN items b ON a.shingle = b.shingle AND a.node < b.node GROUP BY a.node, b.node),
+links AS MATERIALIZED (SELECT a, b FROM pairs WHERE 100 * common >= 80 * (sizes - common)),
+ends AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT node AS a, node AS b FROM nodes UNION SELECT reach.a, ends.b FROM reach JOIN ends ON reach.b = ends.a),
+roots AS (SELECT reach.a AS node, min(nodes.first) AS component FROM reach JOIN nodes ON reach.b = nodes.node GROUP BY reach.a)
+SELECT s.doc_id, len(s.set)::BIGINT AS n_shingles, CASE WHEN len(s.set) = 0 THEN s.doc_id ELSE roots.component END AS component_id,
+  s.doc_id IS NOT DISTINCT FROM (CASE WHEN len(s.set) = 0 THEN s.doc_id ELSE roots.component END) AS kept
+FROM s LEFT JOIN nodes ON s.set = nodes.set LEFT JOIN roots ON nodes.node = roots.node"""
+
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+SEARCH_SQL = f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS ts FROM documents),
+docs AS (SELECT r, doc_id, len(ts) AS n, ts FROM d WHERE len(ts) > 0),
+sums AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM docs),
+wanted AS MATERIALIZED (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+tf AS MATERIALIZED (
+  SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(ts) AS term FROM docs) WHERE term IN (SELECT term FROM wanted) GROUP BY r, term),
+weights AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, sums GROUP BY term),
+impacts AS (
+  SELECT tf.r, tf.term, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * sums.docs) // sums.terms))) AS part
+  FROM tf JOIN weights USING (term) JOIN docs USING (r), sums),
+scores AS (SELECT item_id, r, sum(part)::BIGINT AS score FROM wanted JOIN impacts USING (term) GROUP BY item_id, r),
+ranked AS (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank
+  FROM scores JOIN docs USING (r) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50"""
+
+
+def _tree_sql(name: str, levels: int, out: list[str]) -> None:
+    """Levels of nodes (g, idx, n, h) above {name}0, with the runs (hs) of each."""
+    for k in range(levels):
+        out.append(f"{name}r{k} AS MATERIALIZED (SELECT g, idx // 8 AS p, any_value(n) AS n, list(h ORDER BY idx) AS hs FROM {name}{k} GROUP BY g, idx // 8)")
+        out.append(f"{name}{k + 1} AS (SELECT g, p AS idx, (n + 7) // 8 AS n, CASE WHEN n = 1 THEN hs[1] ELSE sha256(array_to_string(hs, '')) END AS h FROM {name}r{k})")
+
+
+def _fold_sql(name: str, levels: int, rows: str, out: list[str]) -> None:
+    """{rows}0 (g, idx, proof, folded, ...) to {rows}{levels}: a level's siblings added to the proof and folded in."""
+    for k in range(levels):
+        left, right = f"array_to_string(hs[1:x.idx % 8], '')", f"array_to_string(hs[x.idx % 8 + 2:], '')"
+        out.append(f"""{rows}{k + 1} AS (SELECT x.* EXCLUDE (idx, proof, folded), x.idx // 8 AS idx, CASE WHEN n = 1 THEN proof ELSE proof || {left} || {right} END AS proof,
+  CASE WHEN n = 1 THEN folded ELSE sha256({left} || folded || {right}) END AS folded FROM {rows}{k} x JOIN {name}r{k} ON x.g = {name}r{k}.g AND x.idx // 8 = p)""")
+
+
+def merkle_sql(levels: int = 7, top_levels: int = 3) -> str:
+    """For at most 8^levels leaves of a group and 8^top_levels groups; crc32 by its polynomial."""
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END"
+    leaf = lambda text: "sha256(" + " || ".join(field(c) for c in (*LEAF_FIELDS[:4], text)) + ")"
+    bit = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    out = [
+        f"""hashed AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, lang, {leaf("text")} AS leaf, {leaf(f"translate(text, '{UPPER}', '{LOWER}')")} AS lowered FROM documents)""",
+        f"""crcs AS (SELECT r, list_reduce(list_prepend(4294967295::BIGINT, [unicode(c)::BIGINT FOR c IN string_split(doc_id::VARCHAR, '')]), LAMBDA a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT FOR i IN range(8)]), LAMBDA c, d: {bit})) AS c FROM hashed WHERE doc_id IS NOT NULL)""",
+        """t AS MATERIALIZED (SELECT h.*, CASE WHEN xor(c, 4294967295) % 3 = 0 THEN lowered ELSE leaf END AS claimed,
+  dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n FROM hashed h LEFT JOIN crcs USING (r))""",
+        "n0 AS (SELECT g, idx, n, leaf AS h FROM t)",
+    ]
+    _tree_sql("n", levels, out)
+    out.append(f"m0 AS (SELECT 0 AS g, g AS idx, count(*) OVER () AS n, h FROM n{levels})")
+    _tree_sql("m", top_levels, out)
+    out.append("f0 AS (SELECT r, g, idx, '' AS proof, claimed AS folded FROM t)")
+    _fold_sql("n", levels, "f", out)
+    out.append(f"e0 AS (SELECT r, g AS of, 0 AS g, g AS idx, proof, folded FROM f{levels})")
+    _fold_sql("m", top_levels, "e", out)
+    return f"""WITH {", ".join(out)}
+SELECT doc_id, leaf, s.h AS subroot, m.h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = m.h AS verified
+FROM e{top_levels} e JOIN t USING (r) JOIN n{levels} s ON e.of = s.g, m{top_levels} m"""
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_lm_scoring, op2_decontaminate, op3_mix, op4_shard, op5_secrets, op6_near_dup, op7_chat, op8_warc, op9_quality, op10_toxicity, op11_minhash, op12_ranked_search, op13_merkle)
+}
+ORACLES = {"op3_mix": MIX_SQL, "op7_chat": CHAT_SQL, "op8_warc": WARC_SQL, "op11_minhash": MINHASH_SQL, "op12_ranked_search": SEARCH_SQL, "op13_merkle": merkle_sql()}

@@ -114,12 +114,13 @@ def shared(sets: list[np.ndarray], at_once: int = 4096) -> np.ndarray:
 
 
 def linked(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j), i < j, of the pairs of sets that are similar enough."""
+    """Places (i, j), i < j, of the pairs of sets that are similar enough, to a hundredth, in whole numbers."""
     size = np.array([len(x) for x in sets])
+    percent = round(100 * similarity)
     if len(sets) == 2:
         both = len(np.intersect1d(*sets, assume_unique=True))
-        return tuple(np.array([[0], [1]] if both * (1 + similarity) >= similarity * size.sum() - 1e-6 else [[], []], np.int64))
-    enough = shared(sets) * (1 + similarity) >= similarity * (size[:, None] + size) - 1e-6
+        return tuple(np.array([[0], [1]] if both * (100 + percent) >= percent * size.sum() else [[], []], np.int64))
+    enough = shared(sets).astype(np.int64) * (100 + percent) >= percent * (size[:, None] + size)
     return np.nonzero(np.triu(enough, 1))
 
 
@@ -189,18 +190,8 @@ def cross_cells(members: DataFrame, block: int) -> DataFrame:
     return dealt.join(ends, ["grp", "block"]).select("cell", "node")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """One row a document: id, component."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = cut(texts.mapInArrow(lambda it: _signatures(it, shingle), "id long, node long, fp long, keys array<long>"))
-    nodes = cut(found.groupBy("node").agg(F.min("id").alias("id")).join(found.select("id", "fp", "keys"), "id"))
-    banded = nodes.select(F.explode("keys").alias("key"), "fp", F.lit(FAR).cast("byte").alias("role"))
-    near = links_of_keys(key_table(nodes.select("fp").distinct()).unionByName(banded), MOST_BITS, FAR_BITS)
-    groups = components(near).select(F.col("node").alias("fp"), F.col("root").alias("_root"))
-    grouped = nodes.join(groups, "fp", "left").select("node", "id", F.coalesce("_root", "fp").alias("grp"))
-    sizes = grouped.groupBy("grp").agg(F.count("*").alias("of"), F.min("node").alias("least")).filter("of > 1")
-    members = cut(grouped.join(sizes, "grp"))
-    sets = cut(texts.join(members.select("id", "node"), "id").select("node", "text").mapInArrow(lambda it: _sets(it, shingle), "node long, hashes array<long>"))
+def settled_groups(members: DataFrame, sets: DataFrame, similarity: float, block: int) -> DataFrame:
+    """(_node, root) of the nodes that link with others of their group.  members: (node, grp, of, least); sets: (node, hashes)."""
     joined = verified(first_cells(members, block), sets, similarity)
     # a group of one block is done: its stars say each node's component
     large = members.filter(F.col("of") > block).select("grp", "node")
@@ -214,4 +205,20 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if rest.limit(1).count():
             settled = components(of_large.unionByName(verified(cross_cells(rest, block), sets, similarity))).withColumnRenamed("node", "_node")
         roots = roots.join(large.select(F.col("node").alias("_node")), "_node", "left_anti").unionByName(settled)
+    return roots
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """One row a document: id, component."""
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    found = cut(texts.mapInArrow(lambda it: _signatures(it, shingle), "id long, node long, fp long, keys array<long>"))
+    nodes = cut(found.groupBy("node").agg(F.min("id").alias("id")).join(found.select("id", "fp", "keys"), "id"))
+    banded = nodes.select(F.explode("keys").alias("key"), "fp", F.lit(FAR).cast("byte").alias("role"))
+    near = links_of_keys(key_table(nodes.select("fp").distinct()).unionByName(banded), MOST_BITS, FAR_BITS)
+    groups = components(near).select(F.col("node").alias("fp"), F.col("root").alias("_root"))
+    grouped = nodes.join(groups, "fp", "left").select("node", "id", F.coalesce("_root", "fp").alias("grp"))
+    sizes = grouped.groupBy("grp").agg(F.count("*").alias("of"), F.min("node").alias("least")).filter("of > 1")
+    members = cut(grouped.join(sizes, "grp"))
+    sets = cut(texts.join(members.select("id", "node"), "id").select("node", "text").mapInArrow(lambda it: _sets(it, shingle), "node long, hashes array<long>"))
+    roots = settled_groups(members, sets, similarity, block)
     return found.select("id", "node").join(roots, F.col("node") == F.col("_node"), "left").select("id", F.coalesce("root", "node").alias("component"))
