@@ -23,6 +23,9 @@ NO_INTENT = "[NEEDS EVIDENCE: no intent observed]"
 NO_STEPS = ("[NEEDS EVIDENCE: No orchestration steps observed in the recording.]", "Add instructions for how to process this request.")
 NOT_OBSERVED = "[NEEDS EVIDENCE: The following was not observed in the recording:]"
 CONFIRM = "Confirm before writing, and report the result."
+ROLE = ("You are an agent that ", ". You work with ", " and help users complete this process conversationally.")
+#: Blockers whose full message names guardrails.
+GUARDRAIL_BLOCKERS = ("padding", "no guardrail", "filler", "names nothing observed", "near-duplicate guardrails")
 CLAUSES = {
     "guardrail": "enforce field-level security and require user confirmation before writes",
     "failure": "surface errors clearly and never auto-correct user input",
@@ -148,16 +151,20 @@ def utterances(specs: DataFrame, keys=KEYS) -> DataFrame:
 
 
 def refined_role(scored: DataFrame) -> DataFrame:
-    """Adds ``refined_role``: the role with a clause for each gap that the score names (see ``specs.score_spec``)."""
+    """Adds ``refined_role``: the role with a clause for each blocker and recommendation that names something to say (see ``specs.score_spec``).
+
+    A clause stands as often as it is called for, blockers' first.
+    """
     c = F.col
     thing = F.coalesce(F.get("objects_touched", F.lit(0)), F.lit("business records"))
-    base = F.concat(F.lit("You are an agent that "), F.lower("intent"), F.lit(". You work with "), thing, F.lit(" and help users complete this process conversationally."))
-    gaps = {
-        "guardrail": F.exists("blockers", lambda b: F.contains(b, F.lit("guardrail"))),
-        "failure": F.array_contains("recommendations", "record a failing variant"),
-        "vague": F.array_contains("recommendations", "name what is done"),
-        "steps": F.array_contains("recommendations", "fill the empty sections") & (F.size("orchestration_steps") < 2),
-    }
-    told = F.array_join(F.array(*[F.when(gap, F.lit(CLAUSES[k])) for k, gap in gaps.items()]), "; ")
-    sentence = F.when(told != "", F.concat(F.lit(" "), F.upper(F.substring(told, 1, 1)), F.substring(told, F.lit(2), F.length(told)), F.lit("."))).otherwise("")
+    base = F.concat(F.lit(ROLE[0]), F.lower("intent"), F.lit(ROLE[1]), thing, F.lit(ROLE[2]))
+    holds = lambda text, *words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower(text), w))
+    of_blocker = lambda b: F.array(F.when(b.isin(*GUARDRAIL_BLOCKERS), F.lit(CLAUSES["guardrail"])))
+    of_advice = lambda r: F.array(
+        F.when(holds(r, "failure", "error"), F.lit(CLAUSES["failure"])),
+        F.when(holds(r, "specific", "vague"), F.lit(CLAUSES["vague"])),
+        F.when(holds(r, "orchestration"), F.lit(CLAUSES["steps"])),
+    )
+    told = F.array_join(F.flatten(F.concat(F.transform("blockers", of_blocker), F.transform("recommendations", of_advice))), "; ")
+    sentence = F.when(told != "", F.concat(F.lit(" "), F.upper(F.substring(told, 1, 1)), F.lower(F.substring(told, F.lit(2), F.length(told))), F.lit("."))).otherwise("")
     return scored.withColumn("refined_role", F.concat(base, sentence)).select(*scored.columns, c("refined_role"))

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from stepline.functions.naming import camel_name
 from stepline.operators.records import SYSTEM_FIELDS
-from stepline.operators.rounds import pick_best
 from stepline.operators.score import MARKERS, band, content_signature, honesty, provenance
 
 KEYS = ["capture_id"]
@@ -23,6 +22,13 @@ GENERIC_INTENTS = ("Complete a data-entry process", "Interact with guided proces
 VAGUE = ("generic", "action", "something", "vague")
 GENERIC_STEP_TERMS = ("generic", "placeholder", "lorem ipsum")
 GENERIC_GUARDRAILS = ("validate input", "check input", "verify input", "validate data", "ensure valid")
+#: What to record anew, by what the score found wanting.
+ADVICE = {
+    "grounding": "Re-record with --track-record ObjectApiName:RecordId to capture field deltas, which anchor entities to observed data rather than inference.",
+    "object": "Re-record with --track-record ObjectApiName:RecordId so the spec can name concrete targets.",
+    "intent": "Recording did not demonstrate a completed business action; record a full end-to-end flow.",
+    "failure": "Record a failing variant (validation error, auth failure, etc.) to exercise error paths, which makes the spec testable under failure.",
+}
 UNTESTED = "No failures were observed in this run, so error paths are UNTESTED. Record a failing variant before relying on this spec."
 
 
@@ -133,22 +139,41 @@ def _text(c: Column) -> Column:
     return F.trim(F.coalesce(c, F.lit("")))
 
 
+def _observed(spec_entities: Column) -> Column:
+    """Entities but for the record id that every specification must have."""
+    return F.filter(spec_entities, lambda e: ~((F.coalesce(e["name"], F.lit("")) == "recordId") & (F.coalesce(e["field_api_name"], F.lit("")) == "Id")))
+
+
+def padded_entities(spec_entities: Column) -> Column:
+    """More than three claims pile up on one field, or entities without object and field tell the same details over three times on average."""
+    named = lambda e, c: F.coalesce(e[c], F.lit("")) != ""
+    observed = _observed(spec_entities)
+    resolved = F.filter(observed, lambda e: named(e, "object_api_name") | named(e, "field_api_name"))
+    keys = F.transform(resolved, lambda e: F.concat(F.coalesce(e["object_api_name"], F.lit("?")), F.lit("."), F.coalesce(e["field_api_name"], F.lit("?"))))
+    claimed = F.exists(F.array_distinct(keys), lambda k: F.size(F.filter(keys, lambda x: x == k)) > 3)
+    unresolved = F.filter(observed, lambda e: ~(named(e, "object_api_name") | named(e, "field_api_name")))
+    details = F.filter(F.flatten(F.transform(unresolved, lambda e: F.coalesce(F.transform(e["evidence"], lambda v: v["detail"]), F.array().cast("array<string>")))), lambda d: d.isNotNull())
+    return claimed | ((F.size(unresolved) > 3) & (F.size(F.array_distinct(details)) * 3 < F.size(details)) & (F.size(details) > 3))
+
+
 def grounding(spec_entities: Column) -> Column:
     """0 to 30: the best kind of evidence sets a floor, each grounded entity adds a quarter up to a half; claims that pile up on one field leave a fifth."""
-    observed = F.filter(spec_entities, lambda e: ~((e["name"] == "recordId") & (F.coalesce(e["field_api_name"], F.lit("")) == "Id")))
-    has = lambda e, source: F.exists(e["evidence"], lambda v: (v["source"] == source) & (F.length(_text(v["detail"])) >= DETAIL_CHARS))
+    observed = _observed(spec_entities)
+    has = lambda e, source: F.coalesce(F.exists(e["evidence"], lambda v: (v["source"] == source) & (F.length(_text(v["detail"])) >= DETAIL_CHARS)), F.lit(False))
     n_delta = F.size(F.filter(observed, lambda e: has(e, "data-delta")))
     n_ui = F.size(F.filter(observed, lambda e: ~has(e, "data-delta") & has(e, "ui-action")))
-    keys = F.transform(F.filter(observed, lambda e: e["field_api_name"].isNotNull()), lambda e: F.concat_ws(".", e["object_api_name"], e["field_api_name"]))
-    padded = F.exists(F.array_distinct(keys), lambda k: F.size(F.filter(keys, lambda x: x == k)) > 3)
     share = F.when(n_delta > 0, 0.5).when(n_ui > 0, 0.35).otherwise(0.0) + F.least((n_delta + n_ui) * 0.25, F.lit(0.5))
     base = F.floor(F.round(share * POINTS["grounding"], 6))
-    score = F.when(padded, F.floor(base * 0.2)).otherwise(base)
+    score = F.when(padded_entities(spec_entities), F.floor(base * 0.2)).otherwise(base)
     return F.when(F.size(observed) > 0, F.least(score, F.lit(POINTS["grounding"]))).otherwise(0).cast("int")
 
 
 def _distinct(lines: Column, strip_digits: bool = False) -> Column:
-    plain = F.transform(lines, lambda s: F.trim(F.regexp_replace(F.lower(F.regexp_replace(s, "[0-9]+", "") if strip_digits else s), r"\s+", " ")))
+    if strip_digits:
+        words = lambda s: F.filter(F.split(F.lower(s), "[^0-9a-z]+"), lambda w: (w != "") & ~w.rlike("^[0-9]+$"))
+        plain = F.transform(lines, lambda s: F.array_join(words(s), " "))
+    else:
+        plain = F.transform(lines, lambda s: F.trim(F.regexp_replace(F.lower(s), r"\s+", " ")))
     return F.array_distinct(F.filter(plain, lambda s: s != ""))
 
 
@@ -176,7 +201,7 @@ def is_filler(text: Column) -> Column:
 
 
 def specificity(intent: Column, steps: Column, rails: Column) -> Column:
-    """0 to 10: less for a vague or stuffed intent, for empty steps and guardrails, and for lines that instruct nothing."""
+    """0 to 10: none without an intent, less for a vague or stuffed one, for empty steps and guardrails, and for lines that instruct nothing."""
     words = F.size(F.filter(F.split(_text(intent), r"\s+"), lambda w: w != ""))
     vague = F.exists(F.array(*map(F.lit, VAGUE)), lambda t: F.contains(F.lower(intent), t))
     of_intent = F.when(intent.contains("UNRESOLVED"), 3).when(intent.isin(*GENERIC_INTENTS), 2).when((words <= 2) | vague, 5).when(words > 6, 5).otherwise(0)
@@ -185,13 +210,25 @@ def specificity(intent: Column, steps: Column, rails: Column) -> Column:
     of_rail = lambda s: F.when(F.lower(F.trim(s)).rlike(r"^(guardrail|rule|check|validation)(\s+\d+)?$"), 3).when(holds(s, GENERIC_GUARDRAILS), 2).otherwise(0)
     total = lambda array, f: F.aggregate(array, F.lit(0), lambda acc, s: acc + f(s))
     filler = 2 * F.size(F.filter(F.concat(steps, rails), is_filler))
-    return F.greatest(F.lit(POINTS["specificity"]) - of_intent - total(steps, of_step) - total(rails, of_rail) - filler, F.lit(0))
+    left = F.greatest(F.lit(POINTS["specificity"]) - of_intent - total(steps, of_step) - total(rails, of_rail) - filler, F.lit(0))
+    return F.when(_text(intent) == "", 0).otherwise(left)
+
+
+def failure_observed(failures: Column) -> Column:
+    return F.coalesce(F.exists(failures, lambda f: f.contains("Observed ") & f.contains(" failure during recording:")), F.lit(False))
 
 
 def testability(spec_entities: Column, failures: Column) -> Column:
     explicit = F.exists(spec_entities, lambda e: (F.coalesce(e["object_api_name"], F.lit("")) != "") | (F.coalesce(e["field_api_name"], F.lit("")) != ""))
-    observed = F.exists(failures, lambda f: f.contains("Observed ") & f.contains(" failure during recording:"))
-    return F.when(F.coalesce(explicit, F.lit(False)), 5).otherwise(0) + F.when(F.coalesce(observed, F.lit(False)), 5).otherwise(0)
+    return F.when(F.coalesce(explicit, F.lit(False)), 5).otherwise(0) + F.when(failure_observed(failures), 5).otherwise(0)
+
+
+def all_text(with_intent: Column, lists: list[Column], spec_entities: Column, trail: Column) -> Column:
+    """Every text in a specification, a line each."""
+    none = F.array().cast("array<string>")
+    of_evidence = lambda e: F.flatten(F.transform(F.coalesce(e, F.array().cast(EVIDENCE)), lambda v: F.array(v["source"], v["detail"])))
+    of_entity = lambda e: F.concat(F.array(e["name"], e["object_api_name"], e["field_api_name"]), of_evidence(e["evidence"]))
+    return F.array_join(F.concat(F.array(with_intent), *[F.coalesce(x, none) for x in lists], F.flatten(F.transform(spec_entities, of_entity)), of_evidence(trail)), "\n")
 
 
 def names_nothing(spec_entities: Column, lines: Column) -> Column:
@@ -216,9 +253,9 @@ def score_spec(specs: DataFrame) -> DataFrame:
     failure_handling, unknowns, evidence (the run's trail), extraction_source, telemetry_source.
     """
     c = F.col
-    text = F.concat_ws("\n", "intent", "orchestration_steps", "guardrails", "failure_handling")
+    text = all_text(c("intent"), [c("orchestration_steps"), c("guardrails"), c("failure_handling"), c("unknowns"), c("objects_touched")], c("entities"), c("evidence"))
     marked = F.exists(F.array(*[F.lit(m) for m in MARKERS]), lambda m: F.contains(text, m))
-    empty = (F.size("orchestration_steps") == 0) & (F.size("guardrails") == 0)
+    empty = (_text(c("intent")) == "") & sum((F.size(x) for x in ("entities", "orchestration_steps", "guardrails", "failure_handling")), F.lit(0)).eqNullSafe(0)
     source = provenance(c("extraction_source"), c("telemetry_source"))
     scored = specs.withColumns(
         {
@@ -236,12 +273,13 @@ def score_spec(specs: DataFrame) -> DataFrame:
     lines = F.concat("orchestration_steps", "guardrails")
     filler = F.size(F.filter(lines, is_filler)) / F.greatest(F.size(lines), F.lit(1))
     rules = {
+        "padded entities": padded_entities(c("entities")),
         "padding": _padded(c("orchestration_steps")) | _padded(c("guardrails")),
         "no object": F.size("objects_touched") == 0,
         "no entity": F.size("entities") == 0,
         "no guardrail": F.size("guardrails") == 0,
-        "unresolved": c("intent").contains("UNRESOLVED"),
-        "placeholder": marked,
+        "unresolved": c("intent").startswith("UNRESOLVED:"),
+        "placeholder": marked | empty,
         "provenance": source["blocked"],
         "filler": filler > FILLER_SHARE,
         "threshold surfing": weak >= 2,
@@ -251,19 +289,19 @@ def score_spec(specs: DataFrame) -> DataFrame:
         "near-duplicate guardrails": says_twice(c("guardrails")),
     } | {f"hollow {d}": hollow(d) for d in POINTS if d not in ("testability", "provenance")}
     blockers = F.filter(F.array(*[F.when(F.coalesce(x, F.lit(False)), F.lit(name)) for name, x in rules.items()]), lambda x: x.isNotNull())
-    advice = {"grounding": "resolve evidence", "completeness": "fill the empty sections", "honesty": "declare what is unknown", "specificity": "name what is done", "testability": "record a failing variant", "placeholders": "replace placeholders", "provenance": "state real sources"}
+    wanting = {"grounding": c("grounding") < POINTS["grounding"] * 0.5, "object": F.size("objects_touched") == 0, "intent": c("intent").startswith("UNRESOLVED:"), "failure": ~failure_observed(c("failure_handling"))}
     total = scored.withColumn("total", sum((c(d) for d in POINTS), F.lit(0)).cast("int")).withColumn("blockers", blockers)
     return total.withColumns(
         {
             "passed": (c("total") >= PASSING) & (F.size("blockers") == 0),
-            "band": band(c("total")),
+            "band": F.when(F.size("blockers") > 0, "low").otherwise(band(c("total"))),
             "display": F.when(F.size("blockers") > 0, F.least("total", F.lit(DISPLAY_CAP))).otherwise(c("total")),
-            "recommendations": F.filter(F.array(*[F.when(c(d) < POINTS[d] * 0.75, F.lit(a)) for d, a in advice.items()]), lambda x: x.isNotNull()),
+            "recommendations": F.filter(F.array(*[F.when(F.coalesce(hit, F.lit(False)), F.lit(ADVICE[k])) for k, hit in wanting.items()]), lambda x: x.isNotNull()),
         }
     )
 
 
-# -- test cases and refinement --------------------------------------------------------------------
+# -- test cases --------------------------------------------------------------------
 
 
 def test_cases(specs: DataFrame, keys=KEYS) -> DataFrame:
@@ -281,38 +319,6 @@ def test_cases(specs: DataFrame, keys=KEYS) -> DataFrame:
     return specs.select(*keys, F.posexplode(cases).alias("case_no", "_c")).select(*keys, "case_no", "_c.*")
 
 
-def offline_improve(specs: DataFrame) -> DataFrame:
-    """Vague words go from the intent, repeated steps and guardrails go, the first of each staying; nothing is added."""
-
-    def once(lines: str) -> Column:
-        key = lambda s: F.trim(F.regexp_replace(F.lower(s), r"\s+", " "))
-        keys = F.transform(lines, key)
-        return F.filter(lines, lambda s, i: F.array_position(keys, key(s)) == i + 1)
-
-    plain = F.trim(F.regexp_replace(F.regexp_replace("intent", r"(?i)\b(generic|something|vague)\b", ""), r"\s+", " "))
-    return specs.withColumns({"intent": F.when(plain != "", plain).otherwise(F.col("intent")), "orchestration_steps": once("orchestration_steps"), "guardrails": once("guardrails")})
-
-
-def refine(specs: DataFrame, keys=KEYS) -> DataFrame:
-    """The better of each specification as it is (version 1) and improved (version 2), scored, with the reason to stop.
-
-    Improving what is improved changes nothing, so a third version would be the second: all captures
-    are through after one round.  Without blockers goes before the score, then the earlier version.
-    """
-    changed = ("intent", "orchestration_steps", "guardrails")
-    # one row in, two out: no second scan of what the specifications were made from
-    old = F.struct(F.lit(1).alias("version"), *[F.col(c) for c in changed])
-    new = F.struct(F.lit(2).alias("version"), *[F.col(f"_{c}").alias(c) for c in changed])
-    wide = offline_improve(specs.withColumns({f"_old_{c}": F.col(c) for c in changed})).withColumns({f"_{c}": F.col(c) for c in changed}).withColumns({c: F.col(f"_old_{c}") for c in changed})
-    kept = [c for c in specs.columns if c not in changed]
-    versions = wide.select(*kept, F.explode(F.array(old, new)).alias("_v")).select(*kept, "_v.*")
-    scored = score_spec(versions).withColumn("blocked", F.size("blockers") > 0)
-    first = F.max(F.when(F.col("version") == 1, F.col("total"))).over(Window.partitionBy(*keys))
-    last = F.max(F.when(F.col("version") == 2, F.col("total"))).over(Window.partitionBy(*keys))
-    told = scored.withColumn("stop_reason", F.when(F.max("passed").over(Window.partitionBy(*keys)), "passed").when(last < first, "regression").otherwise("converged"))
-    return pick_best(told, keys, "version", "total", "blocked").drop("blocked")
-
-
 def run_summary(counts: list[DataFrame], keys=KEYS) -> DataFrame:
     """One row a run, from one-row-a-run frames."""
     out = counts[0]

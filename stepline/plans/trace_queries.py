@@ -810,7 +810,7 @@ def spec_frame(spark, d):
 
 
 @query()
-def score_spec(spark, d):
+def score_derived_spec(spark, d):
     return specs.score_spec(spec_frame(spark, d)).select("capture_id", *specs.POINTS, "total", F.array_join("blockers", ",").alias("blockers"), "passed", "band", "display")
 
 
@@ -887,16 +887,6 @@ def utterances(spark, d):
     return prompts.utterances(brief(spark, d)).drop("case_no")
 
 
-@query()
-def refine(spark, d):
-    return specs.refine(spec_frame(spark, d)).select("capture_id", "version", "total", "passed", "stop_reason")
-
-
-@query()
-def refined_role(spark, d):
-    return prompts.refined_role(specs.score_spec(spec_frame(spark, d))).select("capture_id", "refined_role")
-
-
 @query("""WITH r AS (SELECT *, o_orderkey % 11 <> 0 AS spec, o_totalprice > 50000 AS passed, o_orderkey % 9 = 0 AS padding, o_orderpriority = '5-LOW' AS todo FROM orders),
 g AS (SELECT *, CASE WHEN o_orderkey % 3 <> 0 THEN 10 ELSE 0 END + CASE WHEN o_orderstatus <> 'P' THEN 15 ELSE 0 END + 15 + CASE WHEN o_orderkey % 10 <> 0 THEN 15 ELSE 0 END + 10 + CASE WHEN todo THEN 0 ELSE 20 END + CASE WHEN spec AND passed AND NOT padding THEN 15 ELSE 0 END AS s,
   concat_ws(',', CASE WHEN o_orderkey % 17 = 0 THEN 'critical issue' END, CASE WHEN todo THEN 'placeholder' END, CASE WHEN NOT spec THEN 'no specification' WHEN padding THEN 'padding' WHEN NOT passed THEN 'specification not passed' END) AS blocking FROM r)

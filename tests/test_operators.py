@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stepline.functions import naming, redaction
-from stepline.operators import actions, correlate, evaluate, ordering, prompts, quality, reduce, rounds, score, selectors, specs
+from stepline.operators import refinement, actions, correlate, evaluate, ordering, prompts, quality, reduce, rounds, score, selectors, specs
 from stepline.sources import captures, sinks
 from stepline.streaming import traces
 
@@ -452,14 +452,55 @@ def test_adding_evidence_or_unknowns_never_lowers_the_score(spark):
     assert entity.total >= base.total and unknown.total >= base.total
 
 
-def test_improving_removes_repeats_and_vague_words(spark):
-    df = spark.createDataFrame([GOOD | {"intent": "Do something vague with Case", "guardrails": ["Ask first", "ask  first", "Stop"]}], SPEC)
-    r = specs.offline_improve(df).first()
-    assert r.intent == "Do with Case" and r.guardrails == ["Ask first", "Stop"]
+def test_test_cases(spark):
+    df = spark.createDataFrame([GOOD], SPEC)
     kinds = [x.kind for x in specs.test_cases(df.withColumn("capture_id", F.lit(1))).orderBy("case_no").collect()]
     assert kinds == ["happy", "missing", "missing", "confirmation", "scope", "failure"]
 
 
+def test_bands_advice_and_blockers_of_structure(spark):
+    details = [{"name": f"n{i}", "object_api_name": None, "field_api_name": None, "evidence": [{"source": "ui-action", "detail": f"input on thing {i} at step {i}"}]} for i in range(9)]
+    same = [e | {"evidence": [{"source": "ui-action", "detail": "input on the same thing"}]} for e in details]
+    one = [{"name": "status", "object_api_name": "Case", "field_api_name": "Status", "evidence": [{"source": "ui-action", "detail": "input on input:Status"}]}]
+    good, blank, apart, heaped, within, begins, moderate, empty = scored(
+        spark,
+        {},
+        {"intent": "   "},
+        {"entities": GOOD["entities"] + details},
+        {"entities": GOOD["entities"] + same},
+        {"intent": "Close UNRESOLVED: Case"},
+        {"intent": "UNRESOLVED: nothing seen"},
+        {"entities": one, "confidence": 0.95, "failure_handling": [specs.UNTESTED], "extraction_source": None, "telemetry_source": None},
+        {"intent": "", "entities": [], "orchestration_steps": [], "guardrails": [], "failure_handling": []},
+    )
+    assert good.band == "high" and good.recommendations == []
+    assert blank.specificity == 0 and blank.blockers == ["hollow specificity"] and blank.band == "low" and blank.total == 90
+    # what differs in detail is not padding, what repeats is
+    assert apart.grounding == 30 and apart.passed and "padded entities" in heaped.blockers and heaped.grounding == 6
+    assert "unresolved" not in within.blockers and "unresolved" in begins.blockers and begins.recommendations == [specs.ADVICE["intent"]]
+    assert (moderate.total, moderate.band, moderate.blockers) == (70, "moderate", []) and moderate.recommendations == [specs.ADVICE["failure"]]
+    assert "placeholder" in empty.blockers and set(empty.recommendations) == {specs.ADVICE["grounding"], specs.ADVICE["failure"]}
+
+
+def improved(spark, **change):
+    return refinement.offline_improve(spark.createDataFrame([GOOD | change], SPEC)).first()
+
+
+def test_improving(spark):
+    r = improved(spark, intent="Update various Case Status etc. as needed, and possibly some more", guardrails=["Ask first", "ask  first", "Stop"])
+    assert r.intent == "Update Case Status etc. , and more" and r.guardrails == ["Ask first", "Stop"]
+    assert r.improvement == "Applied 2 offline improvement(s): removed vague terms from intent; deduplicated 1 guardrail(s)"
+    r = improved(spark, guardrails=["Validate input.", "Always check input", "Require confirmation..", "Require confirmation before writing: Status", "validate input and check input"])
+    assert r.guardrails == ["Validate Case fields.", "Always check Case fields", "Require confirmation before writing: Status, Priority, Id.", "Require confirmation before writing: Status", "validate input and check Case fields"]
+    assert r.improvement == "Applied 1 offline improvement(s): expanded 5 generic guardrail(s) to name specific objects/fields"
+    names = [GOOD["entities"][0] | {"name": n} for n in ("Status", "URL", "A", "ok")]
+    r = improved(spark, entities=names, orchestration_steps=["Load it", "load  IT ", "Save"])
+    assert [e.name for e in r.entities] == ["status", "URL", "A", "ok"] and r.orchestration_steps == ["Load it", "Save"]
+    assert r.improvement == "Applied 2 offline improvement(s): normalized 1 entity name(s) to camelCase; deduplicated 1 orchestration step(s)"
+    r = improved(spark)
+    assert r.improvement == refinement.NOTHING_DONE and {k: r[k] for k in ("intent", "guardrails", "unknowns", "confidence")} == {k: GOOD[k] for k in ("intent", "guardrails", "unknowns", "confidence")}
+
+
 def test_blockers_of_trail_narrative_and_repeats(spark):
     good, bare, apart, twice, rules = scored(
         spark,
@@ -497,9 +538,37 @@ def test_a_role_takes_up_what_the_score_names(spark):
     assert good.endswith("conversationally.") and "Enforce field-level security" in bad and "surface errors clearly" in bad
 
 
-def test_refining_keeps_the_better_version(spark):
-    rows = [GOOD | {"capture_id": 1}, GOOD | {"capture_id": 2, "guardrails": GOOD["guardrails"] + GOOD["guardrails"][:1]}, GOOD | {"capture_id": 3, "objects_touched": []}]
-    got = {r.capture_id: r for r in specs.refine(spark.createDataFrame(rows, SPEC + ", capture_id int")).collect()}
-    assert (got[1].version, got[1].stop_reason, got[1].total) == (1, "passed", 100)
-    assert (got[2].version, got[2].stop_reason, got[2].guardrails) == (2, "passed", GOOD["guardrails"])
-    assert (got[3].version, got[3].stop_reason, got[3].passed) == (1, "converged", False)
+def test_refining(spark):
+    twice = GOOD["guardrails"] + GOOD["guardrails"][:1]
+    rows = [
+        GOOD | {"capture_id": 1},
+        # a repeat blocks only with the trail missing; without it there is nothing to better
+        GOOD | {"capture_id": 2, "orchestration_steps": ["Load the Case Status", "Save it to the record now", "save it to the  record now"] + ["Load the Case Status"] * 5},
+        GOOD | {"capture_id": 3, "evidence": []},
+        GOOD | {"capture_id": 4, "objects_touched": []},
+        GOOD | {"capture_id": 5, "evidence": [], "guardrails": twice},
+        GOOD | {"capture_id": 6, "evidence": [], "intent": "Update Case as needed"},
+    ]
+    df = spark.createDataFrame(rows, SPEC + ", capture_id int")
+    got = {r.capture_id: r for r in refinement.refine(df).collect()}
+    told = {k: (r.version, r.stop_reason, r.rounds_run, r.converged) for k, r in got.items()}
+    assert told[1] == (1, "passed", 1, False) and got[1].total == 100
+    assert told[3] == (1, "converged", 3, True)
+    assert told[4] == (0, "insufficient evidence", 0, False)
+    assert told[5] == (2, "converged", 4, True) and got[5].guardrails == GOOD["guardrails"]
+    # the shorter intent is the vaguer one: the version before stays
+    assert told[6] == (1, "regression", 2, False) and got[6].regressions == ["specificity"]
+    assert {r.capture_id: r.stop_reason for r in refinement.refine(df, most_rounds=2).collect()} == {1: "passed", 2: got[2].stop_reason, 3: "max_rounds", 4: "insufficient evidence", 5: "max_rounds", 6: "regression"}
+    with pytest.raises(ValueError):
+        refinement.refine(df, most_rounds=0)
+
+
+def test_refining_writes_each_round_and_notes_dropped_unknowns(spark, monkeypatch):
+    df = spark.createDataFrame([GOOD | {"capture_id": k, "evidence": [], "guardrails": GOOD["guardrails"] * (1 + k % 2)} for k in range(4)], SPEC + ", capture_id int")
+    plans = [len(refinement.versions(df, most_rounds=n)._jdf.queryExecution().optimizedPlan().toString()) for n in (2, 4)]
+    assert plans[1] <= 2.2 * plans[0]
+    honest = refinement.versions(df).filter("note is not null").count()
+    improve = refinement.offline_improve
+    monkeypatch.setattr(refinement, "offline_improve", lambda x: improve(x).withColumn("unknowns", F.array().cast("array<string>")))
+    assert honest == 0 and {r.capture_id for r in refinement.versions(df).filter("note is not null").collect()} == {1, 3}
+

@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__
-from stepline.plans import registry, source_queries, trace_queries  # noqa: F401
+from stepline.plans import registry, source_queries, spec_queries, trace_queries  # noqa: F401
 
 from oracle import compare, connect
 
