@@ -45,19 +45,23 @@ RECORD_PREFIXES = ("500", "001", "003", "005", "006", "00D", "00E", "00G", "00Q"
 def sensitive_pattern(text: Column) -> Column:
     """The pattern that makes a field's name sensitive; null if none does."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    words = F.filter(F.split(low, "[^a-z0-9]+"), lambda w: w != "")
-    collapsed = F.array_join(words, "_")
+    collapsed = F.regexp_replace(low, "[^a-z0-9]+", "_")
+    any_of = "|".join(SENSITIVE)
+    word = r"(?:^|[^a-z0-9])(?:" + "|".join(SENSITIVE_WORDS) + r")(?:[^a-z0-9]|$)"
+    # few names are sensitive: the list is gone through for those alone
+    words = F.split(low, "[^a-z0-9]+")
     anywhere = F.filter(F.array(*map(F.lit, SENSITIVE)), lambda p: F.contains(low, p) | F.contains(collapsed, p))
     alone = F.filter(F.array(*map(F.lit, SENSITIVE_WORDS)), lambda p: F.array_contains(words, p))
-    return F.get(F.concat(anywhere, alone), F.lit(0))
+    return F.when(low.rlike(any_of) | collapsed.rlike(any_of) | low.rlike(word), F.get(F.concat(anywhere, alone), F.lit(0)))
 
 
 def sensitive_hits(signals: dict[str, Column], elem_type: Column | None = None) -> Column:
     """Names of the identity signals whose text is sensitive, each with its pattern."""
-    rows = [F.when(sensitive_pattern(c).isNotNull(), F.concat(F.lit(f"{name}~"), sensitive_pattern(c))) for name, c in signals.items()]
+    texts = F.array(*[F.struct(F.lit(name).alias("name"), c.cast("string").alias("text")) for name, c in signals.items()])
+    rows = F.transform(texts, lambda s: F.concat(s["name"], F.lit("~"), sensitive_pattern(s["text"])))
     if elem_type is not None:
-        rows.insert(0, F.when(F.lower(elem_type) == "password", F.lit("element.type=password")))
-    return F.filter(F.array(*rows), lambda x: x.isNotNull())
+        rows = F.concat(F.array(F.when(F.lower(elem_type) == "password", F.lit("element.type=password"))), rows)
+    return F.filter(rows, lambda x: x.isNotNull())
 
 
 def loss_stats(events: DataFrame, rejects: DataFrame, keys=KEYS) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,9 +9,11 @@ from stepline.functions import redaction
 from stepline.operators import evaluate, records
 from stepline.plans import bindings
 from stepline.plans.bindings import duck, read
-from stepline.plans.trace_queries import HOUR, capture, query
+from stepline.plans.trace_queries import DOMAIN, FINDINGS, HOUR, SIGNALS, TEXTS, capture, query, trace_captures, trace_lines, trace_manifests
 from stepline.sources import captures
-from stepline.streaming import traces
+from stepline.sources.shared import fresh_path
+from stepline.streaming import lateness, traces, validation
+from stepline.streaming import records as stream_records
 
 #: Of every few events one is a line that can't be read, each in its own way.
 LINE = """CASE WHEN k % 13 = 0 THEN concat('{"v": 1, "t": ', CAST(t AS STRING), ', "type": "cl') WHEN k % 17 = 0 THEN '[1, 2]' WHEN k % 19 = 0 THEN '   '
@@ -120,12 +120,21 @@ def redact_session_ids(spark, d):
 # -- streams ------------------------------------------------------------------------------------
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; a temporary one where none is set."""
-    import tempfile
+#: How often a stream is stopped and started again while its files arrive.
+ARRIVALS = 4
+
 
-    where = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="stepline-")
-    return f"{where.rstrip('/')}/{name}-{os.urandom(6).hex()}"
+def _arriving(spark: SparkSession, df: DataFrame, name: str, start) -> None:
+    """Deals ``df`` to files by its column ``arrival`` (0 to ARRIVALS - 1), and after each arrival runs a query until all files are read.
+
+    ``start(stream, marks)``: starts the query; each run goes on from where the one before has ended.
+    """
+    staged, source, marks = (fresh_path(spark, f"{name}-{x}") for x in ("staged", "in", "marks"))
+    df.write.partitionBy("arrival").parquet(staged)
+    kept = df.drop("arrival").schema
+    for k in range(ARRIVALS):
+        spark.read.schema(df.schema).parquet(staged).filter(F.col("arrival") == k).select(*kept.names).write.mode("append").parquet(source)
+        start(spark.readStream.schema(kept).parquet(source), marks).awaitTermination()
 
 
 def _streamed(spark: SparkSession, df: DataFrame, name: str, build, mode: str = "append") -> DataFrame:
@@ -133,7 +142,7 @@ def _streamed(spark: SparkSession, df: DataFrame, name: str, build, mode: str =
 
     In complete mode each batch holds the whole result, so the last one is it.
     """
-    source, out, marks = (_scratch(spark, f"{name}-{x}") for x in ("in", "out", "marks"))
+    source, out, marks = (fresh_path(spark, f"{name}-{x}") for x in ("in", "out", "marks"))
     df.write.parquet(source)
     stream = build(spark.readStream.schema(df.schema).parquet(source))
     keep = "overwrite" if mode == "complete" else "append"
@@ -169,20 +178,74 @@ def stream_correlate(spark, d):
 
 @query(f"""WITH {duck("capture")}, i AS (SELECT capture_id, elem_key, pos, t, value, lag(t) OVER (PARTITION BY capture_id, elem_key ORDER BY t, pos) AS b FROM capture WHERE type = 'input'),
 s AS (SELECT *, sum(CASE WHEN b IS NULL OR t - b >= {24 * HOUR} THEN 1 ELSE 0 END) OVER (PARTITION BY capture_id, elem_key ORDER BY t, pos ROWS UNBOUNDED PRECEDING) AS g FROM i)
-SELECT capture_id, elem_key, arg_max(value, (t, pos)) AS value, max(t) AS t, count(*) AS n_events FROM s GROUP BY capture_id, elem_key, g""")
+SELECT capture_id, elem_key, arg_max(struct_pack(v := value), (t, pos)).v AS value, max(t) AS t, count(*) AS n_events FROM s GROUP BY capture_id, elem_key, g""")
 def session_debounce(spark, d):
     events = capture(spark, d).select("capture_id", "elem_key", F.col("pos").alias("ingest_seq"), F.timestamp_millis("t").alias("ts"), "type", "value")
-    return traces.stream_debounce(events, "24 hours").select("capture_id", "elem_key", "value", F.unix_millis("ts").alias("t"), "n_events")
+    return _streamed(spark, events, "debounce", lambda s: traces.stream_debounce(s, "24 hours"), "complete").select("capture_id", "elem_key", "value", F.unix_millis("ts").alias("t"), "n_events")
 
 
-@query("""WITH b AS (SELECT o_custkey, o_orderdate, o_orderkey, o_orderstatus AS s, o_orderpriority AS p, lag(o_orderstatus) OVER w AS ps, lag(o_orderpriority) OVER w AS pp, row_number() OVER w AS n FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderdate ORDER BY o_orderkey) AS k FROM orders) WHERE k = 1 WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate))
-SELECT o_custkey AS capture_id, epoch_us(o_orderdate) // 1000 AS t, concat_ws(',', CASE WHEN n = 1 OR pp <> p THEN 'priority' END, CASE WHEN n = 1 OR ps <> s THEN 'status' END) AS changed FROM b""")
-def stream_record_diff(spark, d):
-    from pyspark.sql import Window
-
-    first = read(spark, d, "orders").withColumn("k", F.row_number().over(Window.partitionBy("o_custkey", "o_orderdate").orderBy("o_orderkey"))).filter("k = 1")
-    states = first.select(F.col("o_custkey").alias("capture_id"), F.lit("r").alias("record_id"), F.col("o_orderdate").alias("ts"), F.create_map(F.lit("status"), F.col("o_orderstatus"), F.lit("priority"), F.col("o_orderpriority")).alias("state"))
-    # one file, so that one batch holds a record's states in order
-    return _streamed(spark, states.coalesce(1), "diff", traces.stream_record_diff).select("capture_id", F.unix_millis("ts").alias("t"), "changed")
+#: A record's last state is forgotten after so many days.
+KEEP_DAYS = 200
 
 
+@query(f"""WITH b AS (SELECT o_custkey, o_orderdate, o_orderkey, o_orderstatus AS s, o_orderpriority AS p, lag(o_orderstatus) OVER w AS ps, lag(o_orderpriority) OVER w AS pp,
+  coalesce(epoch_us(o_orderdate) - epoch_us(lag(o_orderdate) OVER w) > {KEEP_DAYS} * 86400000000, true) AS first FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))
+SELECT o_custkey AS capture_id, epoch_us(o_orderdate) // 1000 AS t, o_orderkey AS ingest_seq, concat_ws(',', CASE WHEN first OR pp <> p THEN 'priority' END, CASE WHEN first OR ps <> s THEN 'status' END) AS changed FROM b""")
+def stream_record_diff(spark, d):
+    """Orders as states of their customers' record, in files out of order; what comes out is what a pass over all of them in order gives."""
+    orders = read(spark, d, "orders")
+    first, last = orders.agg(F.min("o_orderdate"), F.max("o_orderdate")).first()
+    day = F.datediff("o_orderdate", F.lit(first)) / max(1, (last - first).days + 1) * ARRIVALS
+    arrival = F.least(F.floor(day) + F.when(F.col("o_orderkey") % 7 == 6, 1).otherwise(0), F.lit(ARRIVALS - 1)).cast("int")
+    state = F.create_map(F.lit("status"), F.col("o_orderstatus"), F.lit("priority"), F.col("o_orderpriority"))
+    states = orders.select(F.col("o_custkey").alias("capture_id"), F.lit("r").alias("record_id"), F.col("o_orderdate").alias("ts"), F.col("o_orderkey").alias("ingest_seq"), state.alias("state"), arrival.alias("arrival"))
+    # the end of the recording: it lets the watermark pass all that has come before, and has no state itself
+    late = 2 * ((last - first).days // ARRIVALS + 2)
+    end = spark.range(1).select(F.lit(-1).cast("long").alias("capture_id"), F.lit("end").alias("record_id"), F.expr(f"timestamp'{last}' + INTERVAL {late + KEEP_DAYS + 2} DAYS").alias("ts"), F.lit(0).cast("long").alias("ingest_seq"), F.lit(None).cast("map<string,string>").alias("state"), F.lit(ARRIVALS - 1).alias("arrival"))
+    out = fresh_path(spark, "diff-out")
+
+    def start(stream, marks):
+        told = stream_records.stream_record_diff(stream, f"{late} days", KEEP_DAYS)
+        write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
+        return told.writeStream.outputMode("append").option("checkpointLocation", marks).trigger(availableNow=True).foreachBatch(write).start()
+
+    with stream_records.with_rocksdb(spark):
+        _arriving(spark, states.unionByName(end), "diff", start)
+    return spark.read.parquet(out).select("capture_id", F.unix_millis("ts").alias("t"), "ingest_seq", "changed")
+
+
+#: Telemetry comes in by time, a part of it two arrivals later; an hour late is still on time.
+LATE_MS = 3_600_000
+_ARRIVED = f"least(greatest(({{t}} - a) * {ARRIVALS} // greatest(z - a + 1, 1), 0) + CASE WHEN event_no % 6 = 0 THEN 2 ELSE 0 END, {ARRIVALS - 1})"
+
+
+@query(f"""WITH {duck("action", "telemetry")}, e AS (SELECT *, {_ARRIVED.format(t="t")} AS arrival FROM telemetry, (SELECT min(t) AS a, max(t) AS z FROM telemetry)),
+m AS (SELECT arrival, max(max(t)) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - {LATE_MS} AS mark FROM e GROUP BY arrival),
+s AS (SELECT e.*, coalesce(t < mark, false) AS late FROM e JOIN m USING (arrival))
+SELECT a.capture_id, a.step_id AS step, event_no, CASE WHEN s.step_id = a.step_id THEN 'HIGH' ELSE 'TEMPORAL' END AS confidence FROM action a JOIN s ON a.capture_id = s.capture_id AND s.t BETWEEN a.t AND a.t + {6 * HOUR} WHERE NOT late
+UNION ALL SELECT DISTINCT a.capture_id, a.step_id, event_no, 'ASSERTED' FROM s JOIN action a ON a.capture_id = s.capture_id AND a.step_id = s.step_id WHERE late""")
+def late_events(spark, d):
+    """Effects that come in time are matched by time; those behind the watermark come back if they name their step.  The last batch is repeated, which adds nothing."""
+    effects = bindings.spark_frame(spark, d, "telemetry").select("capture_id", "step_id", "event_no", F.timestamp_millis("t").alias("ts"))
+    first, last = effects.agg(F.min(F.unix_millis("ts")), F.max(F.unix_millis("ts"))).first()
+    by_time = F.expr(f"CAST((unix_millis(ts) - {first}) * {ARRIVALS} DIV {max(last - first + 1, 1)} AS INT)")
+    arrival = F.least(by_time + F.when(F.col("event_no") % 6 == 0, 2).otherwise(0), F.lit(ARRIVALS - 1)).cast("int")
+    out = fresh_path(spark, "late-out")
+    _arriving(spark, effects.withColumn("arrival", arrival), "late", lambda s, marks: lateness.route(s, LATE_MS, out, marks))
+    actions = bindings.spark_frame(spark, d, "action")
+    live = lateness.routed(spark, out, "on_time").select("capture_id", F.col("step_id").alias("names"), "event_no", F.unix_millis("ts").alias("et"))
+    close = actions.join(live, "capture_id").filter(F.col("et").between(F.col("t"), F.col("t") + 6 * HOUR))
+    confidence = F.when(F.col("names") == F.col("step_id"), "HIGH").otherwise("TEMPORAL").alias("confidence")
+    matched = close.select("capture_id", F.col("step_id").alias("step"), "event_no", confidence)
+    return matched.unionByName(lateness.reconcile(actions, lateness.routed(spark, out, "late")))
+
+
+@query(FINDINGS + 'SELECT capture_id, "check", severity, detail FROM findings')
+def stream_validate(spark, d):
+    """The findings of a stream that is stopped and started again, while captures grow; the same as of all lines at once."""
+    lines = trace_lines(spark, d)
+    first, last = lines.agg(F.min("t"), F.max("t")).first()
+    arrival = F.expr(f"CAST((t - {first}) * {ARRIVALS} DIV {max(last - first + 1, 1)} AS INT)")
+    out = fresh_path(spark, "findings-out")
+    _arriving(spark, lines.withColumn("arrival", arrival), "findings", lambda s, marks: validation.stream_validate(s, out, marks, SIGNALS, TEXTS, DOMAIN))
+    return validation.validated(spark, out, trace_manifests(spark, d), trace_captures(spark, d))

@@ -1,17 +1,13 @@
 """The trace operators' live forms, for Structured Streaming.
 
 Each takes a streaming DataFrame (or a static one) and returns one.  Watermarks bound the
-state; what comes later than that goes to a batch job, see :func:`late_events`.
+state; what comes later than that goes to a batch job, see ``lateness``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 EVENT_SCHEMA = "capture_id long, ingest_seq long, ts timestamp, type string, elem_key string, value string, record_id string, state map<string,string>"
 
@@ -44,40 +40,6 @@ def stream_correlate(actions: DataFrame, effects: DataFrame, window: str = "5 se
     return joined.withColumn("confidence", F.when(F.col("names_step") == F.col("step"), "HIGH").when(F.col("effect_ts").isNotNull(), "TEMPORAL")).drop("effect_capture")
 
 
-def late_events(matches: DataFrame, effects: DataFrame) -> DataFrame:
-    """Batch reconciliation: effects that name a step and that no live match took in.  Late is not wrong: they stay, as ASSERTED."""
-    taken = matches.select("capture_id", F.col("effect_ts").alias("ts"), "layer").distinct()
-    return effects.filter("step_id is not null").join(taken, ["capture_id", "ts", "layer"], "left_anti").withColumn("confidence", F.lit("ASSERTED"))
-
-
 def stream_dedupe(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     """One event for each stamp of a capture."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["capture_id", "ingest_seq"])
-
-
-def stream_record_diff(events: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """For each state of a record that is not empty, the fields that differ from the last such state.
-
-    The state kept is a record's last fields; within a batch, states go in order of time.
-    """
-
-    def diff(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        names, values = state.get if state.exists else ([], [])
-        last, out = dict(zip(names, values)), []
-        rows = pd.concat(list(batches)).sort_values("ts")
-        for ts, now in zip(rows["ts"], rows["state"]):
-            now = dict(now) if now is not None else {}
-            if now:
-                changed = sorted(k for k, v in now.items() if k not in last or last[k] != v)
-                out.append((*key, ts, ",".join(changed)))
-                last = now
-        state.update((list(last), list(last.values())))
-        yield pd.DataFrame(out, columns=["capture_id", "record_id", "ts", "changed"])
-
-    kept = events.select("capture_id", "record_id", "ts", "state")
-    return kept.groupBy("capture_id", "record_id").applyInPandasWithState(diff, "capture_id long, record_id string, ts timestamp, changed string", "names array<string>, values array<string>", "append", GroupStateTimeout.NoTimeout)
-
-
-def stream_validate(events: DataFrame, check: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str):
-    """Starts a query that checks each batch and hands the findings on, once for each batch number."""
-    return events.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, n: sink(check(df), n)).start()
