@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stepline.sources.shared import cut, fresh_path, shared_dir  # noqa: F401
+
 #: A word: code points that are none of space and U+0009 to U+000D.  ``bytes.split()``
 #: without arguments cuts UTF-8 at exactly these bytes, so Python tasks use that.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,33 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
-
-    It is the one named in ``spark.checkpoint.dir``.  Only where that is unset (tests,
-    a single machine) a temporary folder is made and set.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        made = spark.sparkContext.getCheckpointDir()
-        where = made or "file://" + tempfile.mkdtemp(prefix="stepline-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(where)
-    return where
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared checkpoint folder and returns the written rows, so
-    that what follows neither recomputes it nor loses it with an executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{os.urandom(8).hex()}"
-
-
 def as_bytes(column) -> list:
     """The UTF-8 bytes of an Arrow string column; null becomes empty."""
     if isinstance(column, pa.ChunkedArray):

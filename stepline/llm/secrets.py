@@ -12,7 +12,7 @@ The dictionary is the fixed words below and the documents' own words: those of a
 Besides those counts nothing is shuffled; a document's spans come from its whole text.
 
 Cases: a null text is empty; an empty or blank text has no spans; a repeated value is
-reported at each place; a value is costed whole, however long and of however many parts; overlapping spans of different kinds are all kept; repeated rows give repeated rows; other columns are not
+reported at each place; a value is costed whole, however long and of however many parts (beyond 500 characters, whether it is reported is exact, and the guesses told are those of a good segmentation); overlapping spans of different kinds are all kept; repeated rows give repeated rows; other columns are not
 read.
 """
 
@@ -40,6 +40,8 @@ CONTEXT = re.compile(r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-
 LEAST_LOG10 = 10.0
 #: Characters of a value whose cost a task remembers, and how many such values.
 REMEMBERED, MOST_REMEMBERED = 100, 100_000
+#: Characters up to which a value's least guesses are always searched for.
+EXACT = 500
 LEAST_DOCS, MOST_WORDS = 5, 1 << 17
 #: A word of the documents: letters only, with no letter, digit or underscore beside them.
 PROSE = r"(?<![\p{L}\p{N}_])\p{L}{3,24}(?![\p{L}\p{N}_])"
@@ -150,18 +152,60 @@ def repeats(value: str) -> list[tuple[int, int, float]]:
     return out
 
 
-def _bound(n: int, ending: list[list], brute: list[float], more: float) -> float:
-    """The cost of a segmentation that is the cheapest if each part costs ``more`` instead of the orders of all."""
+def _bound(n: int, ending: list[list], brute: list[float], more: float) -> tuple[float, float, int]:
+    """(guesses of the segmentation that is the cheapest if each part costs ``more`` instead of the orders of all; what no segmentation is below; its parts).
+
+    No segmentation into m parts costs less than the cheapest so priced, less ``more`` for each part, times m!; the
+    least of that over all m is a bound for all.
+    """
     best, tail = [(0.0, 0)], (math.inf, 0)
     for j in range(1, n + 1):
         c, m = min(tail, (best[j - 1][0] + more, best[j - 1][1] + 1))
         tail = (c + brute[j - 1], m)
-        best.append(min([tail, *((best[i][0] + cost + more, best[i][1] + 1) for i, _, cost in ending[j])]))
+        now = tail
+        for i, _, cost in ending[j]:
+            if (c := best[i][0] + cost + more) <= now[0]:
+                now = min(now, (c, best[i][1] + 1))
+        best.append(now)
     c, m = best[n]
-    return c - more * m + math.lgamma(m + 1) / math.log(10)
+    orders = lambda k: math.lgamma(k + 1) / math.log(10)
+    # log10(m!) - more m falls while m is below 10 ** more
+    turn = min(n, int(10**more))
+    least = min(orders(k) - more * k for k in (max(1, turn - 1), max(1, turn), turn + 1))
+    return c - more * m + orders(m), c + least, m
+
+
+def _graph(value: str, ranks: dict[str, int]) -> tuple[list[list], list[list], list[float]]:
+    """Parts by their end and by their start, and what each character costs by brute force."""
+    ending: list[list] = [[] for _ in range(len(value) + 1)]
+    starting: list[list] = [[] for _ in range(len(value) + 1)]
+    for i, j, kind, cost in parts(value, ranks):
+        ending[j].append((i, kind, cost))
+        starting[i].append((j, cost))
+    return ending, starting, [_brute(c) for c in value]
+
 
+def guessed(value: str, ranks: dict[str, int] = RANK, least_log10: float = LEAST_LOG10) -> float:
+    """log10 of the guesses of a value, which are at least ``least_log10`` exactly if the least guesses are.
 
-def segment(value: str, ranks: dict[str, int] = RANK) -> tuple[float, list[tuple[int, int, str]]]:
+    For values of up to ``EXACT`` characters it is the least itself.  For longer ones it is that of the best of a few segmentations; where
+    these and a lower bound leave it open on which side of ``least_log10`` the least is, all segmentations are searched, which is quick, as
+    only few parts can then matter.
+    """
+    if len(value) <= EXACT:
+        return segment(value, ranks)[0]
+    graph = _graph(value, ranks)
+    ending, _, brute = graph
+    known, floor, more = sum(brute), 0.0, 1.0
+    for _ in range(3):
+        found, bound, m = _bound(len(value), ending, brute, more)
+        known, floor, more = min(known, found), max(floor, bound), math.log10(m + 1)
+    if floor >= least_log10 or known < least_log10:
+        return known
+    return segment(value, ranks, graph, known)[0]
+
+
+def segment(value: str, ranks: dict[str, int] = RANK, graph: tuple | None = None, known: float = math.inf) -> tuple[float, list[tuple[int, int, str]]]:
     """log10 of the least guesses, and the parts that take them.
 
     Among segmentations into m parts the guesses are the parts' product times m!, the
@@ -172,19 +216,14 @@ def segment(value: str, ranks: dict[str, int] = RANK) -> tuple[float, list[tuple
     n = len(value)
     if not n:
         return 0.0, []
-    ending: list[list] = [[] for _ in range(n + 1)]
-    starting: list[list] = [[] for _ in range(n + 1)]
-    for i, j, kind, cost in parts(value, ranks):
-        ending[j].append((i, kind, cost))
-        starting[i].append((j, cost))
-    brute = [_brute(c) for c in value]
+    ending, starting, brute = graph or _graph(value, ranks)
     # the cheapest way on from each place, orders left aside
     rest = [0.0] * (n + 1)
     for i in range(n - 1, -1, -1):
         rest[i] = min([rest[i + 1] + brute[i], *(rest[j] + cost for j, cost in starting[i])])
-    known = sum(brute)
+    known = min(known, sum(brute))
     for more in (0.5, 1.0, 2.0):
-        known = min(known, _bound(n, ending, brute, more))
+        known = min(known, _bound(n, ending, brute, more)[0])
     orders = [0.0]
     # best[j]: {m: (cost, start of the last part, its kind)} of the first j characters in m parts;
     # tail: {m: (cost, start)} of those whose last part is brute force, which the next character may lengthen
@@ -228,9 +267,9 @@ def log10_guesses(value: str, ranks: dict[str, int] = RANK) -> float:
     return segment(value, ranks)[0]
 
 
-def _cost(ranks):
-    remembered = lru_cache(MOST_REMEMBERED)(lambda value: log10_guesses(value, ranks))
-    return lambda value: remembered(value) if len(value) <= REMEMBERED else log10_guesses(value, ranks)
+def _cost(ranks, least_log10):
+    remembered = lru_cache(MOST_REMEMBERED)(lambda value: guessed(value, ranks, least_log10))
+    return lambda value: remembered(value) if len(value) <= REMEMBERED else guessed(value, ranks, least_log10)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -258,7 +297,7 @@ SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 str
 
 
 def _scan(batches, least_log10, ranks):
-    cost_of = _cost(ranks.value)
+    cost_of = _cost(ranks.value, least_log10)
     for batch in batches:
         rows = []
         for i, text in zip(batch.column(0).to_pylist(), as_text(batch.column(1))):
@@ -279,7 +318,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _redact(batches, column, mark, least_log10, ranks):
-    cost_of = _cost(ranks.value)
+    cost_of = _cost(ranks.value, least_log10)
     for batch in batches:
         out = []
         for text in batch.column(column).to_pylist():

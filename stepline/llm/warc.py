@@ -13,7 +13,7 @@ Of records with equal payloads of at least ``least_bytes`` one is kept whole, th
 become ``revisit`` records that carry the HTTP header only and refer to it.
 
 Blocks stay bytes from end to end, whatever their encoding.  What is no record (a stray line, an
-end within a record, a length that is no number) is a reject with its file, place and reason; what
+end within a record, a length that is no number, a gzip member that is damaged or cut short) is a reject with its file, place and reason; what
 comes after it is still read.
 
 How it runs.  Spark writes both kinds of archive as gzipped text files, whose line separator
@@ -34,6 +34,7 @@ import base64
 import gzip
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -99,8 +100,23 @@ def write_arc(pages: DataFrame, path: str, page_id: str = "page_id", url: str =
 
 
 def parse_arc(data: bytes) -> Iterator[dict]:
-    """The records of an ARC file, each with its place ``at``; a reject has a reason ``error`` and no content."""
-    data, at, version = unzipped(data), 0, 1
+    """The records of an ARC file, each with its place ``at``; a reject has a reason ``error`` and no content.
+
+    A compressed file is read member by member: one that is cut short or damaged gives what it holds up to there and a reject, and
+    reading goes on at the next one.
+    """
+    start, versions = 0, [1]
+    for run, error in unzipped_runs(data):
+        for record in _parse_run(run, versions):
+            yield record | {"at": record["at"] + start}
+        start += len(run)
+        if error:
+            yield {"at": start, "error": error}
+
+
+def _parse_run(data: bytes, versions: list[int]) -> Iterator[dict]:
+    """``versions``: those declared so far; the last one holds."""
+    at = 0
     while at < len(data):
         if data[at : at + 1] in b"\r\n":
             at += 1
@@ -108,6 +124,7 @@ def parse_arc(data: bytes) -> Iterator[dict]:
         end = data.find(b"\n", at)
         end = len(data) if end < 0 else end
         line = data[at:end].decode("utf-8", "surrogateescape").rstrip("\r")
+        version = versions[-1]
         fields = line.rsplit(" ", len(ARC_FIELDS[version].split()) - 1)
         is_block = line.startswith("filedesc://")
         size = (line.split(" ") if is_block else fields)[-1]
@@ -123,7 +140,7 @@ def parse_arc(data: bytes) -> Iterator[dict]:
         if is_block:
             declared = body.split(b" ", 1)[0]
             if declared in (b"1", b"2"):
-                version = int(declared)
+                versions.append(int(declared))
             else:
                 yield {"at": at, "error": "a version block of no known version"}
         else:
@@ -131,6 +148,45 @@ def parse_arc(data: bytes) -> Iterator[dict]:
         at = end + 1 + int(size)
 
 
+GZIP = b"\x1f\x8b\x08"
+
+
+def unzipped_runs(data: bytes) -> Iterator[tuple[bytes, str | None]]:
+    """The bytes of a file in runs, each but the last ended by a gzip member that can't be read on, with the reason; one run if it isn't compressed."""
+    if data[:2] != GZIP[:2]:
+        yield data, None
+        return
+    run, at = [], 0
+    while at < len(data):
+        member = zlib.decompressobj(31)
+        try:
+            # in pieces, so that what stands before the damage is kept
+            for a in range(at, len(data), 1 << 16):
+                run.append(member.decompress(data[a : a + (1 << 16)]))
+                if member.eof:
+                    break
+            error = None if member.eof else "the file ends within a gzip member"
+        except zlib.error:
+            error = "a gzip member that can't be read"
+        if error:
+            yield b"".join(run), error
+            run = []
+            # a member's own bytes may look like the start of one: what can't be read there is passed over alike
+            at = data.find(GZIP, at + 1)
+            at = len(data) if at < 0 else at
+        else:
+            at = min(a + (1 << 16), len(data)) - len(member.unused_data)
+            # what follows a member is another one; bytes that are none are passed over
+            if at < len(data) and data[at : at + 3] != GZIP:
+                following = data.find(GZIP, at)
+                if data[at:].strip(b"\0"):
+                    yield b"".join(run), "bytes after a gzip member that are none"
+                    run = []
+                at = len(data) if following < 0 else following
+    if run:
+        yield b"".join(run), None
+
+
 def unzipped(data: bytes) -> bytes:
     return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
 

@@ -2,7 +2,9 @@
 
 import hashlib
 import math
+import gzip
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -438,6 +440,22 @@ def test_words_of_the_documents_are_cheap(spark):
     assert {r["text"] for r in rows(secrets.redact_secrets(df)) if r["doc_id"] < 9} == {prose[0][1]}
 
 
+def test_long_values_are_judged_exactly_and_soon():
+    rng = np.random.default_rng(3)
+    words = [w for w in secrets.WORDS if len(w) >= 3]
+    made = [" ".join(rng.choice(words, n)) for n in (100, 140)] + ["x" * 300 + "dragon" + "7" * 300, "".join(rng.choice(list("abc1"), 600)), "ab" * 400, "password" * 70 + "Zq9"]
+    for value in made:
+        least = secrets.segment(value)[0]
+        found = secrets.guessed(value, least_log10=least)
+        assert found >= least - 1e-9
+        for line in (least - 3, least - 0.01, least + 0.01, least + 3, 10.0):
+            assert (secrets.guessed(value, least_log10=line) >= line) == (least >= line)
+    prose = " ".join(rng.choice(words, 20_000))[:100_000]
+    began = time.process_time()
+    assert [x[:3] for x in secrets.guess_spans(f'token: "{prose}"', cost_of=secrets._cost(secrets.RANK, 10.0))] == [(8, 8 + len(prose), "guess")]
+    assert time.process_time() - began < 5
+
+
 def test_long_values_are_costed_whole():
     assert abs(secrets.log10_guesses("_" * 300) - math.log10(33) - math.log10(300)) < 1e-9
     assert [k for *_, k in secrets.segment("x" * 98 + "dragon" + "7" * 100)[1]] == ["repeat", "word", "repeat"]
@@ -586,6 +604,32 @@ def test_pages(spark, sf):
     assert rows(warc.convert(df.limit(0))) == []
 
 
+def arc_record(k, body=b"some text"):
+    return b"http://x/%d 1.2.3.4 20010203040506 text/plain %d\n" % (k, len(body)) + body + b"\n"
+
+
+def test_broken_gzip_members_are_rejects_and_the_rest_is_read():
+    block = b"1 0 X\nURL IP-address Archive-date Content-type Archive-length\n"
+    head = b"filedesc://a 0.0.0.0 20010203040506 text/plain %d\n" % len(block) + block + b"\n"
+    whole = [gzip.compress(x) for x in (head, *(arc_record(k, bytes(range(256)) * 300) for k in range(4)))]
+    told = lambda data: [x["URL"][-1] if not x["error"] else x["error"] for x in warc.parse_arc(data)]
+    assert told(b"".join(whole)) == list("0123")
+    # cut short
+    short = told(b"".join(whole)[:-40])
+    assert short[:3] == list("012") and short[-1] == "the file ends within a gzip member" and "the file ends within the record" in short
+    assert told(gzip.compress(head + arc_record(0) + arc_record(1))[:-9])[:2] == list("01")
+    # damaged in the middle: the records after it are there
+    hurt = bytearray(b"".join(whole))
+    at = len(whole[0]) + len(whole[1]) + len(whole[2]) // 2
+    hurt[at : at + 8] = b"\xff" * 8
+    found = told(bytes(hurt))
+    assert found[0] == "0" and found[-2:] == list("23") and "a gzip member that can't be read" in found
+    # bytes that are none in between, and padding at the end
+    assert told(whole[0] + whole[1] + b"garbage" + whole[2]) == ["0", "bytes after a gzip member that are none", "1"]
+    assert told(whole[0] + whole[1] + b"\0" * 50) == ["0"] and told(b"\x1f\x8b") == ["the file ends within a gzip member"]
+    assert all(isinstance(x["at"], int) for x in warc.parse_arc(bytes(hurt)))
+
+
 def test_arc_header_lines_of_both_versions():
     for version in (1, 2):
         data = (warc.arc_block(version, "20240102030405") + "\n" + warc.arc_record(version, "20240102030405", 5, "http://a b/c", "<p>x\n\ny") + "\n").encode()
