@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stepline.functions import naming, redaction
-from stepline.operators import actions, correlate, evaluate, integrity, ordering, prompts, quality, records, reduce, rounds, score, selectors, specs
+from stepline.operators import actions, chunked, correlate, evaluate, integrity, ordering, prompts, quality, records, reduce, rounds, score, selectors, specs
 from stepline.plans import bindings
 from stepline.plans.bindings import duck, read
 from stepline.plans.registry import ORACLES, QUERIES
@@ -172,6 +172,26 @@ def coalesce_inputs(spark, d):
     return reduce.coalesce_inputs(ordered(spark, d)).select("capture_id", "pos", "ordinal_2")
 
 
+def _one(sql: str) -> str:
+    """The SQL with all users' events in one capture."""
+    return sql.replace("SELECT user_id AS capture_id, event_id AS pos", "SELECT CAST(0 AS BIGINT) AS capture_id, event_id AS pos")
+
+
+def giant(spark, d):
+    """All users' events as one capture, too long for a task."""
+    return capture(spark, d).withColumn("capture_id", F.lit(0).cast("long"))
+
+
+@query(_one(ORDERED) + "SELECT capture_id, pos, ordinal FROM ordered")
+def order_events_in_chunks(spark, d):
+    return chunked.order_events(giant(spark, d)).select("capture_id", "pos", "ordinal")
+
+
+@query(_one(MERGED) + "SELECT capture_id, pos, o2 AS ordinal_2 FROM merged")
+def coalesce_inputs_in_chunks(spark, d):
+    return chunked.coalesce_inputs(chunked.order_events(giant(spark, d))).select("capture_id", "pos", "ordinal_2")
+
+
 BUBBLED = MERGED + f""", b1 AS (SELECT *, lead(type) OVER w AS ltype, lead({CONTROL}) OVER w AS lcontrol, lead(t) OVER w - t AS gap FROM merged WINDOW w AS (PARTITION BY capture_id ORDER BY o2)),
 bubbled AS (SELECT * EXCLUDE (ltype, lcontrol, gap) FROM b1 WHERE NOT coalesce(type = 'click' AND NOT {CONTROL} AND ltype = 'click' AND lcontrol AND gap BETWEEN 0 AND {ECHO}, false)),
 c1 AS (SELECT *, lead(type) OVER (PARTITION BY capture_id ORDER BY o2) AS ltype, count(*) OVER (PARTITION BY capture_id) AS cnt FROM bubbled),

@@ -11,9 +11,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from stepline.functions import naming, redaction
-from stepline.operators import refinement, actions, correlate, evaluate, ordering, prompts, quality, reduce, rounds, score, selectors, specs
+from stepline.operators import actions, chunked, correlate, evaluate, integrity, ordering, prompts, quality, reduce, refinement, rounds, score, selectors, specs
 from stepline.sources import captures, sinks
-from stepline.streaming import traces
+from stepline.streaming import lateness, traces, validation
+from stepline.streaming import records as stream_records
 
 
 def one(spark, value, expr):
@@ -378,13 +379,128 @@ def test_a_round_is_never_overwritten(spark, tmp_path):
 def test_stream_of_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.json").write_text("\n".join(json.dumps({"capture_id": 1, "ingest_seq": i // 2, "ts": f"2024-01-01T00:00:0{i}Z", "type": "input", "elem_key": "k", "value": str(i)}) for i in range(6)))
-    events = traces.stream_captures(spark, str(tmp_path / "in"))
-    got = []
-    run = traces.stream_validate(events, lambda df: quality.check_broken_clock(df.withColumn("t", F.col("ts"))), lambda df, n: got.append((n, df.count())), str(tmp_path / "marks"))
+    events, got = traces.stream_captures(spark, str(tmp_path / "in")), []
+    run = events.writeStream.option("checkpointLocation", str(tmp_path / "marks")).trigger(availableNow=True).foreachBatch(lambda df, n: got.append((n, df.count()))).start()
     run.awaitTermination()
-    assert got == [(0, 0)]
+    assert got == [(0, 6)]
     counted = traces.stream_debounce(spark.read.schema(traces.EVENT_SCHEMA).json(str(tmp_path / "in")), "1500 milliseconds").first()
     assert counted.value == "5" and counted.n_events == 6
+    sliding = traces.stream_live_counts(spark.read.schema(traces.EVENT_SCHEMA).json(str(tmp_path / "in")), "4 seconds", "2 seconds").orderBy("window_start").collect()
+    assert [r.n_events for r in sliding] == [2, 4, 4, 2]
+
+
+def replayed(query, marks):
+    """Takes back the mark that the last batch is done, so that it is run again."""
+    query.awaitTermination()
+    last = max(marks.glob("commits/[0-9]*"), key=lambda p: int(p.name))
+    for p in (last, last.with_name(f".{last.name}.crc")):
+        p.unlink(missing_ok=True)
+
+
+def test_late_events_are_set_apart_and_a_repeated_batch_adds_nothing(spark, tmp_path):
+    files, out, marks = tmp_path / "in", str(tmp_path / "out"), tmp_path / "marks"
+    files.mkdir()
+    schema = "capture_id long, step_id string, event_no long, ts timestamp"
+    started = lambda: lateness.route(spark.readStream.schema(schema).json(str(files)), 2000, out, str(marks))
+    at = lambda k, second, step: json.dumps({"capture_id": 1, "step_id": step, "event_no": k, "ts": second and f"2024-01-01T00:00:{second:02}Z"})
+    (files / "a.json").write_text("\n".join([at(1, 5, "s1"), at(2, 20, None)]))
+    started().awaitTermination()
+    (files / "b.json").write_text("\n".join([at(3, 17, "s1"), at(4, 18, "s1"), at(5, 30, None), at(6, None, "s1")]))
+    replayed(started(), marks)
+    before = {side: sorted(r.event_no for r in lateness.routed(spark, out, side).collect()) for side in ("on_time", "late")}
+    started().awaitTermination()
+    after = {side: sorted(r.event_no for r in lateness.routed(spark, out, side).collect()) for side in ("on_time", "late")}
+    assert before == after == {"on_time": [1, 2, 4, 5, 6], "late": [3]}
+    steps = spark.createDataFrame([(1, "s1"), (1, "s2")], "capture_id long, step_id string")
+    assert [tuple(r) for r in lateness.reconcile(steps, lateness.routed(spark, out, "late")).collect()] == [(1, "s1", 3, "ASSERTED")]
+
+
+def trace_rows(n, seed):
+    rng = random.Random(seed)
+    rows = []
+    for line in range(n):
+        rows.append((rng.randrange(3), line, rng.random() < 0.1, 1000 + line // 3, None if rng.random() < 0.2 else line - rng.randrange(3), line, rng.choice(["https://app.example.test/a", "https://b.example.test/", "https://else.test/"]), rng.choice(["x", None]), rng.random() < 0.1, rng.choice(["text", "password"]), rng.choice(["ok", "my_pin"]), ["f"] if rng.random() < 0.2 else [], None, rng.choice([None, "at https://c.example.test/", "at https://app.example.test/"])))
+    return rows
+
+
+TRACE = "capture_id long, line long, rejected boolean, t long, ingest_seq long, pos long, url string, value string, value_redacted boolean, elem_type string, name string, frame_path array<string>, frame_url string, note string"
+
+
+def checked_by_hand(rows, captures, claims):
+    """Plain Python over whole captures."""
+    out = []
+    for capture in captures:
+        mine = sorted((r for r in rows if r[0] == capture), key=lambda r: r[1])
+        good = [r for r in mine if not r[2]]
+        bad, add = len(mine) - len(good), lambda *x: out.append((capture, *x))  # noqa: B023
+        host = next((r[6].split("/")[2] for r in good if r[6].split("/")[2].endswith("example.test")), None)
+        for r in good:
+            if r[8] and r[7] is not None:
+                add("redaction_leak", "SECURITY CRITICAL", str(r[5]))
+            hits = ["element.type=password"] * (r[9] == "password") + ["name~pin"] * (r[10] == "my_pin")
+            if r[7] is not None and hits:
+                add("sensitive_identity", "SECURITY CRITICAL", " ".join([str(r[5]), *hits]))
+            if r[11]:
+                add("frame_url", "WARNING", str(r[5]))
+            if r[13] and r[13].split("/")[2] != host:
+                add("org_leak", "CRITICAL", f"{r[5]} note url")
+        if len(good) > 1 and len({r[3] for r in good}) == 1:
+            add("broken_clock", "CRITICAL", str(len(good)))
+        stamps = [(r[4], r[1]) for r in good if r[4] is not None]
+        if back := [line for (a, _), (b, line) in zip(stamps, stamps[1:]) if b <= a]:
+            add("monotonic", "CRITICAL", str(back[0]))
+        if not good:
+            add("empty", "CRITICAL", "no events")
+        gap = "unknown"
+        if capture in claims and mine:
+            gap = str(max(0, claims[capture] - len(good)))
+            if claims[capture] != len(good):
+                add("manifest_count", "CRITICAL", f"claimed {claims[capture]}, found {len(good)}")
+        if mine and (not good or bad >= 0.5 * len(mine)):
+            add("data_loss", "DATA LOSS", f"{bad} {gap}")
+        elif bad or gap not in ("unknown", "0"):
+            add("data_loss", "EVIDENCE INCOMPLETE", f"{bad} {gap}")
+    return sorted(out)
+
+
+def test_integrity_does_not_depend_on_how_captures_are_cut(spark, tmp_path):
+    rows = trace_rows(90, 1) + [(5, k, True, 1, k, k, "", None, False, "", "", [], None, None) for k in range(3)] + [(6, k, k < 3, 7, k, k, "https://z/", None, False, "", "", [], None, None) for k in range(5)]
+    df = spark.createDataFrame(rows, TRACE)
+    manifests = spark.createDataFrame([(0, 25, 0), (1, 400, 0), (5, 3, 0)], "capture_id long, event_count long, sink_errors int")
+    captures = spark.createDataFrame([(k,) for k in (0, 1, 2, 5, 6, 9)], "capture_id long")
+    want = checked_by_hand(rows, (0, 1, 2, 5, 6, 9), {0: 25, 1: 400, 5: 3})
+    for lines in (1, 7, 1 << 16):
+        found = integrity.validate(df, manifests, captures, ["name"], ["note"], "example.test", part_lines=lines)
+        assert sorted(tuple(r) for r in found.collect()) == want
+    # the same lines as a stream in three batches, one of which is run twice
+    source, out, marks = str(tmp_path / "in"), str(tmp_path / "out"), tmp_path / "marks"
+    for k in range(3):
+        df.filter((F.col("line") >= 30 * k) & (F.col("line") < 30 * (k + 1))).write.mode("append").parquet(source)
+        started = validation.stream_validate(spark.readStream.schema(TRACE).parquet(source), out, str(marks), ["name"], ["note"], "example.test")
+        replayed(started, marks) if k == 1 else started.awaitTermination()
+    assert sorted(tuple(r) for r in validation.validated(spark, out, manifests, captures).collect()) == want
+
+
+def test_chunks_of_any_size_give_the_same_order(spark):
+    rng = random.Random(4)
+    rows = []
+    for pos in range(400):
+        kind = rng.choice(["input", "change", "input", "click", "scroll"])
+        rows.append((pos % 7 // 6, pos, None if rng.random() < 0.3 else pos + rng.randrange(-4, 5), None if rng.random() < 0.05 else 1000 + pos + rng.randrange(-30, 30), pos, kind, rng.choice(["input", "TEXTAREA", "div"]), rng.choice(["a", "b", "c"])))
+    df = spark.createDataFrame(rows, "capture_id int, pos int, ingest_seq int, t int, seq int, type string, tag string, elem_key string")
+    in_order = ordering.order_events(df)
+    want = {tuple(r) for r in reduce.coalesce_inputs(in_order).select("capture_id", "pos", "ordinal", "ordinal_2").collect()}
+    for n in (1, 5, 150):
+        got = chunked.order_events(df, n_chunks=n)
+        assert {tuple(r) for r in got.select("capture_id", "pos", "ordinal").collect()} == {tuple(r) for r in in_order.select("capture_id", "pos", "ordinal").collect()}
+        assert {tuple(r) for r in chunked.coalesce_inputs(got, n_chunks=n).select("capture_id", "pos", "ordinal", "ordinal_2").collect()} == want
+
+
+def test_record_states_differ_from_the_last_one_kept():
+    day = 86_400_000_000
+    states = [(0, 1, ["a", "b"], ["1", "2"]), (0, 2, ["a"], ["1"]), (day, 0, [], []), (3 * day, 0, ["a", "c"], ["2", "9"]), (9 * day, 0, ["a"], ["2"])]
+    found, last = stream_records.changes(states, None, 5 * day)
+    assert found == [(0, 1, "a,b"), (0, 2, ""), (3 * day, 0, "a,c"), (9 * day, 0, "a")] and last[0] == 9 * day
 
 
 def test_wall_clock_and_recording_id(spark):
