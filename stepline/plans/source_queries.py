@@ -11,7 +11,7 @@ from stepline.plans import bindings
 from stepline.plans.bindings import duck, read
 from stepline.plans.trace_queries import DOMAIN, FINDINGS, HOUR, SIGNALS, TEXTS, capture, query, trace_captures, trace_lines, trace_manifests
 from stepline.sources import captures
-from stepline.sources.shared import fresh_path
+from stepline.sources.shared import cut, fresh_path
 from stepline.streaming import lateness, traces, validation
 from stepline.streaming import records as stream_records
 
@@ -37,6 +37,25 @@ def read_capture(spark, d):
     return captures.parse_lines(lines(spark, d))[0].select("capture_id", "pos", "t", "type", "ingest_seq", "known_type")
 
 
+@query(LINES + """ SELECT capture_id, row_number() OVER (PARTITION BY capture_id ORDER BY pos) AS line_no, coalesce(reason, 'event') AS kind FROM lines QUALIFY coalesce(reason, '') <> 'blank'""")
+def read_capture_files(spark, d):
+    """Captures written as files, blank lines too, and read again in splits of a few lines."""
+    written = capture(spark, d).select("capture_id", "pos", F.expr(LINE).alias("line"))
+    path = fresh_path(spark, "captures")
+    written.repartition("capture_id").sortWithinPartitions("capture_id", "pos").select("capture_id", "line").write.partitionBy("capture_id").text(path)
+    few = {"spark.sql.files.maxPartitionBytes": "1k", "spark.sql.files.openCostInBytes": "512"}
+    before = {k: spark.conf.get(k) for k in few}
+    try:
+        for k, v in few.items():
+            spark.conf.set(k, v)
+        events, rejects = captures.parse_lines(captures.capture_lines(spark, path))
+        found = cut(events.select("path", "line_no", F.lit("event").alias("kind")).unionByName(rejects.withColumnRenamed("reason", "kind")))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    return found.select(F.regexp_extract("path", "capture_id=([0-9]+)", 1).cast("long").alias("capture_id"), "line_no", "kind")
+
+
 @query(LINES + " SELECT CASE k % 7 WHEN 1 THEN 'fatal' WHEN 2 THEN 'old' WHEN 3 THEN 'assumed' END AS version_note, count(*) AS n FROM lines WHERE reason IS NULL GROUP BY 1")
 def version_gate(spark, d):
     return captures.version_gate(captures.parse_lines(lines(spark, d))[0]).groupBy("version_note").agg(F.count("*").alias("n"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 KNOWN_TYPES = ("click", "input", "change", "navigate", "scroll", "keydown", "submit")
 VERSION = 1
 ELEMENT = "struct<tag:string,type:string,name:string,id:string,classes:array<string>,aria_label:string,text:string,is_in_modal:boolean,modal_label:string,shadow_depth:int>"
-SELECTORS = "struct<test_id:string,aria:string,role_name:struct<role:string,name:string>,label_for:string,sf_field:string,css_path:string,text:string,xpath:string,selector_confidence:double,selector_fallback:string>"
+SELECTORS = "struct<test_id:string,aria:string,role_name:struct<role:variant,name:string>,label_for:string,sf_field:string,css_path:string,text:string,xpath:string,selector_confidence:double,selector_fallback:string>"
 LINE = (
     f"v int, seq int, t bigint, type string, url string, frame_path array<string>, selectors {SELECTORS}, element {ELEMENT}, value string, value_redacted boolean, "
     "sf struct<object:string,record_id:string,page_type:string,app:string>, _ingest_seq bigint, _ingest_t bigint, _frame_url string, _page_index int, _bad string"
@@ -18,33 +18,38 @@ LINE = (
 def capture_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, line_no, line) of capture files, without byte order marks and blank lines.
 
-    A capture is one file that one recording wrote, so a file is a row until it is cut into lines.
+    Files are read in splits, as many tasks as their bytes need.  Within a split lines come in their order, and a table with a row for
+    each split says how many lines are before it in its file; so lines get their numbers without being shuffled.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^\\uFEFF", "").alias("value"))
-    return whole.select("path", F.posexplode(F.split("value", "\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1).filter(F.trim("line") != "")
+    split = ["path", "start"]
+    raw = spark.read.option("lineSep", "\n").text(path)
+    placed = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("_at"), F.col("value").alias("line"))
+    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = placed.groupBy(*split).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    splits = splits.select(*split, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    numbered = placed.join(splits, split).withColumn("line_no", (F.col("_at") - F.col("_first") + F.col("_before") + 1).cast("int"))
+    return numbered.select("path", "line_no", F.when(F.col("line_no") == 1, F.regexp_replace("line", "^\uFEFF", "")).otherwise(F.col("line")).alias("line")).filter(F.trim("line") != "")
 
 
 def parse_lines(lines: DataFrame, line: str = "line") -> tuple[DataFrame, DataFrame]:
     """Events and rejects (with ``reason``) of capture lines; other columns come along.
 
     A line is rejected if it is no JSON, no object, or has a field of another type than the
-    schema's; a role that is a number is malformed, one that is null is fine.
+    schema's; a role that is a number is malformed, one that is null is fine.  A line is parsed once, a reject once more to tell why.
     """
-    value = F.try_parse_json(F.col(line))
-    kind = F.schema_of_variant(value)
-    parsed = lines.withColumn("_kind", kind).withColumn("_e", F.from_json(line, LINE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
-    role = F.schema_of_variant(F.try_variant_get(value, "$.selectors.role_name.role", "variant"))
-    reason = (
-        F.when(F.col("_kind").isNull(), "bad_json")
-        .when(~F.col("_kind").startswith("OBJECT"), "not_an_object")
-        .when(F.col("_e._bad").isNotNull(), "schema")
-        .when(F.col("_e.t").isNull() | F.col("_e.type").isNull(), "schema")
-        .when(F.coalesce(~role.isin("STRING", "VOID"), F.lit(False)), "schema")
-    )
-    marked = parsed.withColumn("reason", reason).drop("_kind")
+    parsed = lines.withColumn("_e", F.from_json(line, LINE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    whole = F.ltrim(F.col(line)).startswith("{") & F.col("_e._bad").isNull()
+    kind = F.schema_of_variant(F.try_parse_json(F.col(line)))
+    why = F.when(kind.isNull(), "bad_json").when(~kind.startswith("OBJECT"), "not_an_object").otherwise("schema")
+    role = F.schema_of_variant("_e.selectors.role_name.role")
+    malformed = F.col("_e.t").isNull() | F.col("_e.type").isNull() | F.coalesce(~role.isin("STRING", "VOID"), F.lit(False))
+    marked = parsed.withColumn("reason", F.when(~F.coalesce(whole, F.lit(False)), why).when(malformed, "schema"))
     keep = [c for c in lines.columns if c != line]
     fields = [x.split()[0] for x in ("v seq t type url frame_path selectors element value value_redacted sf _ingest_seq _ingest_t _frame_url _page_index").split(" ")]
-    events = marked.filter("reason is null").select(*keep, *[F.col(f"_e.{f}").alias(f.lstrip("_")) for f in fields]).withColumn("known_type", F.col("type").isin(*KNOWN_TYPES))
+    name = F.col("_e.selectors.role_name")
+    named = F.when(name.isNotNull(), F.struct(F.try_variant_get(name["role"], "$", "string").alias("role"), name["name"].alias("name")))
+    selectors = F.when(F.col("_e.selectors").isNotNull(), F.col("_e.selectors").withField("role_name", named)).alias("selectors")
+    events = marked.filter("reason is null").select(*keep, *[selectors if f == "selectors" else F.col(f"_e.{f}").alias(f.lstrip("_")) for f in fields]).withColumn("known_type", F.col("type").isin(*KNOWN_TYPES))
     return events, marked.filter("reason is not null").select(*keep, "reason")
 
 

@@ -368,6 +368,25 @@ def test_capture_files_with_bad_lines(spark, tmp_path):
     assert [r.version_note for r in captures.version_gate(events).orderBy("line_no").collect()] == [None, "fatal"]
 
 
+@pytest.mark.parametrize("size", ["40", "137", "128m"])
+def test_lines_have_their_numbers_however_files_are_split(spark, tmp_path, size):
+    rng = random.Random(2)
+    want = {}
+    for name in ("a", "b", "c"):
+        lines = [rng.choice(["", " ", "x" * rng.randrange(1, 90), "é" * 5, "\r"]) for _ in range(rng.randrange(1, 60))]
+        (tmp_path / f"{name}.jsonl").write_bytes(("\ufeff" * (name == "a") + "\n".join(lines)).encode())
+        want |= {(name, k + 1): x for k, x in enumerate(lines) if x.strip(" ")}
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "10")
+        got = {(r.path[-7], r.line_no): r.line for r in captures.capture_lines(spark, str(tmp_path)).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == want
+
+
 def test_a_round_is_never_overwritten(spark, tmp_path):
     df = spark.createDataFrame([('{"session_id": "s3cret"}',)], "body string")
     sinks.write_round(df, str(tmp_path), 1, ["body"])
