@@ -5,7 +5,7 @@ from __future__ import annotations
 import keyword
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LIMIT = 74
@@ -67,27 +67,50 @@ def names_agree(topic: Column, subagent: Column) -> Column:
     return snake_case(topic) == subagent
 
 
+def _cluster(key: Column, limit: int) -> Column:
+    """The same for all names that could become each other by a number at their end, cut to ``limit`` or not."""
+    return F.regexp_replace(F.substring(key, 1, limit - 8), "(_[0-9]*)+$", "")
+
+
+def _with_number(name: Column, n: Column, limit: int) -> Column:
+    suffix = F.concat(F.lit("_"), n.cast("string"))
+    return F.when(n == 1, name).otherwise(F.concat(F.substring(name, F.lit(1), F.lit(limit) - F.length(suffix)), suffix))
+
+
 def dedupe_names(df: DataFrame, group: list[str], order: str, name: str, limit: int = LIMIT) -> DataFrame:
-    """Adds ``unique_name``: unique in its group whatever the case, by ``_2``, ``_3`` ... in order.
+    """Adds ``unique_name``: unique in its group whatever the case, not reserved and at most ``limit`` long, by ``_2``, ``_3`` ... in order; null for null.
 
-    Which number is free depends on the names before, so groups with a collision go through
-    Python, one group at a time; all others keep their names without it.
+    Equal names are numbered by a window.  Only where a number leads to another of the group's names does it matter which numbers
+    are free: such names alone, and those that could become them, go through Python, a set of them at a time.
     """
-    clash = df.groupBy(*group, F.lower(name).alias("_low")).count().filter("count > 1").select(*group).distinct()
-    alone = df.join(clash, group, "left_anti").withColumn("unique_name", F.col(name))
+    key = F.lower(name)
+    taken = is_reserved(F.col(name)) | (F.length(name) > limit)
+    keyed = df.withColumns({"_key": key, "_cluster": _cluster(key, limit), "_taken": F.coalesce(taken, F.lit(False))})
+    keys = [*group, "_cluster"]
+    names = keyed.filter(F.col("_key").isNotNull()).groupBy(*keys, "_key").agg(F.count("*").alias("_n"), F.max("_taken").alias("_taken"))
+    shape = names.groupBy(*keys).agg(F.count("*").alias("_names"), F.max((F.col("_n") > 1) | F.col("_taken")).alias("_numbers"))
+    mixed = shape.filter("_names > 1 and _numbers").select(*[F.col(k).alias(f"_of_{k}") for k in keys])
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    n = F.row_number().over(Window.partitionBy(*group, "_key").orderBy(order)) + F.col("_taken").cast("int")
+    plain = keyed.join(mixed, on, "left_anti").withColumn("unique_name", _with_number(F.col(name), n, limit)).drop("_key", "_cluster", "_taken")
 
     def number(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order)
-        taken: set[str] = set()
+        used: set[str] = set()
+        following: dict[str, int] = {}
         out = []
-        for x in rows[name]:
-            made, n = x, 1
-            while made.lower() in taken:
+        for x, is_taken in zip(rows[name], rows["_taken"]):
+            low = x.lower()
+            # numbers below the one last given to this name are used up
+            n = following.get(low, 2 if is_taken else 1)
+            while (made := x if n == 1 else f"{x[: limit - len(str(n)) - 1]}_{n}").lower() in used:
                 n += 1
-                made = f"{x[: limit - len(str(n)) - 1]}_{n}"
-            taken.add(made.lower())
+            following[low] = n + 1
+            used.add(made.lower())
             out.append(made)
-        return rows.assign(unique_name=out)
+        return rows.drop(columns=["_key", "_cluster", "_taken"]).assign(unique_name=out)
 
     schema = ", ".join(f"`{c}` {t}" for c, t in [*df.dtypes, ("unique_name", "string")])
-    return alone.unionByName(df.join(clash, group, "left_semi").groupBy(*group).applyInPandas(number, schema))
+    return plain.unionByName(keyed.join(mixed, on, "left_semi").groupBy(*keys).applyInPandas(number, schema))

@@ -605,9 +605,15 @@ def names(spark, d):
     return read(spark, d, "part").select("p_partkey", naming.snake_case(label).alias("snake"), naming.topic_api_name(label).alias("topic"), naming.camel_name(label).alias("camel"), naming.prefixed_name("x_", label).alias("prefixed"))
 
 
-@query("""WITH n AS (SELECT p_partkey, p_size, lower(split_part(p_type, ' ', 1)) AS name FROM part), k AS (SELECT *, row_number() OVER (PARTITION BY p_size, name ORDER BY p_partkey) AS i FROM n) SELECT p_partkey, name || CASE WHEN i > 1 THEN '_' || CAST(i AS VARCHAR) ELSE '' END AS unique_name FROM k""")
+PART_NAME = "CASE WHEN p_partkey % 11 = 0 THEN 'System' WHEN p_partkey % 13 = 0 THEN concat(repeat('long', 20), '_', lower(split_part(p_type, ' ', 1))) ELSE lower(split_part(p_type, ' ', 1)) END"
+
+
+@query(f"""WITH n AS (SELECT p_partkey, p_size, {PART_NAME} AS name FROM part), k AS (SELECT *, row_number() OVER (PARTITION BY p_size, lower(name) ORDER BY p_partkey) + CASE WHEN name = 'System' OR length(name) > 74 THEN 1 ELSE 0 END AS i FROM n WHERE p_partkey % 13 <> 0 OR p_partkey % 11 = 0)
+SELECT p_partkey, name || CASE WHEN i > 1 THEN '_' || CAST(i AS VARCHAR) ELSE '' END AS unique_name FROM k
+UNION ALL SELECT p_partkey, name[1:73 - length(CAST(i AS VARCHAR))] || '_' || CAST(i AS VARCHAR) FROM (SELECT *, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) + 1 AS i FROM n WHERE p_partkey % 13 = 0 AND p_partkey % 11 <> 0)""")
 def dedupe_names(spark, d):
-    named = read(spark, d, "part").select("p_partkey", "p_size", F.lower(F.split_part("p_type", F.lit(" "), F.lit(1))).alias("name"))
+    """Names that are taken, too long or equal; long ones that differ behind the limit share their numbers."""
+    named = read(spark, d, "part").select("p_partkey", "p_size", F.expr(PART_NAME).alias("name"))
     return naming.dedupe_names(named, ["p_size"], "p_partkey", "name").select("p_partkey", "unique_name")
 
 

@@ -288,6 +288,35 @@ def test_unknown_gap_is_not_zero(spark):
     assert {(r.capture_id, r.gap, r.loss_ratio) for r in stats.collect()} == {(1, 3, 0.0), (2, None, 0.0)}
 
 
+def unique_by_hand(names, limit=74):
+    used, out = set(), []
+    for x in names:
+        made, n = x, 1
+        while made.lower() in used or len(made) > limit or made.lower() in naming.RESERVED:
+            n += 1
+            made = f"{x[: limit - len(str(n)) - 1]}_{n}"
+        used.add(made.lower())
+        out.append(made)
+    return out
+
+
+def test_unique_names_equal_plain_python(spark):
+    rng = random.Random(7)
+    long = "n" * 72
+    pool = ["a", "A", "a_2", "a_2_2", "a_3", "b", "system", "system_2", "class", long, long + "xyz", long + "_2", long[:71] + "_2", "z_", "z__2", "z"]
+    rows = [(g, n, rng.choice(pool[: 3 + 2 * g] if g < 6 else pool)) for g in range(9) for n in range(40)]
+    df = spark.createDataFrame(rows + [(1, 99, None)], "g int, n int, name string")
+    got = {(r.g, r.n): r.unique_name for r in naming.dedupe_names(df, ["g"], "n", "name").collect()}
+    assert got.pop((1, 99)) is None and len(got) == len(rows)
+    for g in range(9):
+        want = unique_by_hand([name for h, _, name in rows if h == g])
+        assert [got[g, n] for n in range(40)] == want and len({x.lower() for x in want}) == 40
+        assert unique_by_hand(want) == want
+    many = spark.range(1_000_000).select(F.lit(1).alias("g"), F.col("id").alias("n"), F.lit("same").alias("name"))
+    last = naming.dedupe_names(many, ["g"], "n", "name")
+    assert last.select("unique_name").distinct().count() == 1_000_000 and last.filter("n = 999999").first().unique_name == "same_1000000"
+
+
 def test_selectors_rank_dedupe_and_fall_back(spark):
     cols = ("test_id", "role", "role_name", "aria", "label_for", "sf_field", "text", "css_path", "xpath", "elem_id")
     rows = [("t", "button", 'Sa"ve', "t", None, "F__c", None, "a b c d e f:nth-child(2) lwc-x", None, "input-7"), (None,) * 10]
