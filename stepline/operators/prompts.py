@@ -125,26 +125,30 @@ def _request(base: Column, names: Column) -> Column:
     return F.trim(F.concat(base, F.lit(" "), _places(names)))
 
 
-def utterances(specs: DataFrame, keys=KEYS) -> DataFrame:
-    """Rows of case_no, kind, entity and utterance: the request, the request without each entity, one with an invalid value."""
-    base, entities = request_base(F.col("intent")), F.col("entities")
-    names = F.transform(entities, lambda e: e["name"])
-    ready = specs.select(*keys, base.alias("_base"), names.alias("_all"), _once(names).alias("_names"), F.get(F.filter(entities, lambda e: F.trim(e["name"]) != ""), F.lit(0))["object_api_name"].alias("_object"))
-    text, all_, once = F.col("_base"), F.col("_all"), F.col("_names")
+def request_texts(specs: DataFrame) -> DataFrame:
+    """Adds _phrase and _invalid (the request, and one with an invalid value) and _omitted (array of entity and utterance: the request without each entity)."""
+    text, entities = request_base(F.col("intent")), F.col("entities")
+    all_ = F.transform(entities, lambda e: e["name"])
+    filled = F.filter(all_, lambda n: F.trim(n) != "")
+    once = _once(all_)
+    first = F.get(F.filter(entities, lambda e: F.trim(e["name"]) != ""), F.lit(0))
     field = F.get(F.filter(once, lambda n: n != "recordId"), F.lit(0))
-    thing = F.lower(F.coalesce(F.nullif(F.col("_object"), F.lit("")), F.lit("record")))
-    has_record = F.array_contains(once, "recordId")
+    thing = F.lower(F.coalesce(F.nullif(first["object_api_name"], F.lit("")), F.lit("record")))
     update = F.concat(F.lit("Update the "), field, F.lit(" on "), thing, F.lit(" {recordId} to {"), field, F.lit("}"))
-    phrase = F.when(has_record & F.contains(F.lower(text), F.lit("update")) & field.isNotNull(), update).otherwise(_request(text, once))
-    invalid = F.concat(F.coalesce(text, F.lit(NO_INTENT)), F.when(text.isNotNull() & F.array_contains(F.filter(all_, lambda n: F.trim(n) != ""), "recordId"), F.lit(" {recordId} with an invalid value that will fail validation")).otherwise(" with an invalid value"))
+    phrase = F.when(F.array_contains(once, "recordId") & F.contains(F.lower(text), F.lit("update")) & field.isNotNull(), update).otherwise(_request(text, once))
+    invalid = F.concat(F.coalesce(text, F.lit(NO_INTENT)), F.when(text.isNotNull() & F.array_contains(filled, "recordId"), F.lit(" {recordId} with an invalid value that will fail validation")).otherwise(" with an invalid value"))
+    told = lambda utterance: F.coalesce(utterance, F.lit(NO_INTENT))
+    omitted = F.transform(F.filter(entities, lambda e: F.trim(e["name"]) != ""), lambda e: F.struct(e.alias("entity"), told(_request(text, _once(F.filter(all_, lambda m: m != e["name"])))).alias("utterance")))
+    return specs.withColumns({"_phrase": told(F.when(text.isNotNull(), phrase)), "_invalid": invalid, "_omitted": omitted})
 
-    def case(kind, entity, utterance):
-        return F.struct(F.lit(kind).alias("kind"), entity.alias("entity"), F.coalesce(utterance, F.lit(NO_INTENT)).alias("utterance"))
 
+def utterances(specs: DataFrame, keys=KEYS) -> DataFrame:
+    """Rows of case_no, kind, entity and utterance: the request, the request without each entity, one with an invalid value."""
     nobody = F.lit(None).cast("string")
-    omitted = F.transform(F.filter(all_, lambda n: F.trim(n) != ""), lambda n: case("omit", n, _request(text, _once(F.filter(all_, lambda m: m != n)))))
-    cases = F.concat(F.array(case("phrase", nobody, F.when(text.isNotNull(), phrase))), omitted, F.array(case("invalid", nobody, invalid)))
-    return ready.select(*keys, F.posexplode(cases).alias("case_no", "_c")).select(*keys, "case_no", "_c.*")
+    case = lambda kind, entity, utterance: F.struct(F.lit(kind).alias("kind"), entity.alias("entity"), utterance.alias("utterance"))
+    omitted = F.transform("_omitted", lambda o: case("omit", o["entity"]["name"], o["utterance"]))
+    cases = F.concat(F.array(case("phrase", nobody, F.col("_phrase"))), omitted, F.array(case("invalid", nobody, F.col("_invalid"))))
+    return request_texts(specs).select(*keys, F.posexplode(cases).alias("case_no", "_c")).select(*keys, "case_no", "_c.*")
 
 
 # -- refinement -----------------------------------------------------------------------------------

@@ -301,22 +301,7 @@ def score_spec(specs: DataFrame) -> DataFrame:
     )
 
 
-# -- test cases --------------------------------------------------------------------
-
-
-def test_cases(specs: DataFrame, keys=KEYS) -> DataFrame:
-    """One row a case: the intent, each resolved entity left out, confirmation, scope, and each observed failure; a gap row where none was."""
-    resolved = F.filter("entities", lambda e: e["field_api_name"].isNotNull() & (e["name"] != "recordId"))
-    observed = F.filter("failure_handling", lambda f: f.startswith("Observed "))
-    case = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("utterance"))
-    cases = F.concat(
-        F.array(case("happy", F.col("intent"))),
-        F.transform(resolved, lambda e: case("missing", F.concat(F.col("intent"), F.lit(" without "), e["name"]))),
-        F.array(case("confirmation", F.concat(F.col("intent"), F.lit(", but ask me first"))), case("scope", F.lit("Do something unrelated"))),
-        F.transform(observed, lambda f: case("failure", f)),
-        F.when(F.size(observed) == 0, F.array(case("gap", F.lit("[NEEDS EVIDENCE] no failure was recorded")))).otherwise(F.array().cast("array<struct<kind:string,utterance:string>>")),
-    )
-    return specs.select(*keys, F.posexplode(cases).alias("case_no", "_c")).select(*keys, "case_no", "_c.*")
+# -- runs ----------------------------------------------------------------------------------------
 
 
 def run_summary(counts: list[DataFrame], keys=KEYS) -> DataFrame:

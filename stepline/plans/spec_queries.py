@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stepline.operators import prompts, refinement, score, specs
+from stepline.operators import cases, evaluate, prompts, refinement, score, specs
 from stepline.plans.bindings import read
 from stepline.plans.trace_queries import query
 
@@ -207,3 +207,72 @@ ROLE_SQL = f"""SELECT capture_id, base || CASE WHEN told = '' THEN '' ELSE ' ' |
 @query(DRAFTS + score_sql("d1", "s") + ROLE_SQL)
 def refined_role(spark, d):
     return prompts.refined_role(specs.score_spec(drafts(spark, d))).select("capture_id", "refined_role")
+
+
+# -- test cases and what they show ------------------------------------------------------------------
+
+_once = lambda c: f"[{c}[i] FOR i IN range(1, len({c}) + 1) IF list_position([lower(trim(x)) FOR x IN {c}], lower(trim({c}[i]))) = i]"
+_asked = lambda names: f"trim(base || ' ' || array_to_string(['{{' || x || '}}' FOR x IN {names} IF x <> 'recordId'], ' '))"
+#: Names of the drafts' entities are never blank.
+CASES = rf"""c0 AS (SELECT *, nullif(trim(regexp_replace(intent, '\s*\([^)]*\)\s*$', '')), '') AS base, [e.name FOR e IN entities] AS every FROM d1),
+c1 AS (SELECT *, {_once("every")} AS once, ['_' || upper(w[1]) || w[2:] FOR w IN regexp_split_to_array(regexp_replace(regexp_replace(coalesce(intent, ''), '^\s*UNRESOLVED:\s*', ''), '[^A-Za-z0-9]+', ' ', 'g'), ' ') IF w <> ''] AS words FROM c0),
+c2 AS (SELECT *, CASE WHEN len(words) = 0 THEN 'Unresolved_Topic' ELSE array_to_string(words, '')[2:] END AS topic, [x FOR x IN once IF x <> 'recordId'][1] AS field,
+  CASE WHEN base IS NULL THEN '{prompts.NO_INTENT}' ELSE base END || CASE WHEN base IS NOT NULL AND list_contains(every, 'recordId') THEN ' {{recordId}} with an invalid value that will fail validation' ELSE ' with an invalid value' END AS invalid FROM c1),
+c3 AS (SELECT *, CASE WHEN base IS NULL THEN '{prompts.NO_INTENT}' WHEN list_contains(once, 'recordId') AND contains(lower(base), 'update') AND field IS NOT NULL THEN 'Update the ' || field || ' on ' || lower(coalesce(nullif(entities[1].object_api_name, ''), 'record')) || ' {{recordId}} to {{' || field || '}}' ELSE {_asked("once")} END AS phrase FROM c2),
+omits AS (SELECT *, unnest(entities) AS e, generate_subscripts(entities, 1) AS i FROM c3),
+fails AS (SELECT *, unnest(failure_handling) AS f, generate_subscripts(failure_handling, 1) AS i FROM c3),
+made AS (
+  SELECT capture_id, 0 AS part, 0 AS i, 'happy path' AS purpose, phrase AS utterance, topic, 'Confirms the ' || lower(intent) || ' completed successfully.' AS outcome FROM c3
+  UNION ALL SELECT capture_id, 1, i, 'entity collection', CASE WHEN base IS NULL THEN '{prompts.NO_INTENT}' ELSE {_asked(_once("[x FOR x IN every IF x <> e.name]"))} END, topic, 'Asks the user to provide the ' || e.name || '.' FROM omits WHERE coalesce(e.object_api_name, '') <> '' AND coalesce(e.field_api_name, '') <> ''
+  UNION ALL SELECT capture_id, 2, 0, 'guardrail: confirmation-before-write', phrase, topic, '{{confirmation}}' FROM c3 WHERE len([g FOR g IN guardrails IF contains(lower(g), 'confirmation')]) > 0
+  UNION ALL SELECT capture_id, 3, 0, 'guardrail: scope', 'What is the weather today?', NULL, '{{scope}}' FROM c3 WHERE len([g FOR g IN guardrails IF contains(lower(g), 'scope')]) > 0
+  UNION ALL SELECT capture_id, 4, 0, 'failure path gap', '(no failure case generated)', NULL, NULL FROM c3 WHERE len([f FOR f IN failure_handling IF contains(f, 'UNTESTED')]) > 0
+  UNION ALL SELECT capture_id, 5, i, 'failure path: ' || lower(regexp_extract(f, 'Observed (\w+) failure', 1)) || ' error', invalid, topic, 'Returns the ' || lower(regexp_extract(f, 'Observed (\w+) failure', 1)) || ' error message without retrying.' FROM fails WHERE contains(lower(f), 'failure during recording') AND len([f FOR f IN failure_handling IF contains(f, 'UNTESTED')]) = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY part, i) - 1 AS case_no FROM made)
+""".replace("{confirmation}", cases.OUTCOMES["confirmation"]).replace("{scope}", cases.OUTCOMES["scope"])
+
+
+@query(DRAFTS + CASES + "SELECT capture_id, case_no, purpose, utterance, topic, outcome FROM k")
+def derive_test_cases(spark, d):
+    return cases.derive_cases(drafts(spark, d)).select("capture_id", "case_no", "purpose", "utterance", "topic", "outcome")
+
+
+@query(DRAFTS + CASES + """SELECT capture_id, case_no, concat_ws(';', CASE WHEN topic IS NOT NULL THEN 'topic_sequence_match=' || topic END, 'bot_response_rating' || coalesce('=' || outcome, ''), CASE WHEN purpose = 'happy path' THEN 'completeness;coherence' END) AS scorers
+FROM k WHERE outcome IS NOT NULL""")
+def scored_test_cases(spark, d):
+    made = cases.scored_tests(cases.derive_cases(drafts(spark, d), cases.SCORED))
+    shown = F.transform("test.scorers", lambda s: F.concat(s["name"], F.coalesce(F.concat(F.lit("="), s["expected"]), F.lit(""))))
+    return made.select("capture_id", "case_no", F.array_join(shown, ";").alias("scorers"))
+
+
+#: Line items are test cases that were run, their columns what evaluators said: a topic that may be another, and a rating.
+FED = f"""r AS (SELECT l_orderkey AS capture_id, l_linenumber AS case_no, 'case ' || l_linenumber AS case_id, l_returnflag = 'N' AS on_topic, CASE WHEN l_linestatus = 'O' THEN l_quantity > 5 END AS rated, 'Topic ' || l_returnflag AS actual FROM (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_linestatus, min(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL) WHERE l_orderkey % 10 <> 7 AND l_linenumber <> 7),
+src AS (SELECT d1.*, CASE capture_id % 9 WHEN 3 THEN 'injected-runner' WHEN 4 THEN NULL ELSE 'run-eval' END AS source, CASE WHEN capture_id % 5 <> 0 THEN 'Agent''s ' || capture_id % 3 END AS subject_name, CASE WHEN capture_id % 2 = 0 THEN 'org' END AS org_alias FROM d1),
+o AS (SELECT capture_id, case_no, case_id, on_topic AND coalesce(rated, false) AS ok, CASE WHEN NOT on_topic THEN actual END AS actual FROM r WHERE case_no <> 6),
+n AS (SELECT r.capture_id, count(*) AS n, count(*) FILTER (coalesce(ok, false)) AS p, count(*) FILTER (NOT ok) AS f, list(r.case_id ORDER BY r.case_no) FILTER (NOT ok) AS ids, list(o.case_id ORDER BY r.case_no) FILTER (o.actual IS NOT NULL) AS routed, list(o.actual ORDER BY r.case_no) FILTER (o.actual IS NOT NULL) AS actuals FROM r LEFT JOIN o ON r.capture_id = o.capture_id AND r.case_no = o.case_no GROUP BY 1),
+j AS (SELECT src.*, coalesce(n, 0) AS n, coalesce(p, 0) AS p, coalesce(f, 0) AS f, coalesce(ids, []) AS ids, coalesce(routed, []) AS routed, coalesce(actuals, []) AS actuals, coalesce(source = 'run-eval' AND n > 0, false) AS is_real, coalesce(subject_name, '(unnamed agent)') AS subject FROM src LEFT JOIN n USING (capture_id)),
+q AS (SELECT *, is_real AND confidence > 0.7 AS stop FROM j)
+"""
+
+
+@query(DRAFTS + FED + f"""SELECT capture_id, confidence::DOUBLE AS confidence, len(unknowns) AS n_before, array_to_string(list_concat(unknowns, CASE WHEN stop THEN [] WHEN n = 0 THEN ['{evaluate.NO_CASES}']
+  WHEN NOT is_real THEN ['Stage 5 feedback for ' || subject || ' came from source ' || chr(39) || coalesce(source, 'None') || chr(39) || ', which is not a live org. This spec remains UNVALIDATED against any real agent.']
+  ELSE ['Live agent ' || subject || ' routed ' || routed[i] || ' to topic ' || chr(39) || actuals[i] || chr(39) || ', not the derived ''Topic N''. Either the derived topic does not exist on this agent, or this agent is not the right subject for the recorded process. Unresolved.' FOR i IN range(1, len(routed) + 1)] END), '|') AS unknowns,
+  array_to_string(list_concat([x.source || ': ' || x.detail FOR x IN evidence], CASE WHEN NOT is_real OR stop THEN [] ELSE ['live-agent-eval: Ran ' || n || ' emitted test case(s) against live agent ' || subject || ' in org ' || coalesce(org_alias, '(unspecified)') || ' via sf agent test run-eval (legacy dialect): ' || p || ' passed, ' || (n - p) || ' failed.'] END,
+    CASE WHEN is_real AND NOT stop AND p = n THEN ['live-agent-eval: All ' || p || ' emitted test case(s) passed against live agent ' || subject || '.'] ELSE [] END), '|') AS evidence,
+  array_to_string(CASE WHEN NOT is_real OR stop THEN orchestration_steps ELSE list_concat(orchestration_steps, ['[observed routing] Live agent ' || subject || ' routed to topic ' || chr(39) || actuals[i] || chr(39) || ' (derived spec expected ''Topic N''). This is the routing target the live agent actually selected; update the spec''s intent or topic name to match if this agent is the correct subject.' FOR i IN range(1, len(actuals) + 1) IF list_position(actuals, actuals[i]) = i]) END, '|') AS steps,
+  array_to_string(CASE WHEN NOT is_real OR stop OR f = 0 THEN failure_handling ELSE list_append(failure_handling, 'Observed live-agent failure during stage-5 evaluation against ' || subject || ': ' || f || ' of ' || n || ' case(s) did not meet the derived expectation (' || array_to_string(ids[1:5], ', ') || CASE WHEN f > 5 THEN ' (+' || (f - 5) || ' more)' ELSE '' END || ').') END, '|') AS failures,
+  CASE WHEN stop THEN 'confidence is above 0.7' END AS refused, CASE WHEN stop THEN 0 WHEN NOT is_real THEN 1 ELSE 1 + (len(routed) > 0)::INT * 2 + (f > 0)::INT END AS n_notes FROM q""")
+def apply_feedback(spark, d):
+    made = drafts(spark, d)
+    key = F.col("capture_id")
+    feedback = made.select("capture_id", F.when(key % 9 == 3, "injected-runner").when(key % 9 != 4, "run-eval").alias("source"), F.when(key % 5 != 0, F.concat(F.lit("Agent's "), (key % 3).cast("string"))).alias("subject_name"), F.when(key % 2 == 0, "org").alias("org_alias"))
+    items = read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_returnflag", "l_linestatus", "l_quantity")])
+    run = items.filter("l_orderkey % 10 <> 7 and l_linenumber <> 7").select(F.col("l_orderkey").alias("capture_id"), F.col("l_linenumber").alias("case_no"), F.concat(F.lit("case "), F.col("l_linenumber").cast("string")).alias("case_id"), "l_returnflag", "l_linestatus", "l_quantity")
+    said = lambda kind, ok, expected, actual: F.struct(F.lit(kind).alias("kind"), ok.alias("is_pass"), expected.cast("string").alias("expected"), actual.cast("string").alias("actual"))
+    topic = said("expected_topic", F.col("l_returnflag") == "N", F.lit("Topic N"), F.concat(F.lit("Topic "), "l_returnflag"))
+    rating = said("rating", F.when(F.col("l_linestatus") == "O", F.col("l_quantity") > 5), F.lit(None), F.lit(None))
+    outcomes = run.filter("case_no <> 6").select("capture_id", "case_no", F.posexplode(F.array(topic, rating)).alias("outcome_no", "_o")).select("capture_id", "case_no", "outcome_no", "_o.*")
+    found = evaluate.apply_feedback(made, feedback, run, outcomes)
+    lines = lambda c: F.array_join(c, "|")
+    return found.select("capture_id", F.col("confidence").cast("double").alias("confidence"), F.when(key % 4 == 0, 1).otherwise(0).alias("n_before"), lines("unknowns").alias("unknowns"), lines(F.transform("evidence", lambda e: F.concat(e["source"], F.lit(": "), e["detail"]))).alias("evidence"), lines("orchestration_steps").alias("steps"), lines("failure_handling").alias("failures"), "refused", F.size("notes").alias("n_notes"))

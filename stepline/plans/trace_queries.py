@@ -690,14 +690,6 @@ def feedback_findings(spark, d):
     return evaluate.feedback_findings(verdict(spark, d)).groupBy("evaluator", "finding").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {duck('verdict')}, s AS (SELECT capture_id, count(DISTINCT case_id) % 100 / 100.0::DOUBLE AS confidence FROM verdict GROUP BY 1), f AS (SELECT capture_id, string_agg(DISTINCT 'failed: ' || evaluator, ',' ORDER BY 'failed: ' || evaluator) AS u FROM verdict WHERE NOT is_pass GROUP BY 1)
-SELECT s.capture_id, least(confidence, 0.7::DOUBLE) AS confidence, concat_ws(',', 'none yet', u) AS unknowns FROM s LEFT JOIN f USING (capture_id)""")
-def apply_feedback(spark, d):
-    found = verdict(spark, d)
-    specs = found.groupBy("capture_id").agg((F.count_distinct("case_id") % 100 / F.lit(100.0)).alias("confidence")).withColumn("unknowns", F.array(F.lit("none yet")))
-    return evaluate.apply_feedback(specs, found).select("capture_id", "confidence", F.array_join("unknowns", ",").alias("unknowns"))
-
-
 @query("SELECT n_nationkey, n_regionkey FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region WHERE r_regionkey % 2 = 0)")
 def name_integrity(spark, d):
     names_there = read(spark, d, "region").filter("r_regionkey % 2 = 0")
@@ -853,11 +845,6 @@ def score_derived_spec(spark, d):
     return specs.score_spec(spec_frame(spark, d)).select("capture_id", *specs.POINTS, "total", F.array_join("blockers", ",").alias("blockers"), "passed", "band", "display")
 
 
-@query()
-def derive_test_cases(spark, d):
-    return specs.test_cases(spec_frame(spark, d))
-
-
 @query(CHANGES + """SELECT a.capture_id, concat_ws(chr(10), 'telemetry: backend layers observed: ' || l, 'extraction: ' || n || ' action(s) in recording', 'data-delta: objects mutated: ' || ob) AS trail
 FROM (SELECT capture_id, count(*) AS n FROM action GROUP BY 1) a LEFT JOIN (SELECT capture_id, string_agg(DISTINCT field, ', ' ORDER BY field) AS l, string_agg(DISTINCT object_name, ', ' ORDER BY object_name) AS ob FROM ch GROUP BY 1) USING (capture_id)""")
 def evidence_trail(spark, d):

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stepline.functions import naming, redaction
-from stepline.operators import actions, chunked, correlate, evaluate, integrity, ordering, prompts, quality, reduce, refinement, rounds, score, selectors, specs
+from stepline.operators import actions, cases, chunked, correlate, evaluate, integrity, ordering, prompts, quality, reduce, refinement, rounds, score, selectors, specs
 from stepline.sources import captures, sinks
 from stepline.streaming import lateness, traces, validation
 from stepline.streaming import records as stream_records
@@ -616,10 +616,68 @@ def test_adding_evidence_or_unknowns_never_lowers_the_score(spark):
     assert entity.total >= base.total and unknown.total >= base.total
 
 
-def test_test_cases(spark):
-    df = spark.createDataFrame([GOOD], SPEC)
-    kinds = [x.kind for x in specs.test_cases(df.withColumn("capture_id", F.lit(1))).orderBy("case_no").collect()]
-    assert kinds == ["happy", "missing", "missing", "confirmation", "scope", "failure"]
+def cases_of(spark, shape=cases.LEGACY, **change):
+    df = spark.createDataFrame([GOOD | change], SPEC).withColumn("capture_id", F.lit(1))
+    return cases.derive_cases(df, shape).orderBy("case_no").collect()
+
+
+def test_cases_of_a_specification(spark):
+    rails = GOOD["guardrails"] + ["Scope the agent to the objects listed above; refuse unrelated requests."]
+    rows = cases_of(spark, guardrails=rails, failure_handling=["Observed validation failure during recording: bad value", "On validation error, return the offending field and message", "observed Apex failure during recording: x"])
+    assert [r.purpose for r in rows] == ["happy path", *["entity collection"] * 3, "guardrail: confirmation-before-write", "guardrail: scope", "failure path: validation error", "failure path: apex error"]
+    happy, status = rows[0], rows[1]
+    assert happy.utterance == "Update the status on case {recordId} to {status}" and happy.topic == "Update_Case_Status_And_Priority" and happy.gap.startswith("expectedActions left empty")
+    assert happy.outcome == "Confirms the update case status and priority completed successfully." and status.outcome == "Asks the user to provide the status." and status.utterance == "Update Case status and priority {priority}"
+    assert status.evidence == "Entity status (Case.Status) observed in data delta." and rows[5].topic is None and rows[5].utterance == "What is the weather today?"
+    assert rows[6].outcome == "Returns the validation error message without retrying."
+    # what was not observed is a gap, and no case
+    gap = cases_of(spark, failure_handling=[specs.UNTESTED, "Observed flow failure during recording: x"])[-1]
+    assert gap.purpose == "failure path gap" and gap.outcome is None and gap.gap.startswith("No failure test cases emitted")
+    bare = cases_of(spark, intent="Close Case", entities=[], guardrails=[], failure_handling=[])
+    assert [(r.purpose, r.utterance) for r in bare] == [("happy path", "Close Case")]
+    unresolved = [{"name": "a", "object_api_name": "Case", "field_api_name": None, "evidence": []}, {"name": " ", "object_api_name": "Case", "field_api_name": "B", "evidence": []}]
+    assert [r.purpose for r in cases_of(spark, entities=unresolved, guardrails=[])] == ["happy path", "failure path: validation error"]
+    assert cases_of(spark, intent=" (x)", entities=[])[0].utterance == prompts.NO_INTENT
+
+
+def test_both_shapes_of_cases(spark):
+    df = spark.createDataFrame([GOOD | {"guardrails": ["Scope it"], "failure_handling": [specs.UNTESTED]}], SPEC).withColumn("capture_id", F.lit(1))
+    old = [r.test for r in cases.legacy_tests(cases.derive_cases(df)).orderBy("case_no").collect()]
+    new = [r.test for r in cases.scored_tests(cases.derive_cases(df, cases.SCORED)).orderBy("case_no").collect()]
+    assert len(old) == len(new) == 5 and all(t.expectedActions == [] and sorted(t.metrics) == list(cases.METRICS) for t in old)
+    assert [x.name for x in new[0].scorers] == ["topic_sequence_match", "bot_response_rating", "completeness", "coherence"] and [x.name for x in new[-1].scorers] == ["bot_response_rating"]
+    assert all(len(t.inputs) == 1 for t in new) and [t.inputs[0].utterance for t in new] == [t.utterance for t in old]
+    assert all(x.expected for t in new for x in t.scorers if x.name in ("topic_sequence_match", "bot_response_rating"))
+
+
+def fed(spark, source, cases_, outcomes, subject="Agent", **change):
+    df = spark.createDataFrame([GOOD | change], SPEC).withColumn("capture_id", F.lit(1))
+    feedback = spark.createDataFrame([(1, source, subject, None)], "capture_id int, source string, subject_name string, org_alias string")
+    ran = spark.createDataFrame([(1, k, c) for k, c in enumerate(cases_)], "capture_id int, case_no int, case_id string")
+    said = spark.createDataFrame([(1, *o) for o in outcomes], "capture_id int, case_no int, outcome_no int, kind string, is_pass boolean, expected string, actual string")
+    return evaluate.apply_feedback(df, feedback, ran, said).first()
+
+
+def test_feedback_only_adds_observations(spark):
+    r = fed(spark, "run-eval", ["a", "b"], [(0, 0, "topic", True, "T", "T"), (1, 0, "rating", True, None, None)])
+    assert [e.detail for e in r.evidence[1:]] == ["Ran 2 emitted test case(s) against live agent Agent in org (unspecified) via sf agent test run-eval (legacy dialect): 2 passed, 0 failed.", "All 2 emitted test case(s) passed against live agent Agent."]
+    assert r.unknowns == GOOD["unknowns"] and r.confidence == 0.7 and len(r.notes) == 1 and r.refused is None
+    # two routes to one topic: two unknowns, one step with what the first expected; six failures, five shown; no verdict is no failure
+    wrong = [(k, 0, "topic_sequence_match", None if k == 1 else False, "It's" if k == 0 else "T", "Other") for k in range(2)] + [(k, 0, "rating", False, None, None) for k in range(2, 6)]
+    r = fed(spark, "run-eval", list("abcdefg"), wrong)
+    assert r.unknowns[1:] == [f"Live agent Agent routed {c} to topic 'Other', not the derived {e}. Either the derived topic does not exist on this agent, or this agent is not the right subject for the recorded process. Unresolved." for c, e in (("a", '"It\'s"'), ("b", "'T'"))]
+    assert len(r.orchestration_steps) == 4 and "(derived spec expected \"It's\")" in r.orchestration_steps[-1]
+    assert r.failure_handling[-1] == "Observed live-agent failure during stage-5 evaluation against Agent: 6 of 7 case(s) did not meet the derived expectation (a, b, c, d, e (+1 more))."
+    assert r.notes[1:] == ["recorded 2 topic mismatch(es) as unknowns", "appended 1 observed routing target(s) to orchestration_steps", "recorded 6 live failure(s) in failure_handling"]
+
+
+def test_feedback_that_proves_nothing_is_told_as_such(spark):
+    one = [(0, 0, "topic", False, "T", "U")]
+    fake, none, sure = fed(spark, "injected-runner", ["a"], one, subject=None), fed(spark, "run-eval", [], []), fed(spark, "run-eval", ["a"], one, confidence=0.71)
+    for r in (fake, none, sure):
+        assert (r.evidence, r.orchestration_steps, r.failure_handling) == (fake.evidence, GOOD["orchestration_steps"], GOOD["failure_handling"])
+    assert fake.unknowns[-1].startswith("Stage 5 feedback for (unnamed agent) came from source 'injected-runner', which is not a live org.") and fake.notes == ["synthetic feedback (injected-runner) recorded as unvalidated"]
+    assert none.unknowns[-1] == evaluate.NO_CASES and sure.unknowns == GOOD["unknowns"] and sure.refused and sure.confidence == 0.71
 
 
 def test_bands_advice_and_blockers_of_structure(spark):
