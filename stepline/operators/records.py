@@ -39,16 +39,25 @@ def status_normalise(raw: Column) -> Column:
     return F.when(low.isin("1", "true"), "success").when(low.isin("0", "false"), "error").otherwise(low)
 
 
-def event_log(rows: DataFrame, time_columns: list[str], id_columns: list[str], status_columns: list[str], type_columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Log rows as telemetry, and the rows without a readable time.
+def log_events(rows: DataFrame, time_columns: list[str], id_columns: list[str], status_columns: list[str], type_columns: list[str], event_type: str | None = None) -> DataFrame:
+    """Log rows as telemetry; event_time is null where no time can be read.
 
-    The first filled column of each list counts; all others that are filled become the payload.
+    The first filled column of each list counts; all others that are filled become the payload.  ``event_type`` names rows that name no
+    type, and where it is given decides the layer of all.
     """
-    first = lambda names: F.coalesce(*[F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) for c in names])
+    filled = lambda names: [F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) for c in names]
+    first = lambda names: F.coalesce(*filled(names))
     used = {*time_columns, *id_columns, *status_columns, *type_columns}
     rest = [c for c in rows.columns if c not in used]
     payload = F.map_filter(F.create_map(*[x for c in rest for x in (F.lit(c), F.col(c).cast("string"))]), lambda k, v: F.coalesce(v, F.lit("")) != "") if rest else F.create_map().cast("map<string,string>")
-    made = rows.select(F.try_to_timestamp(first(time_columns)).alias("event_time"), first(id_columns).alias("transaction_id"), status_normalise(first(status_columns)).alias("status"), first(type_columns).alias("event_name"), telemetry_layer(first(type_columns)).alias("layer"), payload.alias("payload"))
+    kind = first(type_columns) if event_type is None else F.coalesce(*filled(type_columns), F.lit(event_type))
+    layer = telemetry_layer(first(type_columns) if event_type is None else F.lit(event_type))
+    return rows.select(F.try_to_timestamp(first(time_columns)).alias("event_time"), first(id_columns).alias("transaction_id"), status_normalise(first(status_columns)).alias("status"), kind.alias("event_name"), layer.alias("layer"), payload.alias("payload"))
+
+
+def event_log(rows: DataFrame, time_columns: list[str], id_columns: list[str], status_columns: list[str], type_columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Log rows as telemetry (see ``log_events``), and the rows without a readable time."""
+    made = log_events(rows, time_columns, id_columns, status_columns, type_columns)
     return made.filter("event_time is not null"), made.filter("event_time is null")
 
 

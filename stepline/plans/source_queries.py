@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepline.functions import redaction
+from stepline.functions import redaction, redaction_json
 from stepline.operators import evaluate, records
 from stepline.plans import bindings
 from stepline.plans.bindings import duck, read
 from stepline.plans.trace_queries import DOMAIN, FINDINGS, HOUR, SIGNALS, TEXTS, capture, query, trace_captures, trace_lines, trace_manifests
-from stepline.sources import captures
+from stepline.sources import captures, logs
 from stepline.sources.shared import cut, fresh_path
 from stepline.streaming import lateness, traces, validation
 from stepline.streaming import records as stream_records
@@ -136,6 +136,42 @@ def redact_session_ids(spark, d):
     return read(spark, d, "customer").select("c_custkey", redaction.redact_session_ids(body).alias("body"))
 
 
+#: Customers as documents: keys that are sensitive, texts that are, at every depth, in lists and in lists of lists.
+NESTED = """concat('{"id": ', CAST(c_custkey AS {text}), ', "name": "', c_name, '", "nested": {"api_key": {"x": 1}, "deep": [{"password": ', CASE WHEN c_custkey % 2 = 0 THEN 'null' ELSE '"open sesame"' END,
+  '}, {"deeper": {"note": "mail ann', CAST(c_custkey AS {text}), '@corp.example.org now", "ok": true}}]}, "notes": ["mail bob@corp.example.org", ', CAST(c_custkey % 9 AS {text}), ', {"token": "t", "list": []}, ["bob@corp.example.org"], null], "void": {}}')"""
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'write to [REDACTED:email] soon' WHEN c_custkey % 11 <> 0 THEN '{"id":' || c_custkey || ',"name":"' || c_name || '","nested":{"api_key":"[REDACTED:sensitive_field]","deep":[{"password":"[REDACTED:sensitive_field]"},{"deeper":{"note":"mail [REDACTED:email] now","ok":true}}]},"notes":["mail [REDACTED:email]",' || c_custkey % 9 || ',{"list":[],"token":"[REDACTED:sensitive_field]"},["bob@corp.example.org"],null],"void":{}}' END AS body FROM customer""")
+def redact_json(spark, d):
+    """Documents of any depth; every seventh is plain text, every eleventh is missing."""
+    body = F.when(F.col("c_custkey") % 7 == 0, "write to bob@corp.example.org soon").when(F.col("c_custkey") % 11 != 0, F.expr(NESTED.replace("{text}", "STRING")))
+    return redaction_json.redact_json(read(spark, d, "customer").select("c_custkey", body.alias("body")), "body")
+
+
+@query("""SELECT epoch_us(o_orderdate) // 1000 AS t, CAST(o_orderkey AS VARCHAR) AS transaction_id, CASE o_orderkey % 4 WHEN 0 THEN 'success' WHEN 1 THEN 'error' WHEN 2 THEN 'slow' ELSE 'unknown' END AS status, CASE WHEN o_orderkey % 5 = 0 THEN 'ApexExecution' ELSE o_orderpriority END AS event_name, 'apex' AS layer,
+  concat_ws(',', 'CLERK=' || o_custkey, CASE WHEN o_orderkey % 2 = 0 THEN 'NOTE=a, "b"' END) AS payload, (SELECT count(*) FILTER (o_orderkey % 3 = 0) FROM orders) AS n_skipped FROM orders WHERE o_orderkey % 3 <> 0""")
+def read_event_log(spark, d):
+    """Orders written as CSV logs and read again; of every three rows one has no time that can be read."""
+    key = F.col("o_orderkey")
+    time = F.when(key % 6 == 0, "soon").when(key % 3 == 0, None).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"))
+    rows = read(spark, d, "orders").select(
+        F.when(key % 2 == 0, time).alias("TIMESTAMP"),
+        time.alias("EVENT_DATE"),
+        key.alias("REQUEST_ID"),
+        F.when(key % 4 == 0, "TRUE").when(key % 4 == 1, "0").alias("SUCCESS"),
+        F.when(key % 4 == 2, "Slow").alias("STATUS"),
+        F.when(key % 5 != 0, F.col("o_orderpriority")).alias("OPERATION"),
+        F.col("o_custkey").alias("CLERK"),
+        F.when(key % 2 == 0, 'a, "b"').alias("NOTE"),
+    )
+    path = fresh_path(spark, "log")
+    rows.write.option("header", True).option("escape", '"').csv(path)
+    events, counts = logs.read_event_log(spark, path, "ApexExecution")
+    found = cut(events)
+    payload = F.array_join(F.transform(F.array_sort(F.map_entries("payload")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return found.select(F.unix_millis("event_time").alias("t"), "transaction_id", "status", "event_name", "layer", payload.alias("payload"), F.lit(counts.get["n_skipped"]).alias("n_skipped"))
+
+
 # -- streams ------------------------------------------------------------------------------------
 
 

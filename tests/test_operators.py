@@ -10,9 +10,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from stepline.functions import naming, redaction
+from stepline.functions import naming, redaction, redaction_json
 from stepline.operators import actions, cases, chunked, correlate, evaluate, integrity, ordering, prompts, quality, reduce, refinement, rounds, score, selectors, specs
-from stepline.sources import captures, sinks
+from stepline.sources import captures, contracts, logs, sinks
 from stepline.streaming import lateness, traces, validation
 from stepline.streaming import records as stream_records
 
@@ -416,6 +416,69 @@ def test_lines_have_their_numbers_however_files_are_split(spark, tmp_path, size)
     assert got == want
 
 
+def test_contracts_of_sources(spark, tmp_path):
+    good = spark.sql("SELECT 'c' AS capture_id, 's' AS step_id, timestamp'2024-01-01' AS event_time, 'apex' AS layer, 'e' AS event_name, 'ok' AS status, map('a', 'b') AS payload, 't' AS transaction_id, 1 AS more")
+    good.write.parquet(str(tmp_path / "good"))
+    assert contracts.read(spark, "parquet", str(tmp_path / "good"), contracts.TELEMETRY).columns == [c for c in good.columns if c != "more"]
+    bad = good.withColumn("payload", F.expr("map('a', 1)")).withColumn("layer", F.lit(1)).drop("status")
+    bad.write.parquet(str(tmp_path / "bad"))
+    with pytest.raises(contracts.ContractError, match="layer is int, not string; status is missing; payload.value is int, not string"):
+        contracts.read(spark, "parquet", str(tmp_path / "bad"), contracts.TELEMETRY)
+    narrow = spark.sql("SELECT 1 AS n, named_struct('a', 1L, 'b', 2) AS s, array(named_struct('x', 1)) AS l")
+    assert contracts.checked(narrow, "n bigint, s struct<a:bigint>, l array<struct<x:bigint>>").dtypes[0] == ("n", "bigint")
+    assert contracts.broken(narrow.schema, contracts._schema("n string, s struct<c:int>, l array<struct<x:string>>, z int")) == ["n is int, not string", "s.c is missing", "l[].x is int, not string", "z is missing"]
+    (tmp_path / "a.json").write_text('{"n": 1}\n{"n": "x"}')
+    with pytest.raises(Exception, match="MALFORMED|malformed"):
+        contracts.read(spark, "json", str(tmp_path / "a.json"), "n int, m string").collect()
+
+
+def test_logs_count_what_they_skip(spark, tmp_path):
+    head = "TIMESTAMP,EVENT_DATE,TRANSACTION_ID,STATUS,OPERATION,CPU"
+    lines = [head, "2024-01-01T00:00:01Z,,t1,TRUE,,5", ",2024-01-02,,0,Query,", "soon,,,,,", ",,,,,", '2024-01-01T00:00:02Z,,,,"a, ""b""",7']
+    (tmp_path / "a.csv").write_text("\n".join(lines))
+    events, counts = logs.read_event_log(spark, str(tmp_path / "a.csv"), "AsyncReportRun")
+    rows = [(r.transaction_id, r.status, r.event_name, r.layer, r.payload) for r in sorted(events.collect(), key=lambda r: r.event_time)]
+    assert rows == [("t1", "success", "AsyncReportRun", "async", {"CPU": "5"}), (None, "unknown", 'a, "b"', "async", {"CPU": "7"}), (None, "error", "Query", "async", {})]
+    assert counts.get == {"n_rows": 5, "n_skipped": 2}
+    assert logs.warnings(counts) == ["Skipped 2 malformed rows", "WARNING: 2/5 rows lost to parse errors (>30%)"]
+
+
+def scrubbed_by_hand(x, mode):
+    out = {}
+    for k, v in x.items():
+        if k in ("password", "api_key"):
+            if mode != "drop":
+                out[k] = "[REDACTED:sensitive_field]"
+        elif isinstance(v, dict):
+            out[k] = scrubbed_by_hand(v, mode)
+        elif isinstance(v, list):
+            out[k] = [scrubbed_by_hand(y, mode) if isinstance(y, dict) else y.replace("ann@corp.example.org", "[REDACTED:email]") if isinstance(y, str) else y for y in v]
+        else:
+            out[k] = v.replace("ann@corp.example.org", "[REDACTED:email]") if isinstance(v, str) else v
+    return out
+
+
+@pytest.mark.parametrize("mode", ["mask", "drop"])
+def test_json_is_scrubbed_at_every_depth(spark, mode):
+    rng = random.Random(9)
+
+    def made(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return rng.choice(["to ann@corp.example.org", 'a "quote" \\ é\n', 5, 1.5, True, None, "", {}, []])
+        if rng.random() < 0.4:
+            return [made(depth - 1) for _ in range(rng.randrange(3))]
+        return {k: made(depth - 1) for k in rng.sample(["a", "b b", "password", "api_key", "z"], rng.randrange(1, 4))}
+
+    documents = [{"top": made(k % 6), "password": made(1)} for k in range(40)] + [{}]
+    rows = [(k, json.dumps(x)) for k, x in enumerate(documents)] + [(100, "to ann@corp.example.org"), (101, None), (102, '["ann@corp.example.org"]')]
+    df = spark.createDataFrame(rows, "k int, body string")
+    got = {r.k: r.body for r in redaction_json.redact_json(df, "body", redaction.Policy(mode=mode)).collect()}
+    gone = {"mask": "[REDACTED:email]", "drop": ""}[mode]
+    for k, x in enumerate(documents):
+        assert json.loads(got[k]) == json.loads(json.dumps(scrubbed_by_hand(x, mode)).replace("[REDACTED:email]", gone))
+    assert got[100] == f"to {gone}" and got[101] is None and got[102] == f'["{gone}"]'
+
+
 def test_a_round_is_never_overwritten(spark, tmp_path):
     df = spark.createDataFrame([('{"session_id": "s3cret"}',)], "body string")
     sinks.write_round(df, str(tmp_path), 1, ["body"])
