@@ -143,6 +143,14 @@ k AS (SELECT *, strlen(html) AS n, max(page_id) OVER (PARTITION BY html) AS last
 SELECT page_id, n::BIGINT AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN n >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN n >= 1000 AND page_id <> last THEN last END AS refers_to FROM k"""
 
+#: crc32 byte by byte, with a table made of its polynomial.
+SHARD_SQL = f"""WITH entries AS MATERIALIZED (SELECT [list_reduce(list_prepend(n::BIGINT, [0::BIGINT FOR i IN range(8)]), LAMBDA c, d: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) FOR n IN range(256)] AS t),
+bytes AS (SELECT doc_id, (8 + strlen(coalesce(text, '')))::BIGINT AS size, list_prepend(4294967295::BIGINT, [('0x' || p)::BIGINT FOR p IN regexp_extract_all(hex(encode(coalesce(text, ''))), '..')]) AS b FROM documents),
+sized AS (SELECT doc_id, size, xor(list_reduce(b, LAMBDA a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) AS text_crc32 FROM bytes, entries),
+placed AS (SELECT *, sum(size) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - size AS start, sum(size) OVER () AS total FROM sized),
+cut AS (SELECT *, least((2 * start + size) * {SHARDS} // (2 * total), {SHARDS - 1})::INTEGER AS shard FROM placed)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, NULL::INTEGER AS grown_shard FROM cut"""
+
 MINHASH_SQL = r"""WITH RECURSIVE w AS MATERIALIZED (
   SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
 s AS MATERIALIZED (
@@ -221,4 +229,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_lm_scoring, op2_decontaminate, op3_mix, op4_shard, op5_secrets, op6_near_dup, op7_chat, op8_warc, op9_quality, op10_toxicity, op11_minhash, op12_ranked_search, op13_merkle)
 }
-ORACLES = {"op3_mix": MIX_SQL, "op7_chat": CHAT_SQL, "op8_warc": WARC_SQL, "op11_minhash": MINHASH_SQL, "op12_ranked_search": SEARCH_SQL, "op13_merkle": merkle_sql()}
+ORACLES = {"op3_mix": MIX_SQL, "op4_shard": SHARD_SQL, "op7_chat": CHAT_SQL, "op8_warc": WARC_SQL, "op11_minhash": MINHASH_SQL, "op12_ranked_search": SEARCH_SQL, "op13_merkle": merkle_sql()}

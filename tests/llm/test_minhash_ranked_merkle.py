@@ -59,7 +59,7 @@ def in_order(found):
     return sorted(found, key=lambda r: [(x is None, x if x is not None else 0) for x in r])
 
 
-@pytest.mark.parametrize("name", ["op11_minhash", "op12_ranked_search", "op13_merkle"])
+@pytest.mark.parametrize("name", ["op4_shard", "op11_minhash", "op12_ranked_search", "op13_merkle"])
 def test_query_equals_its_sql(spark, sf, name):
     assert compare(queries.QUERIES[name](spark, sf), queries.ORACLES[name], connect(sf)) > 0
 
