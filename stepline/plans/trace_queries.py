@@ -665,9 +665,13 @@ def iteration_report(spark, d):
     return rounds.iteration_report(round_(spark, d)).select("capture_id", "version", "score", "delta", "best_so_far", "is_best")
 
 
-@query(ROUNDS + f"SELECT capture_id, version, step FROM (SELECT capture_id, version, version - lag(version) {W} AS step FROM round) WHERE step <> 1")
+#: Some rounds are gone: their versions are missing from the numbering.
+LOST = "(version + capture_id) % 5 = 2"
+
+
+@query(ROUNDS + f"SELECT capture_id, version, step FROM (SELECT capture_id, version, version - lag(version) {W} AS step FROM round WHERE NOT ({LOST})) WHERE step <> 1")
 def version_check(spark, d):
-    return rounds.version_check(round_(spark, d))
+    return rounds.version_check(round_(spark, d).filter(f"not ({LOST})"))
 
 
 @query(ROUNDS + f"SELECT capture_id, version, lag(score) {W} AS before, coalesce(score > lag(score) {W}, false) AND score < 75 AS rose_on_failure, score >= 75 OR NOT coalesce(score > lag(score) {W}, false) AS trustworthy FROM round")
