@@ -22,6 +22,20 @@ GENERIC_INTENTS = ("Complete a data-entry process", "Interact with guided proces
 VAGUE = ("generic", "action", "something", "vague")
 GENERIC_STEP_TERMS = ("generic", "placeholder", "lorem ipsum")
 GENERIC_GUARDRAILS = ("validate input", "check input", "verify input", "validate data", "ensure valid")
+#: Sentences of a specification; pairs stand around a name.
+SENTENCES = {
+    "header": ("Resolve and load the target ", " record; confirm the caller may act on it."),
+    "flow": "Invoke the equivalent Flow rather than reproducing its logic in the agent.",
+    "end": "Return a confirmation that names the record and the fields changed.",
+    "security": ("Enforce object- and field-level security on ", " for the running user; never widen access beyond the recorded profile."),
+    "validation": "Validation rules fired during this process: surface field-level errors verbatim instead of retrying blindly.",
+    "confirm": ("Require explicit user confirmation before writing: ", "."),
+    "async": "Async work was triggered; do not report success until the async job completes.",
+    "scope": "Scope the agent to the objects listed above; refuse unrelated requests.",
+    "no correction": "On validation error, return the offending field and message; do not auto-correct.",
+    "failure": ("Observed ", " failure during recording: "),
+    "no detail": "no detail captured",
+}
 #: What to record anew, by what the score found wanting.
 ADVICE = {
     "grounding": "Re-record with --track-record ObjectApiName:RecordId to capture field deltas, which anchor entities to observed data rather than inference.",
@@ -32,6 +46,11 @@ ADVICE = {
 UNTESTED = "No failures were observed in this run, so error paths are UNTESTED. Record a failing variant before relying on this spec."
 
 
+def _around(sentence: str, name: Column) -> Column:
+    before, after = SENTENCES[sentence]
+    return F.concat(F.lit(before), name, F.lit(after))
+
+
 # -- derivation ---------------------------------------------------------------------------------
 
 
@@ -76,12 +95,12 @@ def orchestration_steps(actions: DataFrame, steps: DataFrame, objects: DataFrame
     rolled = joined.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("sequence", line.alias("line")))).alias("_l"), F.max(F.array_contains("layers", "flow")).alias("_flow"))
     with_first = rolled.join(objects, keys, "left")
     optional = lambda c, text: F.when(c, F.array(text)).otherwise(F.array().cast("array<string>"))
-    header = F.concat(F.lit("Resolve and load the target "), "first_object", F.lit(" record; confirm the caller may act on it."))
+    header = _around("header", F.col("first_object"))
     lines = F.concat(
         optional(F.col("first_object").isNotNull(), header),
         F.transform("_l", lambda x: x["line"]),
-        optional(F.coalesce("_flow", F.lit(False)), F.lit("Invoke the equivalent Flow rather than reproducing its logic in the agent.")),
-        F.array(F.lit("Return a confirmation that names the record and the fields changed.")),
+        optional(F.coalesce("_flow", F.lit(False)), F.lit(SENTENCES["flow"])),
+        F.array(F.lit(SENTENCES["end"])),
     )
     return with_first.select(*keys, lines.alias("orchestration_steps"))
 
@@ -89,11 +108,11 @@ def orchestration_steps(actions: DataFrame, steps: DataFrame, objects: DataFrame
 def guardrails(first_object: Column, layers: Column, writes: Column) -> Column:
     """``layers`` and ``writes``: arrays of all the capture's layers and written fields."""
     rules = [
-        F.when(first_object.isNotNull(), F.concat(F.lit("Enforce object- and field-level security on "), first_object, F.lit(" for the running user; never widen access beyond the recorded profile."))),
-        F.when(F.array_contains(layers, "validation"), F.lit("Validation rules fired during this process: surface field-level errors verbatim instead of retrying blindly.")),
-        F.when(F.size(writes) > 0, F.concat(F.lit("Require explicit user confirmation before writing: "), F.array_join(F.array_distinct(writes), ", "), F.lit("."))),
-        F.when(F.array_contains(layers, "async"), F.lit("Async work was triggered; do not report success until the async job completes.")),
-        F.lit("Scope the agent to the objects listed above; refuse unrelated requests."),
+        F.when(first_object.isNotNull(), _around("security", first_object)),
+        F.when(F.array_contains(layers, "validation"), F.lit(SENTENCES["validation"])),
+        F.when(F.size(writes) > 0, _around("confirm", F.array_join(F.array_distinct(writes), ", "))),
+        F.when(F.array_contains(layers, "async"), F.lit(SENTENCES["async"])),
+        F.lit(SENTENCES["scope"]),
     ]
     return F.filter(F.array(*rules), lambda x: x.isNotNull())
 
@@ -101,9 +120,9 @@ def guardrails(first_object: Column, layers: Column, writes: Column) -> Column:
 def failure_handling(failures: DataFrame, captures: DataFrame, keys=KEYS) -> DataFrame:
     """One line for each layer that failed, with its first reason; UNTESTED if none did.  ``failures``: sequence, layer, reason."""
     first = failures.groupBy(*keys, "layer").agg(F.min_by("reason", F.when(F.col("reason").isNotNull(), F.col("sequence"))).alias("_r"))
-    line = F.concat(F.lit("Observed "), "layer", F.lit(" failure during recording: "), F.coalesce("_r", F.lit("no detail captured")))
+    line = F.concat(_around("failure", F.col("layer")), F.coalesce("_r", F.lit(SENTENCES["no detail"])))
     rolled = first.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("layer", line.alias("line")))), lambda x: x["line"]).alias("_l"), F.max(F.col("layer") == "validation").alias("_v"))
-    extra = F.when(F.col("_v"), F.array(F.lit("On validation error, return the offending field and message; do not auto-correct."))).otherwise(F.array().cast("array<string>"))
+    extra = F.when(F.col("_v"), F.array(F.lit(SENTENCES["no correction"]))).otherwise(F.array().cast("array<string>"))
     return captures.join(rolled, keys, "left").select(*keys, F.when(F.col("_l").isNull(), F.array(F.lit(UNTESTED))).otherwise(F.concat("_l", extra)).alias("failure_handling"))
 
 
