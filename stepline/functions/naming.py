@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stepline.functions.values import let
+
 LIMIT = 74
 #: Names that are taken, beside the keywords of Python, and what is put after a name that is one of them.
 RESERVED = ("escalation", "off_topic", "ambiguous_question", "system", "config", "variables", "language", "start_agent", "subagent", "utils", *[k.lower() for k in keyword.kwlist])
@@ -19,7 +21,7 @@ def tokenize(label: Column) -> Column:
     cut = F.regexp_replace(bare, "[^A-Za-z0-9]+", " ")
     cut = F.regexp_replace(cut, "([a-z0-9])([A-Z])", "$1 $2")
     cut = F.regexp_replace(cut, "([A-Z]+)([A-Z][a-z])", "$1 $2")
-    return F.filter(F.split(cut, " +"), lambda w: w != "")
+    return F.filter(F.split(cut, " "), lambda w: w != "")
 
 
 def truncate_tokens(tokens: Column, limit: int = LIMIT, separator: int = 1) -> Column:
@@ -28,8 +30,9 @@ def truncate_tokens(tokens: Column, limit: int = LIMIT, separator: int = 1) -> C
     # once a token does not fit, the length stays beyond the limit, so none after it does
     longer = lambda acc, w: acc["n"] + separator + F.length(w)
     step = lambda acc, w: F.struct(longer(acc, w).alias("n"), F.when(longer(acc, w) <= limit, F.concat(acc["kept"], F.array(w))).otherwise(acc["kept"]).alias("kept"))
-    kept = F.aggregate(tokens, start, step, lambda acc: acc["kept"])
-    return F.when(F.size(tokens) == 0, tokens).when(F.size(kept) == 0, F.array(F.substring(F.get(tokens, F.lit(0)), 1, limit))).otherwise(kept)
+    first = lambda words: F.array(F.substring(F.get(words, F.lit(0)), 1, limit))
+    shorter = lambda words: let(F.aggregate(words, start, step, lambda acc: acc["kept"]), lambda kept: F.when(F.size(kept) == 0, first(words)).otherwise(kept))
+    return let(tokens, lambda words: F.when(F.length(F.array_join(words, "_" * separator)) <= limit, words).otherwise(shorter(words)))
 
 
 def is_reserved(label: Column) -> Column:
@@ -38,7 +41,7 @@ def is_reserved(label: Column) -> Column:
 
 def escape_reserved(tokens: Column) -> Column:
     """A token more for a name that is taken; before truncation, which then keeps it."""
-    return F.when(F.lower(F.array_join(tokens, "_")).isin(*RESERVED), F.concat(tokens, F.array(F.lit("topic")))).otherwise(tokens)
+    return let(tokens, lambda words: F.when(F.lower(F.array_join(words, "_")).isin(*RESERVED), F.concat(words, F.array(F.lit("topic")))).otherwise(words))
 
 
 def snake_case(label: Column, limit: int = LIMIT) -> Column:

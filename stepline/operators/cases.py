@@ -36,7 +36,7 @@ def derive_cases(specs: DataFrame, shape: str = LEGACY, keys=KEYS) -> DataFrame:
         named = {"purpose": purpose, "utterance": utterance, "topic": topic, "outcome": outcome, "evidence": evidence, "gap": gap}
         return F.struct(*[(F.lit(v) if isinstance(v, str) else v).cast("string").alias(k) for k, v in named.items()])
 
-    topic, said = topic_name(c("intent")), EVIDENCE[shape]
+    topic, said = c("_topic"), EVIDENCE[shape]
     named = lambda e, field: F.coalesce(e[field], F.lit("")) != ""
     resolved = F.filter("_omitted", lambda o: named(o["entity"], "object_api_name") & named(o["entity"], "field_api_name"))
     of_entity = lambda o: case("entity collection", o["utterance"], topic, F.concat(F.lit("Asks the user to provide the "), o["entity"]["name"], F.lit(".")), F.concat(F.lit("Entity "), o["entity"]["name"], F.lit(" ("), o["entity"]["object_api_name"], F.lit("."), o["entity"]["field_api_name"], F.lit(")" + said["entity"])))
@@ -56,8 +56,10 @@ def derive_cases(specs: DataFrame, shape: str = LEGACY, keys=KEYS) -> DataFrame:
         ),
         F.when(F.coalesce(untested, F.lit(False)), gap).otherwise(F.transform(seen, of_failure)),
     )
-    made = request_texts(specs).select(*keys, F.posexplode(F.filter(cases, lambda x: x.isNotNull())).alias("case_no", "_c"))
-    return made.select(*keys, "case_no", "_c.*")
+    # not exploded as outer, rows would be filtered by the size of the array first, which makes it twice more
+    named = request_texts(specs).withColumn("_topic", topic_name(c("intent")))
+    made = named.select(*keys, F.posexplode_outer(F.filter(cases, lambda x: x.isNotNull())).alias("case_no", "_c"))
+    return made.filter("case_no is not null").select(*keys, "case_no", "_c.*")
 
 
 def legacy_tests(cases: DataFrame, keys=KEYS) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepline.functions.naming import topic_api_name
+from stepline.functions.values import let
 
 KEYS = ["capture_id"]
 LEAST_CONFIDENCE = 0.4
@@ -64,8 +65,7 @@ def role_text(intent: Column, entities: Column) -> Column:
 
 
 def topic_name(intent: Column) -> Column:
-    name = topic_api_name(intent)
-    return F.when(name == "", NO_TOPIC_NAME).otherwise(name)
+    return let(topic_api_name(intent), lambda name: F.when(name == "", NO_TOPIC_NAME).otherwise(name))
 
 
 def topic_description(intent: Column, steps: Column, rails: Column, failures: Column) -> Column:
@@ -107,14 +107,14 @@ def agent_texts(specs: DataFrame) -> DataFrame:
 
 def request_base(intent: Column) -> Column:
     """The intent without what stands in brackets at its end; null if nothing is left."""
-    return F.nullif(F.trim(F.regexp_replace(intent, r"\s*\([^)]*\)\s*$", "")), F.lit(""))
+    return let(F.trim(F.regexp_replace(intent, r"\s*\([^)]*\)\s*$", "")), lambda text: F.nullif(text, F.lit("")))
 
 
 def _once(names: Column) -> Column:
     """The first of the names that are equal whatever their case; empty ones go."""
     filled = F.filter(names, lambda n: F.trim(n) != "")
-    keys = F.transform(filled, lambda n: F.lower(F.trim(n)))
-    return F.filter(filled, lambda n, i: F.array_position(keys, F.lower(F.trim(n))) == i + 1)
+    first = lambda texts, keys: F.filter(texts, lambda n, i: F.array_position(keys, F.get(keys, i)) == i + 1)
+    return let(filled, lambda texts: let(F.transform(texts, lambda n: F.lower(F.trim(n))), lambda keys: first(texts, keys)))
 
 
 def _places(names: Column) -> Column:
@@ -127,10 +127,9 @@ def _request(base: Column, names: Column) -> Column:
 
 def request_texts(specs: DataFrame) -> DataFrame:
     """Adds _phrase and _invalid (the request, and one with an invalid value) and _omitted (array of entity and utterance: the request without each entity)."""
-    text, entities = request_base(F.col("intent")), F.col("entities")
-    all_ = F.transform(entities, lambda e: e["name"])
-    filled = F.filter(all_, lambda n: F.trim(n) != "")
-    once = _once(all_)
+    text, entities, filled, once = (F.col(c) for c in ("_base", "entities", "_filled", "_names"))
+    named = specs.withColumns({"_base": request_base(F.col("intent")), "_filled": F.filter(F.transform(entities, lambda e: e["name"]), lambda n: F.trim(n) != "")})
+    named = named.withColumn("_names", _once(filled))
     first = F.get(F.filter(entities, lambda e: F.trim(e["name"]) != ""), F.lit(0))
     field = F.get(F.filter(once, lambda n: n != "recordId"), F.lit(0))
     thing = F.lower(F.coalesce(F.nullif(first["object_api_name"], F.lit("")), F.lit("record")))
@@ -138,8 +137,8 @@ def request_texts(specs: DataFrame) -> DataFrame:
     phrase = F.when(F.array_contains(once, "recordId") & F.contains(F.lower(text), F.lit("update")) & field.isNotNull(), update).otherwise(_request(text, once))
     invalid = F.concat(F.coalesce(text, F.lit(NO_INTENT)), F.when(text.isNotNull() & F.array_contains(filled, "recordId"), F.lit(" {recordId} with an invalid value that will fail validation")).otherwise(" with an invalid value"))
     told = lambda utterance: F.coalesce(utterance, F.lit(NO_INTENT))
-    omitted = F.transform(F.filter(entities, lambda e: F.trim(e["name"]) != ""), lambda e: F.struct(e.alias("entity"), told(_request(text, _once(F.filter(all_, lambda m: m != e["name"])))).alias("utterance")))
-    return specs.withColumns({"_phrase": told(F.when(text.isNotNull(), phrase)), "_invalid": invalid, "_omitted": omitted})
+    omitted = F.transform(F.filter(entities, lambda e: F.trim(e["name"]) != ""), lambda e: F.struct(e.alias("entity"), told(_request(text, _once(F.filter(filled, lambda m: m != e["name"])))).alias("utterance")))
+    return named.withColumns({"_phrase": told(F.when(text.isNotNull(), phrase)), "_invalid": invalid, "_omitted": omitted}).drop("_base", "_filled", "_names")
 
 
 def utterances(specs: DataFrame, keys=KEYS) -> DataFrame:
@@ -148,7 +147,8 @@ def utterances(specs: DataFrame, keys=KEYS) -> DataFrame:
     case = lambda kind, entity, utterance: F.struct(F.lit(kind).alias("kind"), entity.alias("entity"), utterance.alias("utterance"))
     omitted = F.transform("_omitted", lambda o: case("omit", o["entity"]["name"], o["utterance"]))
     cases = F.concat(F.array(case("phrase", nobody, F.col("_phrase"))), omitted, F.array(case("invalid", nobody, F.col("_invalid"))))
-    return request_texts(specs).select(*keys, F.posexplode(cases).alias("case_no", "_c")).select(*keys, "case_no", "_c.*")
+    # not exploded as outer, rows would be filtered by the size of the array first, which makes it twice more
+    return request_texts(specs).select(*keys, F.posexplode_outer(cases).alias("case_no", "_c")).filter("case_no is not null").select(*keys, "case_no", "_c.*")
 
 
 # -- refinement -----------------------------------------------------------------------------------
