@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stepline.functions.values import let
 from stepline.operators.prompts import refused_reason
 from stepline.operators.rounds import pick_best
 from stepline.operators.specs import POINTS, score_spec
@@ -33,8 +34,7 @@ FIELDS_NAMED = 3
 def _once(lines: Column) -> Column:
     """The first of the lines that are equal but for case and spaces."""
     key = lambda s: F.trim(F.regexp_replace(F.lower(s), r"\s+", " "))
-    keys = F.transform(lines, key)
-    return F.filter(lines, lambda s, i: F.array_position(keys, key(s)) == i + 1)
+    return let(F.transform(lines, key), lambda keys: F.filter(lines, lambda s, i: F.array_position(keys, F.get(keys, i)) == i + 1))
 
 
 def _tightened(intent: Column) -> Column:

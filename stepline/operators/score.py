@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stepline.functions.values import let
+
 KEYS = ["capture_id"]
 #: Words that carry no content.
 STOPWORDS = (
@@ -37,8 +39,8 @@ PASSING, MODERATE, DISPLAY_CAP = 75, 60, 59
 
 def content_signature(text: Column, stopwords=STOPWORDS) -> Column:
     """The sorted set of a text's content words; null if there are fewer than two."""
-    words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda w: (w != "") & ~w.isin(*stopwords)))
-    return F.when(F.size(words) >= 2, F.array_join(F.array_sort(words), " "))
+    words = F.array_distinct(F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), 0), lambda w: ~w.isin(*stopwords)))
+    return let(words, lambda found: F.when(F.size(found) >= 2, F.array_join(F.sort_array(found), " ")))
 
 
 def near_duplicates(lines: DataFrame, text: str, keys=KEYS) -> DataFrame:

@@ -6,10 +6,13 @@ capture once, scoring is expressions within the row.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepline.functions.naming import camel_name
+from stepline.functions.values import let
 from stepline.operators.records import SYSTEM_FIELDS
 from stepline.operators.score import MARKERS, band, content_signature, honesty, provenance
 
@@ -163,27 +166,27 @@ def _observed(spec_entities: Column) -> Column:
     return F.filter(spec_entities, lambda e: ~((F.coalesce(e["name"], F.lit("")) == "recordId") & (F.coalesce(e["field_api_name"], F.lit("")) == "Id")))
 
 
-def padded_entities(spec_entities: Column) -> Column:
-    """More than three claims pile up on one field, or entities without object and field tell the same details over three times on average."""
+def padded_entities(observed: Column) -> Column:
+    """Of observed entities, more than three claims pile up on one field, or entities without object and field tell the same details over three times on average."""
     named = lambda e, c: F.coalesce(e[c], F.lit("")) != ""
-    observed = _observed(spec_entities)
     resolved = F.filter(observed, lambda e: named(e, "object_api_name") | named(e, "field_api_name"))
     keys = F.transform(resolved, lambda e: F.concat(F.coalesce(e["object_api_name"], F.lit("?")), F.lit("."), F.coalesce(e["field_api_name"], F.lit("?"))))
-    claimed = F.exists(F.array_distinct(keys), lambda k: F.size(F.filter(keys, lambda x: x == k)) > 3)
+    # in order, a key that is there more than three times is the third after itself
+    claimed = let(F.sort_array(keys), lambda k: F.size(F.filter(k, lambda x, i: F.coalesce(x == F.get(k, i + 3), F.lit(False)))) > 0)
     unresolved = F.filter(observed, lambda e: ~(named(e, "object_api_name") | named(e, "field_api_name")))
     details = F.filter(F.flatten(F.transform(unresolved, lambda e: F.coalesce(F.transform(e["evidence"], lambda v: v["detail"]), F.array().cast("array<string>")))), lambda d: d.isNotNull())
-    return claimed | ((F.size(unresolved) > 3) & (F.size(F.array_distinct(details)) * 3 < F.size(details)) & (F.size(details) > 3))
+    same = let(details, lambda d: (F.size(F.array_distinct(d)) * 3 < F.size(d)) & (F.size(d) > 3))
+    return claimed | ((F.size(unresolved) > 3) & same)
 
 
-def grounding(spec_entities: Column) -> Column:
-    """0 to 30: the best kind of evidence sets a floor, each grounded entity adds a quarter up to a half; claims that pile up on one field leave a fifth."""
-    observed = _observed(spec_entities)
+def grounding(observed: Column, padded: Column) -> Column:
+    """0 to 30, of observed entities and whether they are padded: the best kind of evidence sets a floor, each grounded entity adds a quarter up to a half; claims that pile up on one field leave a fifth."""
     has = lambda e, source: F.coalesce(F.exists(e["evidence"], lambda v: (v["source"] == source) & (F.length(_text(v["detail"])) >= DETAIL_CHARS)), F.lit(False))
     n_delta = F.size(F.filter(observed, lambda e: has(e, "data-delta")))
     n_ui = F.size(F.filter(observed, lambda e: ~has(e, "data-delta") & has(e, "ui-action")))
     share = F.when(n_delta > 0, 0.5).when(n_ui > 0, 0.35).otherwise(0.0) + F.least((n_delta + n_ui) * 0.25, F.lit(0.5))
     base = F.floor(F.round(share * POINTS["grounding"], 6))
-    score = F.when(padded_entities(spec_entities), F.floor(base * 0.2)).otherwise(base)
+    score = F.when(padded, F.floor(base * 0.2)).otherwise(base)
     return F.when(F.size(observed) > 0, F.least(score, F.lit(POINTS["grounding"]))).otherwise(0).cast("int")
 
 
@@ -196,40 +199,43 @@ def _distinct(lines: Column, strip_digits: bool = False) -> Column:
     return F.array_distinct(F.filter(plain, lambda s: s != ""))
 
 
-def _padded(lines: Column) -> Column:
+def _padded(lines: Column, n_distinct: Column) -> Column:
     n = F.size(lines)
-    ratio = lambda strip: n / F.greatest(F.size(_distinct(lines, strip)), F.lit(1))
-    return ((n > 5) & (ratio(False) > 3)) | ((n > 8) & (ratio(True) > 3))
+    ratio = lambda different: n / F.greatest(different, F.lit(1))
+    return ((n > 5) & (ratio(n_distinct) > 3)) | ((n > 8) & (ratio(F.size(_distinct(lines, True))) > 3))
 
 
-def completeness(objects: Column, spec_entities: Column, steps: Column, rails: Column, failures: Column) -> Column:
-    """0 to 15: three points for each section that says something; padded ones keep none, repeated guardrails one."""
-    n = _distinct
+def completeness(objects: Column, spec_entities: Column, n_steps: Column, padded_steps: Column, rails: Column, n_rails: Column, padded_rails: Column, failures: Column) -> Column:
+    """0 to 15, of the sections and how many of their lines differ: three points for each section that says something; padded ones keep none, repeated guardrails one."""
     parts = [
         F.when(F.size(objects) > 0, 3).otherwise(0),
         F.when(F.size(spec_entities) > 0, 3).otherwise(0),
-        F.when(F.size(n(steps)) > 1, F.when(_padded(steps), 0).otherwise(3)).otherwise(0),
-        F.when(F.size(n(rails)) > 0, F.when(_padded(rails), 0).when(F.size(n(rails)) < F.size(rails), 1).otherwise(3)).otherwise(0),
+        F.when(n_steps > 1, F.when(padded_steps, 0).otherwise(3)).otherwise(0),
+        F.when(n_rails > 0, F.when(padded_rails, 0).when(n_rails < F.size(rails), 1).otherwise(3)).otherwise(0),
         F.when(F.size(failures) > 0, 3).otherwise(0),
     ]
     return sum(parts, F.lit(0))
 
 
 def is_filler(text: Column) -> Column:
-    return (F.length(_text(text)) < FILLER_CHARS) | (F.size(F.split(_text(text), r"\s+")) < FILLER_WORDS)
+    """Too short, or with fewer than ``FILLER_WORDS`` words: fewer gaps than would part so many."""
+    gaps = r"\s" + r"\S+\s" * (FILLER_WORDS - 2)
+    return (F.length(_text(text)) < FILLER_CHARS) | ~_text(text).rlike(gaps)
+
 
+def _holds(text: Column, terms) -> Column:
+    return reduce(Column.__or__, [F.contains(text, F.lit(t)) for t in terms])
 
-def specificity(intent: Column, steps: Column, rails: Column) -> Column:
+
+def specificity(intent: Column, steps: Column, rails: Column, n_filler: Column) -> Column:
     """0 to 10: none without an intent, less for a vague or stuffed one, for empty steps and guardrails, and for lines that instruct nothing."""
     words = F.size(F.filter(F.split(_text(intent), r"\s+"), lambda w: w != ""))
-    vague = F.exists(F.array(*map(F.lit, VAGUE)), lambda t: F.contains(F.lower(intent), t))
+    vague = _holds(F.lower(intent), VAGUE)
     of_intent = F.when(intent.contains("UNRESOLVED"), 3).when(intent.isin(*GENERIC_INTENTS), 2).when((words <= 2) | vague, 5).when(words > 6, 5).otherwise(0)
-    holds = lambda s, terms: F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(F.lower(s), t))
-    of_step = lambda s: F.when(F.lower(F.trim(s)).rlike(r"^(step|action|task|item)(\s+\d+)?$"), 3).when(holds(s, GENERIC_STEP_TERMS), 1).otherwise(0)
-    of_rail = lambda s: F.when(F.lower(F.trim(s)).rlike(r"^(guardrail|rule|check|validation)(\s+\d+)?$"), 3).when(holds(s, GENERIC_GUARDRAILS), 2).otherwise(0)
-    total = lambda array, f: F.aggregate(array, F.lit(0), lambda acc, s: acc + f(s))
-    filler = 2 * F.size(F.filter(F.concat(steps, rails), is_filler))
-    left = F.greatest(F.lit(POINTS["specificity"]) - of_intent - total(steps, of_step) - total(rails, of_rail) - filler, F.lit(0))
+    of_step = lambda s: F.when(F.trim(s).rlike(r"^(step|action|task|item)(\s+\d+)?$"), 3).when(_holds(s, GENERIC_STEP_TERMS), 1).otherwise(0)
+    of_rail = lambda s: F.when(F.trim(s).rlike(r"^(guardrail|rule|check|validation)(\s+\d+)?$"), 3).when(_holds(s, GENERIC_GUARDRAILS), 2).otherwise(0)
+    total = lambda array, f: F.aggregate(F.transform(array, F.lower), F.lit(0), lambda acc, s: acc + f(s))
+    left = F.greatest(F.lit(POINTS["specificity"]) - of_intent - total(steps, of_step) - total(rails, of_rail) - 2 * n_filler, F.lit(0))
     return F.when(_text(intent) == "", 0).otherwise(left)
 
 
@@ -256,13 +262,13 @@ def names_nothing(spec_entities: Column, lines: Column) -> Column:
     fields = F.transform(F.filter(spec_entities, lambda e: e["field_api_name"] != "Id"), lambda e: e["field_api_name"])
     names = F.transform(F.filter(spec_entities, lambda e: e["name"] != "recordId"), lambda e: e["name"])
     long = F.filter(F.concat(fields, names), lambda n: F.length(n) >= 4)
-    return (F.size(long) > 0) & ~F.exists(long, lambda n: F.contains(told, F.lower(n)))
+    return let(told, lambda text: let(long, lambda names: (F.size(names) > 0) & ~F.exists(names, lambda n: F.contains(text, F.lower(n)))))
 
 
 def says_twice(lines: Column) -> Column:
     """Different lines have the same content words."""
     signed = F.filter(F.transform(F.array_distinct(F.transform(lines, lambda s: F.trim(s))), lambda s: content_signature(s)), lambda x: x.isNotNull())
-    return F.size(F.array_distinct(signed)) < F.size(signed)
+    return let(signed, lambda s: F.size(F.array_distinct(s)) < F.size(s))
 
 
 def score_spec(specs: DataFrame) -> DataFrame:
@@ -273,32 +279,41 @@ def score_spec(specs: DataFrame) -> DataFrame:
     """
     c = F.col
     text = all_text(c("intent"), [c("orchestration_steps"), c("guardrails"), c("failure_handling"), c("unknowns"), c("objects_touched")], c("entities"), c("evidence"))
-    marked = F.exists(F.array(*[F.lit(m) for m in MARKERS]), lambda m: F.contains(text, m))
+    lines = F.concat("orchestration_steps", "guardrails")
+    # what several dimensions or blockers take comes first, so that it is made once
+    read = specs.withColumns({"_text": text, "_seen": _observed(c("entities")), "_n_steps": F.size(_distinct(c("orchestration_steps"))), "_n_rails": F.size(_distinct(c("guardrails"))), "_n_filler": F.size(F.filter(lines, is_filler))})
     empty = (_text(c("intent")) == "") & sum((F.size(x) for x in ("entities", "orchestration_steps", "guardrails", "failure_handling")), F.lit(0)).eqNullSafe(0)
     source = provenance(c("extraction_source"), c("telemetry_source"))
-    scored = specs.withColumns(
+    read = read.withColumns(
         {
-            "grounding": grounding(c("entities")),
-            "completeness": completeness(c("objects_touched"), c("entities"), c("orchestration_steps"), c("guardrails"), c("failure_handling")),
+            "_marked": _holds(c("_text"), MARKERS) | empty,
+            "_heaped": padded_entities(c("_seen")),
+            "_padded_steps": _padded(c("orchestration_steps"), c("_n_steps")),
+            "_padded_rails": _padded(c("guardrails"), c("_n_rails")),
+        }
+    )
+    scored = read.withColumns(
+        {
+            "grounding": grounding(c("_seen"), c("_heaped")),
+            "completeness": completeness(c("objects_touched"), c("entities"), c("_n_steps"), c("_padded_steps"), c("guardrails"), c("_n_rails"), c("_padded_rails"), c("failure_handling")),
             "honesty": honesty(c("confidence"), F.size("unknowns"), (F.size("objects_touched") == 0) | (F.size("entities") == 0)),
-            "specificity": specificity(c("intent"), c("orchestration_steps"), c("guardrails")),
+            "specificity": specificity(c("intent"), c("orchestration_steps"), c("guardrails"), c("_n_filler")),
             "testability": testability(c("entities"), c("failure_handling")),
-            "placeholders": F.when(marked | empty, 0).otherwise(POINTS["placeholders"]),
+            "placeholders": F.when(c("_marked"), 0).otherwise(POINTS["placeholders"]),
             "provenance": source["score"],
         }
     )
     hollow = lambda d: c(d) <= POINTS[d] * 0.1
     weak = sum(((c(d) <= POINTS[d] * 0.5).cast("int") for d in POINTS if d != "provenance"), F.lit(0))
-    lines = F.concat("orchestration_steps", "guardrails")
-    filler = F.size(F.filter(lines, is_filler)) / F.greatest(F.size(lines), F.lit(1))
+    filler = c("_n_filler") / F.greatest(F.size("orchestration_steps") + F.size("guardrails"), F.lit(1))
     rules = {
-        "padded entities": padded_entities(c("entities")),
-        "padding": _padded(c("orchestration_steps")) | _padded(c("guardrails")),
+        "padded entities": c("_heaped"),
+        "padding": c("_padded_steps") | c("_padded_rails"),
         "no object": F.size("objects_touched") == 0,
         "no entity": F.size("entities") == 0,
         "no guardrail": F.size("guardrails") == 0,
         "unresolved": c("intent").startswith("UNRESOLVED:"),
-        "placeholder": marked | empty,
+        "placeholder": c("_marked"),
         "provenance": source["blocked"],
         "filler": filler > FILLER_SHARE,
         "threshold surfing": weak >= 2,
@@ -309,7 +324,7 @@ def score_spec(specs: DataFrame) -> DataFrame:
     } | {f"hollow {d}": hollow(d) for d in POINTS if d not in ("testability", "provenance")}
     blockers = F.filter(F.array(*[F.when(F.coalesce(x, F.lit(False)), F.lit(name)) for name, x in rules.items()]), lambda x: x.isNotNull())
     wanting = {"grounding": c("grounding") < POINTS["grounding"] * 0.5, "object": F.size("objects_touched") == 0, "intent": c("intent").startswith("UNRESOLVED:"), "failure": ~failure_observed(c("failure_handling"))}
-    total = scored.withColumn("total", sum((c(d) for d in POINTS), F.lit(0)).cast("int")).withColumn("blockers", blockers)
+    total = scored.withColumn("total", sum((c(d) for d in POINTS), F.lit(0)).cast("int")).withColumn("blockers", blockers).drop("_text", "_seen", "_n_steps", "_n_rails", "_n_filler", "_marked", "_heaped", "_padded_steps", "_padded_rails")
     return total.withColumns(
         {
             "passed": (c("total") >= PASSING) & (F.size("blockers") == 0),
