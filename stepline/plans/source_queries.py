@@ -39,20 +39,13 @@ def read_capture(spark, d):
 
 @query(LINES + """ SELECT capture_id, row_number() OVER (PARTITION BY capture_id ORDER BY pos) AS line_no, coalesce(reason, 'event') AS kind FROM lines QUALIFY coalesce(reason, '') <> 'blank'""")
 def read_capture_files(spark, d):
-    """Captures written as files, blank lines too, and read again in splits of a few lines."""
+    """Captures written as files, blank lines too, and read again in splits of Spark's size: as many tasks as their bytes need."""
     written = capture(spark, d).select("capture_id", "pos", F.expr(LINE).alias("line"))
     path = fresh_path(spark, "captures")
     written.repartition("capture_id").sortWithinPartitions("capture_id", "pos").select("capture_id", "line").write.partitionBy("capture_id").text(path)
-    few = {"spark.sql.files.maxPartitionBytes": "1k", "spark.sql.files.openCostInBytes": "512"}
-    before = {k: spark.conf.get(k) for k in few}
-    try:
-        for k, v in few.items():
-            spark.conf.set(k, v)
-        events, rejects = captures.parse_lines(captures.capture_lines(spark, path))
-        found = cut(events.select("path", "line_no", F.lit("event").alias("kind")).unionByName(rejects.withColumnRenamed("reason", "kind")))
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+    # events and rejects are two passes over the lines, of which each would read the files again
+    events, rejects = captures.parse_lines(cut(captures.capture_lines(spark, path)))
+    found = events.select("path", "line_no", F.lit("event").alias("kind")).unionByName(rejects.withColumnRenamed("reason", "kind"))
     return found.select(F.regexp_extract("path", "capture_id=([0-9]+)", 1).cast("long").alias("capture_id"), "line_no", "kind")
 
 
