@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepline.functions.redaction import Policy, is_sensitive_field, redact_text, replacement
-from stepline.sources.shared import cut
+from stepline.sources.shared import cut, spread
 
 
 def _json_text(text: Column) -> Column:
@@ -25,9 +25,10 @@ def _children(level: DataFrame, policy: Policy) -> DataFrame:
     spark = level.sparkSession
     parent = F.schema_of_variant("_value").startswith("OBJECT")
     exploded = level.select("_row", "_path", "_value", parent.alias("_in_object")).lateralJoin(spark.tvf.variant_explode(F.col("_value").outer()).toDF("pos", "key", "child"))
-    kind = F.schema_of_variant("child")
-    is_object, is_array, text = kind.startswith("OBJECT"), kind.startswith("ARRAY"), F.try_variant_get("child", "$", "string")
-    hidden = F.col("_in_object") & is_sensitive_field(F.col("key"))
+    # each is used many times, and made once
+    exploded = exploded.withColumns({"_kind": F.schema_of_variant("child"), "_text": F.try_variant_get("child", "$", "string"), "_hidden": F.col("_in_object") & is_sensitive_field(F.col("key"))})
+    kind, text, hidden = F.col("_kind"), F.col("_text"), F.col("_hidden")
+    is_object, is_array = kind.startswith("OBJECT"), kind.startswith("ARRAY")
     masked = F.when(kind == "STRING", replacement(text, "sensitive_field", policy)).otherwise("[REDACTED:sensitive_field]")
     leaf = F.when(kind == "STRING", _json_text(redact_text(text, policy))).otherwise(F.to_json("child"))
     # an array within an array is kept as it is
@@ -68,9 +69,10 @@ def redact_json(df: DataFrame, column: str, policy: Policy = Policy()) -> DataFr
     Values of sensitive keys are masked, hashed or dropped whole, other texts scrubbed, numbers and such kept.  What is no JSON object is scrubbed
     as plain text.  Nulls stay.
     """
-    numbered = cut(df.withColumn("_row", F.monotonically_increasing_id()))
-    value = F.try_parse_json(F.col(column))
-    top = numbered.select("_row", F.array().cast("array<int>").alias("_path"), value.alias("_value")).filter(F.schema_of_variant("_value").startswith("OBJECT"))
+    # a document costs far more than its bytes tell
+    parsed = spread(df).withColumn("_row", F.monotonically_increasing_id()).withColumn("_value", F.try_parse_json(F.col(column)))
+    numbered = cut(parsed.withColumn("_value", F.when(F.schema_of_variant("_value").startswith("OBJECT"), F.col("_value"))))
+    top = numbered.filter("_value is not null").select("_row", F.array().cast("array<int>").alias("_path"), "_value")
     levels, frontier = [], top
     while True:
         children = cut(_children(frontier, policy).select("_row", "_parent", "_path", "pos", "key", "kind", "json", "_value"))
