@@ -119,17 +119,23 @@ def reduce(events: DataFrame, keys=KEYS, within_ms: int = 150) -> DataFrame:
 
 def reduction_report(events: DataFrame, keys=KEYS, within_ms: int = 150) -> DataFrame:
     """One row a capture: events before and after, and how many each phase dropped or made."""
-    merged = coalesce_inputs(events, keys).drop("ordinal").withColumnRenamed("ordinal_2", "ordinal")
-    bubbled = drop_bubbling(merged, keys, within_ms=within_ms)
-    scrolled = drop_scroll(bubbled, keys)
-    moved = synth_navigate(scrolled, keys)
-    counts = [df.groupBy(*keys).agg(F.count("*").alias(name)) for df, name in ((events, "n_raw"), (merged, "n_merged"), (bubbled, "n_bubbled"), (scrolled, "n_scrolled"))]
-    last = moved.groupBy(*keys).agg(F.count_if("synthetic").alias("n_navigate"), F.count("*").alias("n_moved"))
-    out = drop_keydown(moved).groupBy(*keys).agg(F.count("*").alias("n_out"))
-    found = counts[0]
-    for df in [*counts[1:], last, out]:
-        found = found.join(df, keys, "left")
-    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    counted = events.withColumn("_n_raw", F.count("*").over(Window.partitionBy(*keys)))
+    merged = coalesce_inputs(counted, keys).drop("ordinal").withColumnRenamed("ordinal_2", "ordinal")
+    # one chain for all counts: what a phase drops stays with a mark, and the next ones look at rows of equal marks only
+    bubbled = drop_bubbling(merged, keys, within_ms=within_ms, flag="_bubbled")
+    scrolled = drop_scroll(bubbled, [*keys, "_bubbled"], flag="_scrolled")
+    moved = drop_keydown(synth_navigate(scrolled, [*keys, "_bubbled", "_scrolled"]), flag="_pressed")
+    made, kept = F.col("synthetic"), ~F.col("_bubbled") & ~F.col("_scrolled")
+    counts = {
+        "n_merged": ~made,
+        "n_bubbled": ~made & ~F.col("_bubbled"),
+        "n_scrolled": ~made & kept,
+        "n_navigate": made & kept,
+        "n_moved": kept,
+        "n_out": kept & ~F.col("_pressed"),
+    }
+    found = moved.groupBy(*keys).agg(F.max("_n_raw").alias("n_raw"), *[F.count_if(c).alias(name) for name, c in counts.items()])
+    n = F.col
     return found.select(
         *keys,
         "n_raw",
