@@ -55,7 +55,8 @@ def event_findings(events: DataFrame, signals: list[str], fields: list[str], dom
         *map(of_field, fields),
     )
     rows = F.concat(sensitive, F.filter(one, lambda x: x.isNotNull()))
-    return events.select(*keys, F.explode(rows).alias("_x")).select(*keys, "_x.f.*", "_x.hosts")
+    # not exploded as outer, events would be filtered by the size of the array first, which makes it twice more
+    return events.select(*keys, F.explode_outer(rows).alias("_x")).filter("_x is not null").select(*keys, "_x.f.*", "_x.hosts")
 
 
 def part_of(line: Column, lines: int = PART_LINES) -> Column:
