@@ -7,7 +7,7 @@ have not seen it, as an unseen document will; so a later model does not learn to
 earlier ones more than they deserve.  The final models are fitted on all folds.
 
 How it runs.  Labelled documents for training are a bounded sample (``most_labelled``, those
-whose ids hash lowest), so the driver can fit them; features are counted in tasks.  Scoring
+whose ids hash lowest), so one task can fit them and the driver gets the models alone; features are counted in tasks.  Scoring
 goes through all whole documents in place, without a shuffle; the model is as large as
 ``most_features`` entries for each category: features of at least four documents, those with the
 strongest association first.  That is a limit of the model, not of the texts: each text is read whole.
@@ -178,6 +178,21 @@ def _training_rows(batches):
         yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int32())), *batch.columns[2:]], names=["doc_id", "found", *batch.schema.names[2:]])
 
 
+def _fit_rows(batches, n_categories):
+    """The chain that rows (doc_id, found, y0, ...) give, a row for each category's model."""
+    batches = list(batches)
+    if not batches:
+        return
+    ys = [f"y{i}" for i in range(n_categories)]
+    rows = pa.Table.from_batches(batches).sort_by([("doc_id", "ascending"), *[(y, "ascending") for y in ys]])
+    found = [x.values.to_numpy() for x in rows.column("found")]
+    fold = np.array([xxhash.xxh32_intdigest(str(i)) % FOLDS for i in rows.column("doc_id").to_pylist()], np.int64)
+    labels = np.column_stack([rows.column(y).to_numpy().astype(float) for y in ys])
+    for k, m in enumerate(fit_chain(found, fold, labels)):
+        columns = [pa.array([k], pa.int32()), pa.array([m.intercept]), pa.array([list(m.weights)], pa.list_(pa.int32())), pa.array([list(m.weights.values())], pa.list_(pa.float64())), pa.array([m.earlier], pa.list_(pa.float64()))]
+        yield pa.record_batch(columns, names=["category", "intercept", "features", "weights", "earlier"])
+
+
 def train_chain(docs: DataFrame, labels: DataFrame, categories: list, id_col: str = "doc_id", text_col: str = "text", most_labelled: int = MOST_LABELLED) -> list[Model]:
     """``categories``: columns of labels (1 yes, 0 no), by name, in the chain's order."""
     chosen = labels.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), *[c.cast("double").alias(f"y{i}") for i, c in enumerate(categories)])
@@ -187,11 +202,13 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: list, id_col: st
     own = texts.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
     joined = own.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", *[f"y{i}" for i in range(len(categories))])
     schema = "doc_id long, found array<int>" + "".join(f", y{i} double" for i in range(len(categories)))
-    rows = joined.select(F.col("doc_id").cast("long").alias("doc_id"), *joined.columns[1:]).mapInArrow(_training_rows, schema).toArrow().sort_by([("doc_id", "ascending"), *[(f"y{i}", "ascending") for i in range(len(categories))]])
-    found = [x.values.to_numpy() for x in rows.column("found")]
-    fold = np.array([xxhash.xxh32_intdigest(str(i)) % FOLDS for i in rows.column("doc_id").to_pylist()], np.int64)
-    y = np.column_stack([rows.column(f"y{i}").to_numpy().astype(float) for i in range(len(categories))]) if len(found) else np.zeros((0, len(categories)))
-    return fit_chain(found, fold, y)
+    rows = joined.select(F.col("doc_id").cast("long").alias("doc_id"), *joined.columns[1:]).mapInArrow(_training_rows, schema)
+    # the sample goes to one task, which leaves the driver the models alone
+    n = len(categories)
+    models = rows.repartition(1).mapInArrow(lambda it: _fit_rows(it, n), "category int, intercept double, features array<int>, weights array<double>, earlier array<double>").collect()
+    if not models:
+        return fit_chain([], np.zeros(0, np.int64), np.zeros((0, n)))
+    return [Model(m.intercept, dict(zip(m.features, m.weights)), list(m.earlier)) for m in sorted(models)]
 
 
 def _score(batches, shared):

@@ -744,6 +744,20 @@ def plain_features(text):
     return out
 
 
+def test_chain_is_fitted_in_a_task_and_the_driver_gets_models_alone(spark, monkeypatch):
+    texts = ["fine words here"] * 20 + ["awful words here"] * 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), int(i >= 20)) for i in range(40)], "doc_id long, low int, bad int")
+    found = [np.fromiter(toxicity.Features()(x), np.int32) for x in texts]
+    fold = np.array([xxhash.xxh32_intdigest(str(i)) % toxicity.FOLDS for i in range(40)], np.int64)
+    want = toxicity.fit_chain(found, fold, np.array([(i % 3 == 0, i >= 20) for i in range(40)], float))
+    monkeypatch.setattr(toxicity, "fit_chain", None)
+    chain = toxicity.train_chain(docs, labels, [F.col("low"), F.col("bad")])
+    assert [m.weights.keys() for m in chain] == [m.weights.keys() for m in want] and chain[1].weights
+    for got, m in zip(chain, want):
+        assert np.allclose([got.intercept, *got.weights.values(), *got.earlier], [m.intercept, *m.weights.values(), *m.earlier])
+
+
 def test_a_chain_by_brute_force(spark):
     """Scores of all documents, and that each model is where its penalised likelihood has no slope, in plain loops."""
     sf = "/root/testdata/sf0.001"
