@@ -136,6 +136,29 @@ def test_lm_texts_that_occur_twice_cost_less(spark):
     assert max(found[ids[-1]], found[ids[-2]]) < 0.8 * min(found[i] for i in ids[:-2])
 
 
+def test_lm_weights_are_fitted_on_all_learnt_texts(spark, monkeypatch):
+    ids = [i for i in range(8000) if zlib.crc32(str(i).encode()) % 5 != 1]
+    df = spark.createDataFrame([(i, f"one two three rare{i}") for i in range(8000)], "doc_id long, text string")
+    counted, fitted = [], lm_scoring.fitted
+    monkeypatch.setattr(lm_scoring, "fitted", lambda mixer, grid, counts: counted.append(int(counts.sum())) or fitted(mixer, grid, counts))
+    lm_scoring.score_texts(df, params=lm_scoring.MixingParams(**SMALL))
+    # symbols one, two, three, escape, end: a code of five has 12 bits if all are as frequent
+    assert counted[0] == 12 * len(ids) and len(ids) > 4000
+    # each learnt text's own word, and at least a bit for each of its bytes and the blank
+    assert counted[1] >= sum(len(f"rare{i} ") for i in ids)
+
+
+def test_a_grid_keeps_inputs_to_half_a_level():
+    rng = np.random.default_rng(1)
+    grid = lm_scoring.TEXT_GRID
+    x = np.column_stack([rng.uniform(-9.5, 9.5, (1000, 3)), rng.choice([-3, 0, 3], 1000)]).astype(np.float32)
+    gate, bit = rng.integers(0, grid.gates, 1000), rng.integers(0, 2, 1000)
+    cell = grid.cells(x, gate, bit)
+    again, gates = grid.points(cell // 2)
+    assert (gates == gate).all() and (cell % 2 == bit).all() and cell.max() < grid.size
+    assert np.abs(again - x)[:, :3].max() < 9.5 / 23 + 1e-3 and np.abs(again - x)[:, 3].max() < 1e-6
+
+
 def test_lm_odd_rows_and_no_rows(odd, empty):
     assert len(check_scores(odd, {})) == len(ODD)
     assert rows(lm_scoring.score_texts(empty)) == []
