@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -159,6 +160,30 @@ def test_a_grid_keeps_inputs_to_half_a_level():
     assert np.abs(again - x)[:, :3].max() < 9.5 / 23 + 1e-3 and np.abs(again - x)[:, 3].max() < 1e-6
 
 
+def test_lm_words_are_cut_and_found_as_a_whole():
+    texts = ["  One\x0btwo\x1cthree ", "", " \n", "\u00c9A\u0085b\r\nB", None, "one one"]
+    ids = list(range(len(texts)))
+    (found, held, n_bytes, size, words), = lm_scoring._some_rows([pa.record_batch([pa.array(ids), pa.array(texts)], names=["doc_id", "text"])])
+    plain = [(x or "").encode() for x in texts]
+    assert found == ids and held.tolist() == [lm_scoring.held_out(i) for i in ids] and n_bytes.tolist() == [len(x) for x in plain]
+    assert size.tolist() == [len(x.split()) for x in plain] and words.to_pylist() == [w for x in plain for w in x.lower().split()]
+    code = lm_scoring.Code([b"b", b"one"], np.array([1, 3, 6, 2]), {})
+    assert code.symbols(words).tolist() == [{b"b": 0, b"one": 1}.get(w, code.escape) for w in words.to_pylist()]
+
+
+def test_lm_cells_looked_up_are_those_of_the_inputs():
+    rng = np.random.default_rng(3)
+    for learnt in (0, 1):
+        for bit in (0, 1):
+            pair = rng.integers(0, 1 << 16, 500)
+            form = pair | (learnt * 2 + bit) << 16
+            at = pair + (learnt * (1 + bit) << 16)
+            assert np.array_equal(lm_scoring.SIGNED[form], lm_scoring.ODDS[at] * (2 * bit - 1))
+            x, gate = np.tile(lm_scoring.ODDS[at][:, None], (1, 4)), lm_scoring.EVIDENCE[at].astype(int)
+            cells = sum(c[form] for c in lm_scoring.SPELL_CELLS) + bit
+            assert np.array_equal(cells, lm_scoring.SPELL_GRID.cells(x, gate * 4 + gate, bit))
+
+
 def test_lm_odd_rows_and_no_rows(odd, empty):
     assert len(check_scores(odd, {})) == len(ODD)
     assert rows(lm_scoring.score_texts(empty)) == []
