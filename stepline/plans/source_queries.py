@@ -251,15 +251,8 @@ def stream_record_diff(spark, d):
     late = 2 * ((last - first).days // ARRIVALS + 2)
     end = spark.range(1).select(F.lit(-1).cast("long").alias("capture_id"), F.lit("end").alias("record_id"), F.expr(f"timestamp'{last}' + INTERVAL {late + KEEP_DAYS + 2} DAYS").alias("ts"), F.lit(0).cast("long").alias("ingest_seq"), F.lit(None).cast("map<string,string>").alias("state"), F.lit(ARRIVALS - 1).alias("arrival"))
     out = fresh_path(spark, "diff-out")
-
-    def start(stream, marks):
-        told = stream_records.stream_record_diff(stream, f"{late} days", KEEP_DAYS)
-        write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
-        return told.writeStream.outputMode("append").option("checkpointLocation", marks).trigger(availableNow=True).foreachBatch(write).start()
-
-    with stream_records.with_rocksdb(spark):
-        _arriving(spark, states.unionByName(end), "diff", start)
-    return spark.read.parquet(out).select("capture_id", F.unix_millis("ts").alias("t"), "ingest_seq", "changed")
+    _arriving(spark, states.unionByName(end), "diff", lambda s, marks: stream_records.stream_record_diff(s, late * 24 * HOUR, KEEP_DAYS, out, marks))
+    return stream_records.differences(spark, out).select("capture_id", F.unix_millis("ts").alias("t"), "ingest_seq", "changed")
 
 
 #: Telemetry comes in by time, a part of it two arrivals later; an hour late is still on time.
