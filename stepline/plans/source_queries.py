@@ -39,14 +39,15 @@ def read_capture(spark, d):
 
 @query(LINES + """ SELECT capture_id, row_number() OVER (PARTITION BY capture_id ORDER BY pos) AS line_no, coalesce(reason, 'event') AS kind FROM lines QUALIFY coalesce(reason, '') <> 'blank'""")
 def read_capture_files(spark, d):
-    """Captures written as files, blank lines too, and read again in splits of Spark's size: as many tasks as their bytes need."""
-    written = capture(spark, d).select("capture_id", "pos", F.expr(LINE).alias("line"))
+    """Captures written as files, blank lines too, and read again in splits of Spark's size.
+
+    Files and tasks are as many as the bytes need: a file for each capture costs far more time than its lines.
+    """
     path = fresh_path(spark, "captures")
-    written.repartition("capture_id").sortWithinPartitions("capture_id", "pos").select("capture_id", "line").write.partitionBy("capture_id").text(path)
-    # events and rejects are two passes over the lines, of which each would read the files again
-    events, rejects = captures.parse_lines(cut(captures.capture_lines(spark, path)))
-    found = events.select("path", "line_no", F.lit("event").alias("kind")).unionByName(rejects.withColumnRenamed("reason", "kind"))
-    return found.select(F.regexp_extract("path", "capture_id=([0-9]+)", 1).cast("long").alias("capture_id"), "line_no", "kind")
+    captures.pack_lines(capture(spark, d).select("capture_id", "pos", F.expr(LINE).alias("line")), path, ["pos"])
+    # one pass over the lines tells events and rejects
+    told = captures.marked_lines(captures.packed_lines(spark, path))
+    return told.select(F.expr("try_cast(capture_id AS BIGINT)").alias("capture_id"), "line_no", F.coalesce("reason", F.lit("event")).alias("kind"))
 
 
 @query(LINES + " SELECT CASE k % 7 WHEN 1 THEN 'fatal' WHEN 2 THEN 'old' WHEN 3 THEN 'assumed' END AS version_note, count(*) AS n FROM lines WHERE reason IS NULL GROUP BY 1")

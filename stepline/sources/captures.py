@@ -31,19 +31,44 @@ def capture_lines(spark: SparkSession, path: str) -> DataFrame:
     return numbered.select("path", "line_no", F.when(F.col("line_no") == 1, F.regexp_replace("line", "^\uFEFF", "")).otherwise(F.col("line")).alias("line")).filter(F.trim("line") != "")
 
 
-def parse_lines(lines: DataFrame, line: str = "line") -> tuple[DataFrame, DataFrame]:
-    """Events and rejects (with ``reason``) of capture lines; other columns come along.
+def pack_lines(lines: DataFrame, path: str, order: list[str]) -> None:
+    """Writes ``lines`` (capture_id, line and the ``order`` columns) as few files of many captures: a file for each task, not for each capture.
 
-    A line is rejected if it is no JSON, no object, or has a field of another type than the
-    schema's; a role that is a number is malformed, one that is null is fine.  A line is parsed once, a reject once more to tell why.
+    A capture's lines are in one file, one after another, each behind its capture's id (none: empty) and a tab.
     """
+    text = F.concat(F.coalesce(F.col("capture_id").cast("string"), F.lit("")), F.lit("\t"), F.coalesce("line", F.lit("")))
+    lines.repartition("capture_id").sortWithinPartitions("capture_id", *order).select(text.alias("value")).write.option("maxRecordsPerFile", 0).text(path)
+
+
+def packed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(capture_id, line_no, line) of files that ``pack_lines`` has written, without blank lines; ``capture_id`` is text.
+
+    A line's number is its place in the file less that of its capture's first line.
+    """
+    parts = F.split("line", "\t", 2)
+    placed = capture_lines(spark, path).select(parts[0].alias("capture_id"), F.col("line_no").alias("_at"), parts[1].alias("line"))
+    first = placed.groupBy("capture_id").agg(F.min("_at").alias("_first"))
+    return placed.filter(F.trim("line") != "").join(first, "capture_id").select("capture_id", (F.col("_at") - F.col("_first") + 1).alias("line_no"), "line")
+
+
+def marked_lines(lines: DataFrame, line: str = "line") -> DataFrame:
+    """The lines with ``_e``, what they hold, and ``reason``, why they are rejected (null: they are events)."""
     parsed = lines.withColumn("_e", F.from_json(line, LINE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     whole = F.ltrim(F.col(line)).startswith("{") & F.col("_e._bad").isNull()
     kind = F.schema_of_variant(F.try_parse_json(F.col(line)))
     why = F.when(kind.isNull(), "bad_json").when(~kind.startswith("OBJECT"), "not_an_object").otherwise("schema")
     role = F.schema_of_variant("_e.selectors.role_name.role")
     malformed = F.col("_e.t").isNull() | F.col("_e.type").isNull() | F.coalesce(~role.isin("STRING", "VOID"), F.lit(False))
-    marked = parsed.withColumn("reason", F.when(~F.coalesce(whole, F.lit(False)), why).when(malformed, "schema"))
+    return parsed.withColumn("reason", F.when(~F.coalesce(whole, F.lit(False)), why).when(malformed, "schema"))
+
+
+def parse_lines(lines: DataFrame, line: str = "line") -> tuple[DataFrame, DataFrame]:
+    """Events and rejects (with ``reason``) of capture lines; other columns come along.
+
+    A line is rejected if it is no JSON, no object, or has a field of another type than the
+    schema's; a role that is a number is malformed, one that is null is fine.  A line is parsed once, a reject once more to tell why.
+    """
+    marked = marked_lines(lines, line)
     keep = [c for c in lines.columns if c != line]
     fields = [x.split()[0] for x in ("v seq t type url frame_path selectors element value value_redacted sf _ingest_seq _ingest_t _frame_url _page_index").split(" ")]
     name = F.col("_e.selectors.role_name")
