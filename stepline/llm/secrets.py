@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -133,8 +134,7 @@ def repeats(value: str) -> list[tuple[int, int, float]]:
     known: dict[int, list[tuple[int, int]]] = {}
     for size in range(1, n // 2 + 1):
         if size >= 16 and n >= 64:
-            at = np.arange(0, len(eight) - size, size // 2)
-            if not (eight[at] == eight[at + size]).any():
+            if not (eight[: -size : size // 2] == eight[size :: size // 2]).any():
                 continue
         same = codes[:-size] == codes[size:]
         edge = np.flatnonzero(np.diff(np.concatenate([[0], same.view(np.int8), [0]])))
@@ -142,7 +142,8 @@ def repeats(value: str) -> list[tuple[int, int, float]]:
             if z - a < size or n < 3:
                 continue
             # positions a to z + size repeat the unit; a shorter unit that divides it does as well, for less
-            if any(size % s == 0 and any(i <= a and z + size <= j for i, j in spans) for s, spans in known.items()):
+            # stretches of a unit size come by their start, and so by their end: of those that start in time the last goes furthest
+            if any(size % s == 0 and (at := bisect_right(spans, (a, math.inf))) and z + size <= spans[at - 1][1] for s, spans in known.items()):
                 continue
             known.setdefault(size, []).append((a, z + size))
             for i in range(a, z - size + 1):

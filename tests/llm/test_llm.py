@@ -504,6 +504,16 @@ def test_long_values_are_judged_exactly_and_soon():
     assert time.process_time() - began < 5
 
 
+def test_many_repeats_of_a_long_value_are_found_soon():
+    # each was held against all that were found before
+    value = "".join(x * 3 for x in np.random.default_rng(5).choice(list("abcdefgh"), 30_000))
+    began = time.process_time()
+    found = secrets.repeats(value)
+    assert time.process_time() - began < 5
+    runs = {(i, j) for i, j, _ in found if len(set(value[i:j])) == 1}
+    assert {(m.start() + k, m.end()) for m in re.finditer(r"(.)\1{2,}", value) for k in range(len(m[0]) - 2)} == runs
+
+
 def test_long_values_are_costed_whole():
     assert abs(secrets.log10_guesses("_" * 300) - math.log10(33) - math.log10(300)) < 1e-9
     assert [k for *_, k in secrets.segment("x" * 98 + "dragon" + "7" * 100)[1]] == ["repeat", "word", "repeat"]
